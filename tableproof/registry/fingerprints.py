@@ -1 +1,217 @@
-"""Queries."""
+"""Queries over row texts, fingerprints, contents and schema object digests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tableproof import fixtures as X
+from tableproof.functions.canonical import canonical_row
+from tableproof.operators import fingerprint as P
+from tableproof.operators import objects as O
+from tableproof.registry import register
+
+# --- oracle building blocks ------------------------------------------------------
+
+ORDERS_COLS = ["CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus", "CAST(o_totalprice AS VARCHAR)", "o_orderpriority"]
+LINEITEM_COLS = [
+    f"CAST({c} AS VARCHAR)"
+    for c in "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()
+] + ["l_returnflag", "l_linestatus", "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f')"]
+CONV_COLS = ["CAST(conv_id AS VARCHAR)", "CAST(turn AS VARCHAR)", "role", "text"]
+
+
+def strict_sql(cols: list[str]) -> str:
+    return "(" + " || ".join(f"coalesce('V' || strlen({c}) || ':' || {c}, 'N')" for c in cols) + ")"
+
+
+def sum_sql(rows: str, keys: str = "") -> str:
+    """Rows ``(keys..., r)`` to the rendered sum fingerprint."""
+    lanes = ", ".join(
+        f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT) AS DECIMAL(38,0))) AS VARCHAR) AS l{i}" for i in range(4)
+    )
+    k = f"{keys}, " if keys else ""
+    g = f" GROUP BY {keys}" if keys else ""
+    return (
+        f"SELECT {k}'sha256/sum' AS algo, sha256(concat_ws(':', l0, l1, l2, l3)) AS digest, n, "
+        f"sha256(concat_ws(':', l0, l1, l2, l3)) || ':' || n AS fingerprint "
+        f"FROM (SELECT {k}count(*) AS n, {lanes} FROM (SELECT {k}sha256(r) AS h FROM ({rows}) r0) h0{g}) s0"
+    )
+
+
+def tree_sql(hashes: str, algo: str, label: str, depth: int) -> str:
+    """Rows ``(h)`` to the rendered tree fingerprint (one fold level)."""
+    return (
+        f"SELECT '{label}' AS algo, digest, n, digest || ':' || n AS fingerprint FROM ("
+        f"SELECT CAST(sum(n) AS BIGINT) AS n, {algo}(string_agg(prefix || ':' || d, chr(10) ORDER BY prefix || ':' || d)) AS digest FROM ("
+        f"SELECT substr(h, 1, {depth}) AS prefix, sum(c) AS n, {algo}(string_agg(h || ':' || c, chr(10) ORDER BY h || ':' || c)) AS d "
+        f"FROM (SELECT h, count(*) AS c FROM ({hashes}) h0 GROUP BY h) c0 GROUP BY 1) l0) t0"
+    )
+
+
+ORDERS_ROWS = f"SELECT {strict_sql(ORDERS_COLS)} AS r FROM ({X.ORDERS_COPY}) o"
+LINEITEM_ROWS = f"SELECT {strict_sql(LINEITEM_COLS)} AS r FROM ({X.LINEITEM_PLAIN}) l"
+CONV_ROWS = f"SELECT {strict_sql(CONV_COLS)} AS r FROM ({X.CONVERSATIONS_COPY}) c"
+
+SQLITE_COLS = [ORDERS_COLS[0], ORDERS_COLS[1], "CASE WHEN o_orderstatus IS NULL THEN 'NULL' ELSE '''' || replace(o_orderstatus, '''', '''''') || '''' END",
+               ORDERS_COLS[3], "'''' || replace(o_orderpriority, '''', '''''') || ''''"]
+
+
+@register(
+    "b1_canonical_row",
+    f"SELECT {strict_sql(ORDERS_COLS)} AS strict, concat_ws('|', {', '.join(ORDERS_COLS)}) AS pg, "
+    f"concat_ws('|', {', '.join(f'coalesce({c}, chr(60) || chr(78) || chr(85) || chr(76) || chr(76) || chr(62))' for c in ORDERS_COLS)}) AS mysql, "
+    f"concat_ws(chr(31), {', '.join(SQLITE_COLS)}) AS sqlite FROM ({X.ORDERS_COPY}) o",
+)
+def b1(spark, sf_dir):
+    o = X.view(spark, sf_dir, X.ORDERS_COPY)
+    return o.select(*[canonical_row(o, mode).alias(mode) for mode in ("strict", "pg", "mysql", "sqlite")])
+
+
+@register(
+    "e1_fingerprint_exact",
+    f"SELECT 'md5/joined' AS algo, md5(string_agg(r, chr(10) ORDER BY r)) AS digest, count(*) AS n, "
+    f"md5(string_agg(r, chr(10) ORDER BY r)) || ':' || count(*) AS fingerprint FROM ({ORDERS_ROWS}) z",
+)
+def e1(spark, sf_dir):
+    return P.fingerprint_exact(X.view(spark, sf_dir, X.ORDERS_COPY))
+
+
+@register("e2_fingerprint_tree", tree_sql(f"SELECT sha256(r) AS h FROM ({LINEITEM_ROWS}) z", "sha256", "sha256/tree2", 2))
+def e2(spark, sf_dir):
+    return P.fingerprint_tree(X.view(spark, sf_dir, X.LINEITEM_PLAIN))
+
+
+@register("e2_fingerprint_tree_duplicates", tree_sql(f"SELECT sha256(r) AS h FROM ({CONV_ROWS}) z", "sha256", "sha256/tree2", 2))
+def e2_duplicates(spark, sf_dir):
+    return P.fingerprint_tree(X.view(spark, sf_dir, X.CONVERSATIONS_COPY))
+
+
+@register("e3_fingerprint_sum", sum_sql(LINEITEM_ROWS))
+def e3(spark, sf_dir):
+    return P.fingerprint_sum(X.view(spark, sf_dir, X.LINEITEM_PLAIN))
+
+
+@register(
+    "e3_fingerprint_sum_grouped",
+    sum_sql(f"SELECT o_orderpriority, {strict_sql(ORDERS_COLS[:4])} AS r FROM ({X.ORDERS_COPY}) o", "o_orderpriority"),
+)
+def e3_grouped(spark, sf_dir):
+    return P.fingerprint_sum(X.view(spark, sf_dir, X.ORDERS_COPY), keys=["o_orderpriority"])
+
+
+@register("e3_merge_states", sum_sql(ORDERS_ROWS))
+def e3_merge(spark, sf_dir):
+    o = X.view(spark, sf_dir, X.ORDERS_COPY)
+    odd = P.row_texts(o.filter("o_orderkey % 2 = 1"))
+    even = P.row_texts(o.filter("o_orderkey % 2 = 0"))
+    return P.render_state(P.merge_states(P.sum_state(odd).unionByName(P.sum_state(even))))
+
+
+@register(
+    "e4_chunked_digest",
+    "WITH t AS (SELECT doc_id AS id, encode(text) AS b FROM {documents} UNION ALL SELECT -1 - page_id, encode(html) FROM {pages} "
+    "UNION ALL SELECT 1000000000 + doc_id, encode('') FROM {labels}), "
+    "c AS (SELECT id, w, o, md5(b[o + 1:o + w]) AS d FROM (SELECT id, b, w, unnest(range(0, greatest(octet_length(b), 1), w)) AS o "
+    "FROM t, (SELECT unnest([64, 1048576]) AS w) k) x) "
+    "SELECT id, max(CASE WHEN w = 64 THEN d END) AS by_64, max(CASE WHEN w = 1048576 THEN d END) AS by_1m "
+    "FROM (SELECT id, w, md5(string_agg(d, '' ORDER BY o)) AS d FROM c GROUP BY id, w) z GROUP BY id",
+)
+def e4(spark, sf_dir):
+    docs = X.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    pages = X.load(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("id"), F.col("html").alias("body"))
+    empty = X.load(spark, sf_dir, "labels").select((F.lit(1000000000) + F.col("doc_id")).alias("id"), F.lit("").alias("body"))
+    both = docs.unionByName(pages).unionByName(empty)
+    return both.select(
+        "id",
+        P.chunked_digest(F.col("body"), 64).alias("by_64"),
+        P.chunked_digest(F.col("body"), 1048576).alias("by_1m"),
+    )
+
+
+@register(
+    "e5_content_fingerprint",
+    "SELECT doc_id AS id, sha256(text) || ':' || strlen(text) AS fingerprint FROM {documents} "
+    "UNION ALL SELECT -1 - page_id, sha256(html) || ':' || strlen(html) FROM {pages}",
+)
+def e5(spark, sf_dir):
+    docs = X.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    pages = X.load(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("id"), F.col("html").alias("body"))
+    return docs.unionByName(pages).select("id", P.content_fingerprint(F.col("body")).alias("fingerprint"))
+
+
+# --- schema objects ----------------------------------------------------------------
+
+CLASSES = ["indexes", "constraints", "views", "routines", "triggers", "extensions"]
+CLASS_SQL = "(SELECT unnest(['indexes', 'constraints', 'views', 'routines', 'triggers', 'extensions']) AS class)"
+
+
+def object_sql(definition: str, where: str = "true") -> str:
+    """``class, n, digest`` of FX7 for every expected class."""
+    hashes = f"SELECT class, md5(translate({definition}, chr(13) || chr(10), '  ')) AS h FROM ({X.OBJECTS}) o WHERE {where}"
+    leaves = (
+        "SELECT class, substr(h, 1, 1) AS prefix, sum(c) AS n, md5(string_agg(h || ':' || c, chr(10) ORDER BY h || ':' || c)) AS d "
+        f"FROM (SELECT class, h, count(*) AS c FROM ({hashes}) h0 GROUP BY class, h) c0 GROUP BY 1, 2"
+    )
+    roots = (
+        "SELECT class, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(prefix || ':' || d, chr(10) ORDER BY prefix || ':' || d)) AS digest "
+        f"FROM ({leaves}) l0 GROUP BY class"
+    )
+    return (
+        "SELECT 'app' AS db, k.class, coalesce(n, 0) AS n, coalesce(n, 0) || ':' || coalesce(digest, md5('')) AS digest "
+        f"FROM {CLASS_SQL} k LEFT JOIN ({roots}) r ON k.class = r.class"
+    )
+
+
+def object_catalog(spark, sf_dir, copy: bool = False):
+    o = X.view(spark, sf_dir, X.OBJECTS).withColumn("db", F.lit("app"))
+    if not copy:
+        return o.select("db", "class", "name", "definition")
+    return o.filter("in_copy").select("db", "class", "name", F.col("copy_definition").alias("definition"))
+
+
+def digests_of(objects):
+    listed = objects.sparkSession.createDataFrame([("app", c) for c in CLASSES], "db string, class string")
+    return O.object_digest(objects, listed)
+
+
+@register("a12_object_catalog", f"SELECT 'app' AS db, class, count(*) AS n, min(definition) AS first_definition FROM ({X.OBJECTS}) o GROUP BY class")
+def a12(spark, sf_dir):
+    catalog = object_catalog(spark, sf_dir)
+    return catalog.groupBy("db", "class").agg(F.count("*").alias("n"), F.min("definition").alias("first_definition"))
+
+
+@register("e6_object_digest", object_sql("definition"))
+def e6(spark, sf_dir):
+    return digests_of(object_catalog(spark, sf_dir))
+
+
+INDEX_COLUMNS = (
+    "SELECT DISTINCT 'app' AS db, concat('ix_', CAST(l_orderkey AS STRING)) AS index, 'lineitem' AS tbl, l_linenumber AS seq, "
+    "concat('c', CAST(l_partkey AS STRING)) AS column_name FROM {lineitem}"
+)
+
+
+@register(
+    "e7_index_signature",
+    f"SELECT db, 'indexes' AS class, index || ' on ' || tbl || '(' || string_agg(column_name, ',' ORDER BY seq, column_name) || ')' AS definition "
+    f"FROM ({INDEX_COLUMNS}) i GROUP BY db, index, tbl",
+)
+def e7(spark, sf_dir):
+    cols = X.view(spark, sf_dir, INDEX_COLUMNS).withColumnsRenamed({"tbl": "table", "column_name": "column"})
+    return O.index_signature(cols)
+
+
+@register(
+    "e8_view_signature",
+    f"SELECT 'app' AS db, 'views' AS class, name || ' ' || md5(definition) AS definition FROM ({X.OBJECTS}) o WHERE class = 'views'",
+)
+def e8(spark, sf_dir):
+    return O.view_signature(object_catalog(spark, sf_dir).filter("class = 'views'"))
+
+
+@register(
+    "e9_completeness_witness",
+    f"SELECT count(*) AS n, CAST(sum(strlen(r)) AS BIGINT) AS row_octets, strlen(string_agg(r, chr(10))) AS joined_octets FROM ({LINEITEM_ROWS}) z",
+)
+def e9(spark, sf_dir):
+    return P.completeness_witness(X.view(spark, sf_dir, X.LINEITEM_PLAIN))
