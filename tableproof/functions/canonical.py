@@ -1,11 +1,17 @@
 """One canonical text per row.
 
-``strict`` is injective: a null is ``N``, a value is ``V<octets>:<text>``. The other modes collide
-exactly where the engines they are named after do; use them only to compare against such digests.
+``strict`` is injective. A value whose text cannot hold ``;`` (numbers, booleans, dates, timestamps,
+hex of binary) is written as ``<text>;``, any other value as ``V<octets>:<text>``, a null as ``N;`` or
+``N``. The other modes collide exactly where the engines they are named after do; use them only to
+compare against such digests.
+
+The expression is assembled as SQL text and parsed once: a wide table costs one call, not hundreds.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,57 +19,84 @@ from pyspark.sql import types as T
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 MODES = ("strict", "pg", "mysql", "sqlite")
 
+_PLAIN = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
+
 
-def tagged(text: Column) -> Column:
-    return F.coalesce(
-        F.concat(F.lit("V"), F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("N")
-    )
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def value_text(c: Column, dtype: T.DataType) -> Column:
-    """Text of one value; null stays null. Nested values are tagged inside, so they stay injective."""
+def _tagged(expr: str, dtype: T.DataType, names: count) -> list[str]:
+    """Pieces of the injective form; kept apart so that a long text is copied once."""
+    text = _text(expr, dtype, names)
+    if isinstance(dtype, _PLAIN):
+        return [f"coalesce({text}, 'N')", "';'"]
+    return [f"coalesce(concat('V', octet_length({text}), ':'), 'N')", f"coalesce({text}, '')"]
+
+
+def _text(expr: str, dtype: T.DataType, names: count) -> str:
+    """Text of one value; null stays null. Members of nested values are tagged inside."""
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
-        return c
+        return expr
     if isinstance(dtype, T.BinaryType):
-        return F.hex(c)
+        return f"hex({expr})"
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, TIMESTAMP_FORMAT)
+        return f"date_format({expr}, '{TIMESTAMP_FORMAT}')"
     if isinstance(dtype, T.ArrayType):
-        parts = F.transform(c, lambda x: tagged(value_text(x, dtype.elementType)))
-        return F.when(c.isNotNull(), F.concat(F.lit("["), F.array_join(parts, ""), F.lit("]")))
+        x = f"x{next(names)}"
+        member = f"concat({', '.join(_tagged(x, dtype.elementType, names))})"
+        return f"concat('[', array_join(transform({expr}, {x} -> {member}), ''), ']')"
     if isinstance(dtype, T.MapType):
-        entry = T.StructType([T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)])
-        parts = F.array_sort(
-            F.transform(F.map_entries(c), lambda e: tagged(value_text(e, entry)))
-        )
-        return F.when(c.isNotNull(), F.concat(F.lit("{"), F.array_join(parts, ""), F.lit("}")))
+        x = f"x{next(names)}"
+        key = ", ".join(_tagged(f"{x}.key", dtype.keyType, names))
+        value = ", ".join(_tagged(f"{x}.value", dtype.valueType, names))
+        entries = f"array_sort(transform(map_entries({expr}), {x} -> concat({key}, {value})))"
+        # entries are sorted as texts, so each needs its own length again
+        y = f"x{next(names)}"
+        return f"concat('{{', array_join(transform({entries}, {y} -> concat(octet_length({y}), ':', {y})), ''), '}}')"
     if isinstance(dtype, T.StructType):
-        parts = [tagged(value_text(c.getField(f.name), f.dataType)) for f in dtype.fields]
-        return F.when(c.isNotNull(), F.concat(F.lit("("), *parts, F.lit(")")))
-    return c.cast("string")
+        parts = [p for f in dtype.fields for p in _tagged(f"{expr}.{quoted(f.name)}", f.dataType, names)]
+        return f"if({expr} IS NULL, NULL, concat('(', {', '.join(parts + [chr(39) + ')' + chr(39)])}))"
+    return f"cast({expr} AS string)"
 
 
-def _sqlite_quote(c: Column, dtype: T.DataType) -> Column:
-    text = value_text(c, dtype)
+def _sqlite_quote(expr: str, dtype: T.DataType, names: count) -> str:
+    text = _text(expr, dtype, names)
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        return F.coalesce(text, F.lit("NULL"))
-    quoted = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
-    return F.coalesce(quoted, F.lit("NULL"))
+        return f"coalesce({text}, 'NULL')"
+    return f"coalesce(concat('\\'', replace({text}, '\\'', '\\'\\''), '\\''), 'NULL')"
 
 
-def canonical_row(df: DataFrame, mode: str = "strict") -> Column:
-    """Every column in schema order, as one string column over ``df``."""
-    fields = [(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+def row_sql(schema: T.StructType, mode: str = "strict") -> str:
+    """SQL text of the canonical row over the columns of ``schema``, in their order."""
+    names = count()
+    fields = [(quoted(f.name), f.dataType) for f in schema.fields]
     if mode == "strict":
-        return F.concat(*[tagged(value_text(c, t)) for c, t in fields])
+        return f"concat({', '.join(p for c, t in fields for p in _tagged(c, t, names))})"
     if mode == "pg":
-        return F.concat_ws("|", *[value_text(c, t) for c, t in fields])
+        return f"concat_ws('|', {', '.join(_text(c, t, names) for c, t in fields)})"
     if mode == "mysql":
-        return F.concat_ws("|", *[F.coalesce(value_text(c, t), F.lit("<NULL>")) for c, t in fields])
+        return f"concat_ws('|', {', '.join(f'coalesce({_text(c, t, names)}, {chr(39)}<NULL>{chr(39)})' for c, t in fields)})"
     if mode == "sqlite":
-        return F.concat_ws("\x1f", *[_sqlite_quote(c, t) for c, t in fields])
+        return f"concat_ws(char(31), {', '.join(_sqlite_quote(c, t, names) for c, t in fields)})"
     raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
 
 
+def hashable_columns(schema: T.StructType) -> list[str]:
+    """SQL of every column as a value one hash can take whole: nested values as their texts, in which
+    inner nulls and borders are kept."""
+    names = count()
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    return [
+        _text(quoted(f.name), f.dataType, names) if isinstance(f.dataType, nested) else quoted(f.name)
+        for f in schema.fields
+    ]
+
+
+def canonical_row(df: DataFrame, mode: str = "strict") -> Column:
+    """Every column of ``df`` as one string column over it."""
+    return F.expr(row_sql(df.schema, mode))
+
+
 def row_separator(mode: str) -> str:
     return "\x1e" if mode == "sqlite" else "\n"

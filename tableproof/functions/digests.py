@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 EMPTY_FINGERPRINT = "EMPTY:0"
 USABLE_RE = r"^(EMPTY:0|[0-9a-f]{8}.*:[0-9].*)$"
 
-LANE_DIGITS = 15  # hex digits, 60 bits
+LANE_DIGITS = 15  # hex digits
+LANE_BITS = 60
 LIMB_BITS = 20  # summed as bigint: safe for more than 8e12 rows
 LIMBS = 3
-LANES = {"md5": 2, "sha256": 4}
+LANES = {"md5": 2, "sha256": 4, "xxhash64": 2}
 
 
 def digest(text: Column, algo: str) -> Column:
@@ -23,23 +24,41 @@ def digest(text: Column, algo: str) -> Column:
     raise ValueError(f"unknown algorithm {algo!r}")
 
 
-def lane(hex_digest: Column, i: int) -> Column:
+def digest_sql(text: str, algo: str) -> str:
+    if algo == "md5":
+        return f"md5({text})"
+    if algo == "sha256":
+        return f"sha2({text}, 256)"
+    raise ValueError(f"unknown algorithm {algo!r}")
+
+
+def lane_sql(hex_digest: str, i: int) -> str:
     """The i-th 60-bit lane of a hex digest as bigint."""
-    return F.conv(F.substring(hex_digest, 1 + LANE_DIGITS * i, LANE_DIGITS), 16, 10).cast("bigint")
+    return f"cast(conv(substring({hex_digest}, {1 + LANE_DIGITS * i}, {LANE_DIGITS}), 16, 10) AS bigint)"
+
+
+def column_lane_sql(columns: list[str], nulls: list[str], seed: int) -> str:
+    """A 60-bit lane straight from column values, without a text: chained xxhash64. The chain skips
+    nulls, so their places are hashed as bit masks of up to 60 columns each."""
+    masks = []
+    for start in range(0, len(nulls), LANE_BITS):
+        bits = [f"if({c} IS NULL, {1 << i}L, 0L)" for i, c in enumerate(nulls[start:start + LANE_BITS])]
+        masks.append(" | ".join(bits))
+    return f"xxhash64({', '.join([str(seed), *masks, *columns])}) & {(1 << LANE_BITS) - 1}L"
 
 
-def limb(lane_value: Column, j: int) -> Column:
-    shifted = F.shiftright(lane_value, LIMB_BITS * j) if j else lane_value
-    return shifted.bitwiseAND(F.lit((1 << LIMB_BITS) - 1))
+def limb_sum_sql(lane: str, j: int) -> str:
+    shifted = f"shiftright({lane}, {LIMB_BITS * j})" if j else lane
+    return f"sum({shifted} & {(1 << LIMB_BITS) - 1}L)"
 
 
-def lane_total(limb_sums: list[Column]) -> Column:
-    """Recompose the exact lane sum from its limb sums."""
-    total = None
-    for j, part in enumerate(limb_sums):
-        term = part.cast("decimal(20,0)") * F.lit(1 << (LIMB_BITS * j)).cast("decimal(14,0)")
-        total = term if total is None else total + term
-    return total.cast("decimal(38,0)")
+def lane_total_sql(limb_sums: list[str]) -> str:
+    """Recompose the exact lane sum from its limb sums; 0 when there were no rows."""
+    terms = [
+        f"cast({part} AS decimal(20,0)) * cast({1 << (LIMB_BITS * j)}L AS decimal(14,0))"
+        for j, part in enumerate(limb_sums)
+    ]
+    return f"coalesce(cast({' + '.join(terms)} AS decimal(38,0)), cast(0 AS decimal(38,0)))"
 
 
 def render(hex_digest: Column, n: Column) -> Column:

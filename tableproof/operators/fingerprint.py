@@ -16,12 +16,13 @@ Three methods with one contract (every column of every row, multiplicity counts,
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableproof.functions import digests as D
-from tableproof.functions.canonical import canonical_row, row_separator
+from tableproof.functions.canonical import canonical_row, hashable_columns, quoted, row_separator
 
 METHODS = ("sum", "tree")
 JOINED_LIMIT_BYTES = 64 * 1024 * 1024
@@ -29,6 +30,9 @@ HASHES_PER_LEAF = 250_000
 FOLD_DIGITS = 3  # at most 4096 children per inner node
 
 
+DEFAULT_ALGO = {"sum": "md5", "tree": "sha256"}
+
+
 def row_texts(df: DataFrame, mode: str = "strict", keys: Sequence[str] = ()) -> DataFrame:
     """``keys + row``: the canonical text of every row over the columns that are not keys."""
     body = df.drop(*keys) if keys else df
@@ -53,35 +57,46 @@ def _lane_names(algo: str) -> list[str]:
     return [f"lane_{i}" for i in range(D.LANES[algo])]
 
 
-def sum_state(rows: DataFrame, keys: Sequence[str] = (), algo: str = "sha256") -> DataFrame:
-    """Mergeable state of ``keys + row``: count, octets and the lane sums."""
-    hashed = rows.select(
-        *keys, F.octet_length("row").cast("bigint").alias("_octets"), D.digest(F.col("row"), algo).alias("_h")
-    )
-    lanes = hashed.select(
-        *keys, "_octets", *[D.lane(F.col("_h"), i).alias(n) for i, n in enumerate(_lane_names(algo))]
-    )
-    limbs = [
-        F.sum(D.limb(F.col(n), j)).alias(f"{n}_{j}") for n in _lane_names(algo) for j in range(D.LIMBS)
-    ]
-    summed = lanes.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("_octets"), F.lit(0)).alias("octets"), *limbs
-    )
-    return summed.select(
-        *keys,
-        "n",
-        "octets",
-        *[
-            F.coalesce(
-                D.lane_total([F.col(f"{n}_{j}") for j in range(D.LIMBS)]),
-                F.lit(0).cast("decimal(38,0)"),
-            ).alias(n)
-            for n in _lane_names(algo)
-        ],
+def row_hashes(df: DataFrame, mode: str = "strict", algo: str = "sha256", keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, octets, h``: what every method needs of a row; the text itself goes no further."""
+    return row_texts(df, mode, keys).selectExpr(
+        *[quoted(k) for k in keys], "cast(octet_length(row) AS bigint) AS octets", f"{D.digest_sql('row', algo)} AS h"
     )
 
 
-def merge_states(states: DataFrame, keys: Sequence[str] = (), algo: str = "sha256") -> DataFrame:
+def row_lanes(df: DataFrame, mode: str = "strict", algo: str = "md5", keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, octets, lane_0 ..``: the row's hash cut into 60-bit numbers.
+
+    ``xxhash64`` hashes the column values themselves and makes no text, which is several times
+    cheaper per row; it knows the strict form only and counts no octets."""
+    names = _lane_names(algo)
+    group = [quoted(k) for k in keys]
+    if algo == "xxhash64":
+        if mode != "strict":
+            raise ValueError("xxhash64 lanes are taken from values, not from a text mode")
+        body = df.drop(*keys).schema if keys else df.schema
+        values = hashable_columns(body)
+        nulls = [quoted(f.name) for f in body.fields]
+        lanes = [f"{D.column_lane_sql(values, nulls, i + 1)} AS {n}" for i, n in enumerate(names)]
+        return df.selectExpr(*group, "0L AS octets", *lanes)
+    hashes = row_hashes(df, mode, algo, keys)
+    return hashes.selectExpr(*group, "octets", *[f"{D.lane_sql('h', i)} AS {n}" for i, n in enumerate(names)])
+
+
+def sum_state(lanes: DataFrame, keys: Sequence[str] = (), algo: str = "md5") -> DataFrame:
+    """Mergeable state of :func:`row_lanes` rows: count, octets and the lane sums.
+
+    A lane is added up as three 20-bit limbs in plain bigints, which stay inside generated code and
+    cannot overflow below 8e12 rows; the exact lane sum is put together once per group."""
+    names = _lane_names(algo)
+    group = [quoted(k) for k in keys]
+    limbs = [F.expr(D.limb_sum_sql(n, j)).alias(f"{n}_{j}") for n in names for j in range(D.LIMBS)]
+    summed = lanes.groupBy(*keys).agg(F.expr("count(*)").alias("n"), F.expr("coalesce(sum(octets), 0L)").alias("octets"), *limbs)
+    totals = [f"{D.lane_total_sql([f'{n}_{j}' for j in range(D.LIMBS)])} AS {n}" for n in names]
+    return summed.selectExpr(*group, "n", "octets", *totals)
+
+
+def merge_states(states: DataFrame, keys: Sequence[str] = (), algo: str = "md5") -> DataFrame:
     """State of a union from the states of its parts."""
     return states.groupBy(*keys).agg(
         F.sum("n").alias("n"),
@@ -90,10 +105,10 @@ def merge_states(states: DataFrame, keys: Sequence[str] = (), algo: str = "sha25
     )
 
 
-def render_state(state: DataFrame, keys: Sequence[str] = (), algo: str = "sha256") -> DataFrame:
+def render_state(state: DataFrame, keys: Sequence[str] = (), algo: str = "md5") -> DataFrame:
     """``keys, algo, digest, n, fingerprint`` from a state."""
     lanes = F.concat_ws(":", *[F.col(n).cast("string") for n in _lane_names(algo)])
-    return _rendered(state, keys, D.digest(lanes, algo), f"{algo}/sum")
+    return _rendered(state, keys, D.digest(lanes, "sha256" if algo == "sha256" else "md5"), f"{algo}/sum")
 
 
 def _rendered(df: DataFrame, keys: Sequence[str], hex_digest: Column, label: str) -> DataFrame:
@@ -106,9 +121,9 @@ def _rendered(df: DataFrame, keys: Sequence[str], hex_digest: Column, label: str
     )
 
 
-def fingerprint_sum(df: DataFrame, mode: str = "strict", algo: str = "sha256",
+def fingerprint_sum(df: DataFrame, mode: str = "strict", algo: str = "md5",
                     keys: Sequence[str] = ()) -> DataFrame:
-    return render_state(sum_state(row_texts(df, mode, keys), keys, algo), keys, algo)
+    return render_state(sum_state(row_lanes(df, mode, algo, keys), keys, algo), keys, algo)
 
 
 # --- tree ------------------------------------------------------------------------
@@ -146,8 +161,7 @@ def fingerprint_tree(df: DataFrame, mode: str = "strict", algo: str = "sha256",
     sides taken with different depths are never compared. Without one, the row count decides."""
     if depth is None:
         depth = depth_for(df.count())
-    hashes = row_texts(df, mode, keys).select(*keys, D.digest(F.col("row"), algo).alias("h"))
-    level = tree_digests(hashes, keys, depth, algo)
+    level = tree_digests(row_hashes(df, mode, algo, keys), keys, depth, algo)
     if not keys:
         level = level.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("digest").alias("digest"))
     return _rendered(level, keys, F.col("digest"), f"{algo}/tree{depth}")
@@ -185,8 +199,9 @@ def fingerprint_exact(df: DataFrame, mode: str = "strict", algo: str = "md5",
 # --- many tables -------------------------------------------------------------------
 
 
-def fingerprint(df: DataFrame, method: str = "sum", mode: str = "strict", algo: str = "sha256",
+def fingerprint(df: DataFrame, method: str = "sum", mode: str = "strict", algo: str | None = None,
                 keys: Sequence[str] = (), depth: int | None = None) -> DataFrame:
+    algo = algo or DEFAULT_ALGO.get(method)
     if method == "sum":
         return fingerprint_sum(df, mode, algo, keys)
     if method == "tree":
@@ -195,19 +210,37 @@ def fingerprint(df: DataFrame, method: str = "sum", mode: str = "strict", algo:
 
 
 def fingerprint_tables(tables: Mapping[str, DataFrame], db: str = "db", method: str = "sum",
-                       mode: str = "strict", algo: str = "sha256", depth: int | None = None) -> DataFrame:
-    """One row per table, one Spark job for all: each table is its own scan and its own partial
-    aggregate, and only one row of each is unioned."""
-    parts = [
-        fingerprint(df, method, mode, algo, depth=depth).select(
-            F.lit(db).alias("db"), F.lit(name).alias("table"), "algo", "digest", "n", "fingerprint"
-        )
-        for name, df in sorted(tables.items())
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+                       mode: str = "strict", algo: str | None = None, depth: int | None = None) -> DataFrame:
+    """``db, table, algo, digest, n, fingerprint`` of every table, in one Spark job.
+
+    Each table is scanned and hashed on its own; only ``(table, octets, hash)`` meets in a union under
+    one aggregation, whose partial step runs in the scanning tasks, so a table holding most of the
+    rows costs nothing extra. A table without rows still gets its row."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; one of {METHODS}")
+    algo = algo or DEFAULT_ALGO[method]
+    spark = next(iter(tables.values())).sparkSession
+    keys = ["db", "table"]
+    listed = spark.createDataFrame([(db, name) for name in sorted(tables)], "db string, table string")
+    if method == "tree" and depth is None:
+        depth = depth_for(sum(df.count() for df in tables.values()))
+    take = row_lanes if method == "sum" else row_hashes
+    parts = [take(df, mode, algo).select(F.lit(name).alias("table"), "*") for name, df in sorted(tables.items())]
+    together = reduce(DataFrame.union, parts).select(F.lit(db).alias("db"), "*")
+    if method == "sum":
+        found = render_state(sum_state(together, keys, algo), keys, algo)
+        label = f"{algo}/sum"
+    else:
+        level = tree_digests(together, keys, depth, algo)
+        label = f"{algo}/tree{depth}"
+        found = _rendered(level, keys, F.col("digest"), label)
+    return listed.join(found, keys, "left").select(
+        *keys,
+        F.lit(label).alias("algo"),
+        F.coalesce("digest", F.lit("EMPTY")).alias("digest"),
+        F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
+        F.coalesce("fingerprint", F.lit(D.EMPTY_FINGERPRINT)).alias("fingerprint"),
+    )
 
 
 # --- contents ----------------------------------------------------------------------

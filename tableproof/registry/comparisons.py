@@ -30,9 +30,9 @@ def copied_tables(spark, sf_dir):
     return tables
 
 
-def matrix(spark, sf_dir, method="sum"):
-    expected = P.fingerprint_tables(source_tables(spark, sf_dir), "app", method, depth=2)
-    actual = P.fingerprint_tables(copied_tables(spark, sf_dir), "app", method, depth=2)
+def matrix(spark, sf_dir, method="sum", algo=None):
+    expected = P.fingerprint_tables(source_tables(spark, sf_dir), "app", method, algo=algo, depth=2)
+    actual = P.fingerprint_tables(copied_tables(spark, sf_dir), "app", method, algo=algo, depth=2)
     return expected, actual
 
 
@@ -69,6 +69,12 @@ def d1_tree(spark, sf_dir):
     return C.compare_tables(expected, actual).select("db", "table", "status", "expected_n", "actual_n", "row_delta")
 
 
+@register("d1_compare_tables_values", D1_SQL)
+def d1_values(spark, sf_dir):
+    expected, actual = matrix(spark, sf_dir, algo="xxhash64")
+    return C.compare_tables(expected, actual).select("db", "table", "status", "expected_n", "actual_n", "row_delta")
+
+
 @register(
     "d3_extra_tables",
     f"SELECT 'app' AS db, \"table\", (SELECT count(*) FROM ({TABLES_SQL}) e WHERE status <> 'EXTRA') AS expected_tables, "
