@@ -290,7 +290,7 @@ def check_archive(listing: DataFrame, flavour: str, segment_bytes: int | None =
         else:
             logs = logs.withColumn("_seg", F.lit(segment_bytes).cast("bigint"))
     else:
-        logs = logs.withColumn("_seg", F.lit(None).cast("bigint"))
+        logs = logs.withColumn("_seg", F.lit(0).cast("bigint"))  # a plain counter has no segment size
     placed = logs.select(
         "archive", "name", "bytes", "_seg", enc.alias("_enc"),
         N.file_series(F.col("name"), flavour).alias("series"),

@@ -53,7 +53,7 @@ def completeness_witness(df: DataFrame, mode: str = "strict") -> DataFrame:
 # --- sum -------------------------------------------------------------------------
 
 
-def _lane_names(algo: str) -> list[str]:
+def lane_names(algo: str) -> list[str]:
     return [f"lane_{i}" for i in range(D.LANES[algo])]
 
 
@@ -69,7 +69,7 @@ def row_lanes(df: DataFrame, mode: str = "strict", algo: str = "md5", keys: Sequ
 
     ``xxhash64`` hashes the column values themselves and makes no text, which is several times
     cheaper per row; it knows the strict form only and counts no octets."""
-    names = _lane_names(algo)
+    names = lane_names(algo)
     group = [quoted(k) for k in keys]
     if algo == "xxhash64":
         if mode != "strict":
@@ -83,12 +83,23 @@ def row_lanes(df: DataFrame, mode: str = "strict", algo: str = "md5", keys: Sequ
     return hashes.selectExpr(*group, "octets", *[f"{D.lane_sql('h', i)} AS {n}" for i, n in enumerate(names)])
 
 
+def with_lanes(df: DataFrame, algo: str = "md5") -> DataFrame:
+    """All columns of ``df`` plus the lanes of its rows, for observing a table while it is written."""
+    names = lane_names(algo)
+    if algo == "xxhash64":
+        nulls = [quoted(f.name) for f in df.schema.fields]
+        values = hashable_columns(df.schema)
+        return df.selectExpr("*", *[f"{D.column_lane_sql(values, nulls, i + 1)} AS {n}" for i, n in enumerate(names)])
+    hashed = df.select("*", D.digest(canonical_row(df), algo).alias("_row_hash"))
+    return hashed.selectExpr("*", *[f"{D.lane_sql('_row_hash', i)} AS {n}" for i, n in enumerate(names)])
+
+
 def sum_state(lanes: DataFrame, keys: Sequence[str] = (), algo: str = "md5") -> DataFrame:
     """Mergeable state of :func:`row_lanes` rows: count, octets and the lane sums.
 
     A lane is added up as three 20-bit limbs in plain bigints, which stay inside generated code and
     cannot overflow below 8e12 rows; the exact lane sum is put together once per group."""
-    names = _lane_names(algo)
+    names = lane_names(algo)
     group = [quoted(k) for k in keys]
     limbs = [F.expr(D.limb_sum_sql(n, j)).alias(f"{n}_{j}") for n in names for j in range(D.LIMBS)]
     summed = lanes.groupBy(*keys).agg(F.expr("count(*)").alias("n"), F.expr("coalesce(sum(octets), 0L)").alias("octets"), *limbs)
@@ -101,13 +112,13 @@ def merge_states(states: DataFrame, keys: Sequence[str] = (), algo: str = "md5")
     return states.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         F.sum("octets").alias("octets"),
-        *[F.sum(n).cast("decimal(38,0)").alias(n) for n in _lane_names(algo)],
+        *[F.sum(n).cast("decimal(38,0)").alias(n) for n in lane_names(algo)],
     )
 
 
 def render_state(state: DataFrame, keys: Sequence[str] = (), algo: str = "md5") -> DataFrame:
     """``keys, algo, digest, n, fingerprint`` from a state."""
-    lanes = F.concat_ws(":", *[F.col(n).cast("string") for n in _lane_names(algo)])
+    lanes = F.concat_ws(":", *[F.col(n).cast("string") for n in lane_names(algo)])
     return _rendered(state, keys, D.digest(lanes, "sha256" if algo == "sha256" else "md5"), f"{algo}/sum")
 
 

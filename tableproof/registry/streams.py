@@ -1 +1,82 @@
-"""Queries."""
+"""Streaming operators run over the tables as streams of files, until all is read."""
+
+from __future__ import annotations
+
+from uuid import uuid4
+
+from pyspark.sql import functions as F
+
+from tableproof import fixtures as X
+from tableproof.functions import names as N
+from tableproof.registry import register
+from tableproof.registry.catalogs import NEWEST
+from tableproof.registry.fingerprints import strict_sql, sum_sql
+from tableproof.session import ensure_checkpoint_dir
+from tableproof.sources.files import is_folder
+from tableproof.streaming import stream_arrival, stream_fingerprint, stream_staleness
+
+EVENT_COLS = ["CAST(event_id AS VARCHAR)", "CAST(user_id AS VARCHAR)", "event_type", "CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR)", "props"]
+
+
+def table_stream(spark, sf_dir, name):
+    """The files of one table as a stream."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(X.SCHEMAS[name])
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def drain(spark, stream, mode):
+    """Run a stream to its end into a table of the shared folder, batch by batch, and read it back."""
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid4().hex}"
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    query = (
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out")
+
+
+@register(
+    "s4_stream_fingerprint",
+    sum_sql(f"SELECT event_type AS kind, {strict_sql([c for c in EVENT_COLS if c != 'event_type'])} AS r FROM {{events}}", "kind"),
+)
+def s4(spark, sf_dir):
+    rows = table_stream(spark, sf_dir, "events").select(
+        F.col("event_type").alias("kind"), "event_id", "user_id", F.col("value").cast("decimal(18,2)").alias("value"), "props"
+    )
+    seen = drain(spark, stream_fingerprint(rows, keys=["kind"]), "update")
+    last = seen.groupBy("kind").agg(F.max_by(F.struct("algo", "digest", "n", "fingerprint"), "batch").alias("_l"))
+    return last.select("kind", "_l.*")
+
+
+@register("s3_stream_staleness", f"SELECT db, stamp, CAST({X.NOW} AS BIGINT) AS now, stamp < '{N.stamp_text(X.NOW - 45 * 86400)}' AS stale FROM ({NEWEST}) n")
+def s3(spark, sf_dir):
+    orders = table_stream(spark, sf_dir, "orders")
+    names = spark.sql(X.ARTEFACTS, orders=orders).select("name", F.lit(X.NOW).alias("now"))
+    seen = drain(spark, stream_staleness(names, 45), "update")
+    last = seen.groupBy("db").agg(F.max_by(F.struct("stamp", "now", "stale"), "batch").alias("_l"))
+    return last.select("db", "_l.*")
+
+
+# Every file is observed thrice: growing, then at its last size twice; some never reach the size.
+OBSERVED = (
+    "SELECT concat('seg-', CAST(o_orderkey AS STRING)) AS name, step AS observed_at, "
+    "CASE WHEN step = 1 THEN 1000 WHEN o_orderkey % 7 = 0 THEN 2000 ELSE 4096 END AS size FROM {orders} {steps}"
+)
+
+
+@register(
+    "s2_stream_arrival",
+    "SELECT concat('seg-', CAST(o_orderkey AS VARCHAR)) AS name, 'WHOLE' AS status, 4096::BIGINT AS size, 2::BIGINT AS observed_at FROM {orders} WHERE o_orderkey % 7 <> 0",
+)
+def s2(spark, sf_dir):
+    orders = table_stream(spark, sf_dir, "orders")
+    text = OBSERVED.replace("{steps}", "LATERAL VIEW explode(array(1L, 2L, 3L)) s AS step")
+    seen = spark.sql(text, orders=orders).select("name", F.col("size").cast("bigint").alias("size"), "observed_at")
+    return drain(spark, stream_arrival(seen, 4096, False, 3_600_000), "append").select("name", "status", "size", "observed_at")
