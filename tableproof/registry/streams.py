@@ -79,4 +79,4 @@ def s2(spark, sf_dir):
     orders = table_stream(spark, sf_dir, "orders")
     text = OBSERVED.replace("{steps}", "LATERAL VIEW explode(array(1L, 2L, 3L)) s AS step")
     seen = spark.sql(text, orders=orders).select("name", F.col("size").cast("bigint").alias("size"), "observed_at")
-    return drain(spark, stream_arrival(seen, 4096, False, 3_600_000), "append").select("name", "status", "size", "observed_at")
+    return drain(spark, stream_arrival(seen, 4096, False), "append").select("name", "status", "size", "observed_at")

@@ -12,12 +12,13 @@ OUTPUT = "name string, status string, size bigint, observed_at bigint"
 STATE = "size bigint, observed_at bigint, done boolean"
 
 
-def stream_arrival(observations: DataFrame, whole_bytes: int, encrypted: bool, timeout_ms: int) -> DataFrame:
+def stream_arrival(observations: DataFrame, whole_bytes: int, encrypted: bool, timeout_ms: int | None = None) -> DataFrame:
     """``name, status, size, observed_at`` once per name from observations ``name, size, observed_at``.
 
     A plain file is whole at exactly ``whole_bytes``; ciphertext when it is larger than that and two
-    consecutive observations agree. A name without progress for ``timeout_ms`` is TIMED_OUT. Use with
-    ``append`` output; the state is three values per name."""
+    consecutive observations agree. A name unobserved for ``timeout_ms`` is TIMED_OUT; leave it out for a
+    stream that is run to its end (``availableNow``), which a pending time-out would keep alive. Use
+    with ``append`` output; the state is three values per name."""
 
     def observe(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -37,8 +38,8 @@ def stream_arrival(observations: DataFrame, whole_bytes: int, encrypted: bool, t
                 done = True
                 yield pd.DataFrame([(key[0], "WHOLE", size, seen)], columns=["name", "status", "size", "observed_at"])
         state.update((size, seen, done))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
 
-    return observations.groupBy("name").applyInPandasWithState(
-        observe, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return observations.groupBy("name").applyInPandasWithState(observe, OUTPUT, STATE, "append", timeout)
