@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,32 +73,42 @@ def _arrow_fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    fields = [f.split(" ") for f in ddl.split(", ")]
+    columns = [pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)]
+    return pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
+
+
+_LISTED = "root string, rel string, is_dir boolean, bytes bigint, mtime bigint"
+
+
+def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
     for batch in batches:
-        for root, rel in zip(batch["root"], batch["rel"], strict=True):
-            system, base = _arrow_fs(root)
+        for row in batch.to_pylist():
+            system, base = _arrow_fs(row["root"])
+            rel = row["rel"]
             found = system.get_file_info(fs.FileSelector(f"{base}/{rel}" if rel else base))
-            names = [f"{rel}/{i.base_name}" if rel else i.base_name for i in found]
-            yield pd.DataFrame(
-                {
-                    "root": root,
-                    "rel": names,
-                    "is_dir": [i.type == fs.FileType.Directory for i in found],
-                    "bytes": [int(i.size or 0) for i in found],
-                    "mtime": [int(i.mtime.timestamp()) if i.mtime else None for i in found],
-                },
-                columns=["root", "rel", "is_dir", "bytes", "mtime"],
-            ).astype({"mtime": "Int64"})
-
-
-_LISTED = "root string, rel string, is_dir boolean, bytes bigint, mtime bigint"
+            yield _batch(
+                [
+                    (
+                        row["root"],
+                        f"{rel}/{i.base_name}" if rel else i.base_name,
+                        i.type == fs.FileType.Directory,
+                        int(i.size or 0),
+                        int(i.mtime.timestamp()) if i.mtime else None,
+                    )
+                    for i in found
+                ],
+                _LISTED,
+            )
 
 
 def list_level(directories: DataFrame) -> DataFrame:
     """One level below every directory ``root, rel``; each directory is listed where its task runs."""
-    return directories.select("root", "rel").mapInPandas(_list_level, _LISTED)
+    return directories.select("root", "rel").mapInArrow(_list_level, _LISTED)
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -122,44 +132,47 @@ def walk_files(spark: SparkSession, root: str) -> DataFrame:
         level = level.repartition("rel")
 
 
-def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_HASHED = "root string, rel string, bytes bigint, sha256 string"
+
+
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for root, rel in zip(batch["root"], batch["rel"], strict=True):
-            system, base = _arrow_fs(root)
+        for row in batch.to_pylist():
+            system, base = _arrow_fs(row["root"])
             digest, size = hashlib.sha256(), 0
-            with system.open_input_stream(f"{base}/{rel}") as stream:
+            with system.open_input_stream(f"{base}/{row['rel']}") as stream:
                 while piece := stream.read(CHUNK):
                     digest.update(piece)
                     size += len(piece)
-            out.append((root, rel, size, digest.hexdigest()))
-        yield pd.DataFrame(out, columns=["root", "rel", "bytes", "sha256"])
+            yield _batch([(row["root"], row["rel"], size, digest.hexdigest())], _HASHED)
 
 
 def hash_files(files: DataFrame) -> DataFrame:
     """``root, rel, bytes, sha256`` of ``root, rel`` rows, hashed by the task that reads them."""
     spread = files.select("root", "rel").repartition("rel")
-    return spread.mapInPandas(_hash_files, "root string, rel string, bytes bigint, sha256 string")
+    return spread.mapInArrow(_hash_files, _HASHED)
+
+
+_COPIED = "root string, rel string, target string"
 
 
-def _copy_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _copy_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for root, rel, target in zip(batch["root"], batch["rel"], batch["target"], strict=True):
-            source_fs, source = _arrow_fs(root)
-            target_fs, goal = _arrow_fs(target)
-            target_fs.create_dir(f"{goal}/{rel}".rsplit("/", 1)[0], recursive=True)
-            with source_fs.open_input_stream(f"{source}/{rel}") as src, target_fs.open_output_stream(f"{goal}/{rel}") as dst:
+        for row in batch.to_pylist():
+            source_fs, source = _arrow_fs(row["root"])
+            target_fs, goal = _arrow_fs(row["target"])
+            landing = f"{goal}/{row['rel']}"
+            target_fs.create_dir(landing.rsplit("/", 1)[0], recursive=True)
+            with source_fs.open_input_stream(f"{source}/{row['rel']}") as src, target_fs.open_output_stream(landing) as dst:
                 while piece := src.read(CHUNK):
                     dst.write(piece)
-            out.append((root, rel, target))
-        yield pd.DataFrame(out, columns=["root", "rel", "target"])
+            yield _batch([(row["root"], row["rel"], row["target"])], _COPIED)
 
 
 def copy_files(files: DataFrame, target: str) -> int:
     """Copy ``root, rel`` files below ``target``, each in its own task's hands; the number copied."""
     moved = files.select("root", "rel").repartition("rel").withColumn("target", F.lit(target))
-    return moved.mapInPandas(_copy_files, "root string, rel string, target string").count()
+    return moved.mapInArrow(_copy_files, _COPIED).count()
 
 
 def tree_fingerprint(hashed: DataFrame) -> tuple[str, int, int]:
