@@ -95,6 +95,17 @@ def e3(spark, sf_dir):
     return P.fingerprint_sum(X.view(spark, sf_dir, X.LINEITEM_PLAIN))
 
 
+@register("e3_fingerprint_sum_values", "SELECT 'xxhash64/sum' AS algo, count(*) AS n, true AS same_after_split FROM {lineitem}")
+def e3_values(spark, sf_dir):
+    """The value-hash digest has no counterpart in the oracle; what is compared is that a table and the
+    merged states of its two halves agree."""
+    rows = X.view(spark, sf_dir, X.LINEITEM_PLAIN)
+    parity = F.col("l_orderkey") % 2
+    halves = P.sum_state(P.row_lanes(rows.withColumn("_half", parity), algo="xxhash64", keys=["_half"]), ["_half"], "xxhash64")
+    merged = P.render_state(P.merge_states(halves, algo="xxhash64"), algo="xxhash64").select(F.col("fingerprint").alias("_merged"), "n")
+    return P.fingerprint_sum(rows, algo="xxhash64").join(merged, "n").select("algo", "n", (F.col("fingerprint") == F.col("_merged")).alias("same_after_split"))
+
+
 @register(
     "e3_fingerprint_sum_grouped",
     sum_sql(f"SELECT o_orderpriority, {strict_sql(ORDERS_COLS[:4])} AS r FROM ({X.ORDERS_COPY}) o", "o_orderpriority"),
