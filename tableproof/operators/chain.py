@@ -11,7 +11,8 @@ from tableproof import schema as S
 from tableproof.functions import names as N
 from tableproof.operators.ordered import as_of
 
-GAP_BLOCK = 65536  # indices per block; distinct indices bound every group
+GAP_BITS = 16
+GAP_BLOCK = 1 << GAP_BITS  # indices per block; distinct indices bound every group
 
 
 # --- archives --------------------------------------------------------------------
@@ -28,7 +29,7 @@ def missing_ranges(listing: DataFrame, keys: Sequence[str] = ("series",)) -> Dat
     Indices are cut into blocks of fixed width; a block's rows are looked at in one task, the
     block starts (one row per 65536 indices) bridge the borders."""
     present = listing.filter(F.col("idx").isNotNull()).select(*keys, "idx").distinct()
-    blocks = present.withColumn("_block", F.floor(F.col("idx") / GAP_BLOCK))
+    blocks = present.withColumn("_block", F.shiftright("idx", GAP_BITS))
     heads = blocks.groupBy(*keys, "_block").agg(F.min("idx").alias("_head"))
     following = heads.select(
         *keys, "_block", F.lead("_head").over(Window.partitionBy(*keys).orderBy("_block")).alias("_next_head")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tableproof.operators.ordered import BLOCK, carried_max, ordered_blocks
 
-PIECE = 4096  # ids per piece: at most PIECE/2 disjoint intervals share one
+PIECE_BITS = 12
+PIECE = 1 << PIECE_BITS  # ids per piece: at most PIECE/2 disjoint intervals share one
 
 
 def merge_intervals(spans: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def merge_intervals(spans: DataFrame) -> DataFrame:
 
 
 def _piece_of(n: Column) -> Column:
-    return F.floor(n / PIECE).cast("bigint")
+    return F.shiftright(n, PIECE_BITS)
 
 
 def pieces(merged: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableproof.functions import names as N
+from tableproof.session import settle
 
 
 def retention_flags(pairs: DataFrame, keep: int, keep_days: int, now: int) -> DataFrame:
@@ -31,6 +32,9 @@ def retention_flags(pairs: DataFrame, keep: int, keep_days: int, now: int) -> Da
         .groupBy("db")
         .agg(F.min("name").alias("_kept_from"))
     )
+    # settled, so that the join sees its true size: broadcast while it is small, and otherwise a plain
+    # shuffle of both sides, whose hot databases adaptive execution can split
+    kept_from = settle(kept_from)
     old = F.lit(True) if keep_days <= 0 else F.col("stamp") < N.stamp_text(now - keep_days * N.DAY)
     return (
         stamped.join(kept_from, "db")

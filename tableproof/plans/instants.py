@@ -366,18 +366,35 @@ def site_problems(listing: DataFrame, marks: DataFrame, bases: DataFrame, hashes
     return reduce(DataFrame.unionByName, parts)
 
 
+def _probe_bases(spark: SparkSession, site: str, newest: DataFrame, bases: DataFrame) -> list[tuple[str, str]]:
+    """``(artefact, sha256)`` of the bases that were looked at: for every newest mark the newest base
+    that reaches it, and the next one only when that one is not intact."""
+    own = bases.filter(N.name_stamp(F.col("name"), F.col("db")).isNotNull()).persist()
+    seen: dict[str, str] = {}
+    while True:
+        rotten = [a for a, sha in seen.items() if not sha]
+        picked = L.reachable_base(newest, own.filter(~F.col("artefact").isin(rotten)), FLAVOUR, ["artefact", "sha256"])
+        fresh = [r for r in picked.filter("base IS NOT NULL").select("base_artefact", "base_sha256").distinct().collect() if r["base_artefact"] not in seen]
+        if not fresh:
+            return [(a, sha) for a, sha in seen.items() if sha]
+        for row in fresh:
+            path, found = f"{site}/{row['base_artefact']}", ""
+            if files.exists(spark, path):
+                found, _, _ = files.tree_fingerprint(files.hash_files(files.walk_files(spark, path)))
+            seen[row["base_artefact"]] = found if found == row["base_sha256"] else ""
+
+
 def check_site(spark: SparkSession, site: str, now: int, max_age_days: int = 0) -> DataFrame:
     """Audit the instants of a site from its own files."""
     marks, bases = points_at(spark, site)
     listing = list_artefacts(spark, site, site).select("name")
-    hashes = hash_artefacts(spark, site, site).select(F.col("name").alias("artefact"), "sha256")
-    trees = [
-        (r["artefact"], files.tree_fingerprint(files.hash_files(files.walk_files(spark, f"{site}/{r['artefact']}")))[0])
-        for r in bases.select("artefact").distinct().toLocalIterator()
-        if files.exists(spark, f"{site}/{r['artefact']}")
-    ]
+    newest = L.newest_marks(marks).persist()
+    names = [r["name"] for r in newest.select("name").toLocalIterator()]  # one per database
+    nothing = spark.createDataFrame([], "mark string, name string, sha256 string")
+    inventory = reduce(DataFrame.unionByName, [read_inventory(spark, f"{site}/{n}") for n in names], nothing)
+    # only files some newest mark stands on are read
+    hashes = hash_artefacts(spark, site, site, inventory).select(F.col("name").alias("artefact"), "sha256")
+    trees = _probe_bases(spark, site, newest, bases)
     if trees:
         hashes = hashes.unionByName(spark.createDataFrame(trees, "artefact string, sha256 string"))
-    names = [r["name"] for r in marks.select("name").toLocalIterator()]
-    inventory = reduce(DataFrame.unionByName, [read_inventory(spark, f"{site}/{n}") for n in names]) if names else spark.createDataFrame([], "mark string, name string, sha256 string")
     return site_problems(listing, marks, bases, hashes, inventory, now, max_age_days)

@@ -45,17 +45,26 @@ def test_late_names_never_lower_the_newest(spark, tmp_path):
     assert [r["stale"] for r in spark.table("quiet").filter("db = 'app_prod'").collect()] == [True]
 
 
+def wait_for(condition, seconds=40):
+    end = time.time() + seconds
+    while time.time() < end and not condition():
+        time.sleep(0.3)
+    assert condition()
+
+
 def test_ciphertext_needs_two_equal_sizes(spark, tmp_path):
     ddl = "name string, size bigint, observed_at bigint"
     feed(spark, tmp_path, [("a", 120, 1), ("b", 90, 1), ("b", 90, 2)], ddl)
-    query = run(stream_arrival(spark.readStream.schema(ddl).json(str(tmp_path)), 100, True, 1500), "growing_files", "append")
-    query.processAllAvailable()
-    assert spark.table("growing_files").filter("status = 'WHOLE'").isEmpty()
-    feed(spark, tmp_path, [("a", 120, 2)], ddl)
-    end = time.time() + 40
-    while time.time() < end and spark.table("growing_files").count() < 2:
-        time.sleep(0.3)
-    query.stop()
+    stream = stream_arrival(spark.readStream.schema(ddl).json(str(tmp_path)), 100, True, 5000)
+    query = run(stream, "growing_files", "append")
+    try:
+        # a pending time-out keeps the query busy, so progress is watched instead of its end
+        wait_for(lambda: sum(p["numInputRows"] for p in query.recentProgress) >= 3)
+        assert spark.table("growing_files").filter("status = 'WHOLE'").isEmpty()
+        feed(spark, tmp_path, [("a", 120, 2)], ddl)
+        wait_for(lambda: spark.table("growing_files").count() >= 2)
+    finally:
+        query.stop()
     got = sorted((r["name"], r["status"]) for r in spark.table("growing_files").collect())
     assert got == [("a", "WHOLE"), ("b", "TIMED_OUT")]
 
