@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 MODES = ("strict", "pg", "mysql", "sqlite")
 
 _PLAIN = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
@@ -40,8 +39,8 @@ def _text(expr: str, dtype: T.DataType, names: count) -> str:
         return expr
     if isinstance(dtype, T.BinaryType):
         return f"hex({expr})"
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return f"date_format({expr}, '{TIMESTAMP_FORMAT}')"
+    if isinstance(dtype, T.TimestampType):
+        return f"cast(unix_micros({expr}) AS string)"  # the instant itself, whatever the session's zone
     if isinstance(dtype, T.ArrayType):
         x = f"x{next(names)}"
         member = f"concat({', '.join(_tagged(x, dtype.elementType, names))})"

@@ -16,13 +16,13 @@ ORDERS_COLS = ["CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_o
 LINEITEM_COLS = [
     f"CAST({c} AS VARCHAR)"
     for c in "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()
-] + ["l_returnflag", "l_linestatus", "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f')"]
+] + ["l_returnflag", "l_linestatus", "CAST(l_shipdate AS VARCHAR)"]
 CONV_COLS = ["CAST(conv_id AS VARCHAR)", "CAST(turn AS VARCHAR)", "role", "text"]
 
 
 def strict_sql(cols: list[str]) -> str:
-    """Casts and formatted timestamps end with ``;``, texts carry their length."""
-    plain = ("CAST(", "strftime(")
+    """Casts end with ``;``, texts carry their length."""
+    plain = "CAST("
     return "(" + " || ".join(
         f"coalesce({c}, 'N') || ';'" if c.startswith(plain) else f"coalesce('V' || strlen({c}) || ':' || {c}, 'N')" for c in cols
     ) + ")"

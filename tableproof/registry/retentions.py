@@ -56,7 +56,7 @@ def e18(spark, sf_dir):
 def stamped_points(dialect: str) -> str:
     """Recovery points under stamped names: the stamp is ``idx`` minutes before the clock's year end."""
     if dialect == "spark":
-        stamp = "date_format(timestamp_seconds(1767225600 + idx * 600), \"yyyyMMdd'T'HHmmss'Z'\")"
+        stamp = "date_format(timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, 1767225600 + idx * 600), \"yyyyMMdd'T'HHmmss'Z'\")"
     else:
         stamp = "strftime(make_timestamp((1767225600 + idx * 600) * 1000000), '%Y%m%dT%H%M%SZ')"
     return (

@@ -18,5 +18,7 @@ def stream_staleness(names: DataFrame, days: int) -> DataFrame:
         N.artefact_db(F.col("name")).alias("db"), N.artefact_stamp(F.col("name")).alias("stamp"), F.col("now").cast("bigint").alias("now")
     ).filter("stamp IS NOT NULL")
     newest = stamped.groupBy("db").agg(F.max("stamp").alias("stamp"), F.max("now").alias("now"))
-    cutoff = F.date_format(F.timestamp_seconds(F.col("now") - days * N.DAY), "yyyyMMdd'T'HHmmss'Z'")
+    # counted from a zoneless epoch, so that the session's zone does not shift the cutoff
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("now") - days * N.DAY).cast("decimal(18,6)"))
+    cutoff = F.date_format(F.expr("timestamp_ntz'1970-01-01 00:00:00'") + since, "yyyyMMdd'T'HHmmss'Z'")
     return newest.select("db", "stamp", "now", (F.col("stamp") < cutoff).alias("stale"))

@@ -66,3 +66,12 @@ def test_many_tables_equal_single_ones(spark, sf_dir):
         together = {r["table"]: r["fingerprint"] for r in P.fingerprint_tables(tables, method=method, depth=2).collect()}
         alone = {n: P.fingerprint(df, method, depth=2).first()["fingerprint"] for n, df in tables.items()}
         assert together == alone
+
+
+def test_the_session_zone_does_not_matter(spark):
+    ddl = "SELECT timestamp_micros(1772937000000000 + id * 1800000000) AS t, timestamp_ntz'2026-03-08 00:30:00' + make_dt_interval(0, id) AS n FROM range(6)"
+    prints = set()
+    for zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        prints |= {(P.fingerprint_sum(spark.sql(ddl)).first()["digest"], P.fingerprint_sum(spark.sql(ddl), algo="xxhash64").first()["digest"])}
+    assert len(prints) == 1
