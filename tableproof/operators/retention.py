@@ -24,6 +24,7 @@ def retention_flags(pairs: DataFrame, keep: int, keep_days: int, now: int) -> Da
     )
     if keep <= 0 and keep_days <= 0:
         return stamped.withColumn("victim", F.lit(False))
+    stamped = settle(stamped)  # read twice below; the listing behind it is computed once
     newest = Window.partitionBy("db").orderBy(F.col("name").desc())
     kept_from = (
         stamped.select("db", "name")

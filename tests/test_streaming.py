@@ -55,18 +55,24 @@ def wait_for(condition, seconds=40):
 def test_ciphertext_needs_two_equal_sizes(spark, tmp_path):
     ddl = "name string, size bigint, observed_at bigint"
     feed(spark, tmp_path, [("a", 120, 1), ("b", 90, 1), ("b", 90, 2)], ddl)
-    stream = stream_arrival(spark.readStream.schema(ddl).json(str(tmp_path)), 100, True, 5000)
+    stream = stream_arrival(spark.readStream.schema(ddl).json(str(tmp_path)), 100, True)
     query = run(stream, "growing_files", "append")
-    try:
-        # a pending time-out keeps the query busy, so progress is watched instead of its end
-        wait_for(lambda: sum(p["numInputRows"] for p in query.recentProgress) >= 3)
-        assert spark.table("growing_files").filter("status = 'WHOLE'").isEmpty()
-        feed(spark, tmp_path, [("a", 120, 2)], ddl)
-        wait_for(lambda: spark.table("growing_files").count() >= 2)
+    query.processAllAvailable()
+    assert spark.table("growing_files").isEmpty()
+    feed(spark, tmp_path, [("a", 120, 2)], ddl)
+    query.processAllAvailable(), query.stop()
+    assert [(r["name"], r["status"]) for r in spark.table("growing_files").collect()] == [("a", "WHOLE")]
+
+
+def test_a_file_that_never_gets_whole_times_out(spark, tmp_path):
+    ddl = "name string, size bigint, observed_at bigint"
+    feed(spark, tmp_path, [("b", 90, 1), ("b", 90, 2)], ddl)
+    query = run(stream_arrival(spark.readStream.schema(ddl).json(str(tmp_path)), 100, False, 1000), "stuck_files", "append")
+    try:  # a pending time-out keeps the query busy, so its output is watched instead of its end
+        wait_for(lambda: not spark.table("stuck_files").isEmpty())
     finally:
         query.stop()
-    got = sorted((r["name"], r["status"]) for r in spark.table("growing_files").collect())
-    assert got == [("a", "WHOLE"), ("b", "TIMED_OUT")]
+    assert [(r["name"], r["status"]) for r in spark.table("stuck_files").collect()] == [("b", "TIMED_OUT")]
 
 
 def test_manifests_are_catalogued_once(spark, tmp_path):
