@@ -7,11 +7,12 @@ import decimal
 import pytest
 
 import __spark_entry__ as entry
+from tableproof import registry
 from tableproof.fixtures import TABLES
 
 duckdb = pytest.importorskip("duckdb")
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = registry.QUERIES, registry.ORACLE
 
 
 @pytest.fixture(scope="module")
