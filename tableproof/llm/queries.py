@@ -8,14 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableproof.fixtures import load
+from tableproof.llm.common import held_out, settled
+from tableproof.llm.language_mixture import detect_languages, fit_languages
 from tableproof.llm.line_dedup import line_dedup
+from tableproof.llm.mixing import Domains, fit_domains, mix
 from tableproof.llm.quality_bands import quality_bands
+from tableproof.llm.run_length_index import repeats
+from tableproof.llm.sentencepiece_fst import decode, encode, round_trip
+from tableproof.llm.simhash import simhash_components
 from tableproof.llm.topk import top_k
+from tableproof.llm.toxicity import fit_toxicity, score_toxicity
 from tableproof.llm.warc import pages_to_warc
 
+#: The public tokenizer whose pieces are encoded with; a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+#: Shares of the mixture: a language is the domain of a good document, all poor ones together have a twentieth.
+MIXTURE = {"good en": 0.53, "good de": 0.14, "good fr": 0.14, "good es": 0.14,
+           "poor en": 0.02, "poor de": 0.01, "poor fr": 0.01, "poor es": 0.01}
+
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load(spark, sf_dir, "labels").filter("toxic IS NOT NULL").select("doc_id", "toxic")
+    learn = docs.filter(~held_out(F.col("doc_id"))).join(labels, "doc_id").select("text", "toxic")
+    model = fit_toxicity(settled(learn, "labelled"))
+    return score_toxicity(docs, model, threshold=0.3).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_to_warc(load(spark, sf_dir, "pages"), min_bytes=0).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -34,6 +57,30 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 FROM m"""
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats(load(spark, sf_dir, "documents"), length=400)
+    return found.select(
+        "doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["number"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.coalesce(F.sha2("kept", 256), F.col("text_sha256")).alias("kept_sha256"))
+
+
+def quality_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Domains:
+    """Domains of quality and language, learnt from the labelled documents among ``docs``."""
+    labels = load(spark, sf_dir, "labels").filter("quality IN (0, 1)").select("doc_id", "quality")
+    rows = docs.filter("lang IS NOT NULL").select("doc_id", "text", "lang").join(labels, "doc_id")
+    name = F.concat_ws(" ", F.when(F.col("quality") == 1, "good").otherwise("poor"), "lang")
+    return fit_domains(rows.select("text", name.alias("domain")), "domain")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = quality_domains(spark, docs, sf_dir)
+    return mix(docs, model, MIXTURE).select(
+        "doc_id", "n_tokens", F.array(*[F.lit(n) for n in model.names]).cast("array<string>").alias("domains"), "posterior",
+        "rate", "copies")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, min_chars=20, min_docs=3).select(
@@ -52,6 +99,24 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM m GROUP BY doc_id"""
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    back = decode(encode(docs, PIECES), PIECES)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", round_trip().alias("round_trip"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = fit_languages(docs, ~held_out(F.col("doc_id")))
+    found = detect_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.map_entries("languages").alias("languages"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(load(spark, sf_dir, "documents"), width=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -70,8 +135,14 @@ def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_arc_to_warc": op2_arc_to_warc,
+    "op3_repeats": op3_repeats,
+    "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_language": op7_language,
+    "op8_simhash": op8_simhash,
     "op9_top_k": op9_top_k,
     "op10_quality_bands": op10_quality_bands,
 }
