@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tableproof.fixtures import load
+from tableproof.llm.common import settled
 from tableproof.llm.line_dedup import line_dedup
+from tableproof.llm.mixing import mix, mixed_documents
 from tableproof.llm.quality_bands import quality_bands
+from tableproof.llm.queries import MIXTURE, PIECES, quality_domains
+from tableproof.llm.sentencepiece_fst import decode, encode, round_trip
+from tableproof.llm.simhash import near_duplicates, one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,21 +21,43 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one of them."""
-    return line_dedup(docs).select(*docs.columns)
+    """Lines of at least 20 characters that three or more documents share stay in one of them."""
+    left = line_dedup(docs, min_chars=20, min_docs=3)
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each group of copies and near copies (five-word shingles, similarity 0.8)."""
+    return one_of_each(docs, near_duplicates(docs, width=5, similarity=0.8)).select(*docs.columns)
 
-#: Compression bands and the stages after them are not SQL.
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the fitted rates say, domains being learnt from the labelled ones that are left."""
+    domains = quality_domains(spark, docs, sf_dir)
+    return mixed_documents(docs, mix(docs, domains, MIXTURE)).select(*docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every copy encoded and decoded: its ids, and whether they give the text back."""
+    back = decode(encode(docs.select("doc_id", "text", "lang", "source"), PIECES), PIECES)
+    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                       round_trip().alias("round_trip"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near),
+    ("mixing sources to target weights", mixture),
+    ("SentencePiece encoding and decoding", pieces),
+]
+
+#: Compression bands, fingerprints, fitted rates and encodings are not SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written to the shared folder and read again."""
-    from tableproof.fixtures import load
-    from tableproof.llm.common import settled
-
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -2,7 +2,8 @@
 
 Large stars hang every larger neighbour of a node on its smallest neighbour, small stars do so with the
 smaller ones; when nothing moves, every component is a star around its smallest node. Rows of a hub are
-never gathered: each step is a map-side combined minimum and an equi join that may be split."""
+never gathered: each step is a map-side combined minimum, written so that both sides of the join are dealt anew, and an equi
+join whose hot side adaptive execution splits."""
 
 from __future__ import annotations
 
@@ -16,10 +17,10 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One step over ``a, b`` with ``a > b``; the result has the same form."""
     if large:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = settled(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         hung = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        low = settled(edges.groupBy("a").agg(F.min("b").alias("m")), "low")
         met = edges.join(low, "a")
         hung = met.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             low.select("a", F.col("m").alias("b")))
@@ -43,7 +44,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = settled(now, "edges")
     seal = _seal(now)
     while seal[0]:
-        now = settled(_stars(_stars(now, large=True), large=False), "edges")
+        now = settled(_stars(settled(_stars(now, large=True), "edges"), large=False), "edges")
         after = _seal(now)
         if after == seal:
             break

@@ -171,8 +171,9 @@ def shared_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     seen = settled(texts.mapInArrow(work, "tid binary, h bigint, again boolean"), "anchors")
     place = F.xxhash64("tid")
-    often = seen.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("again").alias("z")).filter(
-        "x < y OR z").select("h")
+    # written, so that both sides of the join are dealt anew and a hot anchor can be split
+    often = settled(seen.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("again").alias("z")).filter(
+        "x < y OR z").select("h"), "often")
     return seen.join(often, "h").groupBy("tid").agg(F.collect_set("h").alias("hashes"))
 
 
@@ -243,8 +244,9 @@ def unit_marks(units: DataFrame, length: int, bucket_bytes: int, group_units: in
     root = units.select("*", F.col("key").alias("root_key"), F.col("uid").alias("root_uid"), F.lit(0).alias("shift"))
     links = None
     for width in (*FINER, None):
-        sizes = units.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("z"))
-        known = settled(units.join(sizes.filter("c > 1 OR z"), "key"), "units")
+        units = settled(units, "different")
+        sizes = settled(units.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("z")).filter("c > 1 OR z"), "sizes")
+        known = settled(units.join(sizes, "key"), "units")
         small = known.filter(F.col("c") <= group_units) if width else known
         total = small.agg(F.sum(F.length("unit"))).first()[0] or 0
         buckets = max(1, -(-total // bucket_bytes))

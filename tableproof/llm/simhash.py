@@ -27,6 +27,8 @@ FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEED = 42
 BLOCK_ROWS = 4096
 SMALL = 48
+#: Words of 64 bits in the second signature of near_duplicates.
+SIGNATURE = 4
 EDGES = "a bigint, b bigint"
 
 
@@ -46,13 +48,29 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The signed 64-bit fingerprint: a bit is set when it is set in over half of the shingles' hashes."""
-    h = shingle_hashes(text, width)
+    return int(votes_of(shingle_hashes(text, width)).view(np.int64))
+
+
+def votes_of(h: np.ndarray) -> np.ndarray:
+    """The 64-bit majority of some hashes, as a uint64."""
     votes = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 16):
         part = h[i:i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    value = sum(1 << b for b in np.flatnonzero(2 * votes > len(h)).tolist())
-    return value - (1 << 64) if value >> 63 else value
+    return np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0].astype(np.uint64)
+
+
+def set_signature(text: str | None, width: int) -> tuple[int, list[int]]:
+    """The fingerprint of the set of words, and 256 bits over the set of ``width``-word shingles, all signed."""
+    words = np.unique(shingle_hashes(text, 1))
+    shingles = np.unique(shingle_hashes(text, width))
+    parts = []
+    for k in range(SIGNATURE):
+        x = shingles ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        parts.append(int(votes_of(x ^ (x >> np.uint64(31))).view(np.int64)))
+    return int(votes_of(words).view(np.int64)), parts
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -141,33 +159,47 @@ def block_masks(radius: int) -> list[int]:
     return [x | y for x, y in combinations(blocks, 2)]
 
 
-def link_blocks(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows of two blocks (the second is null when a block meets itself) to forests of their links."""
+def link_blocks(batches: Iterator[pa.RecordBatch], radius: int, apart: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of two blocks (the second is null when a block meets itself) to forests of their links. With ``apart``, a
+    link's signatures must differ in no more than so many bits."""
 
-    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
         n = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
         flat = column.flatten()
+        sig = None
+        if apart is not None:
+            sig = flat.field("sig").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, SIGNATURE)
         return (n, flat.field("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64),
-                flat.field("rep").to_numpy(zero_copy_only=False).astype(np.int64))
+                flat.field("rep").to_numpy(zero_copy_only=False).astype(np.int64), sig)
+
+    def alike(x: np.ndarray | None, y: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if x is None or not len(a):
+            return a, b
+        good = np.bitwise_count(x[a] ^ y[b]).sum(axis=1) <= apart
+        return a[good], b[good]
 
     def batch_of(nodes: np.ndarray, forest: Forest) -> pa.RecordBatch:
         child, root = forest.edges()
         return pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root])], ["a", "b"])
 
     for batch in batches:
-        n, fp, rep = lists(batch.column(0))
-        m, fp2, rep2 = lists(batch.column(1))
+        n, fp, rep, sig = lists(batch.column(0))
+        m, fp2, rep2, sig2 = lists(batch.column(1))
         begin, begin2 = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(m)])
         run = np.repeat(np.arange(len(n)), n)
         short = (n <= SMALL) & (m == 0)
         pick = np.flatnonzero(short[run]) if len(run) else np.empty(0, np.int64)
         if len(pick):
             forest = Forest(len(pick))
+            near = None if sig is None else sig[pick]
             for a, b in near_in_runs(fp[pick], run[pick], radius):
-                forest.link(a, b)
+                forest.link(*alike(near, near, a, b))
             yield batch_of(rep[pick], forest)
         for i in np.flatnonzero(~short):
             left, nodes = fp[begin[i]:begin[i + 1]], rep[begin[i]:begin[i + 1]]
+            x = y = None if sig is None else sig[begin[i]:begin[i + 1]]
+            if m[i] and sig2 is not None:
+                y = sig2[begin2[i]:begin2[i + 1]]
             if m[i]:
                 right, nodes = fp2[begin2[i]:begin2[i + 1]], np.concatenate([nodes, rep2[begin2[i]:begin2[i + 1]]])
                 shift = len(left)
@@ -175,26 +207,30 @@ def link_blocks(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
                 right, shift = left, 0
             forest = Forest(len(nodes))
             for a, b in near_pairs(left, right, radius):
+                a, b = alike(x, y, a, b)
                 forest.link(a, b + shift)
             yield batch_of(nodes, forest)
 
 
-def near_links(reps: DataFrame, radius: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``a, b``: links that connect all different fingerprints ``fp, rep`` within the radius.
+def near_links(reps: DataFrame, radius: int = 3, block_rows: int = BLOCK_ROWS, apart: int | None = None) -> DataFrame:
+    """``a, b``: links that connect all different fingerprints ``fp, rep`` within the radius (and, with ``apart``,
+    whose signatures ``sig`` are that near).
 
     Keys with one fingerprint fall out by count. A key with more than ``block_rows`` is cut into blocks
     by hash, and its blocks meet in pairs, so no row list outgrows a block and nothing is left out."""
-    keyed = reps.select("fp", "rep", F.posexplode(F.array(*[
+    held = ["fp", "rep"] + ["sig"] * (apart is not None)
+    keyed = reps.select(*held, F.posexplode(F.array(*[
         F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in block_masks(radius)])).alias("mask", "key"))
-    sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, so that both sides of the join are dealt anew and a hot key can be split
+    sizes = settled(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
     cut = keyed.join(sizes, ["mask", "key"]).withColumn("cuts", F.ceil(F.col("n") / block_rows).cast("int")).withColumn(
-        "cut", F.pmod(F.xxhash64("fp"), F.col("cuts")))
-    blocks = settled(cut.groupBy("mask", "key", "cuts", "cut").agg(F.collect_list(F.struct("fp", "rep")).alias("block")), "blocks")
+        "cut", F.pmod(F.xxhash64("rep"), F.col("cuts")))
+    blocks = settled(cut.groupBy("mask", "key", "cuts", "cut").agg(F.collect_list(F.struct(*held)).alias("block")), "blocks")
     alone = blocks.select("block", F.lit(None).cast(blocks.schema["block"].dataType).alias("other"))
     many = blocks.filter("cuts > 1")
     pairs = many.join(many.select("mask", "key", F.col("cut").alias("cut2"), F.col("block").alias("other")),
                       ["mask", "key"]).filter("cut < cut2").select("block", "other")
-    return alone.union(pairs).mapInArrow(lambda batches: link_blocks(batches, radius), EDGES)
+    return alone.union(pairs).mapInArrow(lambda batches: link_blocks(batches, radius, apart), EDGES)
 
 
 def simhash(docs: DataFrame, text: str = "text", width: int = 3, name: str = "fingerprint") -> DataFrame:
@@ -221,3 +257,45 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     classes = reps.join(found, reps["rep"] == found["node"], "left").select(
         F.col("fp").alias("fingerprint"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(classes, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+
+
+def similarity_bits(similarity: float) -> int:
+    """Bits of a signature that sets of this Jaccard similarity differ in, by the angle of their indicator vectors."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(round(SIGNATURE * BITS * float(np.arccos(min(1.0, cosine))) / np.pi))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8,
+                    radius: int = 5) -> DataFrame:
+    """``doc_id, tid, component_id``: groups of texts whose sets of ``width``-word shingles are alike.
+
+    Sixty-four bits are too few to tell a similarity of 0.8 from chance among many documents. Candidates
+    are texts whose word-set fingerprints lie within ``radius`` (a changed word changes ``width`` shingles but one
+    word), links those whose 256-bit shingle signatures differ in no more bits than the similarity allows.
+    Equal texts are one node, and so are texts with equal signatures. ``tid`` hashes the text. Null and empty texts are alike; a
+    null id is no representative; an empty table gives no rows."""
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn(
+        "tid", F.xxhash64("text"))
+
+    def per_text(lists: Iterator[list[str | None]]) -> Iterator[list]:
+        for texts in lists:
+            got = [set_signature(t, width) for t in texts]
+            yield [[g[0] for g in got], [g[1] for g in got]]
+
+    prints = add_columns(base, "text", [("fp", T.LongType()), ("sig", T.ArrayType(T.LongType(), False))], per_text)
+    prints = settled(prints.select("doc_id", "tid", "fp", "sig"), "signatures")
+    reps = settled(prints.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL"), "reps")
+    found = components(near_links(reps, radius, apart=similarity_bits(similarity)))
+    classes = settled(reps.join(found, reps["rep"] == found["node"], "left").select(
+        "fp", "sig", F.coalesce("component", "rep").alias("component_id")), "classes")
+    return prints.join(classes, ["fp", "sig"], "left").select("doc_id", "tid", "component_id")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` without all but one document of each group: the one with the smallest id, of repeated rows one.
+    A document without an id stays where no other of its group has one."""
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "tid").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("id"),
+                       F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("t"))
+    met = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tid")), "left_semi")
+    return met.dropDuplicates(["id", "t"]).select("row.*")
