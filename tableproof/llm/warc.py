@@ -13,6 +13,7 @@ manifest, settled before it is used, says which files count."""
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import uuid
@@ -64,7 +65,7 @@ def safe_uri(url: str | None, page_id: int | None) -> str:
 
 
 def arc_manifest(pages: DataFrame, date: str = "20200101000000", roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Pages (``page_id, url, html``) written as ARC archives; versions alternate by task.
+    """Pages (``page_id, url, html``) written as gzipped ARC archives; versions alternate by task.
 
     Null html is an empty payload, a null url a name made of the id. One row a file: its manifest."""
     root = work_dir(pages.sparkSession, "arc")
@@ -75,16 +76,16 @@ def arc_manifest(pages: DataFrame, date: str = "20200101000000", roll_bytes: int
         version = 1 + TaskContext.get().partitionId() % 2
         system, base = store(root)
         system.create_dir(base, recursive=True)
-        out, name, at, n = None, "", 0, 0
+        out, name, at, n, size = None, "", 0, 0, 0
         for batch in batches:
             for i in range(batch.num_rows):
                 page_id, url, html = (batch.column(c)[i].as_py() for c in range(3))
                 if out is None:
-                    name, at, n = f"{uuid.uuid4().hex}.arc", 0, 0
+                    name, at, n, size = f"{uuid.uuid4().hex}.arc.gz", 0, 0, 0
                     out = system.open_output_stream(f"{base}/{name}")
                     block = f"{version} 0 tableproof\n{ARC_FIELDS[version]}\n".encode()
                     first = arc_head(version, f"filedesc://{name}", "0.0.0.0", date, "text/plain", len(block))
-                    out.write(first + block + b"\n")
+                    size += out.write(member(first + block + b"\n"))
                     at = len(first) + len(block) + 1
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 mark = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
@@ -92,15 +93,15 @@ def arc_manifest(pages: DataFrame, date: str = "20200101000000", roll_bytes: int
                         f"{mark}\r\n").encode()
                 line = arc_head(version, safe_uri(url, page_id), "0.0.0.0", date, "text/html", len(head) + len(payload),
                                 at=at, name=name)
-                out.write(line + head + payload + b"\n")
+                size += out.write(member(line + head + payload + b"\n"))
                 at, n = at + len(line) + len(head) + len(payload) + 1, n + 1
                 if at >= roll_bytes:
                     out.close()
-                    yield rows_batch([(f"{root}/{name}", version, n, at)], MANIFEST)
+                    yield rows_batch([(f"{root}/{name}", version, n, size)], MANIFEST)
                     out = None
         if out is not None:
             out.close()
-            yield rows_batch([(f"{root}/{name}", version, n, at)], MANIFEST)
+            yield rows_batch([(f"{root}/{name}", version, n, size)], MANIFEST)
 
     return settled(pages.select("page_id", "url", "html").mapInArrow(work, MANIFEST), "arc-manifest")
 
@@ -147,6 +148,12 @@ def split_http(body: bytes) -> tuple[bytes, bytes, int | None]:
     return head + gap, payload, None if page is None else int(page)
 
 
+def unpacked(system, name: str):
+    """An archive's bytes as a stream; records of ``.gz`` archives are gzip members of their own."""
+    raw = io.BufferedReader(system.open_input_stream(name), PIECE)
+    return gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw
+
+
 def by_file(manifest: DataFrame) -> DataFrame:
     """The manifest dealt out a file a task."""
     return manifest.repartitionByRange(max(1, manifest.count()), "file")
@@ -160,7 +167,7 @@ def parse_arc(manifest: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 system, name = store(path)
                 rows = []
-                with io.BufferedReader(system.open_input_stream(name), PIECE) as raw:
+                with unpacked(system, name) as raw:
                     for at, _, uri, ip, date, mime, status, body in arc_records(raw):
                         _, payload, page = split_http(body)
                         rows.append((path, at, uri, ip, iso_date(date), mime, status, page, len(payload), sha1_base32(payload)))
@@ -237,7 +244,7 @@ def convert_arc(manifest: DataFrame, min_bytes: int = 0) -> DataFrame:
                 target, base = store(root)
                 target.create_dir(base, recursive=True)
                 name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                with io.BufferedReader(source.open_input_stream(source_name), PIECE) as raw, target.open_output_stream(f"{base}/{name}") as out:
+                with unpacked(source, source_name) as raw, target.open_output_stream(f"{base}/{name}") as out:
                     info = f"format: WARC File Format 1.1\r\nisPartOf: {path.rsplit('/', 1)[-1]}\r\n".encode()
                     first = (f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(path, -1)}\r\n"
                              f"WARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\n"
