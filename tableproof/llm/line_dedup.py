@@ -37,10 +37,11 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
         .select("d", "t", "p", F.unhex(F.md5("key")).alias("h"))
     )
     lines = settled(lines, "lines")
-    common = (
+    # written, so that both sides of the join are dealt anew and a hot line can be split
+    common = settled(
         lines.select("h", "d").distinct().groupBy("h")
         .agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("last"))
-        .filter(F.col("n") >= min_docs).select("h", "last")
+        .filter(F.col("n") >= min_docs).select("h", "last"), "common-lines",
     )
     drops = (
         lines.join(common, "h").filter(~F.col("d").eqNullSafe(F.col("last")))
