@@ -14,7 +14,6 @@ from tableproof import registry  # noqa: E402
 from tableproof.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "e1_fingerprint_exact",
     "e2_fingerprint_tree",
     "e3_fingerprint_sum",
     "e3_fingerprint_sum_values",

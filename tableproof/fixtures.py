@@ -38,7 +38,7 @@ ANCHOR = (3, 4)
 MARK = (8, 2504)
 
 ORDERS_PLAIN = """
-SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, o_orderpriority
+SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, o_orderdate, o_orderpriority
 FROM {orders}"""
 
 LINEITEM_PLAIN = """
@@ -51,10 +51,10 @@ ORDERS_COPY = """
 SELECT o_orderkey, o_custkey,
        CASE WHEN o_orderkey % 1000 = 17 THEN CAST(NULL AS STRING) ELSE o_orderstatus END AS o_orderstatus,
        CAST(CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 1000 = 11 THEN 0.01 ELSE 0.00 END AS DECIMAL(18,2)) AS o_totalprice,
-       o_orderpriority
+       o_orderdate, o_orderpriority
 FROM {orders} WHERE o_orderkey % 1000 <> 7
 UNION ALL
-SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)), o_orderpriority
+SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)), o_orderdate, o_orderpriority
 FROM {orders} WHERE o_orderkey % 1000 = 13"""
 
 PAGES_COPY = """

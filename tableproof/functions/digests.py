@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ USABLE_RE = r"^(EMPTY:0|[0-9a-f]{8}.*:[0-9].*)$"
 
 LANE_DIGITS = 15  # hex digits
 LANE_BITS = 60
-LIMB_BITS = 20  # summed as bigint: safe for more than 8e12 rows
-LIMBS = 3
+LIMB_BITS = 12  # summed as bigint: safe for more than 2e15 rows
+LIMBS = 5
 LANES = {"md5": 2, "sha256": 4, "xxhash64": 2}
 
 
@@ -37,6 +39,11 @@ def lane_sql(hex_digest: str, i: int) -> str:
     return f"cast(conv(substring({hex_digest}, {1 + LANE_DIGITS * i}, {LANE_DIGITS}), 16, 10) AS bigint)"
 
 
+def type_seed(kinds: str, lane: int) -> int:
+    """A number for the column types and the lane, to begin a value hash with."""
+    return int.from_bytes(hashlib.sha256(f"{lane}:{kinds}".encode()).digest()[:8], "big", signed=True)
+
+
 def column_lane_sql(columns: list[str], nulls: list[str], seed: int) -> str:
     """A 60-bit lane straight from column values, without a text: chained xxhash64. The chain skips
     nulls, so their places are hashed as bit masks of up to 60 columns each."""
@@ -44,7 +51,7 @@ def column_lane_sql(columns: list[str], nulls: list[str], seed: int) -> str:
     for start in range(0, len(nulls), LANE_BITS):
         bits = [f"if({c} IS NULL, {1 << i}L, 0L)" for i, c in enumerate(nulls[start:start + LANE_BITS])]
         masks.append(" | ".join(bits))
-    return f"xxhash64({', '.join([str(seed), *masks, *columns])}) & {(1 << LANE_BITS) - 1}L"
+    return f"xxhash64({', '.join([f"cast('{seed}' AS bigint)", *masks, *columns])}) & {(1 << LANE_BITS) - 1}L"
 
 
 def limb_sum_sql(lane: str, j: int) -> str:
@@ -55,7 +62,7 @@ def limb_sum_sql(lane: str, j: int) -> str:
 def lane_total_sql(limb_sums: list[str]) -> str:
     """Recompose the exact lane sum from its limb sums; 0 when there were no rows."""
     terms = [
-        f"cast({part} AS decimal(20,0)) * cast({1 << (LIMB_BITS * j)}L AS decimal(14,0))"
+        f"cast({part} AS decimal(20,0)) * cast({1 << (LIMB_BITS * j)}L AS decimal(16,0))"
         for j, part in enumerate(limb_sums)
     ]
     return f"coalesce(cast({' + '.join(terms)} AS decimal(38,0)), cast(0 AS decimal(38,0)))"

@@ -85,19 +85,37 @@ def audit_site(listing: DataFrame, manifests: DataFrame) -> DataFrame:
 
     ``listing``: ``site, name, sha256`` with the hash taken where the bytes are (null for files
     nobody hashed). ``manifests``: ``site, name, artefact, sha256``."""
-    kind = N.classify_file(F.col("name"), "site")
-    died = listing.filter(kind == "part").select("site", "name", F.lit("PUSH_DIED").alias("status"))
-    held = listing.groupBy("site", F.col("name").alias("artefact")).agg(F.max("sha256").alias("_sha"), F.lit(True).alias("_held"))
-    vouched = manifests.join(held, ["site", "artefact"], "left").select(
-        "site",
-        "name",
-        F.when(F.col("_held").isNull(), "ARTEFACT_MISSING")
-        .when(~F.col("sha256").eqNullSafe(F.col("_sha")), "ROT")
-        .otherwise("OK")
-        .alias("status"),
-    )
-    orphans = uncovered_artefacts(listing, manifests).select("site", "name", F.lit("NO_MANIFEST").alias("status"))
-    return vouched.unionByName(died).unionByName(orphans)
+    # files and promises meet once, by the manifest name a file should have; a promise under another name
+    # than its own is told to its own name's group by a row of its own
+    name = F.col("name")
+    kind = N.classify_file(name, "site")
+    files = listing.select("site", N.manifest_for(name).alias("_key"),
+                           F.struct("name", F.col("sha256").alias("sha"), kind.alias("kind")).alias("_file"))
+    home = N.manifest_for(F.col("artefact"))
+    promises = manifests.select(
+        "site", name, F.struct("name", "artefact", F.col("sha256").alias("sha")).alias("_promise"),
+        F.explode(F.array_distinct(F.array(F.coalesce(home, name), name))).alias("_key"), F.coalesce(home, name).alias("_home"))
+    promises = promises.select("site", "_key", F.when(F.col("_key") == F.col("_home"), F.col("_promise")).alias("_promise"),
+                               (F.col("_key") == name).alias("_named"))
+    met = files.unionByName(promises, allowMissingColumns=True).groupBy("site", "_key").agg(
+        F.collect_list("_file").alias("_files"), F.collect_list("_promise").alias("_promises"),
+        F.coalesce(F.max("_named"), F.lit(False)).alias("_named"))
+
+    def finding(what, status):
+        return F.struct(what.alias("name"), status.alias("status"))
+
+    def judged(promise):
+        same = F.filter("_files", lambda f: f["name"] == promise["artefact"])
+        sha = F.array_max(F.transform(same, lambda f: f["sha"]))
+        return finding(promise["name"], F.when(F.size(same) == 0, "ARTEFACT_MISSING").when(~promise["sha"].eqNullSafe(sha), "ROT").otherwise("OK"))
+
+    orphans = F.array_distinct(F.transform(
+        F.filter("_files", lambda f: (f["kind"] == "artefact") & ~F.col("_named")), lambda f: f["name"]))
+    found = F.concat(
+        F.transform("_promises", judged),
+        F.transform(F.filter("_files", lambda f: f["kind"] == "part"), lambda f: finding(f["name"], F.lit("PUSH_DIED"))),
+        F.transform(orphans, lambda n: finding(n, F.lit("NO_MANIFEST"))))
+    return met.select("site", F.explode(found).alias("_f")).select("site", "_f.name", "_f.status")
 
 
 def audit_summary(audit: DataFrame) -> DataFrame:

@@ -51,10 +51,15 @@ def wrong_size(listing: DataFrame, keys: Sequence[str] = ("archive",), expected:
     return sized.filter(F.col("bytes") != F.col("expected_bytes"))
 
 
-def archive_form(listing: DataFrame, keys: Sequence[str] = ("archive",)) -> DataFrame:
-    """plain, encrypted, or MIXED, which is refused."""
-    enc = N.is_encrypted(F.col("name"))
-    folded = listing.groupBy(*keys).agg(F.count_if(enc).alias("encrypted"), F.count_if(~enc).alias("plain"))
+LOG_KIND = {"wal": "segment", "binlog": "log"}
+
+
+def archive_form(listing: DataFrame, flavour: str, keys: Sequence[str] = ("archive",)) -> DataFrame:
+    """plain, encrypted, or MIXED, which is refused. Names of log files decide; strays have no say."""
+    name, kind = F.col("name"), LOG_KIND[flavour]
+    enc = N.is_encrypted(name) & (N.classify_file(name, flavour, True) == kind)
+    plain = N.classify_file(name, flavour) == kind
+    folded = listing.groupBy(*keys).agg(F.count_if(enc).alias("encrypted"), F.count_if(plain).alias("plain"))
     form = F.when((F.col("encrypted") > 0) & (F.col("plain") > 0), "MIXED").when(F.col("encrypted") > 0, "encrypted").otherwise("plain")
     return folded.withColumn("form", form)
 
@@ -265,16 +270,18 @@ def check_archive(listing: DataFrame, flavour: str, segment_bytes: int | None =
 
     The form (plain, encrypted) is read per archive; a mixed one is refused. Series are checked one
     by one for WAL; for binlogs a second series is a refusal. An archive without a log is a failure."""
-    form = archive_form(listing).select("archive", "form")
+    form = archive_form(listing, flavour).select("archive", "form")
     formed = listing.join(form, "archive")
     enc = F.col("form") == "encrypted"
-    log_kind = "segment" if flavour == "wal" else "log"
+    log_kind = LOG_KIND[flavour]
     classed = formed.withColumn("kind", N.classify_file(F.col("name"), flavour, enc))
     mixed = form.filter("form = 'MIXED'").select(
         "archive", F.col("archive").alias("subject"), F.lit("MIXED_FORM").alias("problem"), F.lit("refused").alias("detail")
     )
     sound = classed.filter("form <> 'MIXED'")
-    strays = sound.filter("kind = 'stray'").select(
+    in_either = (N.classify_file(F.col("name"), flavour) == "stray") & (
+        ~N.is_encrypted(F.col("name")) | (N.classify_file(F.col("name"), flavour, True) == "stray"))
+    strays = classed.filter(F.when(F.col("form") == "MIXED", in_either).otherwise(F.col("kind") == "stray")).select(
         "archive", F.col("name").alias("subject"), F.lit("STRAY").alias("problem"), F.lit("not a log file").alias("detail")
     )
     counted = sound.groupBy("archive").agg(F.count_if(F.col("kind") == log_kind).alias("_logs"))

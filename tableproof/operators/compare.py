@@ -10,17 +10,22 @@ from tableproof.operators.objects import digest_count
 
 
 def compare_tables(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Full outer on ``(db, table)`` of two ``db, table, fingerprint`` relations.
+    """Full outer on ``(db, table)`` of two ``db, table, fingerprint`` relations, with ``algo`` where it is known.
 
-    UNUSABLE outranks every other answer: an unusable fingerprint is never compared."""
-    e = expected.select("db", "table", F.col("fingerprint").alias("expected"), F.lit(True).alias("_in_e"))
-    a = actual.select("db", "table", F.col("fingerprint").alias("actual"), F.lit(True).alias("_in_a"))
+    UNUSABLE outranks every other answer: an unusable fingerprint is never compared, nor are two that
+    were taken by different methods (FOREIGN_METHOD)."""
+    def side(df: DataFrame, name: str, mark: str) -> DataFrame:
+        label = F.col("algo") if "algo" in df.columns else F.lit(None).cast("string")
+        return df.select("db", "table", F.col("fingerprint").alias(name), F.lit(True).alias(mark), label.alias(f"{mark}_algo"))
+
+    e, a = side(expected, "expected", "_in_e"), side(actual, "actual", "_in_a")
     both = e.join(a, ["db", "table"], "full_outer")
     status = (
         F.when(F.col("_in_e").isNotNull() & ~D.usable_fingerprint(F.col("expected")), "UNUSABLE")
         .when(F.col("_in_a").isNotNull() & ~D.usable_fingerprint(F.col("actual")), "UNUSABLE")
         .when(F.col("_in_a").isNull(), "ABSENT")
         .when(F.col("_in_e").isNull(), "EXTRA")
+        .when(F.col("_in_e_algo") != F.col("_in_a_algo"), "FOREIGN_METHOD")
         .when(F.col("expected") == F.col("actual"), "OK")
         .otherwise("DIFFERS")
     )

@@ -9,8 +9,8 @@ Three methods with one contract (every column of every row, multiplicity counts,
            leaves cut by hash prefix, leaf digests are folded upwards. Equal rows are counted before
            the shuffle, so a row repeated a billion times is one entry. Two shuffles of 40 bytes per
            distinct row; leaves are uniform because they are cut from a hash.
-``joined`` the digest of all sorted row texts in one string. Only for tables whose text is proven
-           small by a measuring pass; beyond that :func:`fingerprint_exact` answers with ``tree``.
+The method, its algorithm and the leaf prefix are in the ``algo`` label; fingerprints of unequal labels are
+never compared. Nothing about a method follows the size of the data.
 """
 
 from __future__ import annotations
@@ -20,17 +20,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableproof.functions import digests as D
-from tableproof.functions.canonical import canonical_row, hashable_columns, quoted, row_separator
+from tableproof.functions.canonical import canonical_row, hashable_columns, quoted
 
 METHODS = ("sum", "tree")
-JOINED_LIMIT_BYTES = 64 * 1024 * 1024
-HASHES_PER_LEAF = 250_000
+#: Hex digits of the leaf prefix: 16 million leaves, of which only those exist that have a hash.
+LEAF_DIGITS = 6
 FOLD_DIGITS = 3  # at most 4096 children per inner node
 
 
-DEFAULT_ALGO = {"sum": "md5", "tree": "sha256"}
+DEFAULT_ALGO = {"sum": "xxhash64", "tree": "sha256"}
 
 
 def row_texts(df: DataFrame, mode: str = "strict", keys: Sequence[str] = ()) -> DataFrame:
@@ -75,21 +76,26 @@ def row_lanes(df: DataFrame, mode: str = "strict", algo: str = "md5", keys: Sequ
         if mode != "strict":
             raise ValueError("xxhash64 lanes are taken from values, not from a text mode")
         body = df.drop(*keys).schema if keys else df.schema
-        values = hashable_columns(body)
-        nulls = [quoted(f.name) for f in body.fields]
-        lanes = [f"{D.column_lane_sql(values, nulls, i + 1)} AS {n}" for i, n in enumerate(names)]
+        lanes = value_lanes(body, names)
         return df.selectExpr(*group, "0L AS octets", *lanes)
     hashes = row_hashes(df, mode, algo, keys)
     return hashes.selectExpr(*group, "octets", *[f"{D.lane_sql('h', i)} AS {n}" for i, n in enumerate(names)])
 
 
+def value_lanes(schema: T.StructType, names: Sequence[str]) -> list[str]:
+    """Lanes of the column values. The columns' types seed the hash, so values whose bits agree under two types
+    (a date and a number, 1.23 and 0.123 as decimals) do not."""
+    values = hashable_columns(schema)
+    nulls = [quoted(f.name) for f in schema.fields if f.nullable]
+    kinds = ",".join(f.dataType.simpleString() for f in schema.fields)
+    return [f"{D.column_lane_sql(values, nulls, D.type_seed(kinds, i))} AS {n}" for i, n in enumerate(names)]
+
+
 def with_lanes(df: DataFrame, algo: str = "md5") -> DataFrame:
     """All columns of ``df`` plus the lanes of its rows, for observing a table while it is written."""
     names = lane_names(algo)
     if algo == "xxhash64":
-        nulls = [quoted(f.name) for f in df.schema.fields]
-        values = hashable_columns(df.schema)
-        return df.selectExpr("*", *[f"{D.column_lane_sql(values, nulls, i + 1)} AS {n}" for i, n in enumerate(names)])
+        return df.selectExpr("*", *value_lanes(df.schema, names))
     hashed = df.select("*", D.digest(canonical_row(df), algo).alias("_row_hash"))
     return hashed.selectExpr("*", *[f"{D.lane_sql('_row_hash', i)} AS {n}" for i, n in enumerate(names)])
 
@@ -97,8 +103,8 @@ def with_lanes(df: DataFrame, algo: str = "md5") -> DataFrame:
 def sum_state(lanes: DataFrame, keys: Sequence[str] = (), algo: str = "md5") -> DataFrame:
     """Mergeable state of :func:`row_lanes` rows: count, octets and the lane sums.
 
-    A lane is added up as three 20-bit limbs in plain bigints, which stay inside generated code and
-    cannot overflow below 8e12 rows; the exact lane sum is put together once per group."""
+    A lane is added up as five 12-bit limbs in plain bigints, which stay inside generated code and
+    cannot overflow below 2e15 rows; the exact lane sum is put together once per group."""
     names = lane_names(algo)
     group = [quoted(k) for k in keys]
     limbs = [F.expr(D.limb_sum_sql(n, j)).alias(f"{n}_{j}") for n in names for j in range(D.LIMBS)]
@@ -140,14 +146,6 @@ def fingerprint_sum(df: DataFrame, mode: str = "strict", algo: str = "md5",
 # --- tree ------------------------------------------------------------------------
 
 
-def depth_for(n_rows: int, floor: int = 2) -> int:
-    """Hex digits of the leaf prefix so that a leaf stays near ``HASHES_PER_LEAF`` distinct rows."""
-    depth = floor
-    while n_rows > HASHES_PER_LEAF * 16**depth:
-        depth += 1
-    return depth
-
-
 def tree_digests(hashes: DataFrame, keys: Sequence[str], depth: int, algo: str) -> DataFrame:
     """``keys, n, digest`` of the multiset of hex strings in column ``h``."""
     counted = hashes.groupBy(*keys, "h").agg(F.count("*").alias("c"))
@@ -167,52 +165,21 @@ def tree_digests(hashes: DataFrame, keys: Sequence[str], depth: int, algo: str)
 
 
 def fingerprint_tree(df: DataFrame, mode: str = "strict", algo: str = "sha256",
-                     keys: Sequence[str] = (), depth: int | None = None) -> DataFrame:
-    """``depth`` hex digits give ``16**depth`` leaves; it is part of the ``algo`` label, so two
-    sides taken with different depths are never compared. Without one, the row count decides."""
-    if depth is None:
-        depth = depth_for(df.count())
+                     keys: Sequence[str] = (), depth: int = LEAF_DIGITS) -> DataFrame:
+    """``depth`` hex digits give up to ``16**depth`` leaves, whatever the number of rows; it is part of
+    the ``algo`` label, and sides with unequal labels are not compared."""
     level = tree_digests(row_hashes(df, mode, algo, keys), keys, depth, algo)
     if not keys:
         level = level.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("digest").alias("digest"))
     return _rendered(level, keys, F.col("digest"), f"{algo}/tree{depth}")
 
 
-# --- joined ------------------------------------------------------------------------
-
-
-def fingerprint_joined(df: DataFrame, mode: str = "strict", algo: str = "md5") -> DataFrame:
-    """Digest of the sorted, joined row texts, refused as ``TRUNCATED`` when the joined length is
-    not what the witness says. One group: call it through :func:`fingerprint_exact`."""
-    folded = row_texts(df, mode).agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.octet_length("row").cast("bigint")), F.lit(0)).alias("octets"),
-        F.array_join(F.sort_array(F.collect_list("row")), row_separator(mode)).alias("joined"),
-    )
-    whole = F.octet_length("joined") == F.greatest(F.lit(0), F.col("octets") + F.col("n") - 1)
-    return _rendered(
-        folded, (), F.when(whole, D.digest(F.col("joined"), algo)).otherwise(F.lit("TRUNCATED")),
-        f"{algo}/joined",
-    )
-
-
-def fingerprint_exact(df: DataFrame, mode: str = "strict", algo: str = "md5",
-                      limit_bytes: int = JOINED_LIMIT_BYTES) -> DataFrame:
-    """The joined digest for a table whose whole text is measured to fit, else the tree digest.
-
-    The measure is a distributed aggregate, so no row leaves the executors to decide this."""
-    size = completeness_witness(df, mode).first()
-    if size["joined_octets"] <= limit_bytes:
-        return fingerprint_joined(df, mode, algo)
-    return fingerprint_tree(df, mode, algo, depth=depth_for(size["n"]))
-
-
 # --- many tables -------------------------------------------------------------------
 
 
 def fingerprint(df: DataFrame, method: str = "sum", mode: str = "strict", algo: str | None = None,
-                keys: Sequence[str] = (), depth: int | None = None) -> DataFrame:
-    algo = algo or DEFAULT_ALGO.get(method)
+                keys: Sequence[str] = (), depth: int = LEAF_DIGITS) -> DataFrame:
+    algo = algo or (DEFAULT_ALGO.get(method) if mode == "strict" or method != "sum" else "md5")
     if method == "sum":
         return fingerprint_sum(df, mode, algo, keys)
     if method == "tree":
@@ -220,8 +187,18 @@ def fingerprint(df: DataFrame, method: str = "sum", mode: str = "strict", algo:
     raise ValueError(f"unknown method {method!r}; one of {METHODS}")
 
 
+def parse_label(label: str | None) -> tuple[str, str, int]:
+    """``(method, algo, depth)`` of a label such as ``xxhash64/sum`` or ``sha256/tree6``; a bare algorithm is a sum."""
+    algo, _, method = (label or "md5").partition("/")
+    if method.startswith("tree"):
+        return "tree", algo, int(method[len("tree"):] or LEAF_DIGITS)
+    if method not in ("", "sum") or algo not in D.LANES:
+        raise ValueError(f"fingerprint label {label!r} is not known")
+    return "sum", algo, LEAF_DIGITS
+
+
 def fingerprint_tables(tables: Mapping[str, DataFrame], db: str = "db", method: str = "sum",
-                       mode: str = "strict", algo: str | None = None, depth: int | None = None) -> DataFrame:
+                       mode: str = "strict", algo: str | None = None, depth: int = LEAF_DIGITS) -> DataFrame:
     """``db, table, algo, digest, n, fingerprint`` of every table, in one Spark job.
 
     Each table is scanned and hashed on its own; only ``(table, octets, hash)`` meets in a union under
@@ -229,12 +206,10 @@ def fingerprint_tables(tables: Mapping[str, DataFrame], db: str = "db", method:
     rows costs nothing extra. A table without rows still gets its row."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; one of {METHODS}")
-    algo = algo or DEFAULT_ALGO[method]
+    algo = algo or (DEFAULT_ALGO[method] if mode == "strict" or method != "sum" else "md5")
     spark = next(iter(tables.values())).sparkSession
     keys = ["db", "table"]
     listed = spark.createDataFrame([(db, name) for name in sorted(tables)], "db string, table string")
-    if method == "tree" and depth is None:
-        depth = depth_for(sum(df.count() for df in tables.values()))
     take = row_lanes if method == "sum" else row_hashes
     parts = [take(df, mode, algo).select(F.lit(name).alias("table"), "*") for name, df in sorted(tables.items())]
     together = reduce(DataFrame.union, parts).select(F.lit(db).alias("db"), "*")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tableproof.functions import digests as D
 from tableproof.functions.names import flatten_definition
-from tableproof.operators.fingerprint import tree_digests
+from tableproof.operators.fingerprint import LEAF_DIGITS, tree_digests
 
 
-def object_digest(objects: DataFrame, classes: DataFrame, algo: str = "md5", depth: int = 1) -> DataFrame:
+def object_digest(objects: DataFrame, classes: DataFrame, algo: str = "md5", depth: int = LEAF_DIGITS) -> DataFrame:
     """``db, class, n, digest`` with ``digest`` = ``<count>:<hex>``; a class of ``classes``
     (``db, class``) without objects has count 0 and the digest of nothing.
 

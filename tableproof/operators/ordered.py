@@ -44,6 +44,18 @@ def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return joined.withColumn(out, F.greatest("_carry", "_local")).drop("_carry", "_local")
 
 
+def places(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "place") -> DataFrame:
+    """``df`` plus the place of each row in ``order`` within its keys, from one; texts order by their bytes.
+    ``order`` must be unique per key. A key's rows are spread over blocks, whose sizes are carried over."""
+    blocks = ordered_blocks(df, keys, order)
+    sizes = blocks.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sizes.select(*keys, BLOCK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(*order))
+    met = blocks.withColumn("_own", own).join(carried, [*keys, BLOCK])
+    return met.withColumn(out, F.col("_own") + F.col("_before")).drop("_own", "_before", BLOCK)
+
+
 def as_of(points: DataFrame, events: DataFrame, keys: Sequence[str], order: Sequence[str],
           value: Column, out: str) -> DataFrame:
     """For every point the maximum of ``value`` over events of its keys at or before it.

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableproof.functions import names as N
-from tableproof.session import settle
 
 
 def retention_flags(pairs: DataFrame, keep: int, keep_days: int, now: int) -> DataFrame:
@@ -24,7 +23,6 @@ def retention_flags(pairs: DataFrame, keep: int, keep_days: int, now: int) -> Da
     )
     if keep <= 0 and keep_days <= 0:
         return stamped.withColumn("victim", F.lit(False))
-    stamped = settle(stamped)  # read twice below; the listing behind it is computed once
     newest = Window.partitionBy("db").orderBy(F.col("name").desc())
     kept_from = (
         stamped.select("db", "name")
@@ -33,9 +31,8 @@ def retention_flags(pairs: DataFrame, keep: int, keep_days: int, now: int) -> Da
         .groupBy("db")
         .agg(F.min("name").alias("_kept_from"))
     )
-    # settled, so that the join sees its true size: broadcast while it is small, and otherwise a plain
-    # shuffle of both sides, whose hot databases adaptive execution can split
-    kept_from = settle(kept_from)
+    # one row a database: adaptive execution measures it, broadcasts it while it is small, and
+    # otherwise shuffles. A large ``keep`` costs a sort of ``keep`` names a database in one task
     old = F.lit(True) if keep_days <= 0 else F.col("stamp") < N.stamp_text(now - keep_days * N.DAY)
     return (
         stamped.join(kept_from, "db")
@@ -63,7 +60,11 @@ def retention_line(bases: DataFrame, keep: int, keep_days: int, now: int) -> Dat
 
     ``bases``: ``db, name, series, idx, pos``. Victims are always the oldest names, so one minimum
     over the kept ones is the line. REFUSED when that base carries no start."""
-    flags = retention_flags(bases, keep, keep_days, now)
+    return line_of_flags(retention_flags(bases, keep, keep_days, now), bases)
+
+
+def line_of_flags(flags: DataFrame, bases: DataFrame) -> DataFrame:
+    """The line from flags that are known already."""
     starts = bases.select("db", "name", "series", "idx", "pos").dropDuplicates(["db", "name"])
     with_start = flags.join(starts, ["db", "name"])
     kept = F.min(F.when(~F.col("victim"), F.struct("name", "series", "idx", "pos")))
@@ -91,13 +92,14 @@ def prune_chain(bases: DataFrame, marks: DataFrame, listing: DataFrame, keep: in
     ``listing``: ``db, name, series, idx, kind`` of archive files. Only log files and their backup
     companions may go; history files, strays, other series and the line's own file stay. Marks are
     tested for ownership, so a sibling's mark never goes."""
-    lines = retention_line(bases, keep, keep_days, now)
+    flags = retention_flags(bases, keep, keep_days, now)
+    lines = line_of_flags(flags, bases)
     refused = lines.filter("status = 'REFUSED'").select(
         "db", F.lit("base").alias("kind"), F.col("base").alias("name"), F.lit("REFUSED").alias("decision")
     )
     firm = lines.filter("status = 'LINE'").select("db")
     gone_bases = (
-        retention_victims(bases, keep, keep_days, now).join(firm, "db", "left_semi")
+        flags.filter("victim").join(firm, "db", "left_semi")
         .select("db", F.lit("base").alias("kind"), "name")
     )
     own_marks = marks.filter(N.name_stamp(F.col("name"), F.col("db")).isNotNull())

@@ -107,7 +107,7 @@ def mark_instant(tables: Mapping[str, DataFrame], before: LogPoint, after: LogPo
         raise Refused("no tables: an instant that lists nothing proves nothing")
     prints = P.fingerprint_tables(tables, db, "sum", algo=algo).persist()
     listing = list_artefacts(spark, archive, archive).withColumnRenamed("site", "archive")
-    form = L.archive_form(listing.filter(N.bare_name(F.col("name")).rlike(N.BINLOG_RE))).first()
+    form = L.archive_form(listing, FLAVOUR).first()
     if form is None:
         raise Refused(f"{archive} holds no log files")
     if form["form"] == "MIXED":

@@ -37,22 +37,28 @@ def latest_manifest(spark: SparkSession, folder: str, db: str | None = None) ->
     return f"{folder}/{row['name']}"
 
 
-def fingerprint_loaded(spark: SparkSession, tables: Mapping[str, DataFrame], db: str, algo: str) -> DataFrame:
-    """Fingerprints of the copy, all tables in one job. When that job dies, every table gets its own
-    job, so that the unreadable one is named and the others are still judged."""
-    try:
-        rows = P.fingerprint_tables(tables, db, "sum", algo=algo).persist()
-        rows.count()
-        return rows
-    except Exception:  # noqa: BLE001
-        kept = []
-        for name, df in tables.items():
-            try:
-                kept += P.fingerprint_tables({name: df}, db, "sum", algo=algo).select("table", "fingerprint").collect()
-            except Exception:  # noqa: BLE001
-                continue
-        rows = spark.createDataFrame([(db, r["table"], r["fingerprint"]) for r in kept], "db string, table string, fingerprint string")
-        return rows
+def fingerprint_loaded(spark: SparkSession, tables: Mapping[str, DataFrame], db: str,
+                       method: tuple[str, str, int]) -> tuple[DataFrame, dict[str, str]]:
+    """Fingerprints of the copy by the manifest's method, and why a table has none. All tables are one job. When
+    that job dies, the tables are halved until the unreadable ones stand alone, so that they are named
+    with their reason and the others are still judged."""
+    taken, algo, depth = method
+    kept, broken = [], {}
+
+    def take(names: list[str]) -> None:
+        try:
+            found = P.fingerprint_tables({n: tables[n] for n in names}, db, taken, algo=algo, depth=depth)
+            kept.extend(tuple(r) for r in found.select("db", "table", "algo", "fingerprint").collect())
+        except Exception as why:  # noqa: BLE001
+            if len(names) == 1:
+                broken[names[0]] = f"{type(why).__name__}: {str(why).splitlines()[0][:200] if str(why) else ''}"
+                return
+            take(names[: len(names) // 2])
+            take(names[len(names) // 2:])
+
+    if tables:
+        take(sorted(tables))
+    return spark.createDataFrame(kept, "db string, table string, algo string, fingerprint string"), broken
 
 
 def verify_snapshot(spark: SparkSession, manifest_path: str, now: int, max_age_days: int = 0,
@@ -66,7 +72,7 @@ def verify_snapshot(spark: SparkSession, manifest_path: str, now: int, max_age_d
     if row["kind"] in kinds:
         raise Refused(f"{manifest_path} is a {row['kind']} manifest, not a snapshot")
     db, name = row["database"], snap.manifest
-    algo = (row["fingerprint"] or "md5/sum").split("/")[0]
+    method = P.parse_label(row["fingerprint"])
     manifest = read_manifests(spark, manifest_path)
     expected = manifest_entries(manifest, "tables").select(F.lit(db).alias("db"), F.col("entry").alias("table"), F.col("value").alias("fingerprint"))
     promised = manifest_entries(manifest, "objects").select(F.lit(db).alias("db"), F.col("entry").alias("class"), F.col("value").alias("digest"))
@@ -87,20 +93,24 @@ def verify_snapshot(spark: SparkSession, manifest_path: str, now: int, max_age_d
         return spark.createDataFrame(rows, "snapshot string, gate string, subject string, status string, severity string")
 
     def tables_gate() -> DataFrame:
-        found = fingerprint_loaded(spark, dict(actual) if actual is not None else loaded, db, algo)
-        return table_checks(name, expected, found)
+        found, broken = fingerprint_loaded(spark, dict(actual) if actual is not None else loaded, db, method)
+        rows = table_checks(name, expected, found)
+        why = [(name, "load", t, f"UNREADABLE ({w})", "failure") for t, w in broken.items()]
+        return rows.unionByName(spark.createDataFrame(why, rows.schema)) if why else rows
 
     def objects_gate() -> DataFrame:
         if not row["objects"]:
             return one_check(spark, name, "objects", "-", "NOT_RECORDED", "warning")
-        if objects is None:
-            return one_check(spark, name, "objects", "-", "NOT_SUPPLIED", "warning")
+        if objects is None:  # promised and not shown is not proven
+            return one_check(spark, name, "objects", "-", "NOT_SUPPLIED", "failure")
         return object_checks(name, promised, objects)
 
     gates = [] if actual is not None else [Gate("bytes", bytes_gate), Gate("load", load_gate, refuting=False)]
     gates += [Gate("tables", tables_gate, refuting=False), Gate("objects", objects_gate, refuting=False)]
     if counters is not None and maxima is not None:
         gates.append(Gate("counters", lambda: counter_checks(name, counters, maxima, inclusive), refuting=False))
+    else:
+        gates.append(Gate("counters", lambda: one_check(spark, name, "counters", "-", "NOT_SUPPLIED", "warning"), refuting=False))
     outcome = gates_in_cost_order(gates)
     ages = None
     if max_age_days > 0:

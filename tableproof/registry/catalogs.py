@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tableproof import fixtures as X
 from tableproof.functions import names as N
 from tableproof.operators import catalog as G
+from tableproof.operators.ordered import places
 from tableproof.registry import register
 from tableproof.registry.names import MANIFEST_FOR_SQL, stamp_sql
 
@@ -111,11 +112,8 @@ def g1(spark, sf_dir):
     f"SELECT name, row_number() OVER (PARTITION BY id % 64 ORDER BY name, id) AS place, id FROM ({X.ARTEFACTS}) z",
 )
 def g2(spark, sf_dir):
-    from pyspark.sql import Window
-
-    a = X.view(spark, sf_dir, X.ARTEFACTS)
-    w = Window.partitionBy(F.col("id") % 64).orderBy("name", "id")
-    return a.select("name", F.row_number().over(w).cast("bigint").alias("place"), "id")
+    a = X.view(spark, sf_dir, X.ARTEFACTS).select("id", "name", (F.col("id") % 64).alias("part"))
+    return places(a, ["part"], ["name", "id"]).select("name", F.col("place").cast("bigint").alias("place"), "id")
 
 
 @register("d5_audit_site", f"{LISTED_SQL} SELECT m.site, m.name, CASE WHEN h.name IS NULL THEN 'ARTEFACT_MISSING' WHEN m.sha256 <> h.sha256 THEN 'ROT' ELSE 'OK' END AS status "
@@ -126,6 +124,18 @@ def d5(spark, sf_dir):
     return G.audit_site(site_listing(spark, sf_dir), site_manifests(spark, sf_dir))
 
 
+@register(
+    "d5_audit_summary",
+    f"{LISTED_SQL}, a AS (SELECT m.site, CASE WHEN h.name IS NULL OR m.sha256 <> h.sha256 THEN 0 ELSE 1 END AS ok FROM m LEFT JOIN l h ON m.artefact = h.name "
+    "UNION ALL SELECT site, 0 FROM l WHERE name LIKE '%.part' "
+    f"UNION ALL SELECT site, 0 FROM l WHERE name NOT LIKE '%.part' AND name NOT LIKE '%.json' AND {MANIFEST_FOR_SQL} NOT IN (SELECT name FROM m)) "
+    "SELECT site, count(*) FILTER (ok = 0) AS problems, count(*) FILTER (ok = 1) AS clean_pairs, CASE WHEN count(*) FILTER (ok = 0) > 0 THEN 'FAILED' "
+    "WHEN count(*) FILTER (ok = 1) = 0 THEN 'NOTHING_PROVEN' ELSE 'CONSISTENT' END AS status FROM a GROUP BY site",
+)
+def d5_summary(spark, sf_dir):
+    return G.audit_summary(G.audit_site(site_listing(spark, sf_dir), site_manifests(spark, sf_dir)))
+
+
 @register(
     "d6_complete_pairs",
     f"{LISTED_SQL} SELECT site, name FROM l WHERE name NOT LIKE '%.part' AND name NOT LIKE '%.json' AND {MANIFEST_FOR_SQL} IN (SELECT name FROM m)",

@@ -56,13 +56,20 @@ def archives(spark, sf_dir):
     return X.view(spark, sf_dir, ARCHIVES)
 
 
+#: Every archive also holds a file of either form that is no log; neither decides the archive's form.
+ARCHIVES_WITH_STRAYS = (
+    f"SELECT archive, name, bytes FROM ({ARCHIVES}) logs UNION ALL SELECT archive, 'notes.txt', CAST(5 AS BIGINT) FROM (SELECT DISTINCT archive FROM ({ARCHIVES}) p) p1 "
+    f"UNION ALL SELECT archive, 'old.age', CAST(5 AS BIGINT) FROM (SELECT DISTINCT archive FROM ({ARCHIVES}) e) e1"
+)
+
+
 @register(
     "e13_archive_form",
     f"SELECT archive, encrypted, plain, CASE WHEN encrypted > 0 AND plain > 0 THEN 'MIXED' WHEN encrypted > 0 THEN 'encrypted' ELSE 'plain' END AS form FROM ("
     f"SELECT archive, count(*) FILTER (name LIKE '%.age') AS encrypted, count(*) FILTER (name NOT LIKE '%.age') AS plain FROM ({ARCHIVES}) a GROUP BY archive) f",
 )
 def e13(spark, sf_dir):
-    return L.archive_form(archives(spark, sf_dir))
+    return L.archive_form(X.view(spark, sf_dir, ARCHIVES_WITH_STRAYS), "binlog")
 
 
 @register(
@@ -97,13 +104,14 @@ BINLOG_CHECK = (
     f"{series_name_sql('series', '(nxt - 1)')} || CASE WHEN enc THEN '.age' ELSE '' END AS last FROM n WHERE nxt > idx + 1) "
     "SELECT archive, CASE WHEN lo = hi THEN first ELSE first || ' .. ' || last END AS subject, 'MISSING' AS problem, (hi - lo + 1) || ' file(s)' AS detail FROM g "
     "UNION ALL SELECT archive, archive, 'MIXED_FORM', 'refused' FROM f WHERE enc > 0 AND enc < total "
-    "UNION ALL SELECT archive, archive, 'SEVERAL_SERIES', count(DISTINCT series) || ' series' FROM b GROUP BY archive HAVING count(DISTINCT series) > 1"
+    "UNION ALL SELECT archive, archive, 'SEVERAL_SERIES', count(DISTINCT series) || ' series' FROM b GROUP BY archive HAVING count(DISTINCT series) > 1 "
+    "UNION ALL SELECT archive, s.name, 'STRAY', 'not a log file' FROM f, (SELECT unnest(['notes.txt', 'old.age']) AS name) s"
 )
 
 
 @register("i6_check_archive_binlog", BINLOG_CHECK)
 def i6_binlog(spark, sf_dir):
-    return L.check_archive(archives(spark, sf_dir), "binlog")
+    return L.check_archive(X.view(spark, sf_dir, ARCHIVES_WITH_STRAYS), "binlog")
 
 
 # --- binlog archive of FX4 -----------------------------------------------------------
@@ -145,7 +153,7 @@ ARCHIVER = (
     "CASE WHEN o_orderkey % 13 = 0 THEN CAST(NULL AS STRING) ELSE printf('%08X%08X%08X', 1, CAST(floor((o_orderkey - CASE WHEN o_orderkey % 11 = 0 AND o_orderkey > 3 THEN 3 ELSE 1 END) / 256) AS BIGINT), "
     "(o_orderkey - CASE WHEN o_orderkey % 11 = 0 AND o_orderkey > 3 THEN 3 ELSE 1 END) % 256) END AS last_archived, "
     "o_orderkey % 3 AS failed_count, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS last_failed_time, "
-    "CASE WHEN o_orderkey % 17 = 0 THEN CAST(NULL AS BIGINT) ELSE o_orderkey % 1000 END AS last_archived_time FROM {orders} WHERE o_orderkey > 0"
+    "CASE WHEN o_orderkey % 17 = 0 THEN CAST(NULL AS BIGINT) ELSE o_orderkey % 1000 END AS last_archived_time FROM {orders}"
 )
 
 

@@ -31,8 +31,8 @@ def copied_tables(spark, sf_dir):
 
 
 def matrix(spark, sf_dir, method="sum", algo=None):
-    expected = P.fingerprint_tables(source_tables(spark, sf_dir), "app", method, algo=algo, depth=2)
-    actual = P.fingerprint_tables(copied_tables(spark, sf_dir), "app", method, algo=algo, depth=2)
+    expected = P.fingerprint_tables(source_tables(spark, sf_dir), "app", method, algo=algo)
+    actual = P.fingerprint_tables(copied_tables(spark, sf_dir), "app", method, algo=algo)
     return expected, actual
 
 
@@ -75,6 +75,23 @@ def d1_values(spark, sf_dir):
     return C.compare_tables(expected, actual).select("db", "table", "status", "expected_n", "actual_n", "row_delta")
 
 
+@register("d1_compare_tables_texts", D1_SQL)
+def d1_texts(spark, sf_dir):
+    expected, actual = matrix(spark, sf_dir, algo="md5")
+    return C.compare_tables(expected, actual).select("db", "table", "status", "expected_n", "actual_n", "row_delta")
+
+
+@register(
+    "d1_compare_tables_labels",
+    f"SELECT db, \"table\", CASE WHEN status IN ('OK', 'DIFFERS') THEN 'FOREIGN_METHOD' ELSE status END AS status, expected_n, actual_n FROM ({D1_SQL}) m",
+)
+def d1_labels(spark, sf_dir):
+    """One side by values, the other by texts: whatever both have is refused, not called different."""
+    expected, _ = matrix(spark, sf_dir, algo="xxhash64")
+    _, actual = matrix(spark, sf_dir, algo="md5")
+    return C.compare_tables(expected, actual).select("db", "table", "status", "expected_n", "actual_n")
+
+
 @register(
     "d3_extra_tables",
     f"SELECT 'app' AS db, \"table\", (SELECT count(*) FROM ({TABLES_SQL}) e WHERE status <> 'EXTRA') AS expected_tables, "

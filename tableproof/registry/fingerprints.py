@@ -12,7 +12,7 @@ from tableproof.registry import register
 
 # --- oracle building blocks ------------------------------------------------------
 
-ORDERS_COLS = ["CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus", "CAST(o_totalprice AS VARCHAR)", "o_orderpriority"]
+ORDERS_COLS = ["CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus", "CAST(o_totalprice AS VARCHAR)", "CAST(o_orderdate AS VARCHAR)", "o_orderpriority"]
 LINEITEM_COLS = [
     f"CAST({c} AS VARCHAR)"
     for c in "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()
@@ -42,13 +42,21 @@ def sum_sql(rows: str, keys: str = "") -> str:
     )
 
 
-def tree_sql(hashes: str, algo: str, label: str, depth: int) -> str:
-    """Rows ``(h)`` to the rendered tree fingerprint (one fold level)."""
+def folded_sql(leaves: str, algo: str, keys: str = "") -> str:
+    """Leaves ``(keys.., prefix, n, d)`` of six digits to ``keys.., n, digest``: six, three, no digits."""
+    g = f"{keys}, " if keys else ""
+    middle = (f"SELECT {g}substr(prefix, 1, 3) AS prefix, sum(n) AS n, {algo}(string_agg(prefix || ':' || d, chr(10) ORDER BY prefix || ':' || d)) AS d "
+              f"FROM ({leaves}) l0 GROUP BY {g}substr(prefix, 1, 3)")
+    return (f"SELECT {g}CAST(sum(n) AS BIGINT) AS n, {algo}(string_agg(prefix || ':' || d, chr(10) ORDER BY prefix || ':' || d)) AS digest "
+            f"FROM ({middle}) m0" + (f" GROUP BY {keys}" if keys else ""))
+
+
+def tree_sql(hashes: str, algo: str, label: str) -> str:
+    """Rows ``(h)`` to the rendered tree fingerprint."""
+    leaves = (f"SELECT substr(h, 1, 6) AS prefix, sum(c) AS n, {algo}(string_agg(h || ':' || c, chr(10) ORDER BY h || ':' || c)) AS d "
+              f"FROM (SELECT h, count(*) AS c FROM ({hashes}) h0 GROUP BY h) c0 GROUP BY 1")
     return (
-        f"SELECT '{label}' AS algo, digest, n, digest || ':' || n AS fingerprint FROM ("
-        f"SELECT CAST(sum(n) AS BIGINT) AS n, {algo}(string_agg(prefix || ':' || d, chr(10) ORDER BY prefix || ':' || d)) AS digest FROM ("
-        f"SELECT substr(h, 1, {depth}) AS prefix, sum(c) AS n, {algo}(string_agg(h || ':' || c, chr(10) ORDER BY h || ':' || c)) AS d "
-        f"FROM (SELECT h, count(*) AS c FROM ({hashes}) h0 GROUP BY h) c0 GROUP BY 1) l0) t0"
+        f"SELECT '{label}' AS algo, digest, n, digest || ':' || n AS fingerprint FROM ({folded_sql(leaves, algo)}) t0"
     )
 
 
@@ -57,7 +65,8 @@ LINEITEM_ROWS = f"SELECT {strict_sql(LINEITEM_COLS)} AS r FROM ({X.LINEITEM_PLAI
 CONV_ROWS = f"SELECT {strict_sql(CONV_COLS)} AS r FROM ({X.CONVERSATIONS_COPY}) c"
 
 SQLITE_COLS = [ORDERS_COLS[0], ORDERS_COLS[1], "CASE WHEN o_orderstatus IS NULL THEN 'NULL' ELSE '''' || replace(o_orderstatus, '''', '''''') || '''' END",
-               ORDERS_COLS[3], "'''' || replace(o_orderpriority, '''', '''''') || ''''"]
+               ORDERS_COLS[3], "'''' || CAST(o_orderdate AS VARCHAR) || ''''",
+               "'''' || replace(o_orderpriority, '''', '''''') || ''''"]
 
 
 @register(
@@ -71,21 +80,12 @@ def b1(spark, sf_dir):
     return o.select(*[canonical_row(o, mode).alias(mode) for mode in ("strict", "pg", "mysql", "sqlite")])
 
 
-@register(
-    "e1_fingerprint_exact",
-    f"SELECT 'md5/joined' AS algo, md5(string_agg(r, chr(10) ORDER BY r)) AS digest, count(*) AS n, "
-    f"md5(string_agg(r, chr(10) ORDER BY r)) || ':' || count(*) AS fingerprint FROM ({ORDERS_ROWS}) z",
-)
-def e1(spark, sf_dir):
-    return P.fingerprint_exact(X.view(spark, sf_dir, X.ORDERS_COPY))
-
-
-@register("e2_fingerprint_tree", tree_sql(f"SELECT sha256(r) AS h FROM ({LINEITEM_ROWS}) z", "sha256", "sha256/tree2", 2))
+@register("e2_fingerprint_tree", tree_sql(f"SELECT sha256(r) AS h FROM ({LINEITEM_ROWS}) z", "sha256", "sha256/tree6"))
 def e2(spark, sf_dir):
     return P.fingerprint_tree(X.view(spark, sf_dir, X.LINEITEM_PLAIN))
 
 
-@register("e2_fingerprint_tree_duplicates", tree_sql(f"SELECT sha256(r) AS h FROM ({CONV_ROWS}) z", "sha256", "sha256/tree2", 2))
+@register("e2_fingerprint_tree_duplicates", tree_sql(f"SELECT sha256(r) AS h FROM ({CONV_ROWS}) z", "sha256", "sha256/tree6"))
 def e2_duplicates(spark, sf_dir):
     return P.fingerprint_tree(X.view(spark, sf_dir, X.CONVERSATIONS_COPY))
 
@@ -106,9 +106,36 @@ def e3_values(spark, sf_dir):
     return P.fingerprint_sum(rows, algo="xxhash64").join(merged, "n").select("algo", "n", (F.col("fingerprint") == F.col("_merged")).alias("same_after_split"))
 
 
+#: Values that a hash of bare bits would take for one another, and pairs that are one row whatever way they come.
+MUST_DIFFER = [
+    ("scale", "CAST(l_quantity AS DECIMAL(10,2))", "CAST(l_quantity / 10 AS DECIMAL(10,3))"),
+    ("date_int", "date_add(DATE '1970-01-01', CAST(l_linenumber AS INT))", "CAST(l_linenumber AS INT)"),
+    ("bool_int", "l_linenumber > 0", "1"),
+    ("float_digit", "l_extendedprice", "l_extendedprice + 1e-9"),
+    ("null_zero", "CAST(NULL AS INT)", "0"),
+    ("text_number", "CAST(l_partkey AS STRING)", "l_partkey"),
+]
+MUST_AGREE = [("same", "l_partkey", "l_partkey"), ("cast_back", "l_quantity", "CAST(CAST(l_quantity AS DECIMAL(18,2)) AS DOUBLE)")]
+
+
+@register("e3_value_pairs", " UNION ALL ".join(
+    f"SELECT '{n}' AS pair, {str(same).lower()} AS equal, (SELECT count(*) FROM {{lineitem}}) AS n"
+    for pairs, same in ((MUST_DIFFER, False), (MUST_AGREE, True)) for n, _, _ in pairs))
+def e3_value_pairs(spark, sf_dir):
+    """Whole columns, one side's values against the other's, by the value hash."""
+    rows = X.load(spark, sf_dir, "lineitem")
+    out = None
+    for name, a, b in [*MUST_DIFFER, *MUST_AGREE]:
+        left = P.fingerprint_sum(rows.selectExpr(f"{a} AS v"), algo="xxhash64").select("fingerprint", "n")
+        right = P.fingerprint_sum(rows.selectExpr(f"{b} AS v"), algo="xxhash64").select(F.col("fingerprint").alias("other"), "n")
+        one = left.join(right, "n").select(F.lit(name).alias("pair"), (F.col("fingerprint") == F.col("other")).alias("equal"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @register(
     "e3_fingerprint_sum_grouped",
-    sum_sql(f"SELECT o_orderpriority, {strict_sql(ORDERS_COLS[:4])} AS r FROM ({X.ORDERS_COPY}) o", "o_orderpriority"),
+    sum_sql(f"SELECT o_orderpriority, {strict_sql(ORDERS_COLS[:5])} AS r FROM ({X.ORDERS_COPY}) o", "o_orderpriority"),
 )
 def e3_grouped(spark, sf_dir):
     return P.fingerprint_sum(X.view(spark, sf_dir, X.ORDERS_COPY), keys=["o_orderpriority"])
@@ -164,13 +191,10 @@ def object_sql(definition: str, where: str = "true") -> str:
     """``class, n, digest`` of FX7 for every expected class."""
     hashes = f"SELECT class, md5(translate({definition}, chr(13) || chr(10), '  ')) AS h FROM ({X.OBJECTS}) o WHERE {where}"
     leaves = (
-        "SELECT class, substr(h, 1, 1) AS prefix, sum(c) AS n, md5(string_agg(h || ':' || c, chr(10) ORDER BY h || ':' || c)) AS d "
+        "SELECT class, substr(h, 1, 6) AS prefix, sum(c) AS n, md5(string_agg(h || ':' || c, chr(10) ORDER BY h || ':' || c)) AS d "
         f"FROM (SELECT class, h, count(*) AS c FROM ({hashes}) h0 GROUP BY class, h) c0 GROUP BY 1, 2"
     )
-    roots = (
-        "SELECT class, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(prefix || ':' || d, chr(10) ORDER BY prefix || ':' || d)) AS digest "
-        f"FROM ({leaves}) l0 GROUP BY class"
-    )
+    roots = folded_sql(leaves, "md5", "class")
     return (
         "SELECT 'app' AS db, k.class, coalesce(n, 0) AS n, coalesce(n, 0) || ':' || coalesce(digest, md5('')) AS digest "
         f"FROM {CLASS_SQL} k LEFT JOIN ({roots}) r ON k.class = r.class"

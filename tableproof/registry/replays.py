@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from tableproof import fixtures as X
 from tableproof.operators import replay as R
 from tableproof.registry import register
+from tableproof.session import ensure_checkpoint_dir
+from tableproof.sources.changelog import read_change_log
 
 # The anchor is a quarter into the log, the mark three quarters, both inside a file.
 BOUNDS = "e AS (SELECT max(idx) AS top FROM l), p AS (SELECT top // 4 AS a_idx, 404 AS a_pos, (top * 3) // 4 AS m_idx, 2504 AS m_pos FROM e)"
@@ -40,7 +44,9 @@ def instants(log):
 def a11(spark, sf_dir):
     log = change_log(spark, sf_dir)
     anchor, mark = instants(log)
-    return log.filter(R.at_or_after(anchor) & R.before(mark)).withColumn("v", F.col("v").cast("string"))
+    path = f"{ensure_checkpoint_dir(spark)}/change-log-{uuid4().hex}"
+    log.write.parquet(path)
+    return read_change_log(spark, path, anchor=anchor, mark=mark, schema=log.schema.simpleString()[len("struct<"):-1].replace(":", " ")).withColumn("v", F.col("v").cast("string"))
 
 
 @register("f5_latest_state", f"{LOG} SELECT k, CAST(v AS VARCHAR) AS v FROM ({state_sql('true')}) s")

@@ -15,7 +15,7 @@ from tableproof.session import ensure_checkpoint_dir
 from tableproof.sources.files import is_folder
 from tableproof.streaming import stream_arrival, stream_fingerprint, stream_staleness
 
-EVENT_COLS = ["CAST(event_id AS VARCHAR)", "CAST(user_id AS VARCHAR)", "event_type", "CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR)", "props"]
+EVENT_COLS = ["CAST(event_id AS VARCHAR)", "CAST(ts AS VARCHAR)", "CAST(user_id AS VARCHAR)", "event_type", "CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR)", "props"]
 
 
 def table_stream(spark, sf_dir, name):
@@ -48,7 +48,7 @@ def drain(spark, stream, mode):
 )
 def s4(spark, sf_dir):
     rows = table_stream(spark, sf_dir, "events").select(
-        F.col("event_type").alias("kind"), "event_id", "user_id", F.col("value").cast("decimal(18,2)").alias("value"), "props"
+        F.col("event_type").alias("kind"), "event_id", "ts", "user_id", F.col("value").cast("decimal(18,2)").alias("value"), "props"
     )
     seen = drain(spark, stream_fingerprint(rows, keys=["kind"]), "update")
     last = seen.groupBy("kind").agg(F.max_by(F.struct("algo", "digest", "n", "fingerprint"), "batch").alias("_l"))

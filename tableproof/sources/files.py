@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableproof.operators.fingerprint import depth_for, tree_digests
+from tableproof.operators.fingerprint import LEAF_DIGITS, tree_digests
 
 CHUNK = 8 * 1024 * 1024
 
@@ -182,6 +182,6 @@ def tree_fingerprint(hashed: DataFrame) -> tuple[str, int, int]:
         F.sha2(F.concat_ws("\n", "rel", F.col("bytes").cast("string"), "sha256"), 256).alias("h"), "bytes"
     ).persist()
     total = entries.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
-    digest = tree_digests(entries, [], depth_for(total["n"]), "sha256").first()
+    digest = tree_digests(entries, [], LEAF_DIGITS, "sha256").first()
     entries.unpersist()
     return (digest["digest"] if digest else ""), total["bytes"], total["n"]

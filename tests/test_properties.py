@@ -13,7 +13,6 @@ METHODS = {
     "sum-values": lambda df: P.fingerprint_sum(df, algo="xxhash64"),
     "tree": lambda df: P.fingerprint_tree(df, depth=2),
     "tree-deep": lambda df: P.fingerprint_tree(df, depth=5),
-    "exact": lambda df: P.fingerprint_exact(df),
 }
 
 
@@ -51,13 +50,10 @@ def test_states_add_up(rows):
     assert P.render_state(P.merge_states(parts)).first() == P.fingerprint_sum(rows).first()
 
 
-def test_exact_answers_with_a_tree_beyond_its_bound(rows):
-    assert P.fingerprint_exact(rows).first()["algo"] == "md5/joined"
-    assert P.fingerprint_exact(rows, limit_bytes=100).first()["algo"] == "md5/tree2"
-
-
-def test_depth_grows_with_rows():
-    assert [P.depth_for(n) for n in (0, 10**6, 10**9, 10**12)] == [2, 2, 3, 6]
+def test_the_method_does_not_follow_the_size(rows):
+    assert {P.fingerprint_tree(rows.limit(n)).first()["algo"] for n in (0, 1, 1000)} == {"sha256/tree6"}
+    assert P.parse_label("sha256/tree6") == ("tree", "sha256", 6)
+    assert P.parse_label("md5/sum")[:2] == P.parse_label("md5")[:2] == ("sum", "md5")
 
 
 def test_many_tables_equal_single_ones(spark, sf_dir):

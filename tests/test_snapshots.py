@@ -80,10 +80,18 @@ def test_writer_refuses(spark, tmp_path):
 def test_untouched_snapshot_verifies(spark, sf_dir, snapshot):
     proof = verify_snapshot(spark, snapshot.manifest_path, NOW, 7, objects=digests_of(object_catalog(spark, sf_dir)))
     assert proof.stopped_at is None and verdict(proof) == "VERIFIED"
-    assert verdict(verify_snapshot(spark, snapshot.manifest_path, NOW + 30 * DAY, 7)) == "VERIFIED+STALE"
+    shown = digests_of(object_catalog(spark, sf_dir))
+    assert verdict(verify_snapshot(spark, snapshot.manifest_path, NOW + 30 * DAY, 7, objects=shown)) == "VERIFIED+STALE"
     assert latest_manifest(spark, snapshot.folder) == snapshot.manifest_path
 
 
+def test_promised_objects_that_are_not_shown_fail(spark, snapshot):
+    proof = verify_snapshot(spark, snapshot.manifest_path, NOW)
+    failed = [(r["gate"], r["status"]) for r in proof.checks.filter("severity = 'failure'").collect()]
+    assert failed == [("objects", "NOT_SUPPLIED")] and verdict(proof) == "FAILED"
+    assert [r["status"] for r in proof.checks.filter("gate = 'counters'").collect()] == ["NOT_SUPPLIED"]
+
+
 def test_lost_objects_fail_while_tables_stand(spark, sf_dir, snapshot):
     lost = digests_of(object_catalog(spark, sf_dir).filter("class <> 'routines'"))
     proof = verify_snapshot(spark, snapshot.manifest_path, NOW, objects=lost)
