@@ -238,6 +238,25 @@ def mark_bucket(table: pa.Table, length: int) -> pa.Table:
                      "marks": pa.array([[{"first": f, "number": k} for f, k in m] for m in marks], kind)})
 
 
+RUNS = "array<struct<first int, number int>>"
+
+
+def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, uid, runs`` with the runs of a unit joined where they touch or overlap."""
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("number", pa.int32())]))
+    for batch in batches:
+        out = []
+        for runs in batch.column(2).to_pylist():
+            joined: list[dict] = []
+            for run in sorted(runs, key=lambda r: r["first"]):
+                if joined and run["first"] <= joined[-1]["first"] + joined[-1]["number"]:
+                    joined[-1]["number"] = max(joined[-1]["number"], run["first"] + run["number"] - joined[-1]["first"])
+                else:
+                    joined.append(dict(run))
+            out.append(joined)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["key", "uid", "runs"])
+
+
 def unit_marks(units: DataFrame, length: int, bucket_bytes: int, group_units: int) -> DataFrame:
     """``key, uid, first, number``: repeating string starts of every different unit (``key, uid, again, n_starts, anchor, unit``)."""
     found: list[DataFrame] = []
@@ -305,9 +324,11 @@ def repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str
         F.first("anchor").alias("anchor"), F.first("unit").alias("unit"))
     marks = unit_marks(units, length, bucket_bytes, group_units)
 
-    merged = rows.select("key", "uid", "tid", "at").join(marks, ["key", "uid"]).select(
-        "tid", F.explode("at").alias("f"), "first", "number").select("tid", (F.col("f") + F.col("first")).alias("first"), "number")
-    runs = merged.groupBy("tid").agg(F.collect_set(F.struct("first", "number")).alias("runs"))
+    # one row a unit, whatever the number of stretches it was cut into; a unit has at most length - gram + 1 starts
+    whole_marks = settled(marks.groupBy("key", "uid").agg(F.collect_set(F.struct("first", "number")).alias("runs")).mapInArrow(
+        join_runs, f"key bigint, uid binary, runs {RUNS}"), "marks")
+    found = rows.select("key", "uid", "tid", "at").join(whole_marks, ["key", "uid"])
+    runs = found.groupBy("tid").agg(F.collect_list(F.struct("at", "runs")).alias("runs"))
     some = texts.filter("copies = 1").select("tid").join(runs, "tid").join(source.select("tid", "data"), "tid")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,9 +336,11 @@ def repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str
             for i in range(batch.num_rows):
                 data, runs = batch.column(2)[i].as_py(), batch.column(1)[i].values
                 edge = np.zeros(len(data) + 1, np.int64)
-                first = runs.field("first").to_numpy(zero_copy_only=False)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, first + runs.field("number").to_numpy(zero_copy_only=False) + (length - 1), -1)
+                for unit in runs:
+                    at = unit["at"].values.to_numpy(zero_copy_only=False)
+                    for run in unit["runs"].as_py():
+                        np.add.at(edge, at + run["first"], 1)
+                        np.add.at(edge, at + (run["first"] + run["number"] + length - 1), -1)
                 inside = (np.cumsum(edge[:-1]) > 0).astype(np.int8)
                 step = np.diff(np.concatenate([[0], inside, [0]]))
                 begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
