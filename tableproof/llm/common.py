@@ -19,6 +19,8 @@ from tableproof.session import ensure_checkpoint_dir
 SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Texts that are held as Python objects at a time.
+SLICE_BYTES = 4 << 20
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
@@ -62,7 +64,7 @@ def add_columns(df: DataFrame, text: str, fields: Sequence[tuple[str, T.DataType
         def texts() -> Iterator[list[str | None]]:
             for batch in batches:
                 # a batch of long texts is taken in slices, so memory follows one slice
-                step = max(1, min(batch.num_rows, int(batch.num_rows * (8 << 20) / max(1, batch.nbytes))))
+                step = max(1, min(batch.num_rows, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes))))
                 for start in range(0, batch.num_rows, step):
                     part = batch.slice(start, step)
                     waiting.append(part)

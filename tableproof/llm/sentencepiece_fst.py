@@ -27,7 +27,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 MAX_MODEL_BYTES = 64 << 20
-MEMO = 1 << 17
+WORDS, PAIRS = 1 << 18, 1 << 19
 INFINITE = float("inf")
 
 
@@ -99,8 +99,9 @@ class Transducer:
     model: Model
     ids: dict[str, int] = field(default_factory=dict)
     byte_ids: list[int] = field(default_factory=list)
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
-    whole: dict[str, bool] = field(default_factory=dict)
+    pairs: dict[str, dict[str, bool]] = field(default_factory=dict)
+    splits: dict[str, tuple[str, str] | None] = field(default_factory=dict)
+    known: int = 0
     words: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -111,6 +112,12 @@ class Transducer:
         if m.byte_fallback:
             at = {p: i for i, p in enumerate(m.pieces) if m.kinds[i] == BYTE}
             self.byte_ids = [at[f"<0x{b:02X}>"] for b in range(256)]
+        self.trie: dict = {}
+        for piece in self.ids:
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
         self.longest = max(map(len, self.ids), default=1)
         self.least = min(self.rank.values(), default=0.0) - 10.0
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
@@ -133,53 +140,95 @@ class Transducer:
 
     # --- pair acceptor
 
-    def merged(self, text: str) -> list[str]:
-        """Merging by rank, leftmost first; only for a piece or two joined ones."""
-        parts = list(text)
+    def split(self, piece: str) -> tuple[str, str] | None:
+        """The two parts whose merge makes the piece when it is merged by rank, leftmost first; null for a single
+        character, empty parts for a piece that merging never makes."""
+        if piece in self.splits:
+            return self.splits[piece]
+        parts, rank = list(piece), self.rank
+        last = None
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                score = self.rank.get(parts[i] + parts[i + 1])
+                score = rank.get(parts[i] + parts[i + 1])
                 if score is not None and (best is None or score > best):
                     best, at = score, i
             if at < 0:
                 break
+            last = (parts[at], parts[at + 1])
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        got = None if len(piece) == 1 else last if len(parts) == 1 else ("", "")
+        self.splits[piece] = got
+        return got
 
     def allowed(self, left: str | None, right: str) -> bool:
-        key = (left, right)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) >= 8 * MEMO:
-                self.pairs.clear()
-            got = self.merged(right) == [right] if left is None else (
-                self.allowed(None, right) and self.merged(left + right) == [left, right])
-            self.pairs[key] = got
-        return got
+        """Whether the pair has weight zero: no merge over its border comes before those that make its sides.
+
+        The sides are taken apart, the later made one first; a merge of what then meets at the border must not
+        outrank what was undone. Equal ranks are the same piece, and the leftmost goes first."""
+        if self.split(right) == ("", ""):
+            return False
+        if left is None:
+            return True
+        rank, limit, strict = self.rank, -INFINITE, True
+        while True:
+            score = rank.get(left + right)
+            if score is not None and (score > limit or not strict and score == limit):
+                return False
+            a, b = self.split(left), self.split(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and rank[left] < rank[right]:
+                limit, strict, left = rank[left], True, a[1]
+            else:
+                limit, strict, right = rank[right], False, b[0]
 
     # --- shortest paths
 
     def merge_path(self, text: str) -> list[str]:
-        """The path whose pairs all have weight zero. Each prefix has one such path, so one arc is kept a position."""
-        ids, longest, pairs, allowed = self.ids, self.longest, self.pairs, self.allowed
-        last: list[str | None] = [None] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                arc = text[start:end]
-                if arc in ids or end - start == 1:
-                    before = last[start] if start else None
-                    if start and before is None:
-                        continue
-                    good = pairs.get((before, arc))
-                    if good if good is not None else (allowed(before, arc) and (before is None or allowed(None, arc))):
-                        last[end] = arc
+        """The path whose pairs all have weight zero, depth first with the longest arc first. A prefix has one
+        such path, so a place from which the end is not reached is never entered again."""
+        n, trie, pairs, ids = len(text), self.trie, self.pairs, self.ids
+        path: list[str] = []
+        open_arcs: list[list[str]] = []
+        dead: set[int] = set()
+        at, before, arcs = 0, "", None
+        while at < n:
+            if arcs is None:
+                arcs, node, end = [], trie, at
+                while end < n:
+                    node = node.get(text[end])
+                    if node is None:
                         break
-        out, end = [], len(text)
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+                    end += 1
+                    arc = node.get("")
+                    if arc is not None:
+                        arcs.append(arc)
+                if text[at] not in ids:
+                    arcs.insert(0, text[at])
+            row = pairs.get(before)
+            if row is None:
+                row = pairs[before] = {}
+            while arcs:
+                arc = arcs.pop()
+                good = row.get(arc)
+                if good is None:
+                    good = row[arc] = self.allowed(before or None, arc)
+                    self.known += 1
+                if good and (not dead or at + len(arc) not in dead):
+                    path.append(arc)
+                    open_arcs.append(arcs)
+                    at, before, arcs = at + len(arc), arc, None
+                    break
+            else:
+                dead.add(at)
+                arcs = open_arcs.pop()
+                at -= len(path.pop())
+                before = path[-1] if path else ""
+        if self.known > PAIRS:
+            pairs.clear()
+            self.known = 0
+        return path
 
     def unigram_path(self, text: str) -> list[str]:
         cost, back = [0.0] + [INFINITE] * len(text), [0] * (len(text) + 1)
@@ -215,7 +264,7 @@ class Transducer:
             if got is None:
                 got = self.path_ids(part)
                 if len(part) <= 48:
-                    if len(words) >= MEMO:
+                    if len(words) >= WORDS:
                         words.clear()
                     words[part] = got
             out += got
@@ -227,6 +276,17 @@ class Transducer:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
+_COMPILED: dict[int, Transducer] = {}
+
+
+def compiled(key: int, model: Model) -> Transducer:
+    """The transducer of a broadcast model, compiled once a worker and kept for its later tasks."""
+    if key not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[key] = Transducer(model)
+    return _COMPILED[key]
+
+
 def load_model(spark: SparkSession, path: str) -> Model:
     """The model file, read on the driver; it is sent to executors, so its size is checked."""
     if "://" in path:
@@ -244,10 +304,11 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
 
     Null and empty texts have no ids. Texts of any length are encoded whole; memory follows the longest.
     Repeated rows are encoded each; a column named like ``ids`` is replaced."""
-    held = docs.sparkSession.sparkContext.broadcast(load_model(docs.sparkSession, model_path))
+    model = load_model(docs.sparkSession, model_path)
+    held, key = docs.sparkSession.sparkContext.broadcast(model), hash((model_path, len(model.pieces), tuple(model.pieces[-99:])))
 
     def per_text(lists: Iterator[list[str | None]]) -> Iterator[list]:
-        fst = Transducer(held.value)
+        fst = compiled(key, held.value)
         for texts in lists:
             yield [[np.array(fst.encode(t or ""), np.int32) for t in texts]]
 
@@ -256,10 +317,11 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``encoded`` plus ``text``, the decoding of each id list; null ids decode to the empty text."""
-    held = encoded.sparkSession.sparkContext.broadcast(load_model(encoded.sparkSession, model_path))
+    model = load_model(encoded.sparkSession, model_path)
+    held, key = encoded.sparkSession.sparkContext.broadcast(model), hash((model_path, len(model.pieces), tuple(model.pieces[-99:])))
 
     def per_list(lists: Iterator[list]) -> Iterator[list]:
-        fst = Transducer(held.value)
+        fst = compiled(key, held.value)
         for rows in lists:
             yield [[fst.decode(r or []) for r in rows]]
 
