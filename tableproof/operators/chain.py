@@ -199,11 +199,12 @@ def required_chain(pairs: DataFrame, flavour: str, inventory: DataFrame | None =
     ``pairs``: ``mark, series, base_idx, mark_idx, encrypted``. History entries of the inventory
     (``mark, name``) join as a set, without an index."""
     pick = pairs.filter(F.col("base_idx").isNotNull() & (F.col("base_idx") <= F.col("mark_idx")))
-    spread = pick.select("mark", "series", "encrypted", F.explode(F.sequence("base_idx", "mark_idx")).alias("idx"))
+    spread = pick.select(
+        "mark", "series", "encrypted", N.col_of(segment_bytes).alias("_segment"), F.explode(F.sequence("base_idx", "mark_idx")).alias("idx"))
     suffix = F.when(F.col("encrypted"), F.lit(N.ENC_SUFFIX)).otherwise(F.lit(""))
     files = spread.select(
         "mark", "series", "idx",
-        F.concat(N.file_name(F.col("series"), F.col("idx"), flavour, segment_bytes), suffix).alias("name"),
+        F.concat(N.file_name(F.col("series"), F.col("idx"), flavour, F.col("_segment")), suffix).alias("name"),
     )
     if inventory is None:
         return files

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tableproof.functions import names as N
 from tableproof.operators import compare as C
+from tableproof.session import settle
 
 CHECK_COLUMNS = "snapshot string, gate string, subject string, status string, severity string"
 
@@ -35,7 +36,7 @@ def gates_in_cost_order(gates: Sequence[Gate]) -> Outcome:
     rows are kept, so each gate is computed once."""
     done, stopped = [], None
     for gate in gates:
-        rows = gate.checks().persist()
+        rows = settle(gate.checks())
         done.append(rows)
         if gate.refuting and not rows.filter(F.col("severity").isin("failure", "refusal")).isEmpty():
             stopped = gate.name
@@ -52,7 +53,7 @@ def table_checks(snapshot: str, expected: DataFrame, actual: DataFrame) -> DataF
     """Content of every table; an unusable fingerprint is a refusal, not a failure."""
     compared = C.compare_tables(expected, actual)
     rows = checks(compared, snapshot, "tables", "table")
-    return rows.withColumn("severity", F.when(F.col("status") == "UNUSABLE", "refusal").otherwise(F.col("severity")))
+    return rows.withColumn("severity", F.when(F.col("status").isin("UNUSABLE", "FOREIGN_METHOD"), "refusal").otherwise(F.col("severity")))
 
 
 def object_checks(snapshot: str, expected: DataFrame | None, actual: DataFrame | None) -> DataFrame | None:

@@ -6,7 +6,8 @@ manifest, because it grows with the archive."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,45 +21,67 @@ from tableproof.operators import compare as C
 from tableproof.operators import fingerprint as P
 from tableproof.operators import intervals as T
 from tableproof.operators import replay as R
-from tableproof.plans.gates import Gate, age_rows, checks, gates_in_cost_order, one_check, table_checks
+from tableproof.operators import retention as X
+from tableproof.plans.gates import (
+    Gate, age_rows, checks, counter_checks, gates_in_cost_order, object_checks, one_check, table_checks,
+)
 from tableproof.plans.verify import Proof
 from tableproof.schema import BASE_KIND, MARK_KIND
+from tableproof.session import settle
 from tableproof.sources import files
 from tableproof.sources import snapshots as S
 from tableproof.sources.artefacts import hash_artefacts, list_artefacts
 from tableproof.sources.manifests import Refused, manifest_entries, read_manifests, write_manifest
 
-FLAVOUR = "binlog"
+FLAVOURS = ("binlog", "wal")
 
 
 @dataclass(frozen=True)
 class LogPoint:
-    """A log file and the position of the next event in it."""
+    """A log file and the position of the next event in it. A WAL point is a segment; its position is
+    that of a named row in the log (``op`` M), so it may be left out."""
 
     file: str
-    pos: int
+    pos: int | None = None
+    flavour: str = "binlog"
+    segment_bytes: int = N.DEFAULT_SEGMENT_BYTES
 
     @property
     def series(self) -> str:
-        return self.file.rsplit(".", 1)[0]
+        return self.file[:8] if self.flavour == "wal" else self.file.rsplit(".", 1)[0]
 
     @property
     def idx(self) -> int:
+        if self.flavour == "wal":
+            return int(self.file[8:16], 16) * (N.WAL_SPAN // self.segment_bytes) + int(self.file[16:24], 16)
         return int(self.file.rsplit(".", 1)[1])
 
-    @property
-    def position(self) -> R.Position:
-        return (self.idx, self.pos)
+
+def flavour_of(kind: str | None) -> str:
+    """The flavour a manifest kind belongs to."""
+    for flavour in FLAVOURS:
+        if kind in (BASE_KIND[flavour], MARK_KIND[flavour]):
+            return flavour
+    raise Refused(f"{kind} is neither a base nor a mark")
+
+
+#: Manifest fields of either flavour: base file, mark file, whether the archive is encrypted.
+BASE_FILE = {"binlog": "anchor_file", "wal": "wal_start_file"}
+MARK_FILE = {"binlog": "mark_file", "wal": "wal_file"}
+ENCRYPTED = {"binlog": "binlogs_encrypted", "wal": "wal_files_encrypted"}
 
 
 # --- inventories -------------------------------------------------------------------
 
 
-def archive_files(spark: SparkSession, archive: str) -> DataFrame:
-    """``series, idx, name, bytes, sha256`` of the log files of an archive."""
+def archive_files(spark: SparkSession, archive: str, flavour: str = "binlog",
+                  segment_bytes: int = N.DEFAULT_SEGMENT_BYTES) -> DataFrame:
+    """``series, idx, name, bytes, sha256`` of the log files of an archive; timeline history has no index."""
     hashed = hash_artefacts(spark, archive, archive)
-    logs = hashed.filter(N.classify_file(F.col("name"), FLAVOUR, N.is_encrypted(F.col("name"))) == "log")
-    return logs.select(N.file_series(F.col("name"), FLAVOUR).alias("series"), N.file_index(F.col("name"), FLAVOUR).alias("idx"), "name", "bytes", "sha256")
+    kind = N.classify_file(F.col("name"), flavour, N.is_encrypted(F.col("name")))
+    logs = hashed.filter(kind.isin(L.LOG_KIND[flavour], "timeline_history"))
+    return logs.select(N.file_series(F.col("name"), flavour).alias("series"),
+                       N.file_index(F.col("name"), flavour, segment_bytes).alias("idx"), "name", "bytes", "sha256")
 
 
 def inventory_path(manifest_path: str) -> str:
@@ -70,7 +93,8 @@ def read_inventory(spark: SparkSession, manifest_path: str) -> DataFrame:
     mark = manifest_path.rsplit("/", 1)[1]
     if files.exists(spark, inventory_path(manifest_path)):
         return spark.read.parquet(inventory_path(manifest_path)).select(F.lit(mark).alias("mark"), "name", "sha256")
-    entries = manifest_entries(read_manifests(spark, manifest_path), "binlogs")
+    manifest = read_manifests(spark, manifest_path)
+    entries = manifest_entries(manifest, "binlogs").unionByName(manifest_entries(manifest, "wal"))
     return entries.select(F.lit(mark).alias("mark"), F.col("entry").alias("name"), F.col("digest").alias("sha256"))
 
 
@@ -83,10 +107,14 @@ def take_base(tables: Mapping[str, DataFrame], folder: str, db: str, now: int, a
     spark = next(iter(tables.values())).sparkSession
     snap = S.snapshot_tables(tables, folder, db, now, floor=0)
     row = read_manifests(spark, snap.manifest_path).first()
-    path = snap.manifest_path.removesuffix(".json") + "_binlogbase.json"
+    path = snap.manifest_path.removesuffix(".json") + f"_{anchor.flavour}base.json"
     prints = _recorded(spark, snap.manifest_path, db)
-    meta = {"kind": BASE_KIND[FLAVOUR], "database": db, "created_at": row["created_at"], "artefact": snap.artefact, "bytes": row["bytes"],
-            "sha256": row["sha256"], "fingerprint": row["fingerprint"], "gtid_mode": gtid_mode, "anchor_file": anchor.file, "anchor_pos": anchor.pos}
+    meta = {"kind": BASE_KIND[anchor.flavour], "database": db, "created_at": row["created_at"], "artefact": snap.artefact, "bytes": row["bytes"],
+            "sha256": row["sha256"], "fingerprint": row["fingerprint"], BASE_FILE[anchor.flavour]: anchor.file}
+    if anchor.flavour == "wal":
+        meta |= {"wal_segment_bytes": anchor.segment_bytes}
+    else:
+        meta |= {"gtid_mode": gtid_mode, "anchor_pos": anchor.pos}
     write_manifest(prints, None, meta, path)
     return path
 
@@ -96,23 +124,50 @@ def _recorded(spark: SparkSession, manifest_path: str, db: str) -> DataFrame:
     return entries.select(F.lit(db).alias("db"), F.col("entry").alias("table"), F.col("value").alias("fingerprint"))
 
 
-def mark_instant(tables: Mapping[str, DataFrame], before: LogPoint, after: LogPoint, archive: str, folder: str, db: str,
+def await_whole(spark: SparkSession, archive: str, name: str, limit: float = 90.0, pause: float = 1.0, looks: int = 2,
+                clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Wait until the file, or its encrypted form, has had one size for ``looks`` looks in a row. The limit runs from the first
+    look, however the file grows; past it the mark is refused."""
+    began, size, same = clock(), None, 0
+    while True:
+        row = list_artefacts(spark, archive, archive).filter(N.bare_name(F.col("name")) == name).agg(F.max("bytes").alias("n")).first()
+        same = same + 1 if row["n"] is not None and row["n"] == size else 1
+        size = row["n"]
+        if size is not None and same >= looks:
+            return
+        if clock() - began >= limit:
+            raise Refused(f"the archive does not hold {name}" + ("" if size is None else " whole"))
+        sleep(pause)
+
+
+def mark_instant(tables: Mapping[str, DataFrame], position: Callable[[], LogPoint], archive: str, folder: str, db: str,
                  now: int, oldest: LogPoint | None = None, gtid_mode: str = "no", gtid_executed: str | None = None,
-                 objects: DataFrame | None = None, algo: str = "md5") -> str:
-    """Record an instant: fingerprints between two readings of the log position, then the inventory of
-    every archive file of the mark's series up to it. Refuses a mixed archive, a purged gap, an
-    archive that does not hold the mark's own file, and zero tables."""
+                 objects: DataFrame | None = None, algo: str = "xxhash64", limit: float = 90.0, pause: float = 1.0,
+                 mark_name: str | None = None) -> str:
+    """Record an instant: the log position is read, fingerprints and objects are computed and written, and the
+    position is read again; only if it stood still was the source quiesced. Then, once the mark's own
+    file is whole, the inventory of every archive file of its series up to it. Refuses a mixed archive, a
+    purged gap, an archive that does not hold the mark's own file within ``limit`` seconds, and zero tables."""
     spark = next(iter(tables.values())).sparkSession if tables else None
     if spark is None:
         raise Refused("no tables: an instant that lists nothing proves nothing")
-    prints = P.fingerprint_tables(tables, db, "sum", algo=algo).persist()
+    before = position()
+    flavour = before.flavour
+    if flavour == "wal" and not mark_name:
+        raise Refused("a WAL mark needs a name: without one the end of recovery is not known")
+    prints = settle(P.fingerprint_tables(tables, db, "sum", algo=algo))
+    objects = None if objects is None else settle(objects)
+    after = position()
+    await_whole(spark, archive, after.file, limit, pause)
     listing = list_artefacts(spark, archive, archive).withColumnRenamed("site", "archive")
-    form = L.archive_form(listing, FLAVOUR).first()
-    if form is None:
+    form = L.archive_form(listing, flavour).first()
+    if form is None or form["encrypted"] + form["plain"] == 0:
         raise Refused(f"{archive} holds no log files")
     if form["form"] == "MIXED":
         raise Refused(f"{archive} mixes plain and encrypted files")
-    found = archive_files(spark, archive).filter((F.col("series") == after.series) & (F.col("idx") <= after.idx)).persist()
+    found = archive_files(spark, archive, flavour, after.segment_bytes)
+    found = found.filter(F.col("idx").isNull() | (F.col("series") == after.series) & (F.col("idx") <= after.idx))
+    found = settle(found)
     if oldest is not None:
         server = spark.createDataFrame([(oldest.series, oldest.idx)], "series string, oldest bigint")
         gap = L.purged_gap(found, server).first()
@@ -120,15 +175,19 @@ def mark_instant(tables: Mapping[str, DataFrame], before: LogPoint, after: LogPo
             raise Refused(f"files {gap['first']} to {gap['last']} were purged before the archive got them")
     if found.filter(F.col("idx") == after.idx).isEmpty():
         raise Refused(f"the archive does not hold {after.file}")
-    name = f"{S.snapshot_name(db, now)}_binlogmark.json"
+    name = f"{S.snapshot_name(db, now)}_{flavour}mark.json"
     path = f"{folder}/{name}"
     if files.exists(spark, path):
         raise Refused(f"{path} exists")
     try:
         found.select("name", "bytes", "sha256").write.mode("error").parquet(inventory_path(path))
-        meta = {"kind": MARK_KIND[FLAVOUR], "database": db, "created_at": S._iso(now), "fingerprint": f"{algo}/sum", "gtid_mode": gtid_mode,
-                "gtid_executed": gtid_executed, "mark_file": after.file, "mark_pos": after.pos, "quiesced": "yes" if before == after else "no",
-                "binlogs_encrypted": "yes" if form["form"] == "encrypted" else "no"}
+        meta = {"kind": MARK_KIND[flavour], "database": db, "created_at": S._iso(now), "fingerprint": f"{algo}/sum",
+                "quiesced": "yes" if before == after else "no", MARK_FILE[flavour]: after.file,
+                ENCRYPTED[flavour]: "yes" if form["form"] == "encrypted" else "no"}
+        if flavour == "wal":
+            meta |= {"mark_name": mark_name, "wal_segment_bytes": after.segment_bytes}
+        else:
+            meta |= {"gtid_mode": gtid_mode, "gtid_executed": gtid_executed, "mark_pos": after.pos}
         write_manifest(prints, objects, meta, path)
     except BaseException:
         if not files.exists(spark, path):
@@ -140,50 +199,59 @@ def mark_instant(tables: Mapping[str, DataFrame], before: LogPoint, after: LogPo
 # --- one pair ------------------------------------------------------------------------
 
 
-def pair_row(spark: SparkSession, base_path: str, mark_path: str) -> DataFrame:
+def pair_row(spark: SparkSession, base_path: str, mark_path: str, flavour: str) -> DataFrame:
     """Base and mark side by side, as the refusals read them."""
-    def side(path: str, prefix: str, file: str, pos: str) -> DataFrame:
+    def side(path: str, prefix: str, file: str, pos: str | None) -> DataFrame:
         m = read_manifests(spark, path)
+        segment = F.coalesce("wal_segment_bytes", F.lit(N.DEFAULT_SEGMENT_BYTES))
         return m.select(
             F.lit(1).alias("_one"), F.col("kind").alias(f"{prefix}_kind"), F.col("database").alias(f"{prefix}_db"),
-            N.file_series(F.col(file), FLAVOUR).alias(f"{prefix}_series"), N.file_index(F.col(file), FLAVOUR).alias(f"{prefix}_idx"),
-            F.col(pos).alias(f"{prefix}_pos"), F.col("gtid_mode").alias(f"{prefix}_gtid"),
+            N.file_series(F.col(file), flavour).alias(f"{prefix}_series"), N.file_index(F.col(file), flavour, segment).alias(f"{prefix}_idx"),
+            (F.col(pos) if pos else F.lit(None).cast("bigint")).alias(f"{prefix}_pos"), F.col("gtid_mode").alias(f"{prefix}_gtid"),
         )
 
     n = read_inventory(spark, mark_path).agg(F.count("*")).scalar()
-    pair = side(base_path, "base", "anchor_file", "anchor_pos").join(side(mark_path, "mark", "mark_file", "mark_pos"), "_one").drop("_one")
-    return pair.withColumn("inventory_files", n)
+    positions = ("anchor_pos", "mark_pos") if flavour == "binlog" else (None, None)
+    base, mark = side(base_path, "base", BASE_FILE[flavour], positions[0]), side(mark_path, "mark", MARK_FILE[flavour], positions[1])
+    return base.join(mark, "_one").drop("_one").withColumn("inventory_files", n)
 
 
 def sound_pair(spark: SparkSession, base_path: str, mark_path: str):
-    row = L.pair_refusals(pair_row(spark, base_path, mark_path), FLAVOUR).first()
+    """The pair's positions and its flavour, or a refusal; the mark's kind names the flavour."""
+    mark = read_manifests(spark, mark_path).first()
+    if mark is None:
+        raise Refused("a manifest is missing")
+    flavour = flavour_of(mark["kind"])
+    row = L.pair_refusals(pair_row(spark, base_path, mark_path, flavour), flavour).first()
     if row is None or row["refusal"]:
         raise Refused(row["refusal"] if row else "a manifest is missing")
-    return row
+    return row, flavour
 
 
-def chain_of(spark: SparkSession, pair, mark_path: str) -> tuple[DataFrame, DataFrame]:
+def chain_of(spark: SparkSession, pair, mark_path: str, flavour: str) -> tuple[DataFrame, DataFrame]:
     """Required files of one pair, and the mark's inventory."""
-    encrypted = read_manifests(spark, mark_path).first()["binlogs_encrypted"] == "yes"
+    row = read_manifests(spark, mark_path).first()
     mark = mark_path.rsplit("/", 1)[1]
-    pairs = spark.createDataFrame([(mark, pair["mark_series"], pair["base_idx"], pair["mark_idx"], encrypted)],
+    pairs = spark.createDataFrame([(mark, pair["mark_series"], pair["base_idx"], pair["mark_idx"], row[ENCRYPTED[flavour]] == "yes")],
                                   "mark string, series string, base_idx bigint, mark_idx bigint, encrypted boolean")
     inventory = read_inventory(spark, mark_path)
-    return L.required_chain(pairs, FLAVOUR, inventory), inventory
+    return L.required_chain(pairs, flavour, inventory, row["wal_segment_bytes"] or N.DEFAULT_SEGMENT_BYTES), inventory
 
 
 def verify_instant(spark: SparkSession, base_path: str, mark_path: str, archive: str, key: Mapping[str, Sequence[str]],
-                   now: int, max_age_days: int = 0, purged: DataFrame | None = None) -> Proof:
-    """Refusals, the base's bytes, the chain's presence and bytes, the replay's content, the applied
-    transactions, then age. Nothing is replayed once an earlier gate has refuted the pair. ``key`` names
-    the key columns per table; the log tells tables apart by its column ``tbl``."""
-    pair = sound_pair(spark, base_path, mark_path)
+                   now: int, max_age_days: int = 0, purged: DataFrame | None = None, objects: DataFrame | None = None,
+                   counters: DataFrame | None = None, maxima: DataFrame | None = None, inclusive: bool = True) -> Proof:
+    """Refusals, the base's bytes, the chain's presence and bytes, the replay's content, schema objects, the applied
+    transactions, counters, then age. Nothing is replayed once an earlier gate has refuted the pair. ``key`` names
+    the key columns per table; the log tells tables apart by its column ``tbl``. Objects that the mark
+    recorded and nobody shows are a failure."""
+    pair, flavour = sound_pair(spark, base_path, mark_path)
     mark_name = mark_path.rsplit("/", 1)[1]
     base_row, mark_row = read_manifests(spark, base_path).first(), read_manifests(spark, mark_path).first()
     base = S.Snapshot(base_path.rsplit("/", 1)[0], base_row["artefact"], base_path.rsplit("/", 1)[1])
-    db, algo = mark_row["database"], (mark_row["fingerprint"] or "md5/sum").split("/")[0]
-    required, inventory = chain_of(spark, pair, mark_path)
-    anchor, mark = (pair["base_idx"], pair["base_pos"]), (pair["mark_idx"], pair["mark_pos"])
+    db, (method, algo, depth) = mark_row["database"], P.parse_label(mark_row["fingerprint"])
+    required, inventory = chain_of(spark, pair, mark_path, flavour)
+    anchor = (pair["base_idx"], pair["base_pos"] or 0)
 
     def bytes_gate() -> DataFrame:
         try:
@@ -200,21 +268,57 @@ def verify_instant(spark: SparkSession, base_path: str, mark_path: str, archive:
     def chain_gate() -> DataFrame:
         return checks(L.audit_chain(required, inventory, hash_artefacts(spark, archive, archive, required)), mark_name, "chain", "name")
 
+    def whole_log() -> DataFrame:
+        # the files of the chain and no others
+        names = required.filter("idx IS NOT NULL").select("name").distinct().toLocalIterator()
+        return spark.read.parquet(*[f"{archive}/{r['name']}" for r in names])
+
+    def target() -> R.Position | None:
+        """Where the replay ends: the recorded position, or that of the named row in the mark's own segment."""
+        if flavour == "binlog":
+            return pair["mark_idx"], pair["mark_pos"]
+        named = whole_log().filter((F.col("op") == "M") & (F.col("name") == mark_row["mark_name"]) & (F.col("idx") == pair["mark_idx"]))
+        at = named.agg(F.min("pos")).first()[0]
+        return None if at is None else (pair["mark_idx"], at)
+
     def log() -> DataFrame:
-        whole = spark.read.option("pathGlobFilter", f"{pair['mark_series']}.*").parquet(archive)
-        return whole.filter(R.at_or_after((anchor[0], 0)) & R.before(mark))
+        return whole_log().filter(R.at_or_after((anchor[0], 0)) & R.before(mark_at[0]))
+
+    mark_at: list[R.Position] = []
+
+    def target_gate() -> DataFrame:
+        found = target()
+        if found is None:
+            return one_check(spark, mark_name, "target", mark_row["mark_name"] or "-", "NOT_IN_LOG", "failure")
+        mark_at.append(found)
+        return one_check(spark, mark_name, "target", mark_row["mark_name"] or "position", "OK", "ok")
 
     def content_gate() -> DataFrame:
-        states = {}
+        states, changed = {}, log()
         for table, keys in key.items():
             rows = spark.read.parquet(f"{base.artefact_path}/{table}")
             values = [c for c in rows.columns if c not in keys]
-            changes = log().filter(F.col("tbl") == table)
-            states[table] = R.replay_to_mark(rows, changes, anchor, mark, list(keys), values, purged).select(*rows.columns)
-        return table_checks(mark_name, _recorded(spark, mark_path, db), P.fingerprint_tables(states, db, "sum", algo=algo))
+            changes = changed.filter(F.col("tbl") == table)
+            states[table] = R.replay_to_mark(rows, changes, anchor, mark_at[0], list(keys), values, purged).select(*rows.columns)
+        found = P.fingerprint_tables(states, db, method, algo=algo, depth=depth)
+        return table_checks(mark_name, _recorded(spark, mark_path, db), found)
+
+    def objects_gate() -> DataFrame:
+        if not mark_row["objects"]:
+            return one_check(spark, mark_name, "objects", "-", "NOT_RECORDED", "warning")
+        if objects is None:
+            return one_check(spark, mark_name, "objects", "-", "NOT_SUPPLIED", "failure")
+        promised = manifest_entries(read_manifests(spark, mark_path), "objects").select(
+            F.lit(db).alias("db"), F.col("entry").alias("class"), F.col("value").alias("digest"))
+        return object_checks(mark_name, promised, objects)
+
+    def counters_gate() -> DataFrame:
+        if counters is None or maxima is None:
+            return one_check(spark, mark_name, "counters", "-", "NOT_SUPPLIED", "warning")
+        return counter_checks(mark_name, counters, maxima, inclusive)
 
     def txn_gate() -> DataFrame:
-        if not mark_row["gtid_executed"]:
+        if flavour == "wal" or not mark_row["gtid_executed"]:
             return one_check(spark, mark_name, "transactions", "-", "NOT_RECORDED", "warning")
         marked = N.parse_txn_set(read_manifests(spark, mark_path), "gtid_executed")
         replayed = log().filter(R.at_or_after(anchor)).select(F.col("gtid_uuid").alias("uuid"), F.col("gtid_no").alias("lo"), F.col("gtid_no").alias("hi"))
@@ -222,8 +326,9 @@ def verify_instant(spark: SparkSession, base_path: str, mark_path: str, archive:
         return checks(T.txn_subset(marked, applied), mark_name, "transactions", "uuid")
 
     outcome = gates_in_cost_order([
-        Gate("bytes", bytes_gate), Gate("presence", presence_gate), Gate("chain", chain_gate),
-        Gate("tables", content_gate, refuting=False), Gate("transactions", txn_gate, refuting=False),
+        Gate("bytes", bytes_gate), Gate("presence", presence_gate), Gate("chain", chain_gate), Gate("target", target_gate),
+        Gate("tables", content_gate, refuting=False), Gate("objects", objects_gate, refuting=False),
+        Gate("transactions", txn_gate, refuting=False), Gate("counters", counters_gate, refuting=False),
     ])
     ages = None
     if max_age_days > 0:
@@ -233,26 +338,54 @@ def verify_instant(spark: SparkSession, base_path: str, mark_path: str, archive:
     return Proof(C.verdict(outcome.checks, ages), outcome.checks, outcome.stopped_at)
 
 
+# --- retention ------------------------------------------------------------------------
+
+
+def apply_prune(spark: SparkSession, plan: DataFrame, bases: DataFrame, folder: str, archive: str, receipt: str) -> DataFrame:
+    """Carry a retention plan (``db, kind, name, decision``) out; counts per kind.
+
+    Only behind ``receipt``, the manifest of what stays usable, and never when a line was refused. Log files
+    go first, then base artefacts and inventories, manifests last, so whatever a crash leaves is still
+    described. ``bases`` names the artefact of each base (``name, artefact``)."""
+    if not files.exists(spark, receipt):
+        raise Refused(f"{receipt} has not landed: nothing is deleted")
+    known = settle(plan)
+    no = known.filter("decision = 'REFUSED'").first()
+    if no is not None:
+        raise Refused(f"{no['db']}: the oldest kept base has no start, so there is no line")
+    drops = known.filter("decision = 'DROP'")
+    here, there = F.lit(files.qualified(spark, folder)).alias("root"), F.lit(files.qualified(spark, archive)).alias("root")
+    files.delete_files(drops.filter("kind = 'file'").select(there, F.col("name").alias("rel")).distinct())
+    gone = drops.filter("kind = 'base'").join(bases.select("name", "artefact").distinct(), "name")
+    files.delete_files(gone.filter("artefact IS NOT NULL").select(here, F.col("artefact").alias("rel")).distinct())
+    marks = drops.filter("kind = 'mark'")
+    files.delete_files(marks.select(here, F.concat(F.regexp_replace("name", "\\.json$", ""), F.lit(".inventory")).alias("rel")))
+    files.delete_files(drops.filter("kind IN ('base', 'mark')").select(here, F.col("name").alias("rel")))
+    return drops.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- sites ---------------------------------------------------------------------------
 
 
-def publish_instant(spark: SparkSession, base_path: str, mark_path: str, archive: str, site: str) -> DataFrame:
+def publish_instant(spark: SparkSession, base_path: str, mark_path: str, archive: str, site: str, keep: int = 0,
+                    keep_days: int = 0, now: int | None = None) -> DataFrame:
     """Ship a proven pair: chain files the site lacks or holds wrong, the base's artefact, the base
-    manifest, and the mark manifest last. Returns the shipping plan that was carried out."""
-    pair = sound_pair(spark, base_path, mark_path)
+    manifest, and the mark manifest last. Returns the shipping plan that was carried out. With ``keep`` or ``keep_days``
+    (and ``now``) the site's older bases, and what only they need, go behind the mark's manifest."""
+    pair, flavour = sound_pair(spark, base_path, mark_path)
     base_row = read_manifests(spark, base_path).first()
     base = S.Snapshot(base_path.rsplit("/", 1)[0], base_row["artefact"], base_path.rsplit("/", 1)[1])
     S.check_pair(spark, base, "before publishing")
     mark_name = mark_path.rsplit("/", 1)[1]
     if files.exists(spark, f"{site}/{mark_name}"):
         raise Refused(f"{mark_name} is already at the site")
-    required, inventory = chain_of(spark, pair, mark_path)
+    required, inventory = chain_of(spark, pair, mark_path, flavour)
     local = hash_artefacts(spark, archive, archive, required)
     bad = L.audit_chain(required, inventory, local).filter("status <> 'OK'").first()
     if bad is not None:
-        raise Refused(f"the local chain does not stand: {bad['name']} is {bad['status']}")
-    plan = L.ship_plan(required, inventory, hash_artefacts(spark, site, site, required)).persist()
-    ship = plan.filter("action <> 'SKIP'").select(F.lit(archive).alias("root"), F.col("name").alias("rel"), "sha256")
+        raise Refused(f"{bad['name']} of the local chain is {bad['status']}")
+    plan = settle(L.ship_plan(required, inventory, hash_artefacts(spark, site, site, required)))
+    ship = plan.filter("action <> 'SKIP'").select(F.lit(files.qualified(spark, archive)).alias("root"), F.col("name").alias("rel"), "sha256")
     _ship(spark, ship, site)
     there = S.Snapshot(site, base.artefact, base.manifest)
     if files.exists(spark, there.artefact_path):
@@ -269,9 +402,33 @@ def publish_instant(spark: SparkSession, base_path: str, mark_path: str, archive
         files.rename(spark, f"{target}.part", target)
     folder = mark_path.rsplit("/", 1)[0]
     S._copy_manifest(spark, S.Snapshot(folder, "", mark_name), S.Snapshot(site, "", mark_name))
+    if keep > 0 or keep_days > 0:
+        if now is None:
+            raise ValueError("retention needs the time it is judged at")
+        prune_site(spark, site, flavour, keep, keep_days, now, f"{site}/{mark_name}")
     return plan
 
 
+def prune_site(spark: SparkSession, site: str, flavour: str, keep: int, keep_days: int, now: int, receipt: str) -> DataFrame:
+    """Plan and carry out the retention of a folder that holds bases, marks and their archive."""
+    marks, bases = points_at(spark, site, flavour)
+    segment = read_manifests(spark, receipt).first()["wal_segment_bytes"] or N.DEFAULT_SEGMENT_BYTES
+    names = list_artefacts(spark, site, site).select("name")
+    kind = N.classify_file(F.col("name"), flavour, N.is_encrypted(F.col("name")))
+    held = names.select(
+        "name", kind.alias("kind"), N.file_series(F.col("name"), flavour).alias("series"),
+        N.file_index(F.col("name"), flavour, segment).alias("idx")).filter(F.col("kind").isin("segment", "log", "backup_history"))
+    # the log of a series serves every database whose oldest kept base lies in it: the lowest line counts
+    plan = settle(X.prune_chain(bases, marks, held.join(bases.select("db", "series").distinct(), "series"), keep, keep_days, now))
+    lines = settle(X.retention_line(bases, keep, keep_days, now))
+    kept = bases.join(lines.select("db"), "db", "left_anti").groupBy("series").agg(F.min("idx").alias("_low"))
+    cut = lines.groupBy("series").agg(F.min("idx").alias("_line")).join(kept, "series", "left").select(
+        "series", F.least("_line", F.coalesce("_low", "_line")).alias("_safe"))
+    free = held.join(cut, "series").filter(F.col("idx") < F.col("_safe")).select("name").distinct().withColumn("kind", F.lit("file"))
+    files_go = plan.filter("kind = 'file'").join(free, ["kind", "name"], "left_semi")
+    return apply_prune(spark, plan.filter("kind <> 'file'").unionByName(files_go), bases, site, site, receipt)
+
+
 def _ship(spark: SparkSession, ship: DataFrame, site: str) -> None:
     """Copy into a temporary folder of the site, hash there, move each file into place."""
     if ship.isEmpty():
@@ -282,51 +439,51 @@ def _ship(spark: SparkSession, ship: DataFrame, site: str) -> None:
         landed = files.hash_files(files.list_files(spark, part)).select("rel", F.col("sha256").alias("_landed"))
         lied = ship.join(landed, "rel", "left").filter(~F.col("sha256").eqNullSafe(F.col("_landed"))).first()
         if lied is not None:
-            raise Refused(f"{lied['rel']} does not hash back at the site")
-        for row in ship.select("rel").toLocalIterator():  # names only; a rename each
-            files.remove(spark, f"{site}/{row['rel']}")
-            files.rename(spark, f"{part}/{row['rel']}", f"{site}/{row['rel']}")
+            raise Refused(f"{lied['rel']}: the hash taken at the site is not the recorded one")
+        files.move_files(ship.select(F.lit(files.qualified(spark, part)).alias("root"), "rel"), site)
     finally:
         files.remove(spark, part)
 
 
-def points_at(spark: SparkSession, site: str) -> tuple[DataFrame, DataFrame]:
+def points_at(spark: SparkSession, site: str, flavour: str = "binlog") -> tuple[DataFrame, DataFrame]:
     """Marks and bases of a site as ``db, series, idx, pos, name`` (bases with artefact and hash)."""
     m = read_manifests(spark, site)
-    marks = m.filter(F.col("kind") == MARK_KIND[FLAVOUR]).select(
-        F.col("database").alias("db"), N.file_series(F.col("mark_file"), FLAVOUR).alias("series"), N.file_index(F.col("mark_file"), FLAVOUR).alias("idx"),
-        F.col("mark_pos").alias("pos"), "name", F.coalesce("binlogs_encrypted", F.lit("no")).alias("encrypted"),
-    )
-    bases = m.filter(F.col("kind") == BASE_KIND[FLAVOUR]).select(
-        F.col("database").alias("db"), N.file_series(F.col("anchor_file"), FLAVOUR).alias("series"), N.file_index(F.col("anchor_file"), FLAVOUR).alias("idx"),
-        F.col("anchor_pos").alias("pos"), "name", "artefact", "sha256",
-    )
+    segment = F.coalesce("wal_segment_bytes", F.lit(N.DEFAULT_SEGMENT_BYTES))
+
+    def place(file: str, pos: str) -> list:
+        at = F.col(pos) if flavour == "binlog" else F.lit(0).cast("bigint")
+        return [F.col("database").alias("db"), N.file_series(F.col(file), flavour).alias("series"),
+                N.file_index(F.col(file), flavour, segment).alias("idx"), at.alias("pos"), "name"]
+
+    marks = m.filter(F.col("kind") == MARK_KIND[flavour]).select(
+        *place(MARK_FILE[flavour], "mark_pos"), F.coalesce(ENCRYPTED[flavour], F.lit("no")).alias("encrypted"), segment.alias("segment_bytes"))
+    bases = m.filter(F.col("kind") == BASE_KIND[flavour]).select(*place(BASE_FILE[flavour], "anchor_pos"), "artefact", "sha256")
     return marks, bases
 
 
-def fetch_instant(spark: SparkSession, db: str, site: str, out: str) -> tuple[str, str]:
+def fetch_instant(spark: SparkSession, db: str, site: str, out: str, flavour: str = "binlog") -> tuple[str, str]:
     """Newest mark of the database at the site, the base that reaches it, and every file between. A
     mark without inventory is refused; an older mark is never taken instead; nothing is overwritten."""
-    marks, bases = points_at(spark, site)
-    picked = L.pick_latest_pair(marks, bases, FLAVOUR, db).first()
+    marks, bases = points_at(spark, site, flavour)
+    picked = L.pick_latest_pair(marks, bases, flavour, db).first()
     if picked is None:
         raise Refused(f"the site holds no mark of {db}")
     if picked["status"] != "OK":
         raise Refused(f"{picked['mark']}: {picked['status']}")
     base_path, mark_path = f"{site}/{picked['base']}", f"{site}/{picked['mark']}"
-    pair = sound_pair(spark, base_path, mark_path)
-    required, inventory = chain_of(spark, pair, mark_path)
+    pair, flavour = sound_pair(spark, base_path, mark_path)
+    required, inventory = chain_of(spark, pair, mark_path, flavour)
     here = hash_artefacts(spark, out, out, required)
-    plan = L.fetch_plan(required, inventory, here).persist()
+    plan = settle(L.fetch_plan(required, inventory, here))
     no = plan.filter("action LIKE 'REFUSE%'").first()
     if no is not None:
         raise Refused(f"{no['name']}: {no['action']}")
     promised = inventory.select("name", "sha256").distinct()
-    want = plan.filter("action = 'FETCH'").join(promised, "name").select(F.lit(site).alias("root"), F.col("name").alias("rel"), "sha256")
+    want = plan.filter("action = 'FETCH'").join(promised, "name").select(F.lit(files.qualified(spark, site)).alias("root"), F.col("name").alias("rel"), "sha256")
     base_row = read_manifests(spark, base_path).first()
     for name in (base_row["artefact"], picked["base"], picked["mark"]):
         if files.exists(spark, f"{out}/{name}"):
-            raise Refused(f"{out}/{name} exists: fetching writes fresh copies only")
+            raise Refused(f"{out}/{name} exists already and is left alone")
     _ship(spark, want, out)
     S._transfer(spark, f"{site}/{base_row['artefact']}", f"{out}/{base_row['artefact']}", base_row["sha256"], "the fetched base")
     for name in (picked["base"], picked["mark"]):
@@ -338,7 +495,7 @@ def fetch_instant(spark: SparkSession, db: str, site: str, out: str) -> tuple[st
 
 
 def site_problems(listing: DataFrame, marks: DataFrame, bases: DataFrame, hashes: DataFrame, inventory: DataFrame,
-                  now: int, max_age_days: int, flavour: str = FLAVOUR) -> DataFrame:
+                  now: int, max_age_days: int, flavour: str = "binlog") -> DataFrame:
     """``db, subject, problem`` of the instants a site claims: crashed uploads, newest marks without an
     inventory or an intact base, chain files unvouched, absent or rotten, databases gone quiet.
 
@@ -357,7 +514,10 @@ def site_problems(listing: DataFrame, marks: DataFrame, bases: DataFrame, hashes
     reached = L.reachable_base(sound, L.intact_base(own, hashes), flavour)
     parts.append(reached.filter("base IS NULL").select("db", F.col("name").alias("subject"), F.lit("NO_INTACT_BASE").alias("problem")))
     pairs = reached.select("db", F.col("name").alias("mark"), "series", "base_idx", F.col("idx").alias("mark_idx"), (F.col("encrypted") == "yes").alias("encrypted"))
-    required = L.required_or_inventory(L.required_chain(pairs, flavour, inventory.join(pairs.select("mark"), "mark", "left_semi")), inventory, pairs)
+    segment = F.col("segment_bytes") if "segment_bytes" in reached.columns else F.lit(N.DEFAULT_SEGMENT_BYTES)
+    sized = reached.select(F.col("name").alias("mark"), segment.alias("_seg"))
+    chain = L.required_chain(pairs.join(sized, "mark"), flavour, inventory.join(pairs.select("mark"), "mark", "left_semi"), F.col("_seg"))
+    required = L.required_or_inventory(chain, inventory, pairs)
     audit = L.audit_chain(required, inventory, hashes.select(F.col("artefact").alias("name"), "sha256"))
     parts.append(audit.filter("status <> 'OK'").join(pairs.select("mark", "db"), "mark").select("db", F.col("name").alias("subject"), F.col("status").alias("problem")))
     if max_age_days > 0:
@@ -366,35 +526,76 @@ def site_problems(listing: DataFrame, marks: DataFrame, bases: DataFrame, hashes
     return reduce(DataFrame.unionByName, parts)
 
 
-def _probe_bases(spark: SparkSession, site: str, newest: DataFrame, bases: DataFrame) -> list[tuple[str, str]]:
+def _probe_bases(spark: SparkSession, site: str, newest: DataFrame, bases: DataFrame, flavour: str) -> list[tuple[str, str]]:
     """``(artefact, sha256)`` of the bases that were looked at: for every newest mark the newest base
-    that reaches it, and the next one only when that one is not intact."""
-    own = bases.filter(N.name_stamp(F.col("name"), F.col("db")).isNotNull()).persist()
+    that reaches it, and the next one only when that one is not intact. The bases of a round are hashed together."""
+    own = settle(bases.filter(N.name_stamp(F.col("name"), F.col("db")).isNotNull()))
     seen: dict[str, str] = {}
     while True:
         rotten = [a for a, sha in seen.items() if not sha]
-        picked = L.reachable_base(newest, own.filter(~F.col("artefact").isin(rotten)), FLAVOUR, ["artefact", "sha256"])
-        fresh = [r for r in picked.filter("base IS NOT NULL").select("base_artefact", "base_sha256").distinct().collect() if r["base_artefact"] not in seen]
+        picked = L.reachable_base(newest, own.filter(~F.col("artefact").isin(rotten)), flavour, ["artefact", "sha256"])
+        fresh = {r["base_artefact"]: r["base_sha256"] for r in picked.filter("base IS NOT NULL").select("base_artefact", "base_sha256").distinct().collect()
+                 if r["base_artefact"] not in seen}
         if not fresh:
             return [(a, sha) for a, sha in seen.items() if sha]
-        for row in fresh:
-            path, found = f"{site}/{row['base_artefact']}", ""
-            if files.exists(spark, path):
-                found, _, _ = files.tree_fingerprint(files.hash_files(files.walk_files(spark, path)))
-            seen[row["base_artefact"]] = found if found == row["base_sha256"] else ""
+        found = artefact_hashes(spark, site, list(fresh))
+        seen |= {a: sha if found.get(a) == sha else "" for a, sha in fresh.items()}
 
 
-def check_site(spark: SparkSession, site: str, now: int, max_age_days: int = 0) -> DataFrame:
-    """Audit the instants of a site from its own files."""
-    marks, bases = points_at(spark, site)
+def artefact_hashes(spark: SparkSession, site: str, artefacts: Sequence[str]) -> dict[str, str]:
+    """Hashes of whole artefacts of a site, folders or files, all of them in one job; what is absent has none."""
+    roots = {files.qualified(spark, f"{site}/{a}"): a for a in artefacts}
+    trees = files.tree_fingerprints(files.hash_files(files.walk_files(spark, *roots)))
+    out = {roots[r["root"]]: r["sha256"] for r in trees.select("root", "sha256").collect()}
+    plain = [a for a in artefacts if a not in out]
+    if plain:
+        names = spark.createDataFrame([(a,) for a in plain], "name string")
+        out |= {r["name"]: r["sha256"] for r in hash_artefacts(spark, site, site, names).collect()}
+    return out
+
+
+def check_instants(spark: SparkSession, site: str, now: int, max_age_days: int, flavour: str) -> tuple[DataFrame, int]:
+    """Problems of one flavour's instants at a site, and how many databases have a mark."""
+    marks, bases = points_at(spark, site, flavour)
     listing = list_artefacts(spark, site, site).select("name")
-    newest = L.newest_marks(marks).persist()
+    newest = settle(L.newest_marks(marks))
     names = [r["name"] for r in newest.select("name").toLocalIterator()]  # one per database
     nothing = spark.createDataFrame([], "mark string, name string, sha256 string")
-    inventory = reduce(DataFrame.unionByName, [read_inventory(spark, f"{site}/{n}") for n in names], nothing)
+    tables = [files.qualified(spark, inventory_path(f"{site}/{n}")) for n in names if files.exists(spark, inventory_path(f"{site}/{n}"))]
+    inventory = nothing
+    if tables:
+        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        read = spark.read.parquet(*tables).select(F.regexp_replace(folder, "\\.inventory$", ".json").alias("mark"), "name", "sha256")
+        inventory = inventory.unionByName(read)
+    manifests = read_manifests(spark, site).join(newest.select("name"), "name", "left_semi")
+    for section in ("binlogs", "wal"):
+        entries = manifest_entries(manifests.withColumnRenamed("name", "mark"), section, "mark")
+        inventory = inventory.unionByName(entries.select("mark", F.col("entry").alias("name"), F.col("digest").alias("sha256")))
+    inventory = settle(inventory)
     # only files some newest mark stands on are read
     hashes = hash_artefacts(spark, site, site, inventory).select(F.col("name").alias("artefact"), "sha256")
-    trees = _probe_bases(spark, site, newest, bases)
+    trees = _probe_bases(spark, site, newest, bases, flavour)
     if trees:
         hashes = hashes.unionByName(spark.createDataFrame(trees, "artefact string, sha256 string"))
-    return site_problems(listing, marks, bases, hashes, inventory, now, max_age_days)
+    return site_problems(listing, marks, bases, hashes, inventory, now, max_age_days, flavour), len(names)
+
+
+def check_site(spark: SparkSession, site: str, now: int, max_age_days: int = 0) -> DataFrame:
+    """Audit a site from its own files: ``db, subject, problem`` over dump pairs and instants of both
+    flavours. A site where nothing is wrong and nothing is proven either says so."""
+    parts, proven = [], 0
+    for flavour in FLAVOURS:
+        found, marks = check_instants(spark, site, now, max_age_days, flavour)
+        parts.append(found)
+        proven += marks
+    dumps = G.by_kind(read_manifests(spark, site), ["dump"]).filter("artefact IS NOT NULL")
+    named = [r["artefact"] for r in dumps.select("artefact").distinct().toLocalIterator()]  # one per dump
+    hashes = spark.createDataFrame(list(artefact_hashes(spark, site, named).items()) if named else [], "artefact string, sha256 string")
+    listing = hashes.select(F.lit(site).alias("site"), F.col("artefact").alias("name"), "sha256")
+    audit = settle(G.audit_site(listing, dumps.select(F.lit(site).alias("site"), "name", "artefact", "sha256")))
+    owners = dumps.select("name", F.col("database").alias("db"))
+    parts.append(audit.filter("status <> 'OK'").join(owners, "name", "left").select("db", F.col("name").alias("subject"), F.col("status").alias("problem")))
+    problems = settle(reduce(DataFrame.unionByName, parts).distinct())
+    if problems.isEmpty() and proven == 0 and audit.filter("status = 'OK'").isEmpty():
+        return spark.createDataFrame([(None, site, "NOTHING_PROVEN")], problems.schema)
+    return problems

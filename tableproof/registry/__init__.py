@@ -39,4 +39,5 @@ def load_all() -> None:
         replays,
         retentions,
         streams,
+        workflows,
     )

@@ -23,7 +23,7 @@ from tableproof.sources.manifests import manifest_entries, manifest_row
 
 def manifest(spark, sf_dir):
     tables = {"conversations": X.load(spark, sf_dir, "conversations"), "copy": X.view(spark, sf_dir, X.CONVERSATIONS_COPY)}
-    return manifest_row(P.fingerprint_tables(tables, "app"), digests_of(object_catalog(spark, sf_dir)), {"database": "app"})
+    return manifest_row(P.fingerprint_tables(tables, "app", algo="md5"), digests_of(object_catalog(spark, sf_dir)), {"database": "app"})
 
 
 CONV_PRINT = "SELECT '{t}' AS entry, fingerprint AS value, digest, n FROM ({q}) f"

@@ -80,3 +80,21 @@ def s2(spark, sf_dir):
     text = OBSERVED.replace("{steps}", "LATERAL VIEW explode(array(1L, 2L, 3L)) s AS step")
     seen = spark.sql(text, orders=orders).select("name", F.col("size").cast("bigint").alias("size"), "observed_at")
     return drain(spark, stream_arrival(seen, 4096, False), "append").select("name", "status", "size", "observed_at")
+
+
+# Ciphertext is whole when it is larger than a segment and has had one size twice.
+OBSERVED_ENCRYPTED = (
+    "SELECT concat('seg-', CAST(o_orderkey AS STRING), '.age') AS name, step AS observed_at, "
+    "CASE WHEN step = 1 THEN 1000 WHEN o_orderkey % 7 = 0 THEN 4096 WHEN o_orderkey % 7 = 1 THEN 4100 + step ELSE 4196 END AS size FROM {orders} {steps}"
+)
+
+
+@register(
+    "s2_stream_arrival_encrypted",
+    "SELECT concat('seg-', CAST(o_orderkey AS VARCHAR), '.age') AS name, 'WHOLE' AS status, 4196::BIGINT AS size, 3::BIGINT AS observed_at FROM {orders} WHERE o_orderkey % 7 > 1",
+)
+def s2_encrypted(spark, sf_dir):
+    orders = table_stream(spark, sf_dir, "orders")
+    text = OBSERVED_ENCRYPTED.replace("{steps}", "LATERAL VIEW explode(array(1L, 2L, 3L)) s AS step")
+    seen = spark.sql(text, orders=orders).select("name", F.col("size").cast("bigint").alias("size"), "observed_at")
+    return drain(spark, stream_arrival(seen, 4096, True), "append").select("name", "status", "size", "observed_at")

@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableproof.operators.fingerprint import LEAF_DIGITS, tree_digests
+from tableproof.session import settle
 
 CHUNK = 8 * 1024 * 1024
+SLICE_NAMES = 4096
+TASK_BYTES = 128 * 1024 * 1024
 
 
 # --- driver: single small steps ----------------------------------------------------
@@ -26,6 +29,13 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark resolves it by, so that tasks meet the same store. A path
+    without a scheme is one of the cluster's default file system, not of the executor's own disk."""
+    fs, p = _fs(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)
@@ -91,19 +101,20 @@ def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             system, base = _arrow_fs(row["root"])
             rel = row["rel"]
             found = system.get_file_info(fs.FileSelector(f"{base}/{rel}" if rel else base))
-            yield _batch(
-                [
-                    (
-                        row["root"],
-                        f"{rel}/{i.base_name}" if rel else i.base_name,
-                        i.type == fs.FileType.Directory,
-                        int(i.size or 0),
-                        int(i.mtime.timestamp()) if i.mtime else None,
-                    )
-                    for i in found
-                ],
-                _LISTED,
-            )
+            for at in range(0, len(found), SLICE_NAMES):
+                yield _batch(
+                    [
+                        (
+                            row["root"],
+                            f"{rel}/{i.base_name}" if rel else i.base_name,
+                            i.type == fs.FileType.Directory,
+                            int(i.size or 0),
+                            int(i.mtime.timestamp()) if i.mtime else None,
+                        )
+                        for i in found[at:at + SLICE_NAMES]
+                    ],
+                    _LISTED,
+                )
 
 
 def list_level(directories: DataFrame) -> DataFrame:
@@ -113,23 +124,37 @@ def list_level(directories: DataFrame) -> DataFrame:
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Regular files directly under ``root``: ``root, rel, bytes, mtime``."""
-    start = spark.createDataFrame([(root, "")], "root string, rel string")
+    start = spark.createDataFrame([(qualified(spark, root), "")], "root string, rel string")
     return list_level(start).filter("NOT is_dir").drop("is_dir")
 
 
-def walk_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every regular file below ``root``, level by level: the directories of a level are spread over
-    tasks, and the walk ends at the first level without any."""
-    level = spark.createDataFrame([(root, "")], "root string, rel string")
+def walk_files(spark: SparkSession, *roots: str) -> DataFrame:
+    """Every regular file below the roots, level by level: the directories of a level are spread over
+    tasks, and the walk ends at the first level without any. Each level is written to the shared folder.
+    A root that is not there has no files."""
+    begin = [(qualified(spark, root), "") for root in roots if is_folder(spark, root)]
+    level = spark.createDataFrame(begin, "root string, rel string")
     files = None
     while True:
-        found = list_level(level).persist()
+        found = settle(list_level(level))
         here = found.filter("NOT is_dir").drop("is_dir")
         files = here if files is None else files.unionByName(here)
         level = found.filter("is_dir").select("root", "rel")
         if level.isEmpty():
             return files
-        level = level.repartition("rel")
+        level = level.repartition(spark.sparkContext.defaultParallelism, "root", "rel")
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """``files`` dealt to tasks in a stated number, which adaptive execution leaves alone: enough tasks for all
+    cores while there are files, and no more than about ``TASK_BYTES`` each where sizes are known. Names are
+    ordered by hash, so every task gets as many files as another."""
+    known = settle(files)
+    size = F.sum("bytes") if "bytes" in known.columns else F.lit(0)
+    n, total = known.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    cores = known.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(n, max(2 * cores, -(-total // TASK_BYTES))))
+    return known.repartitionByRange(tasks, F.xxhash64("rel"), F.col("rel"))
 
 
 _HASHED = "root string, rel string, bytes bigint, sha256 string"
@@ -149,8 +174,7 @@ def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hash_files(files: DataFrame) -> DataFrame:
     """``root, rel, bytes, sha256`` of ``root, rel`` rows, hashed by the task that reads them."""
-    spread = files.select("root", "rel").repartition("rel")
-    return spread.mapInArrow(_hash_files, _HASHED)
+    return spread(files).select("root", "rel").mapInArrow(_hash_files, _HASHED)
 
 
 _COPIED = "root string, rel string, target string"
@@ -171,17 +195,65 @@ def _copy_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def copy_files(files: DataFrame, target: str) -> int:
     """Copy ``root, rel`` files below ``target``, each in its own task's hands; the number copied."""
-    moved = files.select("root", "rel").repartition("rel").withColumn("target", F.lit(target))
+    goal = qualified(files.sparkSession, target)
+    moved = spread(files).select("root", "rel").withColumn("target", F.lit(goal))
     return moved.mapInArrow(_copy_files, _COPIED).count()
 
 
-def tree_fingerprint(hashed: DataFrame) -> tuple[str, int, int]:
-    """``(sha256, bytes, files)`` of a whole directory from its hashed files: names, sizes and
+def _move_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            system, source = _arrow_fs(row["root"])
+            _, goal = _arrow_fs(row["target"])
+            begin, end = f"{source}/{row['rel']}", f"{goal}/{row['rel']}"
+            # a task that runs again finds its file moved already
+            if system.get_file_info(begin).type != fs.FileType.NotFound or system.get_file_info(end).type == fs.FileType.NotFound:
+                system.move(begin, end)
+            yield _batch([(row["root"], row["rel"], row["target"])], _COPIED)
+
+
+def move_files(files: DataFrame, target: str) -> int:
+    """Move ``root, rel`` files into ``target`` on the same store, each by its own task. What lies there under the
+    name is replaced in one step, never removed first; the number moved."""
+    goal = qualified(files.sparkSession, target)
+    moved = spread(files).select("root", "rel").withColumn("target", F.lit(goal))
+    return moved.mapInArrow(_move_files, _COPIED).count()
+
+
+def _delete_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            system, base = _arrow_fs(row["root"])
+            path = f"{base}/{row['rel']}"
+            kind = system.get_file_info(path).type
+            if kind == fs.FileType.Directory:
+                system.delete_dir(path)
+            elif kind == fs.FileType.File:
+                system.delete_file(path)
+            yield _batch([(row["root"], row["rel"], "")], _COPIED)
+
+
+def delete_files(files: DataFrame) -> int:
+    """Delete ``root, rel`` files or folders in tasks; one that is gone already is no error."""
+    return spread(files).select("root", "rel").mapInArrow(_delete_files, _COPIED).count()
+
+
+def tree_fingerprints(hashed: DataFrame) -> DataFrame:
+    """``root, sha256, bytes, files`` of whole directories from their hashed files: names, sizes and
     contents, whatever the order of listing."""
-    entries = hashed.select(
-        F.sha2(F.concat_ws("\n", "rel", F.col("bytes").cast("string"), "sha256"), 256).alias("h"), "bytes"
-    ).persist()
-    total = entries.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
-    digest = tree_digests(entries, [], LEAF_DIGITS, "sha256").first()
-    entries.unpersist()
-    return (digest["digest"] if digest else ""), total["bytes"], total["n"]
+    entries = settle(hashed.select(
+        "root", F.sha2(F.concat_ws("\n", "rel", F.col("bytes").cast("string"), "sha256"), 256).alias("h"), "bytes"
+    ))
+    sizes = entries.groupBy("root").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("files"))
+    return tree_digests(entries, ["root"], LEAF_DIGITS, "sha256").join(sizes, "root").select(
+        "root", F.col("digest").alias("sha256"), "bytes", "files")
+
+
+def tree_fingerprint(hashed: DataFrame) -> tuple[str, int, int]:
+    """``(sha256, bytes, files)`` of one directory; an empty one has no hash."""
+    row = tree_fingerprints(hashed).first()
+    return (row["sha256"], row["bytes"], row["files"]) if row else ("", 0, 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableproof import schema as S
@@ -19,11 +19,16 @@ class Refused(RuntimeError):
     """A step that must not go on; nothing was written."""
 
 
+def file_name() -> Column:
+    """The name of the file a row comes from. The metadata column escapes it as in a URL, where a plus stands for itself."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Every ``*.json`` under ``path`` in the fixed schema, plus its ``name``. Absent keys are null."""
     return (
         spark.read.schema(S.MANIFEST_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-        .select("*", F.col("_metadata.file_name").alias("name"))
+        .select("*", file_name().alias("name"))
     )
 
 

@@ -12,7 +12,9 @@ from tableproof.functions import digests as D
 from tableproof.functions import names as N
 from tableproof.functions.canonical import quoted
 from tableproof.operators import fingerprint as P
-from tableproof.operators.catalog import newest_manifest
+from tableproof.operators.catalog import by_kind, newest_manifest
+from tableproof.operators.retention import retention_victims
+from tableproof.session import settle
 from tableproof.sources import files
 from tableproof.sources.manifests import Refused, manifest_entries, read_manifests, write_manifest
 
@@ -52,9 +54,11 @@ def _write_observed(df: DataFrame, path: str, algo: str) -> dict[str, int]:
 
 
 def snapshot_tables(tables: Mapping[str, DataFrame], folder: str, db: str, now: int, label: str | None = None,
-                    objects: DataFrame | None = None, floor: int = N.ARTEFACT_FLOOR["default"], algo: str = "md5") -> Snapshot:
+                    objects: DataFrame | None = None, floor: int = N.ARTEFACT_FLOOR["default"], algo: str = "xxhash64",
+                    keep: int = 0, keep_days: int = 0) -> Snapshot:
     """Write every table under a temporary name, read it back, compare what was written with what is
-    there, move it into place, and write the manifest last. On any failure nothing plausible stays."""
+    there, move it into place, and write the manifest last. On any failure nothing plausible stays. With
+    ``keep`` or ``keep_days`` older snapshots of the database go once the manifest has landed."""
     if not tables:
         raise Refused("no tables: a manifest that lists nothing proves nothing")
     spark = next(iter(tables.values())).sparkSession
@@ -66,10 +70,10 @@ def snapshot_tables(tables: Mapping[str, DataFrame], folder: str, db: str, now:
     part = f"{snap.artefact_path}.part"
     try:
         written = {t: _write_observed(df, f"{part}/{t}", algo) for t, df in sorted(tables.items())}
-        back = P.fingerprint_tables({t: spark.read.parquet(f"{part}/{t}") for t in tables}, db, "sum", algo=algo).persist()
+        back = settle(P.fingerprint_tables({t: spark.read.parquet(f"{part}/{t}") for t in tables}, db, "sum", algo=algo))
         promised = P.render_state(_states(spark, written, algo), ["table"], algo).select("table", F.col("fingerprint").alias("written"))
         drift = back.join(promised, "table", "full_outer").filter(~F.col("fingerprint").eqNullSafe(F.col("written")))
-        wrong = [r["table"] for r in drift.select("table").limit(5).collect()]
+        wrong = sorted(r["table"] for r in drift.select("table").collect())  # names of tables, one row each
         if wrong:
             raise Refused(f"read-back differs from what was written: {wrong}")
         hashed = files.hash_files(files.walk_files(spark, part))
@@ -85,9 +89,24 @@ def snapshot_tables(tables: Mapping[str, DataFrame], folder: str, db: str, now:
         if files.exists(spark, snap.artefact_path) and not files.exists(spark, snap.manifest_path):
             files.remove(spark, snap.artefact_path)
         raise
+    if keep > 0 or keep_days > 0:
+        prune_snapshots(spark, folder, db, keep, keep_days, now, snap.manifest_path)
     return snap
 
 
+def prune_snapshots(spark: SparkSession, folder: str, db: str, keep: int, keep_days: int, now: int, receipt: str) -> int:
+    """Delete the snapshots of a database that retention lets go, artefacts before manifests, and only
+    when ``receipt``, the manifest of what replaces them, is there. How many went."""
+    if not files.exists(spark, receipt):
+        raise Refused(f"{receipt} has not landed: nothing is deleted")
+    dumps = by_kind(read_manifests(spark, folder), ["dump"]).filter((F.col("database") == db) & F.col("artefact").isNotNull())
+    pairs = dumps.select(F.col("database").alias("db"), "name", "artefact")
+    gone = settle(retention_victims(pairs, keep, keep_days, now).join(pairs, ["db", "name"]))
+    root = F.lit(files.qualified(spark, folder)).alias("root")
+    files.delete_files(gone.select(root, F.col("artefact").alias("rel")))
+    return files.delete_files(gone.select(root, F.col("name").alias("rel")))
+
+
 def _states(spark: SparkSession, written: Mapping[str, Mapping[str, int]], algo: str) -> DataFrame:
     """Observed limb sums as sum states; one row per table."""
     names = P.lane_names(algo)
@@ -134,7 +153,7 @@ def load_snapshot(spark: SparkSession, manifest_path: str) -> tuple[dict[str, Da
 def tables_on_disk(spark: SparkSession, snap: Snapshot) -> list[str]:
     if not files.exists(spark, snap.artefact_path):
         return []
-    start = spark.createDataFrame([(snap.artefact_path, "")], "root string, rel string")
+    start = spark.createDataFrame([(files.qualified(spark, snap.artefact_path), "")], "root string, rel string")
     return sorted(r["rel"] for r in files.list_level(start).filter("is_dir").select("rel").collect())
 
 
@@ -143,14 +162,16 @@ def check_pair(spark: SparkSession, snap: Snapshot, context: str) -> None:
     row = read_manifests(spark, snap.manifest_path).first()
     sha, size, _ = files.tree_fingerprint(files.hash_files(files.walk_files(spark, snap.artefact_path)))
     if size != row["bytes"]:
-        raise Refused(f"{context}: size drift - manifest says {row['bytes']} bytes, found {size}")
+        raise Refused(f"{context}: size drift, {size} bytes lie where {row['bytes']} were recorded")
     if sha != row["sha256"]:
-        raise Refused(f"{context}: checksum drift - these are not the bytes the manifest was written about")
+        raise Refused(f"{context}: checksum drift, the hash is not the recorded one")
 
 
-def publish_verified(spark: SparkSession, manifest_path: str, site: str) -> Snapshot:
+def publish_verified(spark: SparkSession, manifest_path: str, site: str, keep: int = 0, keep_days: int = 0,
+                     now: int | None = None) -> Snapshot:
     """Verify here, copy under a temporary name, hash there, move into place; the manifest comes last
-    and is the receipt. A copy that does not hash back is removed."""
+    and is the receipt. A copy that does not hash back is removed. With ``keep`` or ``keep_days`` (and
+    ``now``) older copies of the database at the site go behind the receipt."""
     snap, row = open_snapshot(spark, manifest_path)
     check_pair(spark, snap, "before publishing")
     there = Snapshot(site, snap.artefact, snap.manifest)
@@ -159,6 +180,10 @@ def publish_verified(spark: SparkSession, manifest_path: str, site: str) -> Snap
             raise Refused(f"{path} exists: a published name is never overwritten")
     _transfer(spark, snap.artefact_path, there.artefact_path, row["sha256"], "the site's copy")
     _copy_manifest(spark, snap, there)
+    if keep > 0 or keep_days > 0:
+        if now is None:
+            raise ValueError("retention needs the time it is judged at")
+        prune_snapshots(spark, site, row["database"], keep, keep_days, now, there.manifest_path)
     return there
 
 
@@ -172,7 +197,7 @@ def fetch_verified(spark: SparkSession, db: str, site: str, out: str) -> Snapsho
     here = Snapshot(out, snap.artefact, snap.manifest)
     for path in (here.artefact_path, here.manifest_path):
         if files.exists(spark, path):
-            raise Refused(f"{path} exists: fetching writes fresh copies only")
+            raise Refused(f"{path} exists already and is left alone")
     _transfer(spark, snap.artefact_path, here.artefact_path, row["sha256"], "the fetched copy")
     _copy_manifest(spark, snap, here)
     return here
@@ -184,7 +209,7 @@ def _transfer(spark: SparkSession, source: str, target: str, sha: str, what: str
         files.copy_files(files.walk_files(spark, source), part)
         landed, _, _ = files.tree_fingerprint(files.hash_files(files.walk_files(spark, part)))
         if landed != sha:
-            raise Refused(f"{what} does not hash back to the manifest; it was removed")
+            raise Refused(f"{what}: its hash back differs from the recorded one, so it was taken away")
         files.rename(spark, part, target)
     except BaseException:
         files.remove(spark, part)
@@ -192,7 +217,7 @@ def _transfer(spark: SparkSession, source: str, target: str, sha: str, what: str
 
 
 def _copy_manifest(spark: SparkSession, source: Snapshot, target: Snapshot) -> None:
-    one = spark.createDataFrame([(source.folder, source.manifest)], "root string, rel string")
+    one = spark.createDataFrame([(files.qualified(spark, source.folder), source.manifest)], "root string, rel string")
     part_dir = f"{target.folder}/.{target.manifest}.part"
     try:
         files.copy_files(one, part_dir)

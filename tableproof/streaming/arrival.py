@@ -9,25 +9,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "name string, status string, size bigint, observed_at bigint"
-STATE = "size bigint, observed_at bigint, done boolean"
+STATE = "size bigint, observed_at bigint, first_ms bigint, done boolean"
 
 
 def stream_arrival(observations: DataFrame, whole_bytes: int, encrypted: bool, timeout_ms: int | None = None) -> DataFrame:
     """``name, status, size, observed_at`` once per name from observations ``name, size, observed_at``.
 
     A plain file is whole at exactly ``whole_bytes``; ciphertext when it is larger than that and two
-    consecutive observations agree. A name unobserved for ``timeout_ms`` is TIMED_OUT; leave it out for a
-    stream that is run to its end (``availableNow``), which a pending time-out would keep alive. Use
-    with ``append`` output; the state is three values per name."""
+    consecutive observations agree. A name that is not whole ``timeout_ms`` after it was first seen is
+    TIMED_OUT, however often it is looked at meanwhile; leave the limit out for a stream that is run to
+    its end (``availableNow``), which a pending time-out would keep alive. A finished name keeps three
+    numbers of state without a time-out: a later look at it says nothing. Use with ``append`` output."""
 
     def observe(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            size, seen, done = state.get
-            state.remove()
+            size, seen, first, done = state.get
+            state.update((size, seen, first, True))
             if not done:
                 yield pd.DataFrame([(key[0], "TIMED_OUT", size, seen)], columns=["name", "status", "size", "observed_at"])
             return
-        size, seen, done = state.get if state.exists else (None, None, False)
+        size, seen, first, done = state.get if state.exists else (None, None, None, False)
+        if timeout_ms is not None and first is None:
+            first = state.getCurrentProcessingTimeMs()
         rows = pd.concat(list(batches)).sort_values("observed_at", kind="stable")
         for now_size, now_seen in zip(rows["size"], rows["observed_at"], strict=True):
             if done or (seen is not None and now_seen <= seen):
@@ -37,9 +40,10 @@ def stream_arrival(observations: DataFrame, whole_bytes: int, encrypted: bool, t
             if whole:
                 done = True
                 yield pd.DataFrame([(key[0], "WHOLE", size, seen)], columns=["name", "status", "size", "observed_at"])
-        state.update((size, seen, done))
-        if timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
+        state.update((size, seen, first, done))
+        if timeout_ms is not None and not done:
+            left = first + timeout_ms - state.getCurrentProcessingTimeMs()
+            state.setTimeoutDuration(max(1, left))
 
     timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return observations.groupBy("name").applyInPandasWithState(observe, OUTPUT, STATE, "append", timeout)

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tableproof import schema as S
+from tableproof.sources.manifests import file_name
 
 
 def read_manifest_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New ``*.json`` files of a folder in the fixed schema, with their names."""
     return (
         spark.readStream.schema(S.MANIFEST_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-        .select("*", F.col("_metadata.file_name").alias("name"))
+        .select("*", file_name().alias("name"))
     )
 
 

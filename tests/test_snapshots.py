@@ -136,15 +136,16 @@ def test_small_or_existing_snapshot_is_refused(spark, sf_dir, tmp_path):
         S.snapshot_tables(tiny, str(tmp_path), "app", NOW)
 
 
-def test_publish_then_fetch(spark, snapshot, tmp_path):
+def test_publish_then_fetch(spark, sf_dir, snapshot, tmp_path):
     site, out = tmp_path / "site", tmp_path / "out"
     site.mkdir(), out.mkdir()
     S.publish_verified(spark, snapshot.manifest_path, str(site))
     with pytest.raises(M.Refused, match="never overwritten"):
         S.publish_verified(spark, snapshot.manifest_path, str(site))
     got = S.fetch_verified(spark, "app", str(site), str(out))
-    assert verdict(verify_snapshot(spark, got.manifest_path, NOW)) == "VERIFIED"
-    with pytest.raises(M.Refused, match="fresh copies"):
+    shown = digests_of(object_catalog(spark, sf_dir))
+    assert verdict(verify_snapshot(spark, got.manifest_path, NOW, objects=shown)) == "VERIFIED"
+    with pytest.raises(M.Refused, match="left alone"):
         S.fetch_verified(spark, "app", str(site), str(out))
     with pytest.raises(M.Refused, match="no manifest"):
         S.fetch_verified(spark, "ap", str(site), str(out))
@@ -196,7 +197,7 @@ def drill(spark, sf_dir, tmp_path_factory):
     mark_state = R.latest_state(log.filter(R.before((7, 2504))), ["k"], ["v"])
     base = I.take_base({"accounts": base_state}, str(folder), "app", NOW - 3600, I.LogPoint("binlog.000002", 404))
     at = I.LogPoint("binlog.000007", 2504)
-    mark = I.mark_instant({"accounts": mark_state}, at, at, str(archive), str(folder), "app", NOW)
+    mark = I.mark_instant({"accounts": mark_state}, lambda: at, str(archive), str(folder), "app", NOW, pause=0.05)
     return base, mark, str(archive), mark_state
 
 
@@ -235,12 +236,12 @@ def test_mark_refuses(spark, drill, tmp_path):
     _, _, archive, state = drill
     at = I.LogPoint("binlog.000009", 4)
     with pytest.raises(M.Refused, match="does not hold"):
-        I.mark_instant({"accounts": state}, at, at, archive, str(tmp_path), "app", NOW)
+        I.mark_instant({"accounts": state}, lambda: at, archive, str(tmp_path), "app", NOW, limit=0.2, pause=0.05)
     here = I.LogPoint("binlog.000007", 4)
     with pytest.raises(M.Refused, match="purged"):
-        I.mark_instant({"accounts": state}, here, here, archive, str(tmp_path), "app", NOW, oldest=I.LogPoint("binlog.000010", 4))
+        I.mark_instant({"accounts": state}, lambda: here, archive, str(tmp_path), "app", NOW, pause=0.05, oldest=I.LogPoint("binlog.000010", 4))
     with pytest.raises(M.Refused, match="no tables"):
-        I.mark_instant({}, here, here, archive, str(tmp_path), "app", NOW)
+        I.mark_instant({}, lambda: here, archive, str(tmp_path), "app", NOW)
     assert not os.listdir(tmp_path)
 
 
@@ -259,3 +260,131 @@ def test_instant_travels(spark, drill, tmp_path):
     (site / "binlog.000003").unlink()
     (site / "x.part").write_text("")
     assert sorted((r["subject"], r["problem"]) for r in I.check_site(spark, str(site), NOW).collect()) == [("binlog.000003", "ABSENT"), ("x.part", "PUSH_DIED")]
+
+
+def test_a_write_during_the_fingerprints_is_seen(spark, drill, tmp_path):
+    _, _, archive, state = drill
+    readings = iter([I.LogPoint("binlog.000007", 4), I.LogPoint("binlog.000007", 2504)])
+    mark = I.mark_instant({"accounts": state}, lambda: next(readings), archive, str(tmp_path), "app", NOW, pause=0.05)
+    assert M.read_manifests(spark, mark).first()["quiesced"] == "no"
+
+
+def test_recorded_objects_must_be_shown(spark, sf_dir, drill, tmp_path):
+    base, _, archive, state = drill
+    at = I.LogPoint("binlog.000007", 2504)
+    shown = digests_of(object_catalog(spark, sf_dir))
+    mark = I.mark_instant({"accounts": state}, lambda: at, archive, str(tmp_path), "app", NOW, objects=shown, pause=0.05)
+    assert verdict(I.verify_instant(spark, base, mark, archive, KEY, NOW)) == "FAILED"
+    assert verdict(I.verify_instant(spark, base, mark, archive, KEY, NOW, objects=shown)) == "VERIFIED"
+    lost = digests_of(object_catalog(spark, sf_dir).filter("class <> 'routines'"))
+    assert verdict(I.verify_instant(spark, base, mark, archive, KEY, NOW, objects=lost)) == "FAILED"
+
+
+def test_many_small_files_are_many_tasks(spark, tmp_path):
+    from tableproof.sources import files
+
+    for i in range(2000):
+        (tmp_path / f"f{i:05d}").write_text(str(i))
+    hashed = files.hash_files(files.list_files(spark, str(tmp_path)))
+    tasks = hashed.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 2000
+
+
+def test_old_snapshots_go_behind_the_receipt(spark, sf_dir, tmp_path):
+    one = {"nation": X.load(spark, sf_dir, "nation")}
+    for day in (3, 2, 1):
+        S.snapshot_tables(one, str(tmp_path), "app", NOW - day * DAY, floor=0)
+    last = S.snapshot_tables(one, str(tmp_path), "app", NOW, floor=0, keep=2)
+    kept = sorted(n for n in os.listdir(tmp_path) if n.endswith(".json"))
+    assert len(kept) == 2 and kept[-1] == last.manifest and len([n for n in os.listdir(tmp_path) if n[0] != "."]) == 4
+    with pytest.raises(M.Refused, match="landed"):
+        S.prune_snapshots(spark, str(tmp_path), "app", 1, 0, NOW, f"{tmp_path}/none.json")
+
+
+# --- instants of the other flavour: segments, a timeline's history, a named target -------------------
+
+
+def segment(idx: int) -> str:
+    return f"00000001{idx // 256:08X}{idx % 256:08X}"
+
+
+@pytest.fixture(scope="module")
+def wal_drill(spark, sf_dir, tmp_path_factory):
+    """Segments 254 to 260, so that the number carries over; a base in 255, a name in 260."""
+    root = tmp_path_factory.mktemp("wal")
+    archive, folder = root / "archive", root / "backups"
+    archive.mkdir(), folder.mkdir()
+    log = X.view(spark, sf_dir, X.CHANGE_LOG).filter("idx <= 7").withColumn("idx", F.col("idx") + 253)
+    log = log.withColumns({"tbl": F.lit("accounts"), "name": F.lit(None).cast("string")}).persist()
+    mark = [(260, 2504, "M", "before-deploy")]
+    named = log.limit(0).unionByName(spark.createDataFrame(mark, "idx bigint, pos bigint, op string, name string"), allowMissingColumns=True)
+    for idx in range(254, 261):
+        rows = log.filter(F.col("idx") == idx).unionByName(named.filter(F.col("idx") == idx)).toPandas()
+        rows["name"] = rows["name"].astype("string")
+        rows.to_parquet(archive / segment(idx), index=False)
+    (archive / "00000001.history").write_text("1")
+    base_state = R.latest_state(log.filter(R.before((255, 0))), ["k"], ["v"])
+    mark_state = R.latest_state(log.filter(R.before((260, 2504))), ["k"], ["v"])
+    base = I.take_base({"accounts": base_state}, str(folder), "app", NOW - 3600, I.LogPoint(segment(255), flavour="wal"))
+    at = I.LogPoint(segment(260), flavour="wal")
+    with pytest.raises(M.Refused, match="needs a name"):
+        I.mark_instant({"accounts": mark_state}, lambda: at, str(archive), str(folder), "app", NOW, pause=0.05)
+    made = I.mark_instant({"accounts": mark_state}, lambda: at, str(archive), str(folder), "app", NOW, pause=0.05, mark_name="before-deploy")
+    return base, made, str(archive), mark_state
+
+
+def test_wal_instant_is_proven_and_travels(spark, wal_drill, tmp_path):
+    base, mark, archive, _ = wal_drill
+    proof = I.verify_instant(spark, base, mark, archive, KEY, NOW, 7)
+    assert proof.stopped_at is None and verdict(proof) == "VERIFIED"
+    assert I.read_inventory(spark, mark).count() == 8
+    site, out = tmp_path / "site", tmp_path / "out"
+    site.mkdir(), out.mkdir()
+    plan = I.publish_instant(spark, base, mark, archive, str(site))
+    assert {r["name"] for r in plan.collect()} == {*map(segment, range(255, 261)), "00000001.history"}
+    assert I.check_site(spark, str(site), NOW, 7).isEmpty()
+    got = I.fetch_instant(spark, "app", str(site), str(out), "wal")
+    assert verdict(I.verify_instant(spark, *got, str(out), KEY, NOW)) == "VERIFIED"
+    os.remove(site / segment(257))
+    assert [(r["subject"], r["problem"]) for r in I.check_site(spark, str(site), NOW, 7).collect()] == [(segment(257), "ABSENT")]
+
+
+def test_a_name_that_is_not_in_the_log(spark, wal_drill, tmp_path):
+    base, _, archive, state = wal_drill
+    at = I.LogPoint(segment(260), flavour="wal")
+    mark = I.mark_instant({"accounts": state}, lambda: at, archive, str(tmp_path), "app", NOW, pause=0.05, mark_name="never")
+    proof = I.verify_instant(spark, base, mark, archive, KEY, NOW)
+    assert proof.stopped_at == "target" and verdict(proof) == "FAILED"
+
+
+def test_an_empty_site_proves_nothing(spark, tmp_path):
+    (tmp_path / "readme").write_text("x")
+    (tmp_path / "odd.json").write_text("{}")
+    assert [r["problem"] for r in I.check_site(spark, str(tmp_path), NOW).collect()] == ["NOTHING_PROVEN"]
+
+
+def test_a_site_of_dumps(spark, sf_dir, snapshot, tmp_path):
+    site = tmp_path / "site"
+    site.mkdir()
+    S.publish_verified(spark, snapshot.manifest_path, str(site))
+    assert I.check_site(spark, str(site), NOW).isEmpty()
+    part = a_part(f"{site}/{snapshot.artefact}", "nation")
+    os.truncate(part, 10)
+    assert [(r["subject"], r["problem"]) for r in I.check_site(spark, str(site), NOW).collect()] == [(snapshot.manifest, "ROT")]
+
+
+def test_old_instants_go_behind_the_receipt(spark, drill, tmp_path):
+    base, mark, archive, state = drill
+    site = tmp_path / "site"
+    site.mkdir()
+    I.publish_instant(spark, base, mark, archive, str(site))
+    folder = tmp_path / "later"
+    folder.mkdir()
+    later = I.take_base({"accounts": state}, str(folder), "app", NOW + 10, I.LogPoint("binlog.000007", 2504))
+    at = I.LogPoint("binlog.000007", 2504)
+    again = I.mark_instant({"accounts": state}, lambda: at, archive, str(folder), "app", NOW + 20, pause=0.05)
+    I.publish_instant(spark, later, again, archive, str(site), keep=1, now=NOW + 30)
+    left = sorted(os.listdir(site))
+    assert not any(n.startswith(base.rsplit("/", 1)[1][:20]) for n in left)
+    assert [n for n in left if n.startswith("binlog.")] == ["binlog.000007"]
+    assert any(n == again.rsplit("/", 1)[1] for n in left)
