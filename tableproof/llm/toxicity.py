@@ -18,13 +18,13 @@ from pyspark.sql import types as T
 from tableproof.llm.common import add_columns
 from tableproof.llm.vectors import vector_sums
 
-BITS = 18
+BITS = 20
 BUCKETS = 1 << BITS
 ORDERS = (4, 5, 6, 7)
 SPACES = re.compile(r"\W+")
 #: Bound of the rows the weights are fitted on; ratios are counted over all learning rows.
-FIT_ROWS = 12_000
-FEATURES = 1024
+FIT_ROWS = 10_000
+FEATURES = 2048
 
 
 def ngram_buckets(text: str | None, orders: tuple[int, ...] = ORDERS) -> Iterator[np.ndarray]:
