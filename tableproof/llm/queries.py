@@ -33,7 +33,8 @@ SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     labels = load(spark, sf_dir, "labels").filter("toxic IS NOT NULL").select("doc_id", "toxic")
-    learn = docs.filter(~held_out(F.col("doc_id"))).join(labels, "doc_id").select("text", "toxic")
+    # labels grow with the documents: a shuffled join at every size
+    learn = docs.filter(~held_out(F.col("doc_id"))).join(labels.hint("merge"), "doc_id").select("text", "toxic")
     model = fit_toxicity(settled(learn, "labelled"))
     return score_toxicity(docs, model, threshold=0.3).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
@@ -68,7 +69,8 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Domains:
     """Domains of quality and language, learnt from the labelled documents among ``docs``."""
     labels = load(spark, sf_dir, "labels").filter("quality IN (0, 1)").select("doc_id", "quality")
-    rows = docs.filter("lang IS NOT NULL").select("doc_id", "text", "lang").join(labels, "doc_id")
+    # labels grow with the documents: a shuffled join at every size
+    rows = docs.filter("lang IS NOT NULL").select("doc_id", "text", "lang").join(labels.hint("merge"), "doc_id")
     name = F.concat_ws(" ", F.when(F.col("quality") == 1, "good").otherwise("poor"), "lang")
     return fit_domains(rows.select("text", name.alias("domain")), "domain")
 
