@@ -594,7 +594,8 @@ def check_site(spark: SparkSession, site: str, now: int, max_age_days: int = 0)
     listing = hashes.select(F.lit(site).alias("site"), F.col("artefact").alias("name"), "sha256")
     audit = settle(G.audit_site(listing, dumps.select(F.lit(site).alias("site"), "name", "artefact", "sha256")))
     owners = dumps.select("name", F.col("database").alias("db"))
-    parts.append(audit.filter("status <> 'OK'").join(owners, "name", "left").select("db", F.col("name").alias("subject"), F.col("status").alias("problem")))
+    # only artefacts that a manifest names were looked at; folders of tables follow no naming rule of files
+    parts.append(audit.filter("status NOT IN ('OK', 'NO_MANIFEST')").join(owners, "name", "left").select("db", F.col("name").alias("subject"), F.col("status").alias("problem")))
     problems = settle(reduce(DataFrame.unionByName, parts).distinct())
     if problems.isEmpty() and proven == 0 and audit.filter("status = 'OK'").isEmpty():
         return spark.createDataFrame([(None, site, "NOTHING_PROVEN")], problems.schema)

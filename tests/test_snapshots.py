@@ -321,6 +321,7 @@ def wal_drill(spark, sf_dir, tmp_path_factory):
     for idx in range(254, 261):
         rows = log.filter(F.col("idx") == idx).unionByName(named.filter(F.col("idx") == idx)).toPandas()
         rows["name"] = rows["name"].astype("string")
+        rows["k"], rows["gtid_no"] = rows["k"].astype("Int64"), rows["gtid_no"].astype("Int64")
         rows.to_parquet(archive / segment(idx), index=False)
     (archive / "00000001.history").write_text("1")
     base_state = R.latest_state(log.filter(R.before((255, 0))), ["k"], ["v"])
