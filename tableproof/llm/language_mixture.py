@@ -27,7 +27,7 @@ NO_LETTER = re.compile(r"[\W\d_]+")
 def trigrams(text: str) -> np.ndarray:
     """Buckets of the trigrams of the lower-cased letters, words being set off by one space."""
     letters = NO_LETTER.sub(" ", text.lower()).strip(" ")
-    if not letters:
+    if not any(map(str.isalpha, letters)):
         return np.empty(0, np.uint16)
     c = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     h = c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA77) ^ c[2:] * np.uint32(0xC2B2AE3D)

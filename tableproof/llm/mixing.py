@@ -44,7 +44,9 @@ class Domains:
 
     def posterior(self, text: str | None) -> np.ndarray:
         """Posteriors that add up to one. The likelihood counts as that of ``evidence`` trigrams at most, as neighbouring ones are not
-        independent; texts of under three characters get the priors."""
+        independent; texts of under three characters get the priors. Without domains it is empty."""
+        if not self.names:
+            return self.prior
         at = trigram_buckets(text or "")
         z = self.prior.copy()
         if len(at):

@@ -113,7 +113,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
 
     Ties go to the smaller id; a query has fewer rows when there are fewer candidates; vectors of other
     lengths than the query's are no candidates of it; a row never meets rows of its own id; repeated rows
-    stand for themselves and may appear twice, a repeated query is asked once. Null or non-finite vectors
+    stand for themselves and may appear twice, a repeated query is asked once. Null or non-finite vectors and rows without an id
     take no part. An empty table gives no rows. Further columns are not read.
 
     A block holds about ``query_block`` queries (ids are hashed to blocks), which bounds what is broadcast."""
