@@ -86,7 +86,7 @@ def value_lanes(schema: T.StructType, names: Sequence[str]) -> list[str]:
     """Lanes of the column values. The columns' types seed the hash, so values whose bits agree under two types
     (a date and a number, 1.23 and 0.123 as decimals) do not."""
     values = hashable_columns(schema)
-    nulls = [quoted(f.name) for f in schema.fields if f.nullable]
+    nulls = [quoted(f.name) for f in schema.fields]
     kinds = ",".join(f.dataType.simpleString() for f in schema.fields)
     return [f"{D.column_lane_sql(values, nulls, D.type_seed(kinds, i))} AS {n}" for i, n in enumerate(names)]
 
