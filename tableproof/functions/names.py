@@ -207,19 +207,13 @@ def range_label(first: Column, last: Column) -> Column:
 
 
 def retention_rule(keep: Column | int, days: Column | int) -> Column:
+    """The rule as its fields: ``keep=3``, ``days=7``, or both; a rule of days alone spares one."""
     keep, days = col_of(keep), col_of(days)
+    by_count, by_age = F.concat(F.lit("keep="), keep.cast("string")), F.concat(F.lit("days="), days.cast("string"))
     return (
-        F.when(
-            (keep > 0) & (days > 0),
-            F.concat(F.lit("newest "), keep.cast("string"), F.lit(" or under "),
-                     days.cast("string"), F.lit(" day(s) old")),
-        )
-        .when(
-            days > 0,
-            F.concat(F.lit("under "), days.cast("string"),
-                     F.lit(" day(s) old (and always the newest)")),
-        )
-        .otherwise(F.concat(F.lit("newest "), keep.cast("string")))
+        F.when((keep > 0) & (days > 0), F.concat_ws(" ", by_count, by_age))
+        .when(days > 0, F.concat_ws(" ", F.lit("keep=1"), by_age))
+        .otherwise(by_count)
     )
 
 

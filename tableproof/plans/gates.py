@@ -72,8 +72,8 @@ def one_check(spark, snapshot: str, gate: str, subject: str, status: str, severi
 
 
 def age_rows(manifests: DataFrame, now: int, max_age_days: int) -> DataFrame:
-    """``snapshot, taken, stale`` of manifests ``name, created_at``; REFUSED is left to the caller when
-    ``taken`` is null: an age nobody can read is not an age."""
+    """``snapshot, taken, stale`` of manifests ``name, created_at``; a null ``taken`` is left
+    for the caller to refuse."""
     taken = N.taken_at(F.col("created_at"), F.col("name"))
     return manifests.select(F.col("name").alias("snapshot"), taken.alias("taken"), F.coalesce(N.past_window(taken, now, max_age_days), F.lit(False)).alias("stale"))
 

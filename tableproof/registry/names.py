@@ -234,8 +234,8 @@ def b15(spark, sf_dir):
 
 @register(
     "b16_retention_rule",
-    "SELECT o_orderkey AS id, CASE WHEN k > 0 AND d > 0 THEN 'newest ' || k || ' or under ' || d || ' day(s) old' "
-    "WHEN d > 0 THEN 'under ' || d || ' day(s) old (and always the newest)' ELSE 'newest ' || k END AS rule "
+    "SELECT o_orderkey AS id, CASE WHEN k > 0 AND d > 0 THEN 'keep=' || k || ' days=' || d "
+    "WHEN d > 0 THEN 'keep=1 days=' || d ELSE 'keep=' || k END AS rule "
     "FROM (SELECT o_orderkey, o_orderkey % 3 AS k, o_custkey % 4 AS d FROM {orders}) z",
 )
 def b16(spark, sf_dir):

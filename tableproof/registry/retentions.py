@@ -41,7 +41,7 @@ for _keep, _days, _name in [(14, 0, "keep"), (0, 60, "days"), (300, 30, "both")]
 
 @register(
     "e18_retention_summary",
-    f"SELECT db, count(*) AS total, count(*) FILTER (NOT victim) AS kept, count(*) FILTER (victim) AS dropped, 'newest 14 or under 60 day(s) old' AS rule "
+    f"SELECT db, count(*) AS total, count(*) FILTER (NOT victim) AS kept, count(*) FILTER (victim) AS dropped, 'keep=14 days=60' AS rule "
     f"FROM ({flags_sql(PAIRS, 14, 60)}) f GROUP BY db",
 )
 def e18(spark, sf_dir):
