@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,18 @@ FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEED = 42
 BLOCK_ROWS = 4096
 SMALL = 48
-#: Words of 64 bits in the second signature of near_duplicates.
+#: Words of 64 bits in the signature of near_duplicates.
 SIGNATURE = 4
+#: near_duplicates: two sets meet when one of BANDS keys of BAND smallest hashes is equal. At a similarity of 0.8 a pair
+#: shares none with chance (1 - 0.8 ** 6) ** 24 = 0.0007, at 0.9 with chance 1e-8.
+BANDS, BAND = 24, 6
+#: Chance that the signatures of a pair at the similarity itself are further apart than the radius.
+MISS = 1e-4
+#: Sets of fewer shingles are not judged by signature, as the angle holds for large sets only.
+SIGNED = 256
+#: Texts of a cell's side in near_duplicates.
+CELL_ROWS = 512
+MIXES = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.array([[0], [1]], np.uint64)
 EDGES = "a bigint, b bigint"
 
 
@@ -60,17 +71,32 @@ def votes_of(h: np.ndarray) -> np.ndarray:
     return np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0].astype(np.uint64)
 
 
-def set_signature(text: str | None, width: int) -> tuple[int, list[int]]:
-    """The fingerprint of the set of words, and 256 bits over the set of ``width``-word shingles, all signed."""
-    words = np.unique(shingle_hashes(text, 1))
-    shingles = np.unique(shingle_hashes(text, width))
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def set_signature(shingles: np.ndarray) -> np.ndarray:
+    """256 bits over a set of shingle hashes: the majorities of four mixes."""
     parts = []
     for k in range(SIGNATURE):
         x = shingles ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        parts.append(int(votes_of(x ^ (x >> np.uint64(31))).view(np.int64)))
-    return int(votes_of(words).view(np.int64)), parts
+        parts.append(votes_of(x ^ (x >> np.uint64(31))))
+    return np.array(parts, np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key a band, of the ``BAND`` smallest hashes in it; sets of similarity s share a given key with chance s ** BAND."""
+    low = np.full(BANDS * BAND, FULL)
+    for i in range(0, len(shingles), 1 << 10):
+        x = (shingles[None, i:i + (1 << 10)] ^ MIXES[0][:, None]) * MIXES[1][:, None]
+        np.minimum(low, x.min(axis=1), out=low)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for part in low.reshape(BANDS, BAND).T:
+        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -100,16 +126,18 @@ def lanes_of(words: np.ndarray) -> np.ndarray:
 
 
 def near_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of two blocks within the radius, a band of ``left`` at a time."""
-    held = planes(right)
+    """Index pairs of two blocks within the radius, a band of ``left`` at a time; a row may be several words."""
+    left, right = left.reshape(len(left), -1), right.reshape(len(right), -1)
+    words = left.shape[1]
+    held = np.concatenate([planes(right[:, k]) for k in range(words)])
     width = held.shape[1]
     band = max(1, (1 << 15) // width)
     for i in range(0, len(left), band):
         part = left[i:i + band]
-        masks = [np.where((part >> np.uint64(b)) & np.uint64(1) == 1, FULL, np.uint64(0))[:, None] for b in range(BITS)]
-        good = within((held[b][None, :] ^ masks[b] for b in range(BITS)), np.zeros((len(part), width), np.uint64), radius)
+        masks = [np.where((part[:, k] >> np.uint64(b)) & np.uint64(1) == 1, FULL, np.uint64(0))[:, None] for k in range(words) for b in range(BITS)]
+        good = within((held[b][None, :] ^ masks[b] for b in range(len(masks))), np.zeros((len(part), width), np.uint64), radius)
         a, b = np.nonzero(lanes_of(good)[:, : len(right)])
-        exact = np.bitwise_count(part[a] ^ right[b]) <= radius
+        exact = np.bitwise_count(part[a] ^ right[b]).sum(axis=1, dtype=np.int64) <= radius
         yield a[exact] + i, b[exact]
 
 
@@ -159,47 +187,33 @@ def block_masks(radius: int) -> list[int]:
     return [x | y for x, y in combinations(blocks, 2)]
 
 
-def link_blocks(batches: Iterator[pa.RecordBatch], radius: int, apart: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows of two blocks (the second is null when a block meets itself) to forests of their links. With ``apart``, a
-    link's signatures must differ in no more than so many bits."""
+def link_blocks(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows of two blocks (the second is null when a block meets itself) to forests of their links."""
 
-    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
         flat = column.flatten()
-        sig = None
-        if apart is not None:
-            sig = flat.field("sig").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, SIGNATURE)
         return (n, flat.field("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64),
-                flat.field("rep").to_numpy(zero_copy_only=False).astype(np.int64), sig)
-
-    def alike(x: np.ndarray | None, y: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if x is None or not len(a):
-            return a, b
-        good = np.bitwise_count(x[a] ^ y[b]).sum(axis=1) <= apart
-        return a[good], b[good]
+                flat.field("rep").to_numpy(zero_copy_only=False).astype(np.int64))
 
     def batch_of(nodes: np.ndarray, forest: Forest) -> pa.RecordBatch:
         child, root = forest.edges()
         return pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root])], ["a", "b"])
 
     for batch in batches:
-        n, fp, rep, sig = lists(batch.column(0))
-        m, fp2, rep2, sig2 = lists(batch.column(1))
+        n, fp, rep = lists(batch.column(0))
+        m, fp2, rep2 = lists(batch.column(1))
         begin, begin2 = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(m)])
         run = np.repeat(np.arange(len(n)), n)
         short = (n <= SMALL) & (m == 0)
         pick = np.flatnonzero(short[run]) if len(run) else np.empty(0, np.int64)
         if len(pick):
             forest = Forest(len(pick))
-            near = None if sig is None else sig[pick]
             for a, b in near_in_runs(fp[pick], run[pick], radius):
-                forest.link(*alike(near, near, a, b))
+                forest.link(a, b)
             yield batch_of(rep[pick], forest)
         for i in np.flatnonzero(~short):
             left, nodes = fp[begin[i]:begin[i + 1]], rep[begin[i]:begin[i + 1]]
-            x = y = None if sig is None else sig[begin[i]:begin[i + 1]]
-            if m[i] and sig2 is not None:
-                y = sig2[begin2[i]:begin2[i + 1]]
             if m[i]:
                 right, nodes = fp2[begin2[i]:begin2[i + 1]], np.concatenate([nodes, rep2[begin2[i]:begin2[i + 1]]])
                 shift = len(left)
@@ -207,30 +221,27 @@ def link_blocks(batches: Iterator[pa.RecordBatch], radius: int, apart: int | Non
                 right, shift = left, 0
             forest = Forest(len(nodes))
             for a, b in near_pairs(left, right, radius):
-                a, b = alike(x, y, a, b)
                 forest.link(a, b + shift)
             yield batch_of(nodes, forest)
 
 
-def near_links(reps: DataFrame, radius: int = 3, block_rows: int = BLOCK_ROWS, apart: int | None = None) -> DataFrame:
-    """``a, b``: links that connect all different fingerprints ``fp, rep`` within the radius (and, with ``apart``,
-    whose signatures ``sig`` are that near).
+def near_links(reps: DataFrame, radius: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``a, b``: links that connect all different fingerprints ``fp, rep`` within the radius.
 
     Keys with one fingerprint fall out by count. A key with more than ``block_rows`` is cut into blocks
     by hash, and its blocks meet in pairs, so no row list outgrows a block and nothing is left out."""
-    held = ["fp", "rep"] + ["sig"] * (apart is not None)
-    keyed = reps.select(*held, F.posexplode(F.array(*[
+    keyed = reps.select("fp", "rep", F.posexplode(F.array(*[
         F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in block_masks(radius)])).alias("mask", "key"))
     # written, so that both sides of the join are dealt anew and a hot key can be split
     sizes = settled(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
     cut = keyed.join(sizes, ["mask", "key"]).withColumn("cuts", F.ceil(F.col("n") / block_rows).cast("int")).withColumn(
         "cut", F.pmod(F.xxhash64("rep"), F.col("cuts")))
-    blocks = settled(cut.groupBy("mask", "key", "cuts", "cut").agg(F.collect_list(F.struct(*held)).alias("block")), "blocks")
+    blocks = settled(cut.groupBy("mask", "key", "cuts", "cut").agg(F.collect_list(F.struct("fp", "rep")).alias("block")), "blocks")
     alone = blocks.select("block", F.lit(None).cast(blocks.schema["block"].dataType).alias("other"))
     many = blocks.filter("cuts > 1")
     pairs = many.join(many.select("mask", "key", F.col("cut").alias("cut2"), F.col("block").alias("other")),
                       ["mask", "key"]).filter("cut < cut2").select("block", "other")
-    return alone.union(pairs).mapInArrow(lambda batches: link_blocks(batches, radius, apart), EDGES)
+    return alone.union(pairs).mapInArrow(lambda batches: link_blocks(batches, radius), EDGES)
 
 
 def simhash(docs: DataFrame, text: str = "text", width: int = 3, name: str = "fingerprint") -> DataFrame:
@@ -259,36 +270,123 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return prints.join(classes, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
 
 
-def similarity_bits(similarity: float) -> int:
-    """Bits of a signature that sets of this Jaccard similarity differ in, by the angle of their indicator vectors."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(round(SIGNATURE * BITS * float(np.arccos(min(1.0, cosine))) / np.pi))
+def similarity_bits(similarity: float, miss: float = MISS) -> int:
+    """Bits that the signatures of sets of this Jaccard similarity stay within but for a share ``miss`` of the pairs: a bit
+    differs with the angle of the indicator vectors over pi, and the radius is a quantile of the sum."""
+    chance = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi
+    n, below = SIGNATURE * BITS, 0.0
+    for radius in range(n + 1):
+        below += comb(n, radius) * chance**radius * (1 - chance) ** (n - radius)
+        if below >= 1 - miss:
+            return radius
+    return n
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least so much."""
+    least = similarity * (len(x) + len(y)) / (1 + similarity) - 1e-9
+    return min(len(x), len(y)) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least
+
+
+def link_cell(rows: list[tuple[int, int, str]], width: int, similarity: float, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among a cell's ``cut, node, text``; with two cuts only pairs across are judged.
+
+    Signatures within the radius, or small sets, are candidates; a link is a pair whose shingle sets were compared.
+    Pairs that are connected already need no comparison."""
+    sets = [shingle_set(t, width) for _, _, t in rows]
+    signed = np.array([len(s) >= SIGNED for s in sets])
+    cuts = np.array([c for c, _, _ in rows])
+    root, links = list(range(len(rows))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def judge(pairs_a: np.ndarray, pairs_b: np.ndarray) -> None:
+        for i, j in zip(pairs_a.tolist(), pairs_b.tolist()):
+            x, y = find(i), find(j)
+            if x != y and alike(sets[i], sets[j], similarity):
+                root[max(x, y)] = min(x, y)
+                links.append((rows[i][1], rows[j][1]))
+
+    first = np.flatnonzero(cuts == cuts.min())
+    second = np.flatnonzero(cuts == cuts.max())
+    same = cuts.min() == cuts.max()
+    large, large2 = first[signed[first]], second[signed[second]]
+    if len(large) and len(large2):
+        sigs = {i: set_signature(sets[i]) for i in {*large.tolist(), *large2.tolist()}}
+        for a, b in near_pairs(np.array([sigs[i] for i in large.tolist()]), np.array([sigs[i] for i in large2.tolist()]), radius):
+            a, b = large[a], large2[b]
+            judge(a[a < b] if same else a, b[a < b] if same else b)
+    for i in first.tolist():
+        with_i = second if not signed[i] else second[~signed[second]]
+        with_i = with_i[with_i > i] if same and not signed[i] else with_i[with_i != i]
+        judge(np.full(len(with_i), i), with_i)
+    return links
+
+
+def link_cells(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows ``component, low, high, cut, node, text`` sorted by cell to the links of each cell."""
+    radius, at, held = similarity_bits(similarity), None, {}
+
+    def done() -> pa.RecordBatch:
+        links = link_cell([(cut, node, text) for node, (cut, text) in held.items()], width, similarity, radius)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8,
-                    radius: int = 5) -> DataFrame:
-    """``doc_id, tid, component_id``: groups of texts whose sets of ``width``-word shingles are alike.
-
-    Sixty-four bits are too few to tell a similarity of 0.8 from chance among many documents. Candidates
-    are texts whose word-set fingerprints lie within ``radius`` (a changed word changes ``width`` shingles but one
-    word), links those whose 256-bit shingle signatures differ in no more bits than the similarity allows.
-    Equal texts are one node, and so are texts with equal signatures. ``tid`` hashes the text. Null and empty texts are alike; a
+    for batch in batches:
+        cells = list(zip(*(batch.column(k).to_pylist() for k in range(5))))
+        texts = batch.column(5)
+        for k, (component, low, high, cut, node) in enumerate(cells):
+            if (component, low, high) != at:
+                if len(held) > 1:
+                    yield done()
+                at, held = (component, low, high), {}
+            held[node] = (cut, texts[k].as_py())
+    if len(held) > 1:
+        yield done()
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, tid, component_id``: groups of texts linked by a Jaccard similarity of at least ``similarity`` between
+    their sets of ``width``-word shingles.
+
+    Sets that share one of ``BANDS`` keys of smallest hashes meet (``BANDS`` says how rarely a pair at 0.8 does not). What
+    hangs together by keys is brought together with its texts, whole or, beyond ``CELL_ROWS`` texts, in cuts that meet in pairs.
+    There 256-bit signatures of the shingle sets are compared bit-sliced, within a radius that
+    leaves out ``MISS`` of the pairs at the similarity, and every pair that is left is compared set by set before it is a link.
+    Equal sets are one node. ``tid`` hashes the text. Null and empty texts are alike; a
     null id is no representative; an empty table gives no rows."""
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn(
         "tid", F.xxhash64("text"))
 
     def per_text(lists: Iterator[list[str | None]]) -> Iterator[list]:
         for texts in lists:
-            got = [set_signature(t, width) for t in texts]
-            yield [[g[0] for g in got], [g[1] for g in got]]
-
-    prints = add_columns(base, "text", [("fp", T.LongType()), ("sig", T.ArrayType(T.LongType(), False))], per_text)
-    prints = settled(prints.select("doc_id", "tid", "fp", "sig"), "signatures")
-    reps = settled(prints.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL"), "reps")
-    found = components(near_links(reps, radius, apart=similarity_bits(similarity)))
+            sets = [shingle_set(t, width) for t in texts]
+            yield [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [band_keys(s).view(np.int64) if len(s) else [] for s in sets]]
+
+    prints = add_columns(base, "text", [("same", T.BinaryType()), ("keys", T.ArrayType(T.LongType(), False))], per_text)
+    prints = settled(prints.select("doc_id", "tid", "same", "keys"), "signatures")
+    # equal sets have equal keys; the text of the smallest id stands for them
+    reps = settled(prints.filter("doc_id IS NOT NULL").groupBy("same").agg(
+        F.min(F.struct("doc_id", "tid")).alias("r"), F.first("keys").alias("keys")).select("same", F.col("r.doc_id").alias("rep"), "r.tid", "keys"), "reps")
+    keyed = reps.select("rep", F.explode("keys").alias("key"))
+    # written, so that both sides of the join are dealt anew and a hot key can be split
+    hubs = settled(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "hubs")
+    met = settled(components(keyed.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()), "met")
+    sizes = settled(met.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    placed = met.join(sizes, "component").withColumn("cuts", F.ceil(F.col("n") / CELL_ROWS).cast("int")).withColumn(
+        "cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).select("node", "component", "cuts", "cut")
+    placed = settled(reps.select("rep", "tid").join(placed, F.col("rep") == F.col("node")).drop("rep"), "placed")
+    rows = base.join(placed, (base["doc_id"] == placed["node"]) & (base["tid"] == placed["tid"])).select(
+        "component", "cuts", "cut", "node", "text", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    cells = rows.select("component", F.least("cut", "other").alias("low"), F.greatest("cut", "other").alias("high"), "cut", "node", "text")
+    links = cells.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high").mapInArrow(
+        lambda batches: link_cells(batches, width, similarity), EDGES)
+    found = components(settled(links, "links"))
     classes = settled(reps.join(found, reps["rep"] == found["node"], "left").select(
-        "fp", "sig", F.coalesce("component", "rep").alias("component_id")), "classes")
-    return prints.join(classes, ["fp", "sig"], "left").select("doc_id", "tid", "component_id")
+        "same", F.coalesce("component", "rep").alias("component_id")), "classes")
+    return prints.select("doc_id", "tid", "same").join(classes, "same", "left").select("doc_id", "tid", "component_id")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -123,3 +123,41 @@ def test_near_duplicates_keep_one_of_each(spark, odd):
     kept = S.one_of_each(odd, S.near_duplicates(odd))
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 4, 6, 7]
     assert kept.filter("doc_id = 1").count() == 1
+
+
+def edited(rng, words, target, scattered):
+    """A copy whose five-word shingles have about the similarity ``target``: words appended, or changed here and there."""
+    fresh = lambda: f"v{rng.randint(0, 10**7)}"
+    if not scattered:
+        return words + [fresh() for _ in range(int(len(words) * (1 / target - 1)))]
+    out, share = list(words), (1 - target) / (1 + target)
+    at = rng.sample(range(len(words)), max(1, int(len(words) * share / 5)))
+    for i in at:
+        out[i] = fresh()
+    return out
+
+
+def test_near_duplicates_are_those_of_brute_force(spark):
+    rng, rows, pairs = random.Random(11), [], []
+    shingles = lambda words: {" ".join(words[i:i + 5]) for i in range(len(words) - 4)}
+    for k in range(240):
+        vocabulary = [f"w{rng.randint(0, 3000)}" for _ in range(300)]
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 1200))]
+        other = edited(rng, words, rng.choice([0.7, 0.82, 0.86, 0.9, 0.95]), k % 2)
+        x, y = shingles(words), shingles(other)
+        pairs.append(len(x & y) / len(x | y))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    linked = [got[2 * k + 1] == 2 * k for k in range(240)]
+    alike = [j >= 0.8 for j in pairs]
+    assert 120 < sum(alike) < 230 and not any(x and not y for x, y in zip(linked, alike))
+    assert sum(x and y for x, y in zip(linked, alike)) >= 0.99 * sum(alike)
+
+
+def test_large_groups_meet_in_cuts(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL_ROWS", 8)
+    rng = random.Random(12)
+    words = [f"w{rng.randint(0, 9999)}" for _ in range(400)]
+    rows = [(i, " ".join(words[:i] + [f"x{i}"] + words[i + 1:])) for i in range(5, 45)]
+    got = S.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 5 for i in range(5, 45)}
