@@ -31,7 +31,9 @@ FIELDS = [
 class Bands:
     """Limits of compressed bytes over bytes. ``whole``: (texts up to so many bytes, lowest, highest); a
     frame's fixed bytes weigh on short texts, so their limits are wide and high. Chunks have one band;
-    a text fails when more than ``chunk_share`` of them lie outside it, on one side or on both."""
+    a text fails when more than ``chunk_share`` of them lie outside it, on one side or on both. What is left after the full
+    chunks is one more chunk: the text's last ``chunk_bytes`` must lie within the band, and so must the rest alone,
+    whose upper limit rises by ``fixed_bytes`` spread over fewer bytes. A text shorter than a chunk is judged whole only."""
 
     level: int = 3
     whole: tuple[tuple[float, float, float], ...] = (
@@ -42,6 +44,7 @@ class Bands:
     chunk_bytes: int = 2048
     chunk: tuple[float, float] = (0.30, 0.75)
     chunk_share: float = 0.34
+    fixed_bytes: int = 40
     min_words: int = 20
     repeat_percent: int = 30
 
@@ -87,9 +90,15 @@ def measure(text: str | None, bands: Bands, packer: zstandard.ZstdCompressor) ->
     size = bands.chunk_bytes
     chunks = [len(packer.compress(raw[i:i + size])) / size for i in range(0, len(raw) - size + 1, size)]
     n_low, n_high = sum(c < bands.chunk[0] for c in chunks), sum(c > bands.chunk[1] for c in chunks)
-    kept = not failed and low <= ratio <= high and n_low + n_high <= bands.chunk_share * len(chunks)
+    n_chunks, rest = len(chunks), len(raw) % size
+    if chunks and rest:
+        last, alone = len(packer.compress(raw[-size:])) / size, len(packer.compress(raw[-rest:])) / rest
+        above = last > bands.chunk[1] or alone > bands.chunk[1] + bands.fixed_bytes * (1 / rest - 1 / size)
+        n_chunks, n_high = n_chunks + 1, n_high + above
+        n_low += not above and min(last, alone) < bands.chunk[0]
+    kept = not failed and low <= ratio <= high and n_low + n_high <= bands.chunk_share * n_chunks
     return (n_words, sum(map(len, words)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeats, failed,
-            ratio, len(chunks), n_low, n_high, kept)
+            ratio, n_chunks, n_low, n_high, kept)
 
 
 def quality_bands(docs: DataFrame, text: str = "text", bands: Bands = Bands()) -> DataFrame:

@@ -89,6 +89,23 @@ def test_bands(spark, odd, nothing):
     assert Q.quality_bands(nothing).isEmpty()
 
 
+def test_a_bad_rest_is_judged():
+    import base64
+
+    import zstandard
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice(["ta", "ne", "ri", "so", "lu", "the", "and", "en", "mo", "ku", "vi", "pel", "gra", "dos", "ch", "is"]) for _ in range(rng.randint(1, 4))) for _ in range(900)]
+    prose = " ".join(rng.choice(vocabulary) for _ in range(900))
+    noise = base64.b64encode(rng.randbytes(3000)).decode()
+    blob = " ".join(noise[i:i + 8] for i in range(0, len(noise), 8))
+    packer = zstandard.ZstdCompressor(level=3)
+    kept = lambda text: Q.measure(text, Q.Bands(), packer)[-1]
+    for rest in (500, 900, 1200, 1500, 1998):
+        assert kept(prose[:2048 + rest]) and not kept(prose[:2047] + " " + blob[:rest])
+    assert kept(prose[:2048 + 1]) and kept(prose[:2048]) and Q.measure(prose[:2048 + 7], Q.Bands(), packer)[7] == 2
+
+
 # --- archives ----------------------------------------------------------------------------
 
 
