@@ -11,7 +11,10 @@ from tableproof.fixtures import load
 from tableproof.llm.common import held_out, settled
 from tableproof.llm.language_mixture import detect_languages, fit_languages
 from tableproof.llm.line_dedup import line_dedup
+from tableproof.llm.merkle import fold, leaf_digest, merkle_manifest, proof_digest
 from tableproof.llm.mixing import Domains, fit_domains, mix
+from tableproof.llm.multi_index import hard_negatives
+from tableproof.llm.positional_index import decontaminate
 from tableproof.llm.quality_bands import quality_bands
 from tableproof.llm.run_length_index import repeats
 from tableproof.llm.sentencepiece_fst import decode, encode, round_trip
@@ -136,6 +139,96 @@ def op10_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), width=10)
+    return docs.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(words[s:s + least(10, len(words)) - 1], ' ') AS phrase
+      FROM (SELECT item_id, words, unnest(generate_series(1, greatest(len(words) - 9, 1))) AS s FROM b WHERE len(words) > 0)),
+g AS (SELECT doc_id, s, n, array_to_string(words[s:s + n - 1], ' ') AS phrase
+      FROM (SELECT doc_id, words, n, unnest(generate_series(1, len(words) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM w))),
+m AS (SELECT g.doc_id, g.s, g.n, w.item_id FROM g JOIN w USING (n, phrase)),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS pos FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    fields = [F.col(c) for c in ("doc_id", "source", "lang")] + [F.try_add(F.col("n_chars"), F.lit(1)), F.col("text")]
+    docs = load(spark, sf_dir, "documents")
+    kept = merkle_manifest(docs, carry={"tampered": F.when(edited, leaf_digest(fields))})
+    folded = fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = kept.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP13_SQL = """
+WITH RECURSIVE
+fields AS (SELECT doc_id, lang, unnest([0, 1]) AS edit, doc_id::VARCHAR AS a, source AS b, lang AS c, n_chars AS n, text AS e,
+                  list_reduce([4294967295] || list_transform(range(0, length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, 1 + i, 1))::BIGINT),
+                    lambda crc, byte: list_reduce([xor(crc, byte)] || range(0, 8),
+                      lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc FROM documents),
+hashed AS (SELECT doc_id, lang, edit, coalesce(xor(crc, 4294967295) % 7 = 0, false) AS tampered,
+                  sha256(concat(coalesce(octet_length(encode(a)) || ':' || a, '-'), coalesce(octet_length(encode(b)) || ':' || b, '-'),
+                                coalesce(octet_length(encode(c)) || ':' || c, '-'), coalesce(octet_length(encode((n + edit)::VARCHAR)) || ':' || (n + edit), '-'),
+                                coalesce(octet_length(encode(e)) || ':' || e, '-'))) AS h FROM fields),
+leaves AS (SELECT a.doc_id, a.lang, a.h AS leaf, CASE WHEN a.tampered THEN b.h ELSE a.h END AS start,
+                  row_number() OVER (PARTITION BY a.lang ORDER BY a.doc_id) - 1 AS pos, count(*) OVER (PARTITION BY a.lang) AS n
+           FROM hashed a JOIN hashed b ON a.doc_id = b.doc_id AND a.edit = 0 AND b.edit = 1),
+t AS (SELECT lang, 0 AS level, pos, leaf AS h, n FROM leaves
+      UNION ALL
+      SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subroots AS (SELECT lang, level AS depth, h, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, pos, h, n FROM subroots
+      UNION ALL
+      SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, pos // 2, n),
+steps AS (SELECT l.doc_id, t.level, CASE WHEN t.pos % 2 = 1 THEN t.h END AS after, CASE WHEN t.pos % 2 = 0 THEN t.h END AS before
+          FROM leaves l JOIN t ON l.lang IS NOT DISTINCT FROM t.lang AND xor(l.pos >> t.level, 1) = t.pos AND t.n > 1
+          UNION ALL
+          SELECT l.doc_id, s.depth + u.level, CASE WHEN u.pos % 2 = 1 THEN u.h END, CASE WHEN u.pos % 2 = 0 THEN u.h END
+          FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN u ON xor(s.pos >> u.level, 1) = u.pos AND u.n > 1),
+proofs AS (SELECT doc_id, sha256(string_agg(coalesce(before, after), '' ORDER BY level)) AS proof FROM steps GROUP BY doc_id),
+height AS (SELECT s.lang, s.depth + (SELECT max(level) FROM u) AS top, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root FROM subroots s),
+f AS (SELECT l.doc_id, l.lang, 0 AS level, l.start AS h, k.top FROM leaves l JOIN height k ON l.lang IS NOT DISTINCT FROM k.lang
+      UNION ALL
+      SELECT f.doc_id, f.lang, f.level + 1, sha256(concat(coalesce(s.before, ''), f.h, coalesce(s.after, ''))), f.top
+      FROM f LEFT JOIN steps s ON f.doc_id = s.doc_id AND f.level = s.level WHERE f.level < f.top)
+SELECT l.doc_id, l.leaf, k.subroot, k.root, coalesce(p.proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = k.root AS verified
+FROM leaves l JOIN height k ON l.lang IS NOT DISTINCT FROM k.lang JOIN f ON f.doc_id = l.doc_id AND f.level = f.top
+LEFT JOIN proofs p ON p.doc_id = l.doc_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_arc_to_warc": op2_arc_to_warc,
@@ -147,9 +240,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_top_k": op9_top_k,
     "op10_quality_bands": op10_quality_bands,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle": op13_merkle,
 }
 ORACLE: dict[str, str] = {
     "op2_arc_to_warc": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
     "op9_top_k": OP9_SQL,
+    "op11_decontaminate": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_merkle": OP13_SQL,
 }

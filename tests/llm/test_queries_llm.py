@@ -44,7 +44,7 @@ def test_languages_on_held_out_rows(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, sf_dir):
