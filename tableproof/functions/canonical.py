@@ -92,6 +92,32 @@ def hashable_columns(schema: T.StructType) -> list[str]:
     ]
 
 
+def _octets(expr: str, dtype: T.DataType, names: count) -> str | None:
+    """Bytes of a value that can be cut: texts and binaries by their length, nested values by their members; None
+    where every value of the type has one length."""
+    if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType, T.BinaryType)):
+        return f"coalesce(octet_length({expr}), 0)"
+    if isinstance(dtype, T.ArrayType):
+        x, a = f"x{next(names)}", f"a{next(names)}"
+        inner = _octets(x, dtype.elementType, names)
+        members = f" + coalesce(aggregate({expr}, 0L, ({a}, {x}) -> {a} + {inner}), 0L)" if inner else ""
+        return f"(coalesce(size({expr}), 0){members})"
+    if isinstance(dtype, T.MapType):
+        keys = _octets(f"map_keys({expr})", T.ArrayType(dtype.keyType), names)
+        return f"({keys} + {_octets(f'map_values({expr})', T.ArrayType(dtype.valueType), names)})"
+    if isinstance(dtype, T.StructType):
+        parts = [p for f in dtype.fields if (p := _octets(f"{expr}.{quoted(f.name)}", f.dataType, names))]
+        return f"({' + '.join(parts)})" if parts else None
+    return None
+
+
+def octets_sql(schema: T.StructType) -> str:
+    """SQL of a row's witness: how many bytes (members, for arrays) its values of varying length have."""
+    names = count()
+    parts = [p for f in schema.fields if (p := _octets(quoted(f.name), f.dataType, names))]
+    return f"cast({' + '.join(parts)} AS bigint)" if parts else "0L"
+
+
 def canonical_row(df: DataFrame, mode: str = "strict") -> Column:
     """Every column of ``df`` as one string column over it."""
     return F.expr(row_sql(df.schema, mode))

@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableproof.functions import digests as D
+from tableproof.operators.fingerprint import FOLD_DIGITS, LEAF_DIGITS, leaf_of
 from tableproof.operators.objects import digest_count
+from tableproof.session import settle
 
 
 def compare_tables(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Full outer on ``(db, table)`` of two ``db, table, fingerprint`` relations, with ``algo`` where it is known.
+    """Full outer on ``(db, table)`` of two ``db, table, fingerprint`` relations, with ``algo`` and ``octets`` where
+    they are known.
 
     UNUSABLE outranks every other answer: an unusable fingerprint is never compared, nor are two that
-    were taken by different methods (FOREIGN_METHOD)."""
+    were taken by different methods (FOREIGN_METHOD). Where both sides carry their witness it has a say: as many
+    rows of fewer bytes are TRUNCATED, and so are equal digests whose witnesses disagree."""
     def side(df: DataFrame, name: str, mark: str) -> DataFrame:
         label = F.col("algo") if "algo" in df.columns else F.lit(None).cast("string")
-        return df.select("db", "table", F.col("fingerprint").alias(name), F.lit(True).alias(mark), label.alias(f"{mark}_algo"))
+        octets = F.col("octets") if "octets" in df.columns else F.lit(None).cast("bigint")
+        return df.select("db", "table", F.col("fingerprint").alias(name), F.lit(True).alias(mark), label.alias(f"{mark}_algo"),
+                         octets.cast("bigint").alias(f"{mark}_octets"))
 
     e, a = side(expected, "expected", "_in_e"), side(actual, "actual", "_in_a")
     both = e.join(a, ["db", "table"], "full_outer")
+    expected_n = D.fingerprint_count(F.col("expected"))
+    actual_n = D.fingerprint_count(F.col("actual"))
+    octet_delta = F.col("_in_a_octets") - F.col("_in_e_octets")
+    same = F.col("expected") == F.col("actual")
     status = (
         F.when(F.col("_in_e").isNotNull() & ~D.usable_fingerprint(F.col("expected")), "UNUSABLE")
         .when(F.col("_in_a").isNotNull() & ~D.usable_fingerprint(F.col("actual")), "UNUSABLE")
         .when(F.col("_in_a").isNull(), "ABSENT")
         .when(F.col("_in_e").isNull(), "EXTRA")
         .when(F.col("_in_e_algo") != F.col("_in_a_algo"), "FOREIGN_METHOD")
-        .when(F.col("expected") == F.col("actual"), "OK")
+        .when(same & (octet_delta != 0), "TRUNCATED")
+        .when(same, "OK")
+        .when((expected_n == actual_n) & (octet_delta < 0), "TRUNCATED")
         .otherwise("DIFFERS")
     )
-    expected_n = D.fingerprint_count(F.col("expected"))
-    actual_n = D.fingerprint_count(F.col("actual"))
     return both.select(
         "db",
         "table",
@@ -40,9 +52,45 @@ def compare_tables(expected: DataFrame, actual: DataFrame) -> DataFrame:
         expected_n.alias("expected_n"),
         actual_n.alias("actual_n"),
         (actual_n - expected_n).alias("row_delta"),
+        octet_delta.alias("octet_delta"),
     )
 
 
+def differing_leaves(expected: DataFrame, actual: DataFrame, keys: Sequence[str] = (), depth: int = LEAF_DIGITS) -> DataFrame:
+    """``keys, prefix, expected_n, actual_n`` of the leaves that hold different rows, from two tables of tree levels.
+
+    One join a level, from the root down: a level is compared only below the nodes that differ in the one above, so
+    whatever is equal is told by one digest. A leaf that one side lacks has a null count there."""
+    depths = [depth]
+    while depths[0] > 0:
+        depths.insert(0, max(0, depths[0] - FOLD_DIGITS))
+    suspects, above = None, 0
+    for level in depths:
+        def side(df: DataFrame, name: str) -> DataFrame:
+            at = df.filter(F.col("depth") == level).select(*keys, "prefix", F.col("n").alias(f"{name}_n"), F.col("digest").alias(f"_{name}"))
+            if suspects is None:
+                return at
+            parents = suspects.select(*keys, F.col("prefix").alias("_parent"))
+            return at.withColumn("_parent", F.substring("prefix", 1, above)).join(parents, [*keys, "_parent"], "left_semi").drop("_parent")
+
+        both = side(expected, "expected").join(side(actual, "actual"), [*keys, "prefix"], "full_outer")
+        unequal = both.filter(~F.col("_expected").eqNullSafe(F.col("_actual")))
+        suspects, above = settle(unequal.select(*keys, "prefix", "expected_n", "actual_n")), level
+    return suspects
+
+
+def differing_rows(expected: DataFrame, actual: DataFrame, leaves: DataFrame, mode: str = "strict", algo: str = "sha256",
+                   depth: int = LEAF_DIGITS) -> DataFrame:
+    """``side`` and all columns of the rows that only one side has, as often as it has them more.
+
+    Rows of equal leaves are set aside by their own hash before anything is shuffled."""
+    def suspected(df: DataFrame) -> DataFrame:
+        return leaf_of(df, mode, algo, depth=depth).join(leaves.select("prefix"), "prefix", "left_semi").drop("prefix")
+
+    e, a = suspected(expected), suspected(actual)
+    return e.exceptAll(a).select(F.lit("expected").alias("side"), "*").unionByName(a.exceptAll(e).select(F.lit("actual").alias("side"), "*"))
+
+
 def extra_tables(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Tables only the copy has, named, with both table counts of their database."""
     extra = actual.select("db", "table").join(expected.select("db", "table"), ["db", "table"], "left_anti")

@@ -9,6 +9,8 @@ Three methods with one contract (every column of every row, multiplicity counts,
            leaves cut by hash prefix, leaf digests are folded upwards. Equal rows are counted before
            the shuffle, so a row repeated a billion times is one entry. Two shuffles of 40 bytes per
            distinct row; leaves are uniform because they are cut from a hash.
+Either method can carry a witness beside the digest: the bytes of the values it was taken of, summed up in the
+same pass. A copy with as many rows and fewer bytes was cut, which a digest alone cannot say.
 The method, its algorithm and the leaf prefix are in the ``algo`` label; fingerprints of unequal labels are
 never compared. Nothing about a method follows the size of the data.
 """
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableproof.functions import digests as D
-from tableproof.functions.canonical import canonical_row, hashable_columns, quoted
+from tableproof.functions.canonical import canonical_row, hashable_columns, octets_sql, quoted
+from tableproof.session import settle
 
 METHODS = ("sum", "tree")
 #: Hex digits of the leaf prefix: 16 million leaves, of which only those exist that have a hash.
@@ -69,7 +72,7 @@ def row_lanes(df: DataFrame, mode: str = "strict", algo: str = "md5", keys: Sequ
     """``keys, octets, lane_0 ..``: the row's hash cut into 60-bit numbers.
 
     ``xxhash64`` hashes the column values themselves and makes no text, which is several times
-    cheaper per row; it knows the strict form only and counts no octets."""
+    cheaper per row; it knows the strict form only, and its octets are those of the values."""
     names = lane_names(algo)
     group = [quoted(k) for k in keys]
     if algo == "xxhash64":
@@ -77,7 +80,7 @@ def row_lanes(df: DataFrame, mode: str = "strict", algo: str = "md5", keys: Sequ
             raise ValueError("xxhash64 lanes are taken from values, not from a text mode")
         body = df.drop(*keys).schema if keys else df.schema
         lanes = value_lanes(body, names)
-        return df.selectExpr(*group, "0L AS octets", *lanes)
+        return df.selectExpr(*group, f"{octets_sql(body)} AS octets", *lanes)
     hashes = row_hashes(df, mode, algo, keys)
     return hashes.selectExpr(*group, "octets", *[f"{D.lane_sql('h', i)} AS {n}" for i, n in enumerate(names)])
 
@@ -92,12 +95,14 @@ def value_lanes(schema: T.StructType, names: Sequence[str]) -> list[str]:
 
 
 def with_lanes(df: DataFrame, algo: str = "md5") -> DataFrame:
-    """All columns of ``df`` plus the lanes of its rows, for observing a table while it is written."""
+    """All columns of ``df`` plus the lanes and octets of its rows, for observing a table while it is written."""
     names = lane_names(algo)
     if algo == "xxhash64":
-        return df.selectExpr("*", *value_lanes(df.schema, names))
-    hashed = df.select("*", D.digest(canonical_row(df), algo).alias("_row_hash"))
-    return hashed.selectExpr("*", *[f"{D.lane_sql('_row_hash', i)} AS {n}" for i, n in enumerate(names)])
+        return df.selectExpr("*", f"{octets_sql(df.schema)} AS _octets", *value_lanes(df.schema, names))
+    texts = df.select("*", canonical_row(df).alias("_row_text"))
+    hashed = texts.select("*", D.digest(F.col("_row_text"), algo).alias("_row_hash"))
+    return hashed.selectExpr("*", "cast(octet_length(_row_text) AS bigint) AS _octets",
+                             *[f"{D.lane_sql('_row_hash', i)} AS {n}" for i, n in enumerate(names)])
 
 
 def sum_state(lanes: DataFrame, keys: Sequence[str] = (), algo: str = "md5") -> DataFrame:
@@ -122,68 +127,101 @@ def merge_states(states: DataFrame, keys: Sequence[str] = (), algo: str = "md5")
     )
 
 
-def render_state(state: DataFrame, keys: Sequence[str] = (), algo: str = "md5") -> DataFrame:
-    """``keys, algo, digest, n, fingerprint`` from a state."""
+def render_state(state: DataFrame, keys: Sequence[str] = (), algo: str = "md5", witness: bool = False) -> DataFrame:
+    """``keys, algo, digest, n, fingerprint`` from a state, and with ``witness`` its ``octets``."""
     lanes = F.concat_ws(":", *[F.col(n).cast("string") for n in lane_names(algo)])
-    return _rendered(state, keys, D.digest(lanes, "sha256" if algo == "sha256" else "md5"), f"{algo}/sum")
+    return _rendered(state, keys, D.digest(lanes, "sha256" if algo == "sha256" else "md5"), f"{algo}/sum", witness)
 
 
-def _rendered(df: DataFrame, keys: Sequence[str], hex_digest: Column, label: str) -> DataFrame:
-    return df.select(*keys, F.lit(label).alias("algo"), hex_digest.alias("_d"), "n").select(
+def _rendered(df: DataFrame, keys: Sequence[str], hex_digest: Column, label: str, witness: bool = False) -> DataFrame:
+    seen = ["octets"] if witness else []
+    return df.select(*keys, F.lit(label).alias("algo"), hex_digest.alias("_d"), "n", *seen).select(
         *keys,
         "algo",
         F.when(F.col("n") == 0, F.lit("EMPTY")).otherwise(F.col("_d")).alias("digest"),
         "n",
         D.render(F.col("_d"), F.col("n")).alias("fingerprint"),
+        *seen,
     )
 
 
 def fingerprint_sum(df: DataFrame, mode: str = "strict", algo: str = "md5",
-                    keys: Sequence[str] = ()) -> DataFrame:
-    return render_state(sum_state(row_lanes(df, mode, algo, keys), keys, algo), keys, algo)
+                    keys: Sequence[str] = (), witness: bool = False) -> DataFrame:
+    return render_state(sum_state(row_lanes(df, mode, algo, keys), keys, algo), keys, algo, witness)
 
 
 # --- tree ------------------------------------------------------------------------
 
 
-def tree_digests(hashes: DataFrame, keys: Sequence[str], depth: int, algo: str) -> DataFrame:
-    """``keys, n, digest`` of the multiset of hex strings in column ``h``."""
-    counted = hashes.groupBy(*keys, "h").agg(F.count("*").alias("c"))
+def _leaf_digests(hashes: DataFrame, keys: Sequence[str], depth: int, algo: str) -> DataFrame:
+    seen = [F.sum("octets").alias("octets")] if "octets" in hashes.columns else []
+    counted = hashes.groupBy(*keys, "h").agg(F.count("*").alias("c"), *seen)
     entry = F.concat_ws(":", F.col("h"), F.col("c").cast("string"))
-    level = counted.groupBy(*keys, F.substring("h", 1, depth).alias("prefix")).agg(
-        F.sum("c").alias("n"),
+    return counted.groupBy(*keys, F.substring("h", 1, depth).alias("prefix")).agg(
+        F.sum("c").alias("n"), *seen,
         D.digest(F.array_join(F.sort_array(F.collect_list(entry)), "\n"), algo).alias("d"),
     )
+
+
+def _folded(level: DataFrame, keys: Sequence[str], depth: int, algo: str) -> DataFrame:
+    seen = [F.sum("octets").alias("octets")] if "octets" in level.columns else []
+    child = F.concat_ws(":", F.col("prefix"), F.col("d"))
+    return level.groupBy(*keys, F.substring("prefix", 1, depth).alias("prefix")).agg(
+        F.sum("n").alias("n"), *seen,
+        D.digest(F.array_join(F.sort_array(F.collect_list(child)), "\n"), algo).alias("d"),
+    )
+
+
+def tree_digests(hashes: DataFrame, keys: Sequence[str], depth: int, algo: str) -> DataFrame:
+    """``keys, n, digest`` of the multiset of hex strings in column ``h``, and the sum of ``octets`` where there is one."""
+    level = _leaf_digests(hashes, keys, depth, algo)
     while depth > 0:
         depth = max(0, depth - FOLD_DIGITS)
-        child = F.concat_ws(":", F.col("prefix"), F.col("d"))
-        level = level.groupBy(*keys, F.substring("prefix", 1, depth).alias("prefix")).agg(
-            F.sum("n").alias("n"),
-            D.digest(F.array_join(F.sort_array(F.collect_list(child)), "\n"), algo).alias("d"),
-        )
-    return level.select(*keys, "n", F.col("d").alias("digest"))
+        level = _folded(level, keys, depth, algo)
+    return level.select(*keys, "n", F.col("d").alias("digest"), *(["octets"] if "octets" in hashes.columns else []))
+
+
+def tree_levels(df: DataFrame, mode: str = "strict", algo: str = "sha256", keys: Sequence[str] = (),
+                depth: int = LEAF_DIGITS) -> DataFrame:
+    """``keys, depth, prefix, n, digest`` of every node of the tree, from the leaves to the root. Kept beside a
+    manifest, in folders by ``depth``, it lets two copies be compared from the root down; the root's digest is the
+    one of :func:`fingerprint_tree`."""
+    leaves = settle(_leaf_digests(row_hashes(df, mode, algo, keys).drop("octets"), keys, depth, algo))
+    level, out = leaves, [leaves.select(*keys, F.lit(depth).alias("depth"), "prefix", "n", F.col("d").alias("digest"))]
+    while depth > 0:
+        depth = max(0, depth - FOLD_DIGITS)
+        level = _folded(level, keys, depth, algo)
+        out.append(level.select(*keys, F.lit(depth).alias("depth"), "prefix", "n", F.col("d").alias("digest")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def leaf_of(df: DataFrame, mode: str = "strict", algo: str = "sha256", keys: Sequence[str] = (), depth: int = LEAF_DIGITS) -> DataFrame:
+    """``df`` plus ``prefix``, the leaf each of its rows is hashed in."""
+    body = df.drop(*keys) if keys else df
+    return df.withColumn("prefix", F.substring(D.digest(canonical_row(body, mode), algo), 1, depth))
 
 
 def fingerprint_tree(df: DataFrame, mode: str = "strict", algo: str = "sha256",
-                     keys: Sequence[str] = (), depth: int = LEAF_DIGITS) -> DataFrame:
+                     keys: Sequence[str] = (), depth: int = LEAF_DIGITS, witness: bool = False) -> DataFrame:
     """``depth`` hex digits give up to ``16**depth`` leaves, whatever the number of rows; it is part of
     the ``algo`` label, and sides with unequal labels are not compared."""
     level = tree_digests(row_hashes(df, mode, algo, keys), keys, depth, algo)
     if not keys:
-        level = level.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("digest").alias("digest"))
-    return _rendered(level, keys, F.col("digest"), f"{algo}/tree{depth}")
+        level = level.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("digest").alias("digest"),
+                          F.coalesce(F.max("octets"), F.lit(0)).alias("octets"))
+    return _rendered(level, keys, F.col("digest"), f"{algo}/tree{depth}", witness)
 
 
 # --- many tables -------------------------------------------------------------------
 
 
 def fingerprint(df: DataFrame, method: str = "sum", mode: str = "strict", algo: str | None = None,
-                keys: Sequence[str] = (), depth: int = LEAF_DIGITS) -> DataFrame:
+                keys: Sequence[str] = (), depth: int = LEAF_DIGITS, witness: bool = False) -> DataFrame:
     algo = algo or (DEFAULT_ALGO.get(method) if mode == "strict" or method != "sum" else "md5")
     if method == "sum":
-        return fingerprint_sum(df, mode, algo, keys)
+        return fingerprint_sum(df, mode, algo, keys, witness)
     if method == "tree":
-        return fingerprint_tree(df, mode, algo, keys, depth)
+        return fingerprint_tree(df, mode, algo, keys, depth, witness)
     raise ValueError(f"unknown method {method!r}; one of {METHODS}")
 
 
@@ -198,8 +236,8 @@ def parse_label(label: str | None) -> tuple[str, str, int]:
 
 
 def fingerprint_tables(tables: Mapping[str, DataFrame], db: str = "db", method: str = "sum",
-                       mode: str = "strict", algo: str | None = None, depth: int = LEAF_DIGITS) -> DataFrame:
-    """``db, table, algo, digest, n, fingerprint`` of every table, in one Spark job.
+                       mode: str = "strict", algo: str | None = None, depth: int = LEAF_DIGITS, witness: bool = False) -> DataFrame:
+    """``db, table, algo, digest, n, fingerprint`` of every table, in one Spark job, and with ``witness`` its ``octets``.
 
     Each table is scanned and hashed on its own; only ``(table, octets, hash)`` meets in a union under
     one aggregation, whose partial step runs in the scanning tasks, so a table holding most of the
@@ -214,18 +252,19 @@ def fingerprint_tables(tables: Mapping[str, DataFrame], db: str = "db", method:
     parts = [take(df, mode, algo).select(F.lit(name).alias("table"), "*") for name, df in sorted(tables.items())]
     together = reduce(DataFrame.union, parts).select(F.lit(db).alias("db"), "*")
     if method == "sum":
-        found = render_state(sum_state(together, keys, algo), keys, algo)
+        found = render_state(sum_state(together, keys, algo), keys, algo, witness)
         label = f"{algo}/sum"
     else:
         level = tree_digests(together, keys, depth, algo)
         label = f"{algo}/tree{depth}"
-        found = _rendered(level, keys, F.col("digest"), label)
+        found = _rendered(level, keys, F.col("digest"), label, witness)
     return listed.join(found, keys, "left").select(
         *keys,
         F.lit(label).alias("algo"),
         F.coalesce("digest", F.lit("EMPTY")).alias("digest"),
         F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
         F.coalesce("fingerprint", F.lit(D.EMPTY_FINGERPRINT)).alias("fingerprint"),
+        *([F.coalesce("octets", F.lit(0).cast("bigint")).alias("octets")] if witness else []),
     )
 
 

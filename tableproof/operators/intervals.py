@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableproof.operators.ordered import BLOCK, carried_max, ordered_blocks
+from tableproof.operators.ordered import BLOCK, as_of, carried_max, ordered_blocks
+from tableproof.session import settle
 
-PIECE_BITS = 12
-PIECE = 1 << PIECE_BITS  # ids per piece: at most PIECE/2 disjoint intervals share one
+STEP_BITS = 4  # aligned spans of 16, 256, 4096 .. ids
+LEVELS = 16  # as many as a bigint has steps
 
 
 def merge_intervals(spans: DataFrame) -> DataFrame:
@@ -36,57 +39,63 @@ def merge_intervals(spans: DataFrame) -> DataFrame:
     )
 
 
-def _piece_of(n: Column) -> Column:
-    return F.shiftright(n, PIECE_BITS)
-
-
-def pieces(merged: DataFrame) -> DataFrame:
-    """Disjoint intervals cut at piece borders, so that containment becomes an equi join."""
-    cut = merged.select(
-        "uuid", "lo", "hi", F.explode(F.sequence(_piece_of(F.col("lo")), _piece_of(F.col("hi")))).alias("piece")
-    )
-    return cut.select(
-        "uuid",
-        "piece",
-        F.greatest(F.col("lo"), F.col("piece") * PIECE).alias("lo"),
-        F.least(F.col("hi"), F.col("piece") * PIECE + (PIECE - 1)).alias("hi"),
-    )
-
-
 def txn_missing(marked: DataFrame, applied: DataFrame) -> DataFrame:
-    """Ids of ``marked`` that ``applied`` does not hold, per piece of the marked set."""
-    want = pieces(merge_intervals(marked))
-    have = pieces(merge_intervals(applied)).select(
-        "uuid", "piece", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")
-    )
-    inside = (F.col("lo") >= F.col("_lo")) & (F.col("hi") <= F.col("_hi"))
-    return want.join(
-        have.withColumnsRenamed({"uuid": "_uuid", "piece": "_piece"}),
-        (F.col("uuid") == F.col("_uuid")) & (F.col("piece") == F.col("_piece")) & inside,
-        "left_anti",
-    )
+    """``uuid, lo, hi``: intervals of the marked set that the applied set does not hold whole.
+
+    In normal form an interval is held by one interval or by none, and that one is the last that begins at or before
+    it: a predecessor search, whose rows are the intervals themselves, however long they are."""
+    have = merge_intervals(applied)
+    found = as_of(merge_intervals(marked), have, ["uuid"], ["lo"], F.struct("lo", "hi"), "_held")
+    return found.filter(F.coalesce(F.col("_held.hi") < F.col("hi"), F.lit(True))).select("uuid", "lo", "hi")
 
 
 def txn_subset(marked: DataFrame, applied: DataFrame) -> DataFrame:
-    """``uuid, missing_pieces, status`` for every uuid of the marked set."""
-    lacking = txn_missing(marked, applied).groupBy("uuid").agg(F.count("*").alias("missing_pieces"))
-    n = F.coalesce("missing_pieces", F.lit(0))
+    """``uuid, missing_intervals, status`` for every uuid of the marked set."""
+    lacking = txn_missing(marked, applied).groupBy("uuid").agg(F.count("*").alias("missing_intervals"))
+    n = F.coalesce("missing_intervals", F.lit(0))
     return (
         marked.select("uuid").distinct().join(lacking, "uuid", "left")
-        .select("uuid", n.alias("missing_pieces"), F.when(n == 0, "OK").otherwise("MISSING").alias("status"))
+        .select("uuid", n.alias("missing_intervals"), F.when(n == 0, "OK").otherwise("MISSING").alias("status"))
     )
 
 
+def aligned_spans(merged: DataFrame) -> DataFrame:
+    """``uuid, level, block``: disjoint intervals as aligned spans of ``16 ** level`` ids, the widest that fit.
+
+    An interval gives at most 30 spans a level, so the rows follow the number of intervals and not their length;
+    a single id gives one."""
+    spans = merged.select("uuid", F.col("lo").cast("bigint").alias("_from"), (F.col("hi").cast("bigint") + 1).alias("_to"))
+    parts = []
+    for level in range(LEVELS):
+        # what is left of the interval in units of this level; its ragged ends stay here, the middle goes up
+        last = level == LEVELS - 1
+        up_from = F.shiftright(F.col("_from") + ((1 << STEP_BITS) - 1), STEP_BITS)
+        up_to = F.shiftright(F.col("_to"), STEP_BITS)
+        middle = F.lit(False) if last else up_from < up_to
+        left = F.when(middle, F.shiftleft(up_from, STEP_BITS)).otherwise(F.col("_to"))
+        right = F.when(middle, F.shiftleft(up_to, STEP_BITS)).otherwise(F.col("_to"))
+
+        def run(begin, end):
+            return F.when(begin < end, F.sequence(begin, end - 1)).otherwise(F.array().cast("array<bigint>"))
+
+        blocks = F.concat(run(F.col("_from"), left), run(right, F.col("_to")))
+        parts.append(spans.select("uuid", F.lit(level).alias("level"), F.explode(blocks).alias("block")))
+        if not last:
+            spans = spans.filter(middle).select("uuid", up_from.alias("_from"), up_to.alias("_to"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def skip_applied(log: DataFrame, purged: DataFrame, uuid: str = "gtid_uuid", number: str = "gtid_no") -> DataFrame:
-    """The log without the transactions the base already holds. Merged intervals are cut into pieces,
-    so the log meets them on an equi key and a piece holds few intervals; the interval side is small
-    enough to broadcast when its measured size says so, which is left to the optimizer."""
-    have = pieces(merge_intervals(purged)).select(
-        F.col("uuid").alias("_uuid"), F.col("piece").alias("_piece"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")
-    )
-    on = (
-        (F.col(uuid) == F.col("_uuid"))
-        & (_piece_of(F.col(number)) == F.col("_piece"))
-        & F.col(number).between(F.col("_lo"), F.col("_hi"))
-    )
-    return log.join(have, on, "left_anti")
+    """The log without the transactions the base already holds.
+
+    The purged set becomes aligned spans, and the log meets the spans of each level that occurs on an equi key, so
+    nothing is compared within a server and no span holds more than one interval. The log is neither sorted nor
+    multiplied; the spans are few enough to broadcast when their measured size says so, which is left to the
+    optimizer."""
+    spans = settle(aligned_spans(settle(merge_intervals(purged))))
+    levels = sorted(r["level"] for r in spans.select("level").distinct().collect())  # LEVELS numbers at most
+    for level in levels:
+        held = spans.filter(F.col("level") == level).select(F.col("uuid").alias("_uuid"), F.col("block").alias("_block"))
+        on = (F.col(uuid) == F.col("_uuid")) & (F.shiftright(number, level * STEP_BITS) == F.col("_block"))
+        log = log.join(held, on, "left_anti")
+    return log

@@ -56,6 +56,19 @@ def places(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str =
     return met.withColumn(out, F.col("_own") + F.col("_before")).drop("_own", "_before", BLOCK)
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``df`` with each of ``values`` replaced by its sum up to and including the row, in ``order``, which must be unique
+    per key. Blocks are summed where they lie and their sums carried over."""
+    blocks = ordered_blocks(df, keys, order)
+    sums = blocks.groupBy(*keys, BLOCK).agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*keys, BLOCK, *[F.sum(f"_{v}").over(before).alias(f"_{v}") for v in values])
+    inner = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = blocks.withColumns({f"_own_{v}": F.sum(v).over(inner) for v in values}).join(carried, [*keys, BLOCK])
+    rest = [c for c in df.columns if c not in values]
+    return met.select(*rest, *[(F.col(f"_own_{v}") + F.coalesce(f"_{v}", F.lit(0))).cast(df.schema[v].dataType).alias(v) for v in values])
+
+
 def as_of(points: DataFrame, events: DataFrame, keys: Sequence[str], order: Sequence[str],
           value: Column, out: str) -> DataFrame:
     """For every point the maximum of ``value`` over events of its keys at or before it.

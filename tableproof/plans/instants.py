@@ -13,13 +13,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableproof.functions import names as N
 from tableproof.operators import catalog as G
 from tableproof.operators import chain as L
 from tableproof.operators import compare as C
 from tableproof.operators import fingerprint as P
-from tableproof.operators import intervals as T
+from tableproof.operators import intervals as V
 from tableproof.operators import replay as R
 from tableproof.operators import retention as X
 from tableproof.plans.gates import (
@@ -27,11 +28,12 @@ from tableproof.plans.gates import (
 )
 from tableproof.plans.verify import Proof
 from tableproof.schema import BASE_KIND, MARK_KIND
-from tableproof.session import settle
+from tableproof.session import settle, stored
 from tableproof.sources import files
 from tableproof.sources import snapshots as S
 from tableproof.sources.artefacts import hash_artefacts, list_artefacts
-from tableproof.sources.manifests import Refused, manifest_entries, read_manifests, write_manifest
+from tableproof.sources.manifests import Refused, manifest_entries, read_manifests, recorded_tables, write_manifest
+from tableproof.sources.scan import scan_parquet, schema_of
 
 FLAVOURS = ("binlog", "wal")
 
@@ -108,7 +110,7 @@ def take_base(tables: Mapping[str, DataFrame], folder: str, db: str, now: int, a
     snap = S.snapshot_tables(tables, folder, db, now, floor=0)
     row = read_manifests(spark, snap.manifest_path).first()
     path = snap.manifest_path.removesuffix(".json") + f"_{anchor.flavour}base.json"
-    prints = _recorded(spark, snap.manifest_path, db)
+    prints = recorded_tables(read_manifests(spark, snap.manifest_path), db)
     meta = {"kind": BASE_KIND[anchor.flavour], "database": db, "created_at": row["created_at"], "artefact": snap.artefact, "bytes": row["bytes"],
             "sha256": row["sha256"], "fingerprint": row["fingerprint"], BASE_FILE[anchor.flavour]: anchor.file}
     if anchor.flavour == "wal":
@@ -119,11 +121,6 @@ def take_base(tables: Mapping[str, DataFrame], folder: str, db: str, now: int, a
     return path
 
 
-def _recorded(spark: SparkSession, manifest_path: str, db: str) -> DataFrame:
-    entries = manifest_entries(read_manifests(spark, manifest_path), "tables")
-    return entries.select(F.lit(db).alias("db"), F.col("entry").alias("table"), F.col("value").alias("fingerprint"))
-
-
 def await_whole(spark: SparkSession, archive: str, name: str, limit: float = 90.0, pause: float = 1.0, looks: int = 2,
                 clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
     """Wait until the file, or its encrypted form, has had one size for ``looks`` looks in a row. The limit runs from the first
@@ -155,7 +152,7 @@ def mark_instant(tables: Mapping[str, DataFrame], position: Callable[[], LogPoin
     flavour = before.flavour
     if flavour == "wal" and not mark_name:
         raise Refused("a WAL mark needs a name: without one the end of recovery is not known")
-    prints = settle(P.fingerprint_tables(tables, db, "sum", algo=algo))
+    prints = settle(P.fingerprint_tables(tables, db, "sum", algo=algo, witness=True))
     objects = None if objects is None else settle(objects)
     after = position()
     await_whole(spark, archive, after.file, limit, pause)
@@ -268,23 +265,34 @@ def verify_instant(spark: SparkSession, base_path: str, mark_path: str, archive:
     def chain_gate() -> DataFrame:
         return checks(L.audit_chain(required, inventory, hash_artefacts(spark, archive, archive, required)), mark_name, "chain", "name")
 
-    def whole_log() -> DataFrame:
-        # the files of the chain and no others
-        names = required.filter("idx IS NOT NULL").select("name").distinct().toLocalIterator()
-        return spark.read.parquet(*[f"{archive}/{r['name']}" for r in names])
+    def chain_log(low: R.Position | None = None, high: R.Position | None = None, first: int | None = None) -> DataFrame:
+        """Rows of the chain's own files and no others, from the table of their names."""
+        names = required.filter("idx IS NOT NULL").select("idx", F.col("name").alias("rel")).distinct()
+        ends = names.agg(F.min_by("rel", "idx"), F.max_by("rel", "idx")).first()
+        schema = schema_of(spark, [f"{archive}/{n}" for n in dict.fromkeys(ends)])
+        if first is not None:
+            names = names.filter(F.col("idx") >= first)
+        sized = files.list_files(spark, archive).select("root", "rel", "bytes").join(names.select("rel"), "rel", "left_semi")
+        return scan_parquet(sized.select("root", "rel", "bytes"), schema, low, high)
 
     def target() -> R.Position | None:
         """Where the replay ends: the recorded position, or that of the named row in the mark's own segment."""
         if flavour == "binlog":
             return pair["mark_idx"], pair["mark_pos"]
-        named = whole_log().filter((F.col("op") == "M") & (F.col("name") == mark_row["mark_name"]) & (F.col("idx") == pair["mark_idx"]))
+        named = chain_log((pair["mark_idx"], 0), first=pair["mark_idx"]).filter((F.col("op") == "M") & (F.col("name") == mark_row["mark_name"]) & (F.col("idx") == pair["mark_idx"]))
         at = named.agg(F.min("pos")).first()[0]
         return None if at is None else (pair["mark_idx"], at)
 
     def log() -> DataFrame:
-        return whole_log().filter(R.at_or_after((anchor[0], 0)) & R.before(mark_at[0]))
+        """The changes between base and mark. Where several tables read them they are written once, by table."""
+        if not window:
+            low, high = (anchor[0], 0), mark_at[0]
+            rows = chain_log(low, high).filter(R.at_or_after(low) & R.before(high))
+            window.append(stored(rows, "changes", ("tbl",)) if len(key) > 1 else rows)
+        return window[0]
 
     mark_at: list[R.Position] = []
+    window: list[DataFrame] = []
 
     def target_gate() -> DataFrame:
         found = target()
@@ -300,8 +308,8 @@ def verify_instant(spark: SparkSession, base_path: str, mark_path: str, archive:
             values = [c for c in rows.columns if c not in keys]
             changes = changed.filter(F.col("tbl") == table)
             states[table] = R.replay_to_mark(rows, changes, anchor, mark_at[0], list(keys), values, purged).select(*rows.columns)
-        found = P.fingerprint_tables(states, db, method, algo=algo, depth=depth)
-        return table_checks(mark_name, _recorded(spark, mark_path, db), found)
+        found = P.fingerprint_tables(states, db, method, algo=algo, depth=depth, witness=True)
+        return table_checks(mark_name, recorded_tables(read_manifests(spark, mark_path), db), found)
 
     def objects_gate() -> DataFrame:
         if not mark_row["objects"]:
@@ -323,7 +331,7 @@ def verify_instant(spark: SparkSession, base_path: str, mark_path: str, archive:
         marked = N.parse_txn_set(read_manifests(spark, mark_path), "gtid_executed")
         replayed = log().filter(R.at_or_after(anchor)).select(F.col("gtid_uuid").alias("uuid"), F.col("gtid_no").alias("lo"), F.col("gtid_no").alias("hi"))
         applied = replayed if purged is None else replayed.unionByName(purged.select("uuid", "lo", "hi"))
-        return checks(T.txn_subset(marked, applied), mark_name, "transactions", "uuid")
+        return checks(V.txn_subset(marked, applied), mark_name, "transactions", "uuid")
 
     outcome = gates_in_cost_order([
         Gate("bytes", bytes_gate), Gate("presence", presence_gate), Gate("chain", chain_gate), Gate("target", target_gate),
@@ -526,32 +534,42 @@ def site_problems(listing: DataFrame, marks: DataFrame, bases: DataFrame, hashes
     return reduce(DataFrame.unionByName, parts)
 
 
-def _probe_bases(spark: SparkSession, site: str, newest: DataFrame, bases: DataFrame, flavour: str) -> list[tuple[str, str]]:
-    """``(artefact, sha256)`` of the bases that were looked at: for every newest mark the newest base
-    that reaches it, and the next one only when that one is not intact. The bases of a round are hashed together."""
-    own = settle(bases.filter(N.name_stamp(F.col("name"), F.col("db")).isNotNull()))
-    seen: dict[str, str] = {}
+def intact_bases(spark: SparkSession, site: str, newest: DataFrame, bases: DataFrame, flavour: str) -> DataFrame:
+    """``artefact, sha256`` of bases that hash true: for every newest mark the newest base that reaches it, and the next
+    one only where that one is not intact. A round is two joins and one hashing of all its bases; there are as many
+    rounds as the longest row of rotten bases of a database."""
+    own = settle(bases.filter(N.name_stamp(F.col("name"), F.col("db")).isNotNull() & F.col("artefact").isNotNull()))
+    seen = spark.createDataFrame([], "artefact string, sha256 string, intact boolean")
     while True:
-        rotten = [a for a, sha in seen.items() if not sha]
-        picked = L.reachable_base(newest, own.filter(~F.col("artefact").isin(rotten)), flavour, ["artefact", "sha256"])
-        fresh = {r["base_artefact"]: r["base_sha256"] for r in picked.filter("base IS NOT NULL").select("base_artefact", "base_sha256").distinct().collect()
-                 if r["base_artefact"] not in seen}
-        if not fresh:
-            return [(a, sha) for a, sha in seen.items() if sha]
-        found = artefact_hashes(spark, site, list(fresh))
-        seen |= {a: sha if found.get(a) == sha else "" for a, sha in fresh.items()}
-
-
-def artefact_hashes(spark: SparkSession, site: str, artefacts: Sequence[str]) -> dict[str, str]:
-    """Hashes of whole artefacts of a site, folders or files, all of them in one job; what is absent has none."""
-    roots = {files.qualified(spark, f"{site}/{a}"): a for a in artefacts}
-    trees = files.tree_fingerprints(files.hash_files(files.walk_files(spark, *roots)))
-    out = {roots[r["root"]]: r["sha256"] for r in trees.select("root", "sha256").collect()}
-    plain = [a for a in artefacts if a not in out]
-    if plain:
-        names = spark.createDataFrame([(a,) for a in plain], "name string")
-        out |= {r["name"]: r["sha256"] for r in hash_artefacts(spark, site, site, names).collect()}
-    return out
+        left = own.join(seen.filter("NOT intact"), ["artefact", "sha256"], "left_anti")
+        picked = L.reachable_base(newest, left, flavour, ["artefact", "sha256"]).filter("base IS NOT NULL")
+        fresh = settle(picked.select(F.col("base_artefact").alias("artefact"), F.col("base_sha256").alias("sha256")).distinct()
+                       .join(seen, ["artefact", "sha256"], "left_anti"))
+        if fresh.isEmpty():
+            return seen.filter("intact").select("artefact", "sha256")
+        found = files.artefact_hashes(spark, site, fresh).withColumnRenamed("sha256", "_found")
+        judged = fresh.join(found, "artefact", "left").select(
+            "artefact", "sha256", F.coalesce(F.col("sha256") == F.col("_found"), F.lit(False)).alias("intact"))
+        seen = settle(seen.unionByName(judged))
+
+
+INVENTORY = T.StructType([T.StructField("name", T.StringType()), T.StructField("sha256", T.StringType())])
+
+
+def site_inventories(spark: SparkSession, site: str, marks: DataFrame) -> DataFrame:
+    """``mark, name, sha256`` of the marks (column ``name``): the tables beside their manifests, found by one listing of
+    the site and read from the table of their files, and the manifests' own maps."""
+    start = spark.createDataFrame([(files.qualified(spark, site), "")], "root string, rel string")
+    beside = marks.select(F.col("name").alias("mark"), F.concat(F.regexp_replace("name", "\\.json$", ""), F.lit(".inventory")).alias("rel"))
+    held = files.list_level(start).filter("is_dir").select("root", "rel").join(beside, "rel")
+    tables = settle(held.select("mark", F.concat_ws("/", "root", "rel").alias("root")))
+    parts = files.walk_from(tables).filter(F.col("rel").endswith(".parquet") & ~F.col("rel").rlike(r"(^|/)[._]"))
+    inventory = scan_parquet(parts.join(tables, "root").select("root", "rel", "bytes", "mark"), INVENTORY, keep=["mark"])
+    manifests = read_manifests(spark, site).join(marks.select("name"), "name", "left_semi").withColumnRenamed("name", "mark")
+    for section in ("binlogs", "wal"):
+        entries = manifest_entries(manifests, section, "mark")
+        inventory = inventory.unionByName(entries.select(F.col("entry").alias("name"), F.col("digest").alias("sha256"), "mark"))
+    return inventory.select("mark", "name", "sha256")
 
 
 def check_instants(spark: SparkSession, site: str, now: int, max_age_days: int, flavour: str) -> tuple[DataFrame, int]:
@@ -559,25 +577,11 @@ def check_instants(spark: SparkSession, site: str, now: int, max_age_days: int,
     marks, bases = points_at(spark, site, flavour)
     listing = list_artefacts(spark, site, site).select("name")
     newest = settle(L.newest_marks(marks))
-    names = [r["name"] for r in newest.select("name").toLocalIterator()]  # one per database
-    nothing = spark.createDataFrame([], "mark string, name string, sha256 string")
-    tables = [files.qualified(spark, inventory_path(f"{site}/{n}")) for n in names if files.exists(spark, inventory_path(f"{site}/{n}"))]
-    inventory = nothing
-    if tables:
-        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-        read = spark.read.parquet(*tables).select(F.regexp_replace(folder, "\\.inventory$", ".json").alias("mark"), "name", "sha256")
-        inventory = inventory.unionByName(read)
-    manifests = read_manifests(spark, site).join(newest.select("name"), "name", "left_semi")
-    for section in ("binlogs", "wal"):
-        entries = manifest_entries(manifests.withColumnRenamed("name", "mark"), section, "mark")
-        inventory = inventory.unionByName(entries.select("mark", F.col("entry").alias("name"), F.col("digest").alias("sha256")))
-    inventory = settle(inventory)
+    inventory = settle(site_inventories(spark, site, newest))
     # only files some newest mark stands on are read
     hashes = hash_artefacts(spark, site, site, inventory).select(F.col("name").alias("artefact"), "sha256")
-    trees = _probe_bases(spark, site, newest, bases, flavour)
-    if trees:
-        hashes = hashes.unionByName(spark.createDataFrame(trees, "artefact string, sha256 string"))
-    return site_problems(listing, marks, bases, hashes, inventory, now, max_age_days, flavour), len(names)
+    hashes = settle(hashes.unionByName(intact_bases(spark, site, newest, bases, flavour)))
+    return site_problems(listing, marks, bases, hashes, inventory, now, max_age_days, flavour), newest.count()
 
 
 def check_site(spark: SparkSession, site: str, now: int, max_age_days: int = 0) -> DataFrame:
@@ -589,9 +593,7 @@ def check_site(spark: SparkSession, site: str, now: int, max_age_days: int = 0)
         parts.append(found)
         proven += marks
     dumps = G.by_kind(read_manifests(spark, site), ["dump"]).filter("artefact IS NOT NULL")
-    named = [r["artefact"] for r in dumps.select("artefact").distinct().toLocalIterator()]  # one per dump
-    hashes = spark.createDataFrame(list(artefact_hashes(spark, site, named).items()) if named else [], "artefact string, sha256 string")
-    listing = hashes.select(F.lit(site).alias("site"), F.col("artefact").alias("name"), "sha256")
+    listing = files.artefact_hashes(spark, site, dumps).select(F.lit(site).alias("site"), F.col("artefact").alias("name"), "sha256")
     audit = settle(G.audit_site(listing, dumps.select(F.lit(site).alias("site"), "name", "artefact", "sha256")))
     owners = dumps.select("name", F.col("database").alias("db"))
     # only artefacts that a manifest names were looked at; folders of tables follow no naming rule of files

@@ -14,7 +14,7 @@ from tableproof.operators import fingerprint as P
 from tableproof.plans.gates import Gate, age_rows, checks, counter_checks, gates_in_cost_order, object_checks, one_check, table_checks
 from tableproof.schema import BASE_KIND, MARK_KIND
 from tableproof.sources import snapshots as S
-from tableproof.sources.manifests import Refused, manifest_entries, read_manifests
+from tableproof.sources.manifests import Refused, manifest_entries, read_manifests, recorded_tables
 
 
 @dataclass(frozen=True)
@@ -47,8 +47,8 @@ def fingerprint_loaded(spark: SparkSession, tables: Mapping[str, DataFrame], db:
 
     def take(names: list[str]) -> None:
         try:
-            found = P.fingerprint_tables({n: tables[n] for n in names}, db, taken, algo=algo, depth=depth)
-            kept.extend(tuple(r) for r in found.select("db", "table", "algo", "fingerprint").collect())
+            found = P.fingerprint_tables({n: tables[n] for n in names}, db, taken, algo=algo, depth=depth, witness=True)
+            kept.extend(tuple(r) for r in found.select("db", "table", "algo", "fingerprint", "octets").collect())
         except Exception as why:  # noqa: BLE001
             if len(names) == 1:
                 broken[names[0]] = f"{type(why).__name__}: {str(why).splitlines()[0][:200] if str(why) else ''}"
@@ -58,7 +58,7 @@ def fingerprint_loaded(spark: SparkSession, tables: Mapping[str, DataFrame], db:
 
     if tables:
         take(sorted(tables))
-    return spark.createDataFrame(kept, "db string, table string, algo string, fingerprint string"), broken
+    return spark.createDataFrame(kept, "db string, table string, algo string, fingerprint string, octets bigint"), broken
 
 
 def verify_snapshot(spark: SparkSession, manifest_path: str, now: int, max_age_days: int = 0,
@@ -74,7 +74,7 @@ def verify_snapshot(spark: SparkSession, manifest_path: str, now: int, max_age_d
     db, name = row["database"], snap.manifest
     method = P.parse_label(row["fingerprint"])
     manifest = read_manifests(spark, manifest_path)
-    expected = manifest_entries(manifest, "tables").select(F.lit(db).alias("db"), F.col("entry").alias("table"), F.col("value").alias("fingerprint"))
+    expected = recorded_tables(manifest, db)
     promised = manifest_entries(manifest, "objects").select(F.lit(db).alias("db"), F.col("entry").alias("class"), F.col("value").alias("digest"))
 
     def bytes_gate() -> DataFrame:

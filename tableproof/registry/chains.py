@@ -395,6 +395,42 @@ def d15(spark, sf_dir):
     return T.txn_subset(t, t.filter("applied")).select("uuid", "status")
 
 
+# A wide interval of either set, whose middle only the applied set of the even users lacks: rows follow intervals, not ids.
+WIDE_SETS = (
+    "SELECT concat('user-', CAST(user_id AS STRING)) AS uuid, 1 AS lo, 1000000000000 + max(event_id) AS hi, "
+    "count(DISTINCT event_type) AS kinds FROM {events} GROUP BY user_id"
+)
+
+
+@register(
+    "d15_txn_subset_wide",
+    f"SELECT uuid, CASE WHEN kinds % 2 = 0 THEN 1 ELSE 0 END AS missing_intervals, CASE WHEN kinds % 2 = 0 THEN 'MISSING' ELSE 'OK' END AS status FROM ({WIDE_SETS}) w",
+)
+def d15_wide(spark, sf_dir):
+    sets = X.view(spark, sf_dir, WIDE_SETS)
+    whole = sets.filter("kinds % 2 = 1").select("uuid", "lo", "hi")
+    cut = sets.filter("kinds % 2 = 0").select("uuid", F.explode(F.array(
+        F.struct("lo", F.lit(500_000_000_000).alias("hi")), F.struct(F.lit(500_000_000_002).alias("lo"), "hi"))).alias("s")).select("uuid", "s.lo", "s.hi")
+    return T.txn_subset(sets, whole.unionByName(cut))
+
+
+@register(
+    "d16_skip_applied_wide",
+    f"WITH l AS ({X.CHANGE_LOG}) SELECT l.idx, l.pos, l.k, l.gtid_no FROM l JOIN (SELECT user_id, max(event_id) AS top FROM {{events}} GROUP BY user_id) e ON l.k = e.user_id "
+    "WHERE NOT (l.gtid_no + 700000000000 <= 700000000000 + e.top // 2 OR l.gtid_no + 700000000000 >= 700000000000 + e.top)",
+)
+def d16_wide(spark, sf_dir):
+    """Every user is a server; the base holds its ids up to a point, a thousand billion of them, and those from its last one on."""
+    log = X.view(spark, sf_dir, X.CHANGE_LOG).select("idx", "pos", "k", "gtid_no")
+    top = log.groupBy("k").agg(F.max("gtid_no").alias("top"))
+    far = F.lit(700_000_000_000)
+    held = top.select(F.col("k").alias("uuid"), F.explode(F.array(
+        F.struct(F.lit(1).cast("bigint").alias("lo"), (far + F.floor(F.col("top") / 2)).alias("hi")),
+        F.struct((far + F.col("top")).alias("lo"), (far * 2).alias("hi")))).alias("s")).select("uuid", "s.lo", "s.hi")
+    moved = log.withColumn("_at", F.col("gtid_no") + far)
+    return T.skip_applied(moved, held, "k", "_at").drop("_at")
+
+
 @register(
     "d16_skip_applied",
     f"WITH l AS ({X.CHANGE_LOG}), t AS ({X.TXN_SETS}) SELECT idx, pos, gtid_uuid, gtid_no FROM l WHERE NOT EXISTS "

@@ -8,7 +8,8 @@ from tableproof import fixtures as X
 from tableproof.operators import compare as C
 from tableproof.operators import fingerprint as P
 from tableproof.registry import register
-from tableproof.registry.fingerprints import digests_of, object_catalog, object_sql
+from tableproof.registry.fingerprints import ORDERS_COLS, digests_of, object_catalog, object_sql, strict_sql
+from tableproof.session import stored
 
 # --- the copy matrix ---------------------------------------------------------------
 
@@ -81,6 +82,69 @@ def d1_texts(spark, sf_dir):
     return C.compare_tables(expected, actual).select("db", "table", "status", "expected_n", "actual_n", "row_delta")
 
 
+# --- witnesses and descent -------------------------------------------------------------
+
+CUT = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN substr(text, 1, 40) ELSE text END AS text, lang, source, n_chars FROM {documents}"
+LESS = "SELECT * FROM {customer} WHERE c_custkey % 100 <> 1"
+
+
+def octets_of(source: str, cols: str) -> str:
+    return f"(SELECT CAST(sum({' + '.join(f'coalesce(strlen({c}), 0)' for c in cols.split())}) AS BIGINT) FROM ({source}) z)"
+
+
+def witness_sql() -> str:
+    rows = []
+    for table, status, e, a, cols in (
+        ("documents", "TRUNCATED", "SELECT * FROM {documents}", CUT, "text lang source"),
+        ("pages", "DIFFERS", "SELECT * FROM {pages}", X.PAGES_COPY, "url html"),
+        ("customer", "DIFFERS", "SELECT * FROM {customer}", LESS, "c_name c_mktsegment"),
+        ("part", "OK", "SELECT * FROM {part}", "SELECT * FROM {part}", "p_name p_brand p_type"),
+    ):
+        rows.append(f"SELECT '{table}' AS \"table\", '{status}' AS status, (SELECT count(*) FROM ({a}) x) - (SELECT count(*) FROM ({e}) y) AS row_delta, "
+                    f"{octets_of(a, cols)} - {octets_of(e, cols)} AS octet_delta")
+    return " UNION ALL ".join(rows)
+
+
+@register("e9_witness_compare", witness_sql())
+def e9_witness(spark, sf_dir):
+    """A column cut in every tenth row: as many rows, fewer bytes. Text appended, rows lost and a true copy beside it."""
+    names = ("documents", "pages", "customer", "part")
+    source = {n: X.load(spark, sf_dir, n) for n in names}
+    copy = source | {"documents": X.view(spark, sf_dir, CUT), "pages": X.view(spark, sf_dir, X.PAGES_COPY), "customer": X.view(spark, sf_dir, LESS)}
+    expected, actual = (P.fingerprint_tables(t, "app", witness=True) for t in (source, copy))
+    return C.compare_tables(expected, actual).select("table", "status", "row_delta", "octet_delta")
+
+
+def sides_sql() -> str:
+    def hashed(source: str, e: int) -> str:
+        return f"SELECT md5({strict_sql(ORDERS_COLS)}) AS h, {e} AS e, {1 - e} AS a FROM ({source}) o"
+
+    return (f"SELECT substr(h, 1, 6) AS prefix, CAST(nullif(sum(e), 0) AS BIGINT) AS expected_n, CAST(nullif(sum(a), 0) AS BIGINT) AS actual_n FROM "
+            f"(SELECT h, sum(e) AS e, sum(a) AS a FROM ({hashed(X.ORDERS_PLAIN, 1)} UNION ALL {hashed(X.ORDERS_COPY, 0)}) u GROUP BY h) c "
+            "GROUP BY 1 HAVING bool_or(e <> a)")
+
+
+def leaves_of_orders(spark, sf_dir):
+    sides = [X.view(spark, sf_dir, q) for q in (X.ORDERS_PLAIN, X.ORDERS_COPY)]
+    kept = [stored(P.tree_levels(df, algo="md5"), "levels", ("depth",)) for df in sides]
+    return sides, C.differing_leaves(*kept)
+
+
+@register("d1_differing_leaves", sides_sql())
+def d1_leaves(spark, sf_dir):
+    return leaves_of_orders(spark, sf_dir)[1]
+
+
+@register(
+    "d1_differing_rows",
+    f"SELECT 'expected' AS side, o_orderkey, o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice FROM (({X.ORDERS_PLAIN}) EXCEPT ALL ({X.ORDERS_COPY})) e "
+    f"UNION ALL SELECT 'actual', o_orderkey, o_orderstatus, CAST(o_totalprice AS VARCHAR) FROM (({X.ORDERS_COPY}) EXCEPT ALL ({X.ORDERS_PLAIN})) a",
+)
+def d1_rows(spark, sf_dir):
+    (expected, actual), leaves = leaves_of_orders(spark, sf_dir)
+    return C.differing_rows(expected, actual, leaves, algo="md5").select("side", "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("string").alias("o_totalprice"))
+
+
 @register(
     "d1_compare_tables_labels",
     f"SELECT db, \"table\", CASE WHEN status IN ('OK', 'DIFFERS') THEN 'FOREIGN_METHOD' ELSE status END AS status, expected_n, actual_n FROM ({D1_SQL}) m",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from tableproof import fixtures as X
@@ -9,6 +11,8 @@ from tableproof.functions.canonical import canonical_row
 from tableproof.operators import fingerprint as P
 from tableproof.operators import objects as O
 from tableproof.registry import register
+from tableproof.session import ensure_checkpoint_dir, settle
+from tableproof.sources.objects import read_object_catalog
 
 # --- oracle building blocks ------------------------------------------------------
 
@@ -219,6 +223,36 @@ def a12(spark, sf_dir):
     return catalog.groupBy("db", "class").agg(F.count("*").alias("n"), F.min("definition").alias("first_definition"))
 
 
+# One table, two views and a function, made of the tables, in a database that is gone afterwards.
+CATALOGUE = {
+    "tables": ["nations(n_nationkey int, n_name string, regions bigint)"],
+    "views": ["brands(p_brand string, parts bigint NOT NULL)", "rich(c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string)"],
+}
+
+
+@register("a12_read_object_catalog", " UNION ALL ".join(
+    f"SELECT '{kind}' AS class, '{text.split('(')[0]}' AS name, '{text}' AS definition, (SELECT count(*) FROM {{nation}}) AS nations"
+    for kind, texts in CATALOGUE.items() for text in texts) + " UNION ALL SELECT 'routines', 'twice', 'twice', (SELECT count(*) FROM {nation})")
+def a12_read(spark, sf_dir):
+    """What the operator reads out of the session catalogue, and that the table it lists holds its rows."""
+    db = f"proof_{uuid4().hex[:8]}"
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{ensure_checkpoint_dir(spark)}/{db}'")
+    try:
+        n = spark.sql("SELECT n_nationkey, n_name, count(r_regionkey) AS regions FROM {n} LEFT JOIN {r} ON n_regionkey = r_regionkey GROUP BY 1, 2",
+                      n=X.load(spark, sf_dir, "nation"), r=X.load(spark, sf_dir, "region"))
+        n.write.saveAsTable(f"{db}.nations")
+        spark.sql(f"CREATE VIEW {db}.brands AS SELECT p_brand, count(*) AS parts FROM parquet.`{sf_dir}/part.parquet` GROUP BY p_brand")
+        spark.sql(f"CREATE VIEW {db}.rich AS SELECT * FROM parquet.`{sf_dir}/customer.parquet` WHERE c_acctbal > 0")
+        spark.sql(f"CREATE FUNCTION {db}.twice(x BIGINT) RETURNS BIGINT RETURN 2 * x")
+        rows = settle(read_object_catalog(spark, db))
+        held = spark.table(f"{db}.nations").agg(F.count(F.lit(1))).first()[0]
+    finally:
+        spark.sql(f"DROP DATABASE {db} CASCADE")
+    # what a function is made of is the engine's own text
+    told = F.when(F.col("class") == "routines", F.col("name")).otherwise(F.col("definition"))
+    return rows.select("class", "name", told.alias("definition"), F.lit(held).cast("bigint").alias("nations"))
+
+
 @register("e6_object_digest", object_sql("definition"))
 def e6(spark, sf_dir):
     return digests_of(object_catalog(spark, sf_dir))

@@ -4,12 +4,16 @@ tables into the session's shared folder, and what the operators say about them."
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from uuid import uuid4
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableproof import fixtures as X
+from tableproof.functions import names as N
 from tableproof.operators import replay as R
 from tableproof.plans import instants as I
 from tableproof.plans.gates import Gate, gates_in_cost_order
@@ -162,7 +166,7 @@ def a10(spark, sf_dir):
     """Made, published to a site, fetched from there by name, and loaded."""
     snap, site, out = taken(spark, sf_dir), folder(spark, "site"), folder(spark, "out")
     for path in (site, out):
-        write_files(spark.createDataFrame([("readme", "")], "rel string, body string"), path)
+        files.make_folder(spark, path)
     S.publish_verified(spark, snap.manifest_path, site)
     return loaded_rows(spark, S.fetch_verified(spark, "app", site, out).manifest_path)
 
@@ -238,9 +242,32 @@ def write_log(log, root: str) -> int:
     return dealt.mapInArrow(work, "file string").count()
 
 
-def drill(spark, sf_dir, flavour: str):
-    """Archive, base a quarter into the log, mark three quarters in, and the state there."""
-    log = X.view(spark, sf_dir, X.CHANGE_LOG).withColumns({"tbl": F.lit("accounts"), "name": F.lit(None).cast("string")})
+#: The one server whose transactions the log holds; they are numbered from one.
+SERVER = "3e11fa47-71ca-11e1-9e33-c80aa9429562"
+KEY = {"accounts": ["k"]}
+
+
+@dataclass(frozen=True)
+class Drill:
+    """An archive, a base a quarter into its log, the place of a mark three quarters in, and the state there."""
+
+    log: DataFrame
+    archive: str
+    backups: str
+    base: str
+    state: DataFrame
+    at: I.LogPoint
+    before_base: int
+    before_mark: int
+
+
+def account_log(spark, sf_dir):
+    log = X.view(spark, sf_dir, X.CHANGE_LOG)
+    return log.withColumns({"tbl": F.lit("accounts"), "name": F.lit(None).cast("string"), "gtid_uuid": F.lit(SERVER), "gtid_no": F.col("gtid_no") + 1})
+
+
+def drill(spark, sf_dir, flavour: str) -> Drill:
+    log = account_log(spark, sf_dir)
     top = log.agg(F.max("idx")).first()[0]
     anchor = (top // 4, 404 if flavour == "binlog" else 0)
     mark = ((top * 3) // 4, 2504)
@@ -251,14 +278,27 @@ def drill(spark, sf_dir, flavour: str):
     base_state = R.latest_state(log.filter(R.before(anchor)), ["k"], ["v"])
     state = R.latest_state(log.filter(R.before(mark)), ["k"], ["v"])
     base = I.take_base({"accounts": base_state}, backups, "app", X.NOW - 3600, point(flavour, *anchor))
-    return archive, backups, base, state, point(flavour, *mark)
+    counts = log.agg(F.count_if(R.before(anchor)), F.count_if(R.before(mark))).first()
+    return Drill(whole, archive, backups, base, state, point(flavour, *mark), *counts)
+
+
+def mark_of(spark, d: Drill, archive: str | None = None, now: int = X.NOW, mark_name: str = "deploy", transactions: int | None = None, **given) -> str:
+    flavour = d.at.flavour
+    if flavour == "wal":
+        given["mark_name"] = mark_name
+    else:
+        given["gtid_executed"] = f"{SERVER}:1-{d.before_mark if transactions is None else transactions}"
+    return I.mark_instant({"accounts": d.state}, lambda: d.at, archive or d.archive, d.backups, "app", now, pause=0.01, **given)
+
+
+def verified(spark, d: Drill, mark: str, archive: str | None = None, now: int = X.NOW, base: str | None = None):
+    held = spark.createDataFrame([(SERVER, 1, d.before_base)], "uuid string, lo bigint, hi bigint") if d.at.flavour == "binlog" else None
+    return I.verify_instant(spark, base or d.base, mark, archive or d.archive, KEY, now, 7, held)
 
 
 def marked(spark, sf_dir, flavour: str, **given):
-    archive, backups, base, state, at = drill(spark, sf_dir, flavour)
-    path = I.mark_instant({"accounts": state}, lambda: at, archive, backups, "app", X.NOW, pause=0.01,
-                          mark_name="deploy" if flavour == "wal" else None, **given)
-    return archive, base, path, state
+    d = drill(spark, sf_dir, flavour)
+    return d, mark_of(spark, d, **given)
 
 
 STATE_N = (
@@ -277,7 +317,8 @@ def with_rows(df, state):
 )
 def i2(spark, sf_dir):
     """The position read around the fingerprints: standing still, and moved by one event meanwhile."""
-    archive, backups, _, state, at = drill(spark, sf_dir, "binlog")
+    d = drill(spark, sf_dir, "binlog")
+    archive, backups, state, at = d.archive, d.backups, d.state, d.at
     readings = {"still": [at, at], "moved": [I.LogPoint(at.file, at.pos - 100), at]}
     out = None
     for i, (case, values) in enumerate(readings.items()):
@@ -289,49 +330,155 @@ def i2(spark, sf_dir):
     return out
 
 
-def verdicts(spark, sf_dir, flavour: str):
-    """As it is, late, and with a copy of the log that lacks its last change."""
-    archive, base, mark, state = marked(spark, sf_dir, flavour)
-    key = {"accounts": ["k"]}
-    good = I.verify_instant(spark, base, mark, archive, key, X.NOW, 7)
-    late = I.verify_instant(spark, base, mark, archive, key, X.NOW + 30 * DAY, 7)
-    empty = folder(spark, "empty")
-    write_files(spark.createDataFrame([("readme", "")], "rel string, body string"), empty)
-    hole = I.verify_instant(spark, base, mark, empty, key, X.NOW, 7)
-    out = None
-    for case, p in (("as it is", good), ("late", late), ("archive gone", hole)):
-        one = p.verdict.select(F.lit(case).alias("case_"), "verdict")
-        out = one if out is None else out.unionByName(one)
-    return with_rows(out, state)
+# --- I4: what each gate is there to catch ---------------------------------------------------------
 
 
-I4_SQL = STATE_N + (
-    "SELECT c.*, rows_at_mark FROM n, (SELECT unnest(['as it is', 'late', 'archive gone']) AS case_, unnest(['VERIFIED', 'VERIFIED+STALE', 'FAILED']) AS verdict) c"
-)
+def rewritten(spark, root: str, rel: str) -> None:
+    """One bit in the middle of a file changed; its size stays."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                system, base = files._arrow_fs(row["root"])
+                with system.open_input_stream(f"{base}/{row['rel']}") as source:
+                    held = bytearray(source.read())
+                held[len(held) // 2] ^= 1
+                with system.open_output_stream(f"{base}/{row['rel']}") as target:
+                    target.write(bytes(held))
+            yield pa.RecordBatch.from_arrays([batch.column(1)], ["rel"])
+
+    one = spark.createDataFrame([(files.qualified(spark, root), rel)], "root string, rel string")
+    one.mapInArrow(work, "rel string").count()
+
 
+def copied(spark, archive: str, without: str = "") -> str:
+    there = folder(spark, "archive")
+    files.make_folder(spark, there)
+    files.copy_files(files.list_files(spark, archive).filter(F.col("rel") != without), there)
+    return there
 
-@register("i4_verify_instant_binlog", I4_SQL)
+
+def without_entry(spark, inventory: str, name: str) -> None:
+    """An inventory that never stood on one file."""
+    left = spark.read.parquet(inventory).filter(F.col("name") != name)
+    left.write.parquet(f"{inventory}.part")
+    files.remove(spark, inventory)
+    files.rename(spark, f"{inventory}.part", inventory)
+
+
+def verdicts(spark, sf_dir, flavour: str):
+    """One proof for every gate that can refute an instant, each over files that only that gate can tell from the
+    sound ones: what was concluded, where it stopped, and how many subjects failed in which way."""
+    d, mark = marked(spark, sf_dir, flavour)
+    inside = point(flavour, d.at.idx - 1, 0).file  # a file between base and mark
+    cases = {"as it is": verified(spark, d, mark), "late": verified(spark, d, mark, now=X.NOW + 30 * DAY)}
+    nothing = folder(spark, "empty")
+    files.make_folder(spark, nothing)
+    cases["archive gone"] = verified(spark, d, mark, nothing)
+    cases["hole"] = verified(spark, d, mark, copied(spark, d.archive, without=inside))
+    rotten = copied(spark, d.archive)
+    rewritten(spark, rotten, inside)
+    cases["rot"] = verified(spark, d, mark, rotten)
+    unvouched = mark_of(spark, d, now=X.NOW + 1)
+    without_entry(spark, I.inventory_path(unvouched), inside)
+    cases["unvouched"] = verified(spark, d, unvouched)
+    # the last change before the mark says something else, and the inventory was taken of that: content alone tells
+    last = (F.col("idx") == d.at.idx) & (F.col("pos") == 2404) & (F.col("op") != "M")
+    changed = d.log.withColumn("op", F.when(last & (F.col("op") == "D"), "U").when(last, "D").otherwise(F.col("op")))
+    other = folder(spark, "archive")
+    write_log(changed.withColumn("file", log_name(flavour, F.col("idx"))), other)
+    cases["other content"] = verified(spark, d, mark_of(spark, d, other, X.NOW + 2), other)
+    if flavour == "wal":
+        cases["no such mark"] = verified(spark, d, mark_of(spark, d, now=X.NOW + 3, mark_name="never"))
+    else:
+        cases["transaction lost"] = verified(spark, d, mark_of(spark, d, now=X.NOW + 3, transactions=d.before_mark + 1))
+    rows = []
+    for case, p in cases.items():
+        failed = p.checks.filter("severity <> 'ok' AND severity <> 'warning'").groupBy("gate", "status").agg(F.count(F.lit(1)).alias("n"))
+        told = p.verdict.select(F.lit(case).alias("case_"), "verdict", F.lit(p.stopped_at).cast("string").alias("stopped_at"), F.lit(1).alias("_one"))
+        rows.append(told.join(failed.withColumn("_one", F.lit(1)), "_one", "left").drop("_one"))
+    return with_rows(reduce(DataFrame.unionByName, rows), d.state)
+
+
+def i4_sql(last: str) -> str:
+    one = "SELECT '{}' AS case_, 'FAILED' AS verdict, {} AS stopped_at, '{}' AS gate, '{}' AS status, {} AS n"
+    cases = [
+        "SELECT 'as it is' AS case_, 'VERIFIED' AS verdict, NULL AS stopped_at, NULL AS gate, NULL AS status, NULL::BIGINT AS n",
+        "SELECT 'late', 'VERIFIED+STALE', NULL, NULL, NULL, NULL",
+        one.format("archive gone", "'presence'", "presence", "ABSENT", "(SELECT (top * 3) // 4 - top // 4 + 1 FROM e)"),
+        one.format("hole", "'presence'", "presence", "ABSENT", 1), one.format("rot", "'chain'", "chain", "DIFFERS", 1),
+        one.format("unvouched", "'chain'", "chain", "NOT_IN_INVENTORY", 1), one.format("other content", "NULL", "tables", "DIFFERS", 1), last]
+    return STATE_N + f"SELECT c.*, rows_at_mark FROM n, ({' UNION ALL '.join(cases)}) c"
+
+
+NO_MARK = "SELECT 'no such mark', 'FAILED', 'target', 'target', 'NOT_IN_LOG', 1"
+LOST = "SELECT 'transaction lost', 'FAILED', NULL, 'transactions', 'MISSING', 1"
+
+
+@register("i4_verify_instant_binlog", i4_sql(LOST))
 def i4_binlog(spark, sf_dir):
     return verdicts(spark, sf_dir, "binlog")
 
 
-@register("i4_verify_instant_wal", I4_SQL)
+@register("i4_verify_instant_wal", i4_sql(NO_MARK))
 def i4_wal(spark, sf_dir):
     return verdicts(spark, sf_dir, "wal")
 
 
+# --- I7: a site with every kind of problem ----------------------------------------------------------
+
+#: Databases of the site, where their base and mark lie in quarters of the log, and how long ago they were marked.
+SITE = {"app": (1, 2, 0), "bare": (2, 3, 0), "lost": (1, 3, 0), "quiet": (2, 3, 30 * DAY)}
+
+
+@register(
+    "i7_check_site",
+    f"WITH l AS ({X.CHANGE_LOG}), t AS (SELECT max(idx) // 4 AS q FROM l), f AS (SELECT 'binlog.' || lpad((q)::VARCHAR, 6, '0') AS rot, "
+    "'binlog.' || lpad((q + 1)::VARCHAR, 6, '0') AS hole, 'binlog.' || lpad((2 * q)::VARCHAR, 6, '0') AS bare FROM t) "
+    "SELECT 'app' AS db, rot AS subject, 'DIFFERS' AS problem FROM f UNION ALL SELECT 'app', hole, 'ABSENT' FROM f UNION ALL SELECT 'app', bare, 'NOT_IN_INVENTORY' FROM f "
+    "UNION ALL SELECT 'lost', rot, 'DIFFERS' FROM f UNION ALL SELECT 'lost', hole, 'ABSENT' FROM f "
+    f"UNION ALL SELECT 'lost', 'lost_{N.stamp_text(X.NOW)}_binlogmark.json', 'NO_INTACT_BASE' UNION ALL SELECT 'bare', 'bare_{N.stamp_text(X.NOW)}_binlogmark.json', 'NO_INVENTORY' "
+    f"UNION ALL SELECT 'quiet', '{N.stamp_text(X.NOW - 30 * DAY)}', 'STALE' UNION ALL SELECT NULL, 'late_{N.stamp_text(X.NOW)}.dump.part', 'PUSH_DIED' "
+    f"UNION ALL SELECT 'lost', 'lost_{N.stamp_text(X.NOW - 60)}.json', 'ROT' UNION ALL SELECT 'bare', 'bare_{N.stamp_text(X.NOW - 60)}.json', 'ARTEFACT_MISSING'",
+)
+def i7_check_site(spark, sf_dir):
+    """Four databases at one site that keeps the log files too, then damaged: a file of the log changed, one deleted, one
+    that an inventory never stood on, an inventory lost, a base changed, a base deleted, an upload that died."""
+    log, site = account_log(spark, sf_dir), folder(spark, "site")
+    quarter = log.agg(F.max("idx")).first()[0] // 4
+    write_log(log.withColumn("file", log_name("binlog", F.col("idx"))), site)
+    states = {n: R.latest_state(log.filter(R.before((n * quarter, 404))), ["k"], ["v"]) for n in (1, 2)}
+    marks = {}
+    for db, (begin, end, ago) in SITE.items():
+        I.take_base({"accounts": states[begin]}, site, db, X.NOW - ago - 60, point("binlog", begin * quarter + (begin > 1), 404))
+        at = point("binlog", end * quarter, 2504)
+        marks[db] = I.mark_instant({"accounts": states[begin]}, lambda at=at: at, site, site, db, X.NOW - ago, pause=0.01)
+    write_files(spark.createDataFrame([(f"late_{N.stamp_text(X.NOW)}.dump.part", "half")], "rel string, body string"), site)
+    rewritten(spark, site, point("binlog", quarter, 0).file)
+    files.remove(spark, f"{site}/{point('binlog', quarter + 1, 0).file}")
+    without_entry(spark, I.inventory_path(marks["app"]), point("binlog", 2 * quarter, 0).file)
+    files.remove(spark, I.inventory_path(marks["bare"]))
+    held = {db: f"{S.snapshot_name(db, X.NOW - 60)}{S.SUFFIX}" for db in ("lost", "bare")}
+    part = files.walk_files(spark, f"{site}/{held['lost']}").filter(F.col("rel").endswith(".parquet")).agg(F.min("rel")).first()[0]
+    rewritten(spark, f"{site}/{held['lost']}", part)
+    files.remove(spark, f"{site}/{held['bare']}")
+    return I.check_site(spark, site, X.NOW, 7)
+
+
+# --- I8, I10: an instant shipped to a site and fetched from there --------------------------------------
+
+
 def travelled(spark, sf_dir, flavour: str):
-    archive, base, mark, state = marked(spark, sf_dir, flavour)
+    d, mark = marked(spark, sf_dir, flavour)
     site, out = folder(spark, "site"), folder(spark, "out")
     for path in (site, out):
-        write_files(spark.createDataFrame([("readme", "")], "rel string, body string"), path)
-    plan = I.publish_instant(spark, base, mark, archive, site)
-    problems = I.check_site(spark, site, X.NOW, 7).filter("subject <> 'readme'")
-    got = I.fetch_instant(spark, "app", site, out, flavour)
-    proof = I.verify_instant(spark, *got, out, {"accounts": ["k"]}, X.NOW, 7)
+        files.make_folder(spark, path)
+    plan = I.publish_instant(spark, d.base, mark, d.archive, site)
+    problems = I.check_site(spark, site, X.NOW, 7)
+    base, got = I.fetch_instant(spark, "app", site, out, flavour)
+    proof = verified(spark, d, got, out, base=base)
     shipped = plan.filter("action = 'SHIP'").agg(F.count(F.lit(1)).alias("shipped"))
     counts = beside(shipped, problems.agg(F.count(F.lit(1)).alias("problems")))
-    return with_rows(beside(proof.verdict.select("verdict"), counts), state)
+    return with_rows(beside(proof.verdict.select("verdict"), counts), d.state)
 
 
 I10_SQL = STATE_N + "SELECT 'VERIFIED' AS verdict, (top * 3) // 4 - top // 4 + 1 AS shipped, 0::BIGINT AS problems, rows_at_mark FROM n, e"

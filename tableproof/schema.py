@@ -32,11 +32,11 @@ MANIFEST_SCHEMA = T.StructType(
     ]
     + [
         T.StructField(section, T.MapType(T.StringType(), T.StringType()))
-        for section in ["tables", "objects", "wal", "binlogs"]
+        for section in ["tables", "objects", "wal", "binlogs", "witness"]
     ]
 )
 
-SECTIONS = ("tables", "objects", "wal", "binlogs")
+SECTIONS = ("tables", "objects", "wal", "binlogs", "witness")
 
 # What an absent key means.
 DEFAULTS = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,8 +43,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def keyed_state(spark: SparkSession) -> None:
+    """State variables and timers of streams need the store that keeps them on disk, by key."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage, so that a lost executor replays nothing before it
     and values that depend on the physical layout (range partition numbers) stay fixed."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, what: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written once into the shared folder, in folders of the columns ``by``, and read from there: what is
+    read again for each value of ``by`` costs one pass over ``df`` and that value's own rows."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

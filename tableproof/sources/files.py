@@ -46,6 +46,11 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.delete(p, True)
@@ -100,7 +105,12 @@ def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             system, base = _arrow_fs(row["root"])
             rel = row["rel"]
-            found = system.get_file_info(fs.FileSelector(f"{base}/{rel}" if rel else base))
+            if not rel:
+                itself = system.get_file_info(base)
+                if itself.type == fs.FileType.File:  # a root may be a file: it has no name below itself
+                    yield _batch([(row["root"], "", False, int(itself.size or 0), int(itself.mtime.timestamp()) if itself.mtime else None)], _LISTED)
+                    continue
+            found = system.get_file_info(fs.FileSelector(f"{base}/{rel}" if rel else base, allow_not_found=True))
             for at in range(0, len(found), SLICE_NAMES):
                 yield _batch(
                     [
@@ -129,11 +139,18 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def walk_files(spark: SparkSession, *roots: str) -> DataFrame:
-    """Every regular file below the roots, level by level: the directories of a level are spread over
-    tasks, and the walk ends at the first level without any. Each level is written to the shared folder.
-    A root that is not there has no files."""
-    begin = [(qualified(spark, root), "") for root in roots if is_folder(spark, root)]
-    level = spark.createDataFrame(begin, "root string, rel string")
+    """Every regular file below the roots, which are few; see :func:`walk_from`."""
+    begin = [(qualified(spark, root),) for root in roots]
+    return walk_from(spark.createDataFrame(begin, "root string"))
+
+
+def walk_from(roots: DataFrame) -> DataFrame:
+    """``root, rel, bytes, mtime`` of every regular file below the qualified ``root`` rows, level by level: the
+    directories of a level are spread over tasks, and the walk ends at the first level without any. Each level is
+    written to the shared folder. A root that is a file is itself, with an empty ``rel``; one that is not there
+    has no files."""
+    spark = roots.sparkSession
+    level = roots.select("root").distinct().withColumn("rel", F.lit(""))
     files = None
     while True:
         found = settle(list_level(level))
@@ -154,7 +171,7 @@ def spread(files: DataFrame) -> DataFrame:
     n, total = known.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
     cores = known.sparkSession.sparkContext.defaultParallelism
     tasks = max(1, min(n, max(2 * cores, -(-total // TASK_BYTES))))
-    return known.repartitionByRange(tasks, F.xxhash64("rel"), F.col("rel"))
+    return known.repartitionByRange(tasks, F.xxhash64("root", "rel"), F.col("rel"))
 
 
 _HASHED = "root string, rel string, bytes bigint, sha256 string"
@@ -165,7 +182,7 @@ def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             system, base = _arrow_fs(row["root"])
             digest, size = hashlib.sha256(), 0
-            with system.open_input_stream(f"{base}/{row['rel']}") as stream:
+            with system.open_input_stream(f"{base}/{row['rel']}" if row["rel"] else base) as stream:
                 while piece := stream.read(CHUNK):
                     digest.update(piece)
                     size += len(piece)
@@ -253,6 +270,19 @@ def tree_fingerprints(hashed: DataFrame) -> DataFrame:
         "root", F.col("digest").alias("sha256"), "bytes", "files")
 
 
+def artefact_hashes(spark: SparkSession, site: str, artefacts: DataFrame) -> DataFrame:
+    """``artefact, sha256`` of the artefacts (column ``artefact``, files or whole folders) that a site holds.
+
+    The artefacts are rows from first to last: their folders are walked, their files hashed and the trees folded in
+    as many jobs as the deepest folder has levels, however many artefacts there are."""
+    base = qualified(spark, site)
+    named = settle(artefacts.filter("artefact IS NOT NULL").select("artefact", F.concat(F.lit(f"{base}/"), "artefact").alias("root")).distinct())
+    hashed = settle(hash_files(walk_from(named)))
+    whole = hashed.filter("rel = ''").select("root", "sha256")
+    trees = tree_fingerprints(hashed.filter("rel <> ''")).select("root", "sha256")
+    return named.join(whole.unionByName(trees), "root").select("artefact", "sha256")
+
+
 def tree_fingerprint(hashed: DataFrame) -> tuple[str, int, int]:
     """``(sha256, bytes, files)`` of one directory; an empty one has no hash."""
     row = tree_fingerprints(hashed).first()

@@ -40,7 +40,8 @@ def with_defaults(manifests: DataFrame) -> DataFrame:
 def manifest_entries(manifests: DataFrame, section: str, *keep: str) -> DataFrame:
     """``keep, entry, value`` of one section, with the value's parts by the section's format.
 
-    tables ``digest:n`` (or ``EMPTY:0``), objects ``n:digest``, wal ``sha256``, binlogs ``sha256:bytes``."""
+    tables ``digest:n`` (or ``EMPTY:0``), objects ``n:digest``, wal ``sha256``, binlogs ``sha256:bytes``, witness ``octets``
+    (as ``n``)."""
     if section not in S.SECTIONS:
         raise ValueError(f"unknown section {section!r}; one of {S.SECTIONS}")
     rows = manifests.select(*keep, F.explode(section).alias("entry", "value"))
@@ -48,11 +49,20 @@ def manifest_entries(manifests: DataFrame, section: str, *keep: str) -> DataFram
     tail = F.regexp_extract("value", r"^(.*):([^:]*)$", 2)
     if section == "objects":
         return rows.select("*", F.split_part("value", F.lit(":"), F.lit(2)).alias("digest"), F.split_part("value", F.lit(":"), F.lit(1)).try_cast("bigint").alias("n"))
+    if section == "witness":
+        return rows.select("*", F.lit(None).cast("string").alias("digest"), F.col("value").try_cast("bigint").alias("n"))
     if section == "wal":
         return rows.select("*", F.col("value").alias("digest"), F.lit(None).cast("bigint").alias("n"))
     return rows.select("*", head.alias("digest"), tail.try_cast("bigint").alias("n"))
 
 
+def recorded_tables(manifests: DataFrame, db: str) -> DataFrame:
+    """``db, table, fingerprint, octets`` that manifests record; octets are null where no witness was recorded."""
+    prints = manifest_entries(manifests, "tables", "name").select("name", F.col("entry").alias("table"), F.col("value").alias("fingerprint"))
+    seen = manifest_entries(manifests, "witness", "name").select("name", F.col("entry").alias("table"), F.col("n").alias("octets"))
+    return prints.join(seen, ["name", "table"], "left").select(F.lit(db).alias("db"), "table", "fingerprint", "octets")
+
+
 def manifest_row(fingerprints: DataFrame, objects: DataFrame | None, meta: Mapping[str, object]) -> DataFrame:
     """One manifest row. The maps hold one entry per table or class, so their size is that of the
     catalogue, never of the data."""
@@ -70,6 +80,9 @@ def manifest_row(fingerprints: DataFrame, objects: DataFrame | None, meta: Mappi
         "tables": as_map(fingerprints, "table", "fingerprint"),
         "objects": as_map(objects, "class", "digest") if objects is not None else empty,
     }
+    if "octets" in fingerprints.columns:
+        seen = fingerprints.filter("octets IS NOT NULL").select("table", F.col("octets").cast("string").alias("octets"))
+        maps["witness"] = as_map(seen, "table", "octets")
     given = {"schema": SCHEMA_VERSION, **meta}
     columns = [
         (maps[n] if n in maps else F.lit(given.get(n)) if not isinstance(given.get(n), dict) else _map_literal(given[n]))

@@ -48,7 +48,7 @@ def _write_observed(df: DataFrame, path: str, algo: str) -> dict[str, int]:
     carried = P.with_lanes(df, algo)
     seen = Observation()
     sums = [F.expr(f"coalesce({D.limb_sum_sql(n, j)}, 0L)").alias(f"{n}_{j}") for n in names for j in range(D.LIMBS)]
-    observed = carried.observe(seen, F.count(F.lit(1)).alias("n"), *sums)
+    observed = carried.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_octets"), F.lit(0)).cast("bigint").alias("octets"), *sums)
     observed.select(*[quoted(c) for c in df.columns]).write.mode("error").parquet(path)
     return seen.get
 
@@ -70,9 +70,11 @@ def snapshot_tables(tables: Mapping[str, DataFrame], folder: str, db: str, now:
     part = f"{snap.artefact_path}.part"
     try:
         written = {t: _write_observed(df, f"{part}/{t}", algo) for t, df in sorted(tables.items())}
-        back = settle(P.fingerprint_tables({t: spark.read.parquet(f"{part}/{t}") for t in tables}, db, "sum", algo=algo))
-        promised = P.render_state(_states(spark, written, algo), ["table"], algo).select("table", F.col("fingerprint").alias("written"))
-        drift = back.join(promised, "table", "full_outer").filter(~F.col("fingerprint").eqNullSafe(F.col("written")))
+        back = settle(P.fingerprint_tables({t: spark.read.parquet(f"{part}/{t}") for t in tables}, db, "sum", algo=algo, witness=True))
+        promised = P.render_state(_states(spark, written, algo), ["table"], algo, witness=True).select(
+            "table", F.col("fingerprint").alias("written"), F.col("octets").alias("written_octets"))
+        drift = back.join(promised, "table", "full_outer").filter(
+            ~F.col("fingerprint").eqNullSafe(F.col("written")) | ~F.col("octets").eqNullSafe(F.col("written_octets")))
         wrong = sorted(r["table"] for r in drift.select("table").collect())  # names of tables, one row each
         if wrong:
             raise Refused(f"read-back differs from what was written: {wrong}")
@@ -110,11 +112,11 @@ def prune_snapshots(spark: SparkSession, folder: str, db: str, keep: int, keep_d
 def _states(spark: SparkSession, written: Mapping[str, Mapping[str, int]], algo: str) -> DataFrame:
     """Observed limb sums as sum states; one row per table."""
     names = P.lane_names(algo)
-    rows = [(t, s["n"], *[int(s[f"{n}_{j}"]) for n in names for j in range(D.LIMBS)]) for t, s in written.items()]
-    columns = ", ".join(["table string", "n bigint", *[f"{n}_{j} bigint" for n in names for j in range(D.LIMBS)]])
+    rows = [(t, s["n"], s["octets"], *[int(s[f"{n}_{j}"]) for n in names for j in range(D.LIMBS)]) for t, s in written.items()]
+    columns = ", ".join(["table string", "n bigint", "octets bigint", *[f"{n}_{j} bigint" for n in names for j in range(D.LIMBS)]])
     limbs = spark.createDataFrame(rows, columns)
     totals = [f"{D.lane_total_sql([f'{n}_{j}' for j in range(D.LIMBS)])} AS {n}" for n in names]
-    return limbs.selectExpr("`table`", "n", "0L AS octets", *totals)
+    return limbs.selectExpr("`table`", "n", "octets", *totals)
 
 
 def _iso(now: int) -> str:

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tableproof import schema as S
+from tableproof.session import settle
+from tableproof.sources.files import exists
 from tableproof.sources.manifests import file_name
 
+#: Folders that names are dealt to by their hash; a batch looks into those its own names fall into.
+BUCKETS = 256
+
 
 def read_manifest_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New ``*.json`` files of a folder in the fixed schema, with their names."""
@@ -18,26 +26,42 @@ def read_manifest_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def stream_manifests(spark: SparkSession, folder: str, catalogue: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append new manifests to the parquet table ``catalogue``, each name once.
+def bucket_of(name: str, buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
 
-    Every batch writes a folder of its own, named after the batch, and replaces it when the batch is
-    run again after a failure; names already in earlier batches are left out."""
 
-    def append(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        target = f"{catalogue}/batch={batch_id}"
-        fresh = batch.dropDuplicates(["name"])
-        if _has_rows(session, catalogue):
-            known = session.read.parquet(catalogue).filter(F.col("batch") != batch_id).select("name").distinct()
-            fresh = fresh.join(known, "name", "left_anti")
-        fresh.select(*batch.columns).write.mode("overwrite").parquet(target)
+def read_buckets(spark: SparkSession, catalogue: str, buckets: Sequence[int]) -> DataFrame | None:
+    """The catalogue's rows in some buckets; no other folder is listed or opened. None where none of them exists."""
+    held = [p for p in (f"{catalogue}/bucket={b}" for b in buckets) if exists(spark, p)]
+    return spark.read.option("basePath", catalogue).parquet(*held) if held else None
 
-    writer = read_manifest_stream(spark, folder).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+def append_batch(batch: DataFrame, run: str, batch_id: int, catalogue: str, buckets: int = BUCKETS) -> None:
+    """Add the manifests of a batch whose names the catalogue does not hold; the same batch run again replaces itself."""
+    spark = batch.sparkSession
+    dealt = settle(batch.dropDuplicates(["name"]).withColumn("bucket", bucket_of("name", buckets)))
+    touched = sorted(r["bucket"] for r in dealt.select("bucket").distinct().collect())  # BUCKETS numbers at most
+    known = read_buckets(spark, catalogue, touched)
+    label = f"{run}-{batch_id}"
+    if known is not None:
+        earlier = known.filter(F.col("batch") != label).select("bucket", "name")
+        dealt = dealt.join(earlier, ["bucket", "name"], "left_anti")
+    rows = dealt.withColumn("batch", F.lit(label)).repartition("bucket")
+    rows.write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(catalogue)
 
 
-def _has_rows(spark: SparkSession, path: str) -> bool:
-    from tableproof.sources.files import exists
+def stream_manifests(spark: SparkSession, folder: str, catalogue: str, checkpoint: str, available_now: bool = True,
+                     buckets: int = BUCKETS) -> StreamingQuery:
+    """Append new manifests to the Parquet table ``catalogue``, each name once.
 
-    return exists(spark, path)
+    The table lies in folders by the hash of the name, and in them by batch. A batch reads the names of the buckets it
+    touches and no others, so its cost follows the batch and not the age of the catalogue. A batch that is run
+    again after a failure replaces its own folders; a stream begun anew over the same folder adds nothing. The
+    number of buckets of a catalogue is fixed by its first batch."""
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        append_batch(batch, run, batch_id, catalogue, buckets)
+
+    writer = read_manifest_stream(spark, folder).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
