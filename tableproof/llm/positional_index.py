@@ -89,8 +89,9 @@ def matches(postings: DataFrame, ranked: DataFrame, slack: int = 0) -> DataFrame
     found = settled(found if slack else found.filter("start >= 0"), "starts")
     for ranks in ("rank = 2", "rank > 2"):
         terms = ranked.filter(ranks)
-        # only lists that are asked for, of documents that are still in question
-        lists = postings.join(terms.select("term").distinct(), "term", "left_semi")
+        # only lists that are asked for, of documents that are still in question; the terms are written first, so that
+        # where they are too many to be broadcast both sides are dealt anew and a long list can be split
+        lists = postings.join(settled(terms.select("term").distinct(), "terms"), "term", "left_semi")
         if ranks != "rank = 2":
             left = settled(found.select("tid").distinct(), "documents-left")
             lists = lists.join(left, "tid", "left_semi")
