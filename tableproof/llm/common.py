@@ -82,6 +82,29 @@ def add_columns(df: DataFrame, text: str, fields: Sequence[tuple[str, T.DataType
     return made.select(*old, *[F.col(f"n{i}").alias(n) for i, n in enumerate(names)])
 
 
+def add_arrays(df: DataFrame, column: str, fields: Sequence[tuple[str, T.DataType]],
+               per_array: Callable[[], Callable[[pa.Array], Sequence[pa.Array]]], slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """As :func:`add_columns`, for work on whole Arrow arrays: ``per_array`` is called once a task and gives the function
+    that maps slices of ``column`` to the new arrays."""
+    names = [n for n, _ in fields]
+    kept = [c for c in df.columns if c not in names or c == column]
+    renamed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
+    at = kept.index(column)
+    out = T.StructType(list(renamed.schema.fields) + [T.StructField(f"n{i}", t) for i, (_, t) in enumerate(fields)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = per_array()
+        for batch in batches:
+            step = max(1, min(batch.num_rows, int(batch.num_rows * slice_bytes / max(1, batch.nbytes))))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                yield pa.RecordBatch.from_arrays([*part.columns, *made(part.column(at))], out.fieldNames())
+
+    done = renamed.mapInArrow(work, out)
+    old = [F.col(f"c{i}").alias(c) for i, c in enumerate(kept) if c not in names]
+    return done.select(*old, *[F.col(f"n{i}").alias(n) for i, n in enumerate(names)])
+
+
 def store(uri: str):
     """The Arrow file system and path behind a qualified folder name, as tasks see it."""
     from pyarrow import fs

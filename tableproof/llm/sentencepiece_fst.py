@@ -1,13 +1,22 @@
 """Operator 6: SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a model file: the normaliser (white-space marks and the dummy prefix),
-the pieces, and byte fallback for characters without a piece. A text composed with them is a lattice
-over its characters; the encoding is the shortest path in the tropical semiring (min, +).
+Three machines are compiled from a model file: the normaliser (one arc a character, and one in front for the dummy
+prefix), the pieces (a trie whose final states lead back to its root and put out an id), and byte fallback (an arc
+for a character without a piece, putting out the ids of its bytes). A string composed with them is a lattice whose
+states are places in the string; the encoding is its shortest path in the tropical semiring (min, +).
 
-For unigram models an arc weighs minus its piece's score. For merge-table models the pieces weigh
-nothing and a pair acceptor is composed in: an adjacent pair has weight zero if merging the two
-joined pieces by rank gives just the pair back, and infinity otherwise. A merge encoding is the only
-path on which every pair is of weight zero, so the shortest path is the encoding, id for id."""
+For unigram models an arc weighs minus its piece's score. For merge-table models the pieces weigh nothing and a
+fourth machine is composed in, the pair acceptor: its state is the piece before, and the arc to the next piece weighs
+zero if merging the two joined pieces by rank gives just the pair back, and infinity otherwise. A merge encoding is
+the only path on which every pair weighs zero, so the shortest path is the encoding, id for id.
+
+Unigram lattices are relaxed from left to right. For merge tables the composition is made while the search goes: a
+queue holds arcs by the cost of the path before them, then by how far they reach, and an arc is composed with the
+acceptor when its turn comes. Weights are not negative, so a state that is reached first is reached at least cost.
+
+Where no piece goes on across a mark of white space the lattice of a text is the chain of its words' lattices. A task
+then takes a slice of texts apart by Arrow, composes every distinct word once, and puts the texts' ids together
+from the words' in arrays; decoding takes the pieces' bytes in the same way."""
 
 from __future__ import annotations
 
@@ -15,19 +24,22 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableproof.llm.common import add_columns
+from tableproof.llm.common import add_arrays
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 MAX_MODEL_BYTES = 64 << 20
-WORDS, PAIRS = 1 << 18, 1 << 19
+WORDS, PAIRS = 1 << 18, 1 << 20
 INFINITE = float("inf")
 
 
@@ -99,10 +111,11 @@ class Transducer:
     model: Model
     ids: dict[str, int] = field(default_factory=dict)
     byte_ids: list[int] = field(default_factory=list)
-    pairs: dict[str, dict[str, bool]] = field(default_factory=dict)
+    pairs: dict[str, dict[str, float]] = field(default_factory=dict)
     splits: dict[str, tuple[str, str] | None] = field(default_factory=dict)
     known: int = 0
-    words: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    words: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
         m = self.model
@@ -112,12 +125,13 @@ class Transducer:
         if m.byte_fallback:
             at = {p: i for i, p in enumerate(m.pieces) if m.kinds[i] == BYTE}
             self.byte_ids = [at[f"<0x{b:02X}>"] for b in range(256)]
-        self.trie: dict = {}
-        for piece in self.ids:
+        self.trie: dict = {"": ()}  # a node keeps the pieces on the way to it, the shortest first
+        for piece in sorted(self.ids, key=len):
             node = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = piece
+                node = node.setdefault(c, {"": node[""]})
+            if piece not in node[""]:
+                self._add(node, piece)
         self.longest = max(map(len, self.ids), default=1)
         self.least = min(self.rank.values(), default=0.0) - 10.0
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
@@ -128,6 +142,10 @@ class Transducer:
         self.bytes_of = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN
             else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds)]
+        self.forms = pa.array([*self.bytes_of, *[b.removeprefix(b" ") for b in self.bytes_of]], pa.binary())
+
+    def _add(self, node: dict, piece: str) -> None:
+        node[""] = (*node[""], piece)
 
     # --- normaliser
 
@@ -183,68 +201,77 @@ class Transducer:
             else:
                 limit, strict, right = rank[right], False, b[0]
 
-    # --- shortest paths
+    # --- composition and shortest paths
+
+    def weight(self, before: str, arc: str) -> float:
+        """Weight of an arc of the pair acceptor; the start is the empty piece."""
+        row = self.pairs.get(before)
+        if row is None:
+            row = self.pairs[before] = {}
+        got = row.get(arc)
+        if got is None:
+            got = row[arc] = 0.0 if self.allowed(before or None, arc) else INFINITE
+            self.known += 1
+        return got
+
+    def arcs(self, text: str, at: int) -> tuple[str, ...]:
+        """The arcs that leave a place of the lattice: the pieces that begin there, and byte fallback for a character
+        that is none."""
+        node, end, n = self.trie, at, len(text)
+        while end < n:
+            below = node.get(text[end])
+            if below is None:
+                break
+            node = below
+            end += 1
+        pieces = node[""]
+        return pieces if text[at] in self.ids else (text[at], *pieces)
 
     def merge_path(self, text: str) -> list[str]:
-        """The path whose pairs all have weight zero, depth first with the longest arc first. A prefix has one
-        such path, so a place from which the end is not reached is never entered again."""
-        n, trie, pairs, ids = len(text), self.trie, self.pairs, self.ids
-        path: list[str] = []
-        open_arcs: list[list[str]] = []
-        dead: set[int] = set()
-        at, before, arcs = 0, "", None
+        """Shortest path through lattice and pair acceptor. A state is a place and the piece that ends there; the only
+        one of finite weight at a place is the end of the encoding of what lies before, so places are settled."""
+        n, arcs, weight = len(text), self.arcs, self.weight
+        cost, last = [INFINITE] * (n + 1), [""] * (n + 1)
+        cost[0], at = 0.0, 0
+        queue: list[tuple[float, int, int, str]] = []
         while at < n:
-            if arcs is None:
-                arcs, node, end = [], trie, at
-                while end < n:
-                    node = node.get(text[end])
-                    if node is None:
-                        break
-                    end += 1
-                    arc = node.get("")
-                    if arc is not None:
-                        arcs.append(arc)
-                if text[at] not in ids:
-                    arcs.insert(0, text[at])
-            row = pairs.get(before)
-            if row is None:
-                row = pairs[before] = {}
-            while arcs:
-                arc = arcs.pop()
-                good = row.get(arc)
-                if good is None:
-                    good = row[arc] = self.allowed(before or None, arc)
-                    self.known += 1
-                if good and (not dead or at + len(arc) not in dead):
-                    path.append(arc)
-                    open_arcs.append(arcs)
-                    at, before, arcs = at + len(arc), arc, None
+            for arc in arcs(text, at):
+                heappush(queue, (cost[at], -at - len(arc), at, arc))
+            while True:
+                before, end, begin, arc = heappop(queue)
+                if cost[-end] == INFINITE and (total := before + weight(last[begin], arc)) < INFINITE:
+                    at = -end
+                    cost[at], last[at] = total, arc
                     break
-            else:
-                dead.add(at)
-                arcs = open_arcs.pop()
-                at -= len(path.pop())
-                before = path[-1] if path else ""
+        path: list[str] = []
+        while at:
+            path.append(last[at])
+            at -= len(last[at])
         if self.known > PAIRS:
-            pairs.clear()
+            self.pairs.clear()
             self.known = 0
-        return path
+        return path[::-1]
 
     def unigram_path(self, text: str) -> list[str]:
-        cost, back = [0.0] + [INFINITE] * len(text), [0] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - self.longest), end):
-                arc = text[start:end]
-                weight = -self.rank[arc] if arc in self.rank else -self.least if end - start == 1 else INFINITE
-                if cost[start] + weight < cost[end]:
-                    cost[end], back[end] = cost[start] + weight, start
-        out, end = [], len(text)
+        """Shortest path through the lattice alone: relaxed from left to right, the first of equal paths stays."""
+        n = len(text)
+        cost, back = [0.0] + [INFINITE] * n, [0] * (n + 1)
+        for at in range(n):
+            if cost[at] == INFINITE:
+                continue
+            for arc in self.arcs(text, at):
+                weight = -self.rank[arc] if arc in self.rank else -self.least
+                end = at + len(arc)
+                if cost[at] + weight < cost[end]:
+                    cost[end], back[end] = cost[at] + weight, at
+        out, end = [], n
         while end:
             out.append(text[back[end]:end])
             end = back[end]
         return out[::-1]
 
-    def path_ids(self, text: str) -> tuple[int, ...]:
+    def path_ids(self, text: str) -> bytes:
+        """Ids along the shortest path, as packed 32-bit numbers."""
         path = self.merge_path(text) if self.model.model_type == MERGES else self.unigram_path(text)
         out: list[int] = []
         for arc in path:
@@ -255,20 +282,89 @@ class Transducer:
                 out.extend(self.byte_ids[b] for b in arc.encode("utf-8", "surrogatepass"))
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return tuple(out)
+        return struct.pack(f"<{len(out)}i", *out)
 
-    def encode(self, text: str) -> list[int]:
-        normal, out, words = self.normalise(text), [], self.words
-        for part in self.parts.findall(normal) if self.parts else [normal] if normal else []:
-            got = words.get(part)
+    def word(self, part: str) -> bytes:
+        """Ids of one word. Short ones are remembered in two generations of bounded size, so that the frequent ones stay."""
+        got = self.words.get(part)
+        if got is None:
+            got = self.older.get(part)
             if got is None:
                 got = self.path_ids(part)
-                if len(part) <= 48:
-                    if len(words) >= WORDS:
-                        words.clear()
-                    words[part] = got
-            out += got
-        return out
+            if len(part) <= 48:
+                if len(self.words) >= WORDS:
+                    self.words, self.older = {}, self.words
+                self.words[part] = got
+        return got
+
+    def chain(self, normal: str) -> bytes:
+        """Ids of a normalised string: those of its words' lattices, one after another."""
+        got = self.words.get(normal)
+        if got is not None:
+            return got
+        parts = self.parts.findall(normal) if self.parts else [normal]
+        return self.word(normal) if len(parts) == 1 else b"".join(map(self.word, parts))
+
+    def encode(self, text: str) -> list[int]:
+        normal = self.normalise(text)
+        return np.frombuffer(self.chain(normal), "<i4").tolist() if normal else []
+
+    def encode_array(self, texts: pa.Array) -> pa.Array:
+        """Lists of ids of an array of texts, composing each distinct word once.
+
+        Texts whose spaces do not stand singly between words go to :meth:`encode`, as all do for models whose
+        lattices are not chains of words."""
+        texts = pc.fill_null(texts, "")
+        apart = self.parts is not None and self.model.dummy_prefix and self.model.extra_spaces
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        plain = pc.invert(pc.or_(odd, pc.equal(texts, ""))) if apart else pa.array([False] * len(texts), pa.bool_())
+        mask = plain.to_numpy(zero_copy_only=False)
+        words = pc.split_pattern(texts.filter(plain), " ")
+        coded = words.flatten().dictionary_encode()
+        chains = [self.chain(MARK + w.replace(" ", MARK)) for w in coded.dictionary.to_pylist()]
+        lengths = np.fromiter(map(len, chains), np.int64, len(chains)) // 4
+        flat = np.frombuffer(b"".join(chains), "<i4")
+        found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        ids = found.take(coded.indices).flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths[at])])
+        bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        # the texts that went the other way are put in between
+        per_text = np.zeros(len(texts), np.int64)
+        per_text[mask] = np.diff(bounds)
+        others = {int(i): self.encode(texts[int(i)].as_py()) for i in np.flatnonzero(~mask)}
+        for i, got in others.items():
+            per_text[i] = len(got)
+        offsets = np.concatenate([[0], np.cumsum(per_text)])
+        if others:
+            whole = np.empty(offsets[-1], np.int32)
+            whole[np.repeat(mask, per_text)] = ids
+            for i, got in others.items():
+                whole[offsets[i]:offsets[i + 1]] = got
+            ids = whole
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
+
+    def decode_array(self, lists: pa.Array) -> pa.Array:
+        """Texts of an array of id lists: the pieces' bytes are taken by id and cut at the lists' borders."""
+        lists = pc.fill_null(lists, pa.scalar([], lists.type))
+        ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        if self.model.dummy_prefix:
+            # the first piece of a text loses the prefix: each piece has a second form without it
+            heads = offsets[:-1][np.diff(offsets) > 0]
+            ids[heads] += len(self.bytes_of)
+        taken = self.forms.take(pa.array(ids))
+        ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset:taken.offset + len(taken) + 1]
+        begun = np.flatnonzero(np.diff(offsets) > 0)
+        first_empty = [i for i in begun if ends[offsets[i] + 1] == ends[offsets[i]] and not self.bytes_of[int(ids[offsets[i]]) % len(self.bytes_of)]]
+        joined = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends[offsets].astype(np.int32).tobytes()), taken.buffers()[2]])
+        try:
+            if first_empty:
+                raise pa.ArrowInvalid
+            return joined.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8, or a text that begins with a piece of no bytes
+            return pa.array([self.decode(r) for r in lists.to_pylist()], pa.string())
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; bytes that are no UTF-8 become replacement characters."""
@@ -307,12 +403,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     model = load_model(docs.sparkSession, model_path)
     held, key = docs.sparkSession.sparkContext.broadcast(model), hash((model_path, len(model.pieces), tuple(model.pieces[-99:])))
 
-    def per_text(lists: Iterator[list[str | None]]) -> Iterator[list]:
-        fst = compiled(key, held.value)
-        for texts in lists:
-            yield [[np.array(fst.encode(t or ""), np.int32) for t in texts]]
-
-    return add_columns(docs, text, [(ids, T.ArrayType(T.IntegerType(), False))], per_text)
+    return add_arrays(docs, text, [(ids, T.ArrayType(T.IntegerType(), False))], lambda: lambda texts: [compiled(key, held.value).encode_array(texts)])
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -320,12 +411,7 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "d
     model = load_model(encoded.sparkSession, model_path)
     held, key = encoded.sparkSession.sparkContext.broadcast(model), hash((model_path, len(model.pieces), tuple(model.pieces[-99:])))
 
-    def per_list(lists: Iterator[list]) -> Iterator[list]:
-        fst = compiled(key, held.value)
-        for rows in lists:
-            yield [[fst.decode(r or []) for r in rows]]
-
-    return add_columns(encoded, ids, [(text, T.StringType())], per_list)
+    return add_arrays(encoded, ids, [(text, T.StringType())], lambda: lambda lists: [compiled(key, held.value).decode_array(lists)])
 
 
 def round_trip(text: str = "text", decoded: str = "decoded"):
