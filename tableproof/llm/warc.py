@@ -194,6 +194,8 @@ def revisit_marks(parsed: DataFrame, min_bytes: int = 0) -> DataFrame:
     groups = known.groupBy(*keys).agg(
         F.max(F.struct("page_id", "file", "at", "uri", "date")).alias("to"), F.count(F.lit(1)).alias("n")
     ).filter("n > 1").drop("n")
+    # written, so that both sides of the join are dealt anew and a hot digest can be split
+    groups = settled(groups, "shared-payloads")
     return (
         known.select(*keys, "file", "at").join(groups, keys)
         .filter((F.col("file") != F.col("to.file")) | (F.col("at") != F.col("to.at")))
