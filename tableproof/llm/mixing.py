@@ -7,6 +7,7 @@ there are domains; the rates stay where the documents are."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -99,6 +100,10 @@ def with_posteriors(docs: DataFrame, model: Domains, text: str = "text") -> Data
 SUMS = "sums array<double>"
 
 
+class Unmet(UserWarning):
+    """Targets that no nonnegative rates were found for: their domains have too few tokens, or too mixed ones."""
+
+
 def _shares(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, posteriors and rates of a batch ``n_tokens, posterior, rate``."""
     tokens = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
@@ -122,7 +127,7 @@ def fit_rates(docs: DataFrame, model: Domains, targets: Mapping[str, float], pul
     ``targets`` maps domains to weights, which are scaled to one; domains without one have target 0. Each
     domain's error is measured in units of the root of its tokens by membership, which makes the steps alike for
     large and small domains; ``pull`` draws rates weakly to 1. Ends when every error is below ``tolerance`` of
-    all tokens, or after ``rounds``. Documents without tokens keep rate 1, and so do all if there is no domain."""
+    all tokens, or after ``rounds``, and then warns (:class:`Unmet`) which targets are missed and by how much. Documents without tokens keep rate 1, and so do all if there is no domain."""
     names = model.names
     if not names:
         return docs.withColumn("rate", F.lit(1.0))
@@ -163,6 +168,9 @@ def fit_rates(docs: DataFrame, model: Domains, targets: Mapping[str, float], pul
         history.append(unit * unit * (reached - goal))
         if len(history) == fold:
             rated, history = settled(_apply(rated, history, step, pull), "rates"), []
+    else:
+        missed = {n: round(float(r - g) / tokens, 6) for n, r, g in zip(names, reached, goal) if abs(r - g) > tolerance * tokens}
+        warnings.warn(f"targets not met after {rounds} rounds, by share of all tokens: {missed}", Unmet, stacklevel=2)
     return _apply(rated, history, step, pull)
 
 
@@ -190,7 +198,8 @@ def mix(docs: DataFrame, model: Domains, targets: Mapping[str, float], text: str
 
     ``copies`` is the rate rounded up or down by a hash of id, text and seed, so its expectation is the
     rate and a second run gives the same. ``tid`` hashes the text and tells rows with one id apart; rows
-    that repeat both get the same copies each. Null texts have no tokens, rate 1 and one copy."""
+    that repeat both get the same copies each. Null texts have no tokens, rate 1 and one copy. Very long texts count
+    whole. An empty table has no rows; further columns are not read, so names may clash."""
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     base = with_posteriors(slim, model).select(
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), "n_tokens", "posterior")
@@ -200,7 +209,10 @@ def mix(docs: DataFrame, model: Domains, targets: Mapping[str, float], text: str
 
 
 def mixed_documents(docs: DataFrame, mixture: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` repeated as often as the mixture says."""
+    """``docs`` repeated as often as the mixture says, all columns as they are, whatever their names.
+
+    Rows are matched by id and text, nulls included; repeated rows are repeated each, ties get the same. An empty
+    table stays empty, and a document that the mixture does not know is left out."""
     counts = mixture.select("doc_id", "tid", "copies").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("id"),
                        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("t"))
