@@ -5,8 +5,9 @@ at most the sum of L * (mean * mean + deviation * deviation) (Cauchy-Schwarz on
 means), which bounds the distance from below. Bounds are taken coarse to fine; a candidate that cannot
 reach a query's k-th best score so far is abandoned; survivors are computed exactly.
 
-Queries are taken in blocks of bounded size, each block meets every candidate where it lies: the block
-is broadcast, candidates are never moved, and a task returns k rows a query at most."""
+Candidates are dealt to chunks of bounded size, once, and every chunk is asked by every query: one pass, whose
+tasks hold a chunk and stream the queries past it, block by block. A chunk returns k rows a query at most; nothing is
+broadcast."""
 
 from __future__ import annotations
 
@@ -17,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableproof.llm.common import work_dir
+from tableproof.llm.common import settled
 
-QUERY_BLOCK = 4096
-CANDIDATE_BLOCK = 2048
+#: Queries that are taken past a chunk at a time, candidates whose bounds are compared at a time, and bytes of a chunk's
+#: vectors; a chunk is not cut below LEAST_CHUNK rows for the sake of more tasks.
+QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 2048
+CHUNK_BYTES, LEAST_CHUNK = 64 << 20, 4096
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 EXACT = float(1 << 53)
 
@@ -63,6 +66,14 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1)
 
 
+class Candidates:
+    """A block of candidates of one length with their statistics, coarse to fine."""
+
+    def __init__(self, vec: np.ndarray, rows: np.ndarray):
+        self.vec, self.rows = vec, rows
+        self.stats = [statistics(rows.astype(float), n) for n in levels_of(rows.shape[1])]
+
+
 class Best:
     """The k best (score, smaller id first) of every query so far."""
 
@@ -73,15 +84,10 @@ class Best:
         self.vec = [np.empty(0, np.int64) for _ in ids]
         self.floor = np.full(len(ids), -np.inf)
 
-    def meet(self, vec: np.ndarray, rows: np.ndarray) -> None:
-        real = rows.astype(float)
+    def meet(self, block: Candidates) -> None:
         q, c = None, None
-        for level, n in enumerate(levels_of(rows.shape[1])):
-            mine = statistics(real, n)
-            if q is None:
-                bound = self.stats[level] @ mine.T
-            else:
-                bound = np.einsum("ij,ij->i", self.stats[level][q], mine[c])
+        for mine, theirs in zip(self.stats, block.stats, strict=True):
+            bound = mine @ theirs.T if q is None else np.einsum("ij,ij->i", mine[q], theirs[c])
             floor = self.floor[:, None] if q is None else self.floor[q]
             # rounding never abandons: the bound is lifted by more than its error
             alive = bound + 1e-9 * np.abs(bound) + 1.0 >= floor
@@ -89,73 +95,82 @@ class Best:
                 q, c = np.nonzero(alive)
             else:
                 q, c = q[alive], c[alive]
-        other = self.ids[q] != vec[c]
+        other = self.ids[q] != block.vec[c]
         q, c = q[other], c[other]
         if not len(q):
             return
-        step = max(1, (4 << 20) // max(1, rows.shape[1]))
-        score = np.concatenate([products(self.rows[q[i:i + step]], rows[c[i:i + step]]) for i in range(0, len(q), step)])
+        step = max(1, (4 << 20) // max(1, block.rows.shape[1]))
+        score = np.concatenate([products(self.rows[q[i:i + step]], block.rows[c[i:i + step]]) for i in range(0, len(q), step)])
         good = score >= self.floor[q]
         q, c, score = q[good], c[good], score[good]
         at = np.searchsorted(q, np.arange(len(self.ids) + 1))
         for i in np.flatnonzero(np.diff(at)):
             s = np.concatenate([self.score[i], score[at[i]:at[i + 1]]])
-            v = np.concatenate([self.vec[i], vec[c[at[i]:at[i + 1]]]])
+            v = np.concatenate([self.vec[i], block.vec[c[at[i]:at[i + 1]]]])
             keep = np.lexsort((v, -s))[: self.k]
             self.score[i], self.vec[i] = s[keep], v[keep]
             if len(keep) == self.k:
                 self.floor[i] = s[keep[-1]]
 
 
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``length, ids, rows`` of a batch ``vec_id, v``, one matrix for each length of vectors in it."""
+    lists = batch.column("v")
+    vec = batch.column("vec_id").to_numpy(zero_copy_only=False)
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    begins = np.concatenate([[0], np.cumsum(lengths)])
+    for d in np.unique(lengths).tolist():
+        pick = np.flatnonzero(lengths == d)
+        yield d, vec[pick], flat[begins[pick][:, None] + np.arange(d)].astype(np.int64).reshape(len(pick), d)
+
+
+def answers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by chunk, candidates before the queries that ask them, to ``query_id, vec_id, score``."""
+    at, chunk = None, {}
+    for batch in batches:
+        numbers = batch.column("chunk").to_numpy(zero_copy_only=False)
+        asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        edges = [0, *(1 + np.flatnonzero((np.diff(numbers) != 0) | (asks[1:] != asks[:-1]))).tolist(), batch.num_rows]
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            if end == start:
+                continue
+            if at != numbers[start]:
+                at, chunk = numbers[start], {}
+            step = QUERY_BLOCK if asks[start] else CANDIDATE_BLOCK
+            for begin in range(start, end, step):
+                for d, vec, rows in by_length(batch.slice(begin, min(step, end - begin))):
+                    if not asks[start]:
+                        chunk.setdefault(d, []).append(Candidates(vec, rows))
+                        continue
+                    best = Best(vec, rows, k)
+                    for block in chunk.get(d, ()):
+                        best.meet(block)
+                    n = [len(s) for s in best.score]
+                    if sum(n):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.repeat(vec, n)), pa.array(np.concatenate(best.vec)), pa.array(np.concatenate(best.score))],
+                            ["query_id", "vec_id", "score"])
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding",
-          scale: int = 1024, query_block: int = QUERY_BLOCK) -> DataFrame:
+          scale: int = 1024, chunk_bytes: int = CHUNK_BYTES, least_chunk: int = LEAST_CHUNK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best other rows of every row of ``is_query``.
 
     Ties go to the smaller id; a query has fewer rows when there are fewer candidates; vectors of other
     lengths than the query's are no candidates of it; a row never meets rows of its own id; repeated rows
-    stand for themselves and may appear twice, a repeated query is asked once. Null or non-finite vectors and rows without an id
-    take no part. An empty table gives no rows. Further columns are not read.
-
-    A block holds about ``query_block`` queries (ids are hashed to blocks), which bounds what is broadcast."""
+    stand for themselves and may appear twice. Of several query rows with one id the one with the smallest vector asks,
+    once. Null or non-finite vectors and rows without an id take no part. An empty table gives no rows. Further columns are not
+    read, so names may clash."""
     spark = vectors.sparkSession
-    rows = scaled(vectors, vec_id, embedding, scale)
-    asked = scaled(vectors.filter(is_query), vec_id, embedding, scale)
-    blocks = max(1, -(-asked.count() // query_block))
-    found_at = work_dir(spark, "top-k")
-    for block in range(blocks):
-        sent = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).dropDuplicates(["vec_id"]).collect()
-        by_dim: dict[int, list] = {}
-        for r in sent:
-            by_dim.setdefault(len(r["v"]), []).append(r)
-        packed = {d: (np.array([r["vec_id"] for r in x], np.int64), np.array([r["v"] for r in x], np.int64).reshape(len(x), d))
-                  for d, x in by_dim.items()}
-        held = spark.sparkContext.broadcast(packed)
-
-        def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            best = {d: Best(ids, m, k) for d, (ids, m) in held.value.items()}
-            for batch in batches:
-                for start in range(0, batch.num_rows, CANDIDATE_BLOCK):
-                    part = batch.slice(start, CANDIDATE_BLOCK)
-                    lists = part.column(1)
-                    vec = part.column(0).to_numpy(zero_copy_only=False)
-                    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-                    flat = lists.flatten().to_numpy(zero_copy_only=False)
-                    begins = np.concatenate([[0], np.cumsum(lengths)])
-                    for d in np.unique(lengths):
-                        if int(d) in best:
-                            pick = np.flatnonzero(lengths == d)
-                            m = flat[begins[pick][:, None] + np.arange(d)].astype(np.int64)
-                            best[int(d)].meet(vec[pick], m)
-            for b in best.values():
-                n = [len(s) for s in b.score]
-                if sum(n):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(b.ids, n)), pa.array(np.concatenate(b.vec)), pa.array(np.concatenate(b.score))],
-                        ["query_id", "vec_id", "score"])
-
-        rows.mapInArrow(work, FOUND).write.mode("append").parquet(found_at)
-        held.destroy()
-    found = spark.read.schema(FOUND).parquet(found_at)
+    rows = settled(scaled(vectors, vec_id, embedding, scale), "scaled")
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    chunks = int(max(1, -(-size * 8 // chunk_bytes), min(spark.sparkContext.defaultParallelism, n // least_chunk)))
+    dealt = settled(rows.repartition(chunks).withColumn("chunk", F.spark_partition_id()), "chunks")
+    asked = scaled(vectors.filter(is_query), vec_id, embedding, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
+    every = settled(asked, "queries").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    met = dealt.withColumn("asks", F.lit(False)).unionByName(every.withColumn("asks", F.lit(True)))
+    found = settled(met.repartition("chunk").sortWithinPartitions("chunk", "asks").mapInArrow(lambda batches: answers(batches, k), FOUND), "found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
