@@ -38,7 +38,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = load(spark, sf_dir, "labels").filter("toxic IS NOT NULL").select("doc_id", "toxic")
     # labels grow with the documents: a shuffled join at every size
     learn = docs.filter(~held_out(F.col("doc_id"))).join(labels.hint("merge"), "doc_id").select("text", "toxic")
-    model = fit_toxicity(settled(learn, "labelled"))
+    model = fit_toxicity(learn)
     return score_toxicity(docs, model, threshold=0.3).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 

@@ -1,6 +1,6 @@
 """Operator 1: toxicity by a character n-gram linear classifier with naive Bayes scaled features.
 
-Presence of hashed character n-grams is counted per class over all learning rows; the log-count ratio of
+Presence of hashed character n-grams is counted per class over all distinct learning texts; the log-count ratio of
 a feature scales its presence, and a logistic model is fitted on the scaled features."""
 
 from __future__ import annotations
@@ -15,15 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableproof.llm.common import add_columns
+from tableproof.llm.common import add_columns, settled
 from tableproof.llm.vectors import vector_sums
 
 BITS = 20
 BUCKETS = 1 << BITS
 ORDERS = (4, 5, 6, 7)
 SPACES = re.compile(r"\W+")
-#: Bound of the rows the weights are fitted on; ratios are counted over all learning rows.
+#: Bound of the texts the weights are fitted on; ratios are counted over all learning texts.
 FIT_ROWS = 10_000
+#: Buckets with a weight, those whose ratio is furthest from zero in standard errors; the others weigh nothing.
 FEATURES = 2048
 
 
@@ -52,6 +53,7 @@ class Toxicity:
     ratio: np.ndarray
     weight: np.ndarray
     bias: float
+    fitted_on: int = 0
 
     def features(self, text: str | None) -> np.ndarray:
         """Numbers of the chosen features that the text has."""
@@ -104,12 +106,15 @@ def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic",
                  fit_rows: int = FIT_ROWS, ridge: float = 1.0, rounds: int = 12) -> Toxicity:
     """Learn from rows with a label of 0 or 1 (others are left out; a null text has no features).
 
-    Presence counts and log-count ratios cover all rows. The ``features`` buckets whose ratio is furthest
-    from zero in standard errors carry the classifier; its weights are fitted on at most about
-    ``fit_rows`` rows drawn by hash, half of them toxic where there are enough, and the bias is put back to the
-    share of toxic rows. Without rows of both classes the score is their smoothed share."""
-    rows = labelled.filter(F.col(f"`{label}`").isin(0, 1)).select(
+    A text is evidence once for each label it bears, however often it is repeated: presence counts and log-count ratios
+    cover all distinct pairs of label and text. The ``features`` buckets whose ratio is furthest
+    from zero in standard errors carry the classifier; its weights are fitted on ``fit_rows`` of these pairs at
+    most, those with the smallest hashes, half of them toxic where there are enough, and the bias is put back to the
+    share of toxic pairs. Without rows of both classes the score is their smoothed share. Empty and very long texts
+    count whole; an empty table, ties and further columns with clashing names do no harm."""
+    given = labelled.filter(F.col(f"`{label}`").isin(0, 1)).select(
         F.col(f"`{label}`").cast("int").cast("string").alias("label"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = settled(given.distinct(), "evidence")
     sums = count_presence(rows)
     none = np.zeros(BUCKETS + 1, np.int64)
     good, bad = sums.get("0", none), sums.get("1", none)
@@ -124,16 +129,20 @@ def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic",
     model = Toxicity(slot, ratio[chosen], np.zeros(len(chosen)), prior)
     if not n0 or not n1:
         return model
-    take = {"0": min(1.0, fit_rows / 2 / n0), "1": min(1.0, fit_rows / 2 / n1)}
-    share = F.pmod(F.xxhash64("label", "text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.filter(share < F.when(F.col("label") == "1", take["1"]).otherwise(take["0"]))
+    most = max(1, fit_rows // 2)
+    # a little more than is wanted is drawn by hash, and what is over is left out on the driver
+    take = {c: min(1.0, (most + 6 * most ** 0.5) / n) for c, n in (("0", n0), ("1", n1))}
+    share = F.pmod(F.xxhash64("label", "text"), F.lit(1 << 40)) / float(1 << 40)
+    sample = rows.withColumn("share", share).filter(F.col("share") < F.when(F.col("label") == "1", take["1"]).otherwise(take["0"]))
     held = labelled.sparkSession.sparkContext.broadcast(model)
 
     def per_text(lists: Iterator[list[str | None]]) -> Iterator[list]:
         for texts in lists:
             yield [[held.value.features(t).astype(np.int32) for t in texts]]
 
-    drawn = add_columns(sample, "text", [("at", T.ArrayType(T.IntegerType(), False))], per_text).select("label", "at").orderBy("label", "at").collect()
+    drawn = add_columns(sample, "text", [("at", T.ArrayType(T.IntegerType(), False))], per_text).select("label", "share", "at").collect()
+    drawn = [r for c in "01" for r in sorted((r for r in drawn if r["label"] == c), key=lambda r: (r["share"], r["at"]))[:most]]
+    model.fitted_on = len(drawn)
     x, y = np.zeros((len(drawn), len(chosen)), np.float32), np.zeros(len(drawn))
     for i, r in enumerate(drawn):
         x[i, r["at"]] = model.ratio[r["at"]]
@@ -148,8 +157,8 @@ def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic",
 def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` plus ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on), row by row over whole texts.
 
-    Null and empty texts have no features and get the prior's score; repeated rows are scored each; columns
-    of those names are replaced. No shuffle."""
+    Null and empty texts have no features and get the prior's score; very long texts are taken whole; repeated rows are
+    scored each; columns of those names are replaced. No shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def per_text(lists: Iterator[list[str | None]]) -> Iterator[list]:
