@@ -10,6 +10,7 @@ population count. A task hands on a spanning forest of the links it found, which
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
@@ -28,15 +29,13 @@ FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEED = 42
 BLOCK_ROWS = 4096
 SMALL = 48
-#: Words of 64 bits in the signature of near_duplicates.
-SIGNATURE = 4
 #: near_duplicates: two sets meet when one of BANDS keys of BAND smallest hashes is equal. At a similarity of 0.8 a pair
 #: shares none with chance (1 - 0.8 ** 6) ** 24 = 0.0007, at 0.9 with chance 1e-8.
 BANDS, BAND = 24, 6
+#: Words of 64 bits in a set's signature, which has a bit of each of the BANDS * BAND smallest hashes.
+SIGNATURE = -(-BANDS * BAND // BITS)
 #: Chance that the signatures of a pair at the similarity itself are further apart than the radius.
 MISS = 1e-4
-#: Sets of fewer shingles are not judged by signature, as the angle holds for large sets only.
-SIGNED = 256
 #: Texts of a cell's side in near_duplicates.
 CELL_ROWS = 512
 MIXES = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.array([[0], [1]], np.uint64)
@@ -75,23 +74,17 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def set_signature(shingles: np.ndarray) -> np.ndarray:
-    """256 bits over a set of shingle hashes: the majorities of four mixes."""
-    parts = []
-    for k in range(SIGNATURE):
-        x = shingles ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        parts.append(votes_of(x ^ (x >> np.uint64(31))))
-    return np.array(parts, np.uint64)
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key a band, of the ``BAND`` smallest hashes in it; sets of similarity s share a given key with chance s ** BAND."""
+def smallest_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The smallest of a set's hashes under each of ``BANDS * BAND`` mixes; two sets of similarity s agree in each with chance s."""
     low = np.full(BANDS * BAND, FULL)
     for i in range(0, len(shingles), 1 << 10):
         x = (shingles[None, i:i + (1 << 10)] ^ MIXES[0][:, None]) * MIXES[1][:, None]
         np.minimum(low, x.min(axis=1), out=low)
+    return low
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """One key a band, of the ``BAND`` smallest hashes in it; sets of similarity s share a given key with chance s ** BAND."""
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for part in low.reshape(BANDS, BAND).T:
         key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
@@ -99,6 +92,14 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return key
 
 
+def signature(low: np.ndarray) -> np.ndarray:
+    """A bit of each smallest hash. Two sets of similarity s differ in each with chance (1 - s) / 2, whatever their sizes."""
+    x = low * np.uint64(0xBF58476D1CE4E5B9)
+    bits = np.zeros(SIGNATURE * BITS, np.uint8)
+    bits[: len(low)] = (x ^ (x >> np.uint64(31))) & np.uint64(1)
+    return np.packbits(bits, bitorder="little").view("<u8").astype(np.uint64)
+
+
 def planes(values: np.ndarray) -> np.ndarray:
     """Bit planes of uint64 values: row b holds bit b of every value, 64 values a word; unused lanes are zero."""
     bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -240,7 +241,9 @@ def near_links(reps: DataFrame, radius: int = 3, block_rows: int = BLOCK_ROWS) -
     alone = blocks.select("block", F.lit(None).cast(blocks.schema["block"].dataType).alias("other"))
     many = blocks.filter("cuts > 1")
     pairs = many.join(many.select("mask", "key", F.col("cut").alias("cut2"), F.col("block").alias("other")),
-                      ["mask", "key"]).filter("cut < cut2").select("block", "other")
+                      ["mask", "key"]).filter("cut < cut2")
+    # a hot key's pairs of blocks are as many tasks' work as there are pairs
+    pairs = pairs.repartition("mask", "key", "cut", "cut2").select("block", "other")
     return alone.union(pairs).mapInArrow(lambda batches: link_blocks(batches, radius), EDGES)
 
 
@@ -271,10 +274,8 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def similarity_bits(similarity: float, miss: float = MISS) -> int:
-    """Bits that the signatures of sets of this Jaccard similarity stay within but for a share ``miss`` of the pairs: a bit
-    differs with the angle of the indicator vectors over pi, and the radius is a quantile of the sum."""
-    chance = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi
-    n, below = SIGNATURE * BITS, 0.0
+    """Bits that the signatures of sets of this Jaccard similarity stay within but for a share ``miss`` of the pairs."""
+    chance, n, below = (1.0 - similarity) / 2, BANDS * BAND, 0.0
     for radius in range(n + 1):
         below += comb(n, radius) * chance**radius * (1 - chance) ** (n - radius)
         if below >= 1 - miss:
@@ -288,101 +289,125 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return min(len(x), len(y)) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least
 
 
-def link_cell(rows: list[tuple[int, int, str]], width: int, similarity: float, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a cell's ``cut, node, text``; with two cuts only pairs across are judged.
+@dataclass
+class Member:
+    """A text of a cell: the cut it is in, its node, band keys, signature and text."""
 
-    Signatures within the radius, or small sets, are candidates; a link is a pair whose shingle sets were compared.
-    Pairs that are connected already need no comparison."""
-    sets = [shingle_set(t, width) for _, _, t in rows]
-    signed = np.array([len(s) >= SIGNED for s in sets])
-    cuts = np.array([c for c, _, _ in rows])
-    root, links = list(range(len(rows))), []
+    cut: int
+    node: int
+    keys: np.ndarray
+    sig: np.ndarray
+    text: str
+
+
+def link_cell(members: list[Member], cell: int | None, width: int, similarity: float, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among a cell's members; with two cuts only pairs across are judged.
+
+    Pairs whose signatures are within the radius and that share a band key are candidates; in the cell of one key
+    a pair is judged if that is the first key it shares, so no pair is judged in two cells. A link is a pair whose
+    shingle sets were compared. Pairs that are connected already need no comparison."""
+    root, links, sets = list(range(len(members))), [], {}
 
     def find(i: int) -> int:
         while root[i] != i:
             root[i] = i = root[root[i]]
         return i
 
-    def judge(pairs_a: np.ndarray, pairs_b: np.ndarray) -> None:
-        for i, j in zip(pairs_a.tolist(), pairs_b.tolist()):
-            x, y = find(i), find(j)
-            if x != y and alike(sets[i], sets[j], similarity):
-                root[max(x, y)] = min(x, y)
-                links.append((rows[i][1], rows[j][1]))
+    def set_of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(members[i].text, width)
+        return sets[i]
 
-    first = np.flatnonzero(cuts == cuts.min())
-    second = np.flatnonzero(cuts == cuts.max())
+    cuts = np.array([m.cut for m in members])
+    first, second = np.flatnonzero(cuts == cuts.min()), np.flatnonzero(cuts == cuts.max())
     same = cuts.min() == cuts.max()
-    large, large2 = first[signed[first]], second[signed[second]]
-    if len(large) and len(large2):
-        sigs = {i: set_signature(sets[i]) for i in {*large.tolist(), *large2.tolist()}}
-        for a, b in near_pairs(np.array([sigs[i] for i in large.tolist()]), np.array([sigs[i] for i in large2.tolist()]), radius):
-            a, b = large[a], large2[b]
-            judge(a[a < b] if same else a, b[a < b] if same else b)
-    for i in first.tolist():
-        with_i = second if not signed[i] else second[~signed[second]]
-        with_i = with_i[with_i > i] if same and not signed[i] else with_i[with_i != i]
-        judge(np.full(len(with_i), i), with_i)
+    sigs = np.stack([m.sig for m in members])
+    for a, b in near_pairs(sigs[first], sigs[second], radius):
+        for i, j in zip(first[a].tolist(), second[b].tolist()):
+            if same and i >= j:
+                continue
+            x, y = find(i), find(j)
+            if x == y:
+                continue
+            shared = np.flatnonzero(members[i].keys == members[j].keys)
+            if not len(shared) or cell is not None and members[i].keys[shared[0]] != cell:
+                continue
+            if alike(set_of(i), set_of(j), similarity):
+                root[max(x, y)] = min(x, y)
+                links.append((members[i].node, members[j].node))
     return links
 
 
 def link_cells(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows ``component, low, high, cut, node, text`` sorted by cell to the links of each cell."""
+    """Rows ``component, cell, low, high, cut, node, keys, sig, text`` sorted by cell to the links of each cell."""
     radius, at, held = similarity_bits(similarity), None, {}
 
     def done() -> pa.RecordBatch:
-        links = link_cell([(cut, node, text) for node, (cut, text) in held.items()], width, similarity, radius)
+        links = link_cell(list(held.values()), at[1], width, similarity, radius)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        cells = list(zip(*(batch.column(k).to_pylist() for k in range(5))))
-        texts = batch.column(5)
-        for k, (component, low, high, cut, node) in enumerate(cells):
-            if (component, low, high) != at:
+        cells = list(zip(*(batch.column(k).to_pylist() for k in range(6))))
+        keys, sigs, texts = batch.column(6), batch.column(7), batch.column(8)
+        for k, (component, cell, low, high, cut, node) in enumerate(cells):
+            if (component, cell, low, high) != at:
                 if len(held) > 1:
                     yield done()
-                at, held = (component, low, high), {}
-            held[node] = (cut, texts[k].as_py())
+                at, held = (component, cell, low, high), {}
+            held[node] = Member(cut, node, np.array(keys[k].as_py(), np.int64), np.array(sigs[k].as_py(), np.int64).view(np.uint64), texts[k].as_py())
     if len(held) > 1:
         yield done()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8,
+                    cell_rows: int | None = None) -> DataFrame:
     """``doc_id, tid, component_id``: groups of texts linked by a Jaccard similarity of at least ``similarity`` between
     their sets of ``width``-word shingles.
 
     Sets that share one of ``BANDS`` keys of smallest hashes meet (``BANDS`` says how rarely a pair at 0.8 does not). What
-    hangs together by keys is brought together with its texts, whole or, beyond ``CELL_ROWS`` texts, in cuts that meet in pairs.
-    There 256-bit signatures of the shingle sets are compared bit-sliced, within a radius that
-    leaves out ``MISS`` of the pairs at the similarity, and every pair that is left is compared set by set before it is a link.
-    Equal sets are one node. ``tid`` hashes the text. Null and empty texts are alike; a
-    null id is no representative; an empty table gives no rows."""
+    hangs together by keys in at most ``cell_rows`` texts is one cell. Larger groups are taken apart again, into the cells of
+    their keys, so a long chain of texts costs what its keys cost; a key with more texts is cut into parts that meet in
+    pairs. In a cell signatures are compared bit-sliced, within a radius that leaves out ``MISS`` of the pairs at the
+    similarity, and every pair that is left is compared set by set before it is a link. Which pairs are judged does not
+    depend on how cells were made.
+    Equal sets are one node. ``tid`` hashes the text. Null and empty texts are alike, very long ones are taken whole; a
+    null id is no representative; repeated rows come out repeated; an empty table gives no rows; further columns are not read."""
+    cell_rows = cell_rows or CELL_ROWS
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn(
         "tid", F.xxhash64("text"))
 
     def per_text(lists: Iterator[list[str | None]]) -> Iterator[list]:
         for texts in lists:
             sets = [shingle_set(t, width) for t in texts]
-            yield [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [band_keys(s).view(np.int64) if len(s) else [] for s in sets]]
+            lows = [smallest_hashes(s) for s in sets]
+            yield [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                   [band_keys(x).view(np.int64) if len(s) else [] for s, x in zip(sets, lows)], [signature(x).view(np.int64) for x in lows]]
 
-    prints = add_columns(base, "text", [("same", T.BinaryType()), ("keys", T.ArrayType(T.LongType(), False))], per_text)
-    prints = settled(prints.select("doc_id", "tid", "same", "keys"), "signatures")
+    longs = T.ArrayType(T.LongType(), False)
+    prints = add_columns(base, "text", [("same", T.BinaryType()), ("keys", longs), ("sig", longs)], per_text)
+    prints = settled(prints.select("doc_id", "tid", "same", "keys", "sig"), "signatures")
     # equal sets have equal keys; the text of the smallest id stands for them
     reps = settled(prints.filter("doc_id IS NOT NULL").groupBy("same").agg(
-        F.min(F.struct("doc_id", "tid")).alias("r"), F.first("keys").alias("keys")).select("same", F.col("r.doc_id").alias("rep"), "r.tid", "keys"), "reps")
+        F.min(F.struct("doc_id", "tid")).alias("r"), F.first("keys").alias("keys"), F.first("sig").alias("sig")).select(
+        "same", F.col("r.doc_id").alias("rep"), "r.tid", "keys", "sig"), "reps")
     keyed = reps.select("rep", F.explode("keys").alias("key"))
     # written, so that both sides of the join are dealt anew and a hot key can be split
-    hubs = settled(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "hubs")
-    met = settled(components(keyed.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()), "met")
-    sizes = settled(met.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    placed = met.join(sizes, "component").withColumn("cuts", F.ceil(F.col("n") / CELL_ROWS).cast("int")).withColumn(
-        "cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).select("node", "component", "cuts", "cut")
-    placed = settled(reps.select("rep", "tid").join(placed, F.col("rep") == F.col("node")).drop("rep"), "placed")
+    hubs = settled(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "hubs")
+    shared = settled(keyed.join(hubs, "key"), "shared-keys")
+    met = settled(components(shared.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()), "met")
+    sizes = settled(met.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    sized = settled(met.join(sizes, "component"), "sized")
+    none = F.lit(None).cast("bigint")
+    small = sized.filter(F.col("size") <= cell_rows).select("node", "component", none.alias("cell"), F.lit(1).alias("cuts"))
+    large = sized.filter(F.col("size") > cell_rows).join(shared, F.col("node") == F.col("rep")).select(
+        "node", "component", F.col("key").alias("cell"), F.ceil(F.col("n") / cell_rows).cast("int").alias("cuts"))
+    placed = small.unionByName(large).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    placed = settled(reps.select("rep", "tid", "keys", "sig").join(placed, F.col("rep") == F.col("node")).drop("rep"), "placed")
     rows = base.join(placed, (base["doc_id"] == placed["node"]) & (base["tid"] == placed["tid"])).select(
-        "component", "cuts", "cut", "node", "text", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-    cells = rows.select("component", F.least("cut", "other").alias("low"), F.greatest("cut", "other").alias("high"), "cut", "node", "text")
-    links = cells.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high").mapInArrow(
-        lambda batches: link_cells(batches, width, similarity), EDGES)
+        "component", "cell", "cuts", "cut", "node", "keys", "sig", "text", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    cells = rows.select("component", "cell", F.least("cut", "other").alias("low"), F.greatest("cut", "other").alias("high"), "cut", "node", "keys", "sig", "text")
+    by = ["component", "cell", "low", "high"]
+    links = cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda batches: link_cells(batches, width, similarity), EDGES)
     found = components(settled(links, "links"))
     classes = settled(reps.join(found, reps["rep"] == found["node"], "left").select(
         "same", F.coalesce("component", "rep").alias("component_id")), "classes")
@@ -390,10 +415,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without all but one document of each group: the one with the smallest id, of repeated rows one.
-    A document without an id stays where no other of its group has one."""
+    """``docs`` without all but one document of each group: the one with the smallest id. Of rows that agree in id and
+    text one stays, the smallest by all its columns where these can be ordered. A document without an id stays where no
+    other of its group has one. All columns are kept as they are, whatever their names."""
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "tid").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("id"),
                        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("t"))
     met = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tid")), "left_semi")
-    return met.dropDuplicates(["id", "t"]).select("row.*")
+    if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in docs.schema.fields):
+        return met.dropDuplicates(["id", "t"]).select("row.*")
+    return met.groupBy("id", "t").agg(F.min("row").alias("row")).select("row.*")
