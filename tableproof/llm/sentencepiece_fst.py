@@ -11,8 +11,8 @@ zero if merging the two joined pieces by rank gives just the pair back, and infi
 the only path on which every pair weighs zero, so the shortest path is the encoding, id for id.
 
 Unigram lattices are relaxed from left to right. For merge tables the composition is made while the search goes: a
-queue holds arcs by the cost of the path before them, then by how far they reach, and an arc is composed with the
-acceptor when its turn comes. Weights are not negative, so a state that is reached first is reached at least cost.
+queue holds arcs by the cost of the path before them, and an arc is composed with the acceptor when its turn comes.
+Weights are not negative, so a state that is reached first is reached at least cost.
 
 Where no piece goes on across a mark of white space the lattice of a text is the chain of its words' lattices. A task
 then takes a slice of texts apart by Arrow, composes every distinct word once, and puts the texts' ids together
@@ -24,7 +24,6 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 MAX_MODEL_BYTES = 64 << 20
-WORDS, PAIRS = 1 << 18, 1 << 20
+WORDS, PAIRS = 3 << 16, 1 << 19
 INFINITE = float("inf")
 
 
@@ -217,31 +216,36 @@ class Transducer:
     def arcs(self, text: str, at: int) -> tuple[str, ...]:
         """The arcs that leave a place of the lattice: the pieces that begin there, and byte fallback for a character
         that is none."""
-        node, end, n = self.trie, at, len(text)
-        while end < n:
-            below = node.get(text[end])
+        node = self.trie
+        for c in text[at:at + self.longest]:
+            below = node.get(c)
             if below is None:
                 break
             node = below
-            end += 1
         pieces = node[""]
         return pieces if text[at] in self.ids else (text[at], *pieces)
 
     def merge_path(self, text: str) -> list[str]:
         """Shortest path through lattice and pair acceptor. A state is a place and the piece that ends there; the only
-        one of finite weight at a place is the end of the encoding of what lies before, so places are settled."""
-        n, arcs, weight = len(text), self.arcs, self.weight
+        one of finite weight at a place is the end of the encoding of what lies before, so places are settled. All
+        finite paths weigh the same, so of the queue only its lightest bucket is ever used, the last arc first."""
+        n, arcs, pairs, weight = len(text), self.arcs, self.pairs, self.weight
         cost, last = [INFINITE] * (n + 1), [""] * (n + 1)
         cost[0], at = 0.0, 0
-        queue: list[tuple[float, int, int, str]] = []
+        queue: list[tuple[int, str]] = []
         while at < n:
+            pairs.setdefault(last[at], {})
             for arc in arcs(text, at):
-                heappush(queue, (cost[at], -at - len(arc), at, arc))
+                queue.append((at, arc))
             while True:
-                before, end, begin, arc = heappop(queue)
-                if cost[-end] == INFINITE and (total := before + weight(last[begin], arc)) < INFINITE:
-                    at = -end
-                    cost[at], last[at] = total, arc
+                begin, arc = queue.pop()
+                end = begin + len(arc)
+                if cost[end] != INFINITE:
+                    continue
+                step = pairs[last[begin]].get(arc)
+                total = cost[begin] + (weight(last[begin], arc) if step is None else step)
+                if total < INFINITE:
+                    cost[end], last[end], at = total, arc, end
                     break
         path: list[str] = []
         while at:

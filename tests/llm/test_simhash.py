@@ -161,3 +161,33 @@ def test_large_groups_meet_in_cuts(spark, monkeypatch):
     rows = [(i, " ".join(words[:i] + [f"x{i}"] + words[i + 1:])) for i in range(5, 45)]
     got = S.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: 5 for i in range(5, 45)}
+
+
+def test_cells_do_not_change_what_is_linked(spark):
+    """A chain of texts, each like the next one only, and a crowd around one text: one group by keys, and the same links
+    whether it is one cell, the cells of its keys, or keys cut in parts."""
+    rng = random.Random(13)
+    line = [f"w{i}" for i in range(1500)]
+    rows = [(i, " ".join(line[10 * i:10 * i + 300])) for i in range(110)]
+    crowd = line[:300]
+    rows += [(1000 + i, " ".join(crowd[:40 + i] + [f"x{rng.randint(0, 99)}"] + crowd[41 + i:])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [sorted(tuple(r) for r in S.near_duplicates(docs, cell_rows=n).select("doc_id", "component_id").collect()) for n in (1000, 40, 5)]
+    assert got[0] == got[1] == got[2]
+    assert len({c for _, c in got[0]}) < 40
+
+
+def test_signatures_tell_small_and_large_sets_alike():
+    rng = np.random.default_rng(5)
+    radius = S.similarity_bits(0.8)
+    for n in (10, 40, 200, 2000):
+        missed = false = 0
+        for _ in range(60):
+            x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            same = -(-n * 8 // 9)  # a similarity of 0.8 and a little more
+            y = np.concatenate([x[:same], rng.integers(0, 1 << 63, n - same).astype(np.uint64)])
+            z = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            sx, sy, sz = (S.signature(S.smallest_hashes(np.unique(v))) for v in (x, y, z))
+            missed += sum(int(a ^ b).bit_count() for a, b in zip(sx, sy)) > radius
+            false += sum(int(a ^ b).bit_count() for a, b in zip(sx, sz)) <= radius
+        assert missed <= 1 and false == 0
