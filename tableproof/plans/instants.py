@@ -137,14 +137,12 @@ def await_whole(spark: SparkSession, archive: str, name: str, limit: float = 90.
         sleep(pause)
 
 
-def mark_instant(tables: Mapping[str, DataFrame], position: Callable[[], LogPoint], archive: str, folder: str, db: str,
-                 now: int, oldest: LogPoint | None = None, gtid_mode: str = "no", gtid_executed: str | None = None,
-                 objects: DataFrame | None = None, algo: str = "xxhash64", limit: float = 90.0, pause: float = 1.0,
-                 mark_name: str | None = None) -> str:
-    """Record an instant: the log position is read, fingerprints and objects are computed and written, and the
-    position is read again; only if it stood still was the source quiesced. Then, once the mark's own
-    file is whole, the inventory of every archive file of its series up to it. Refuses a mixed archive, a
-    purged gap, an archive that does not hold the mark's own file within ``limit`` seconds, and zero tables."""
+def prepare_mark(tables: Mapping[str, DataFrame], position: Callable[[], LogPoint], folder: str, db: str, now: int,
+                 gtid_mode: str = "no", gtid_executed: str | None = None, objects: DataFrame | None = None,
+                 algo: str = "xxhash64", mark_name: str | None = None) -> str:
+    """The part of a mark that cannot wait: the log position is read, fingerprints and objects are computed and written,
+    and the position is read again; only if it stood still was the source quiesced. What was found is kept under
+    ``folder/pending`` until the mark's own log file is whole."""
     spark = next(iter(tables.values())).sparkSession if tables else None
     if spark is None:
         raise Refused("no tables: an instant that lists nothing proves nothing")
@@ -155,14 +153,39 @@ def mark_instant(tables: Mapping[str, DataFrame], position: Callable[[], LogPoin
     prints = settle(P.fingerprint_tables(tables, db, "sum", algo=algo, witness=True))
     objects = None if objects is None else settle(objects)
     after = position()
-    await_whole(spark, archive, after.file, limit, pause)
+    name = f"{S.snapshot_name(db, now)}_{flavour}mark.json"
+    pending = f"{folder}/{PENDING}/{name}"
+    for path in (f"{folder}/{name}", pending):
+        if files.exists(spark, path):
+            raise Refused(f"{path} exists")
+    meta = {"kind": MARK_KIND[flavour], "database": db, "created_at": S._iso(now), "fingerprint": f"{algo}/sum",
+            "quiesced": "yes" if before == after else "no", MARK_FILE[flavour]: after.file}
+    if flavour == "wal":
+        meta |= {"mark_name": mark_name, "wal_segment_bytes": after.segment_bytes}
+    else:
+        meta |= {"gtid_mode": gtid_mode, "gtid_executed": gtid_executed, "mark_pos": after.pos}
+    write_manifest(prints, objects, meta, pending)
+    return pending
+
+
+#: Where marks lie that wait for their log file, below the folder of the finished ones.
+PENDING = "pending"
+
+
+def finish_mark(spark: SparkSession, pending: str, archive: str, oldest: LogPoint | None = None) -> str:
+    """The inventory of every archive file of a pending mark's series up to it, then its manifest. Refuses a mixed
+    archive, a purged gap and an archive that does not hold the mark's own file."""
+    row = read_manifests(spark, pending).first()
+    flavour = flavour_of(row["kind"])
+    segment = row["wal_segment_bytes"] or N.DEFAULT_SEGMENT_BYTES
+    after = LogPoint(row[MARK_FILE[flavour]], row["mark_pos"], flavour, segment)
     listing = list_artefacts(spark, archive, archive).withColumnRenamed("site", "archive")
     form = L.archive_form(listing, flavour).first()
     if form is None or form["encrypted"] + form["plain"] == 0:
         raise Refused(f"{archive} holds no log files")
     if form["form"] == "MIXED":
         raise Refused(f"{archive} mixes plain and encrypted files")
-    found = archive_files(spark, archive, flavour, after.segment_bytes)
+    found = archive_files(spark, archive, flavour, segment)
     found = found.filter(F.col("idx").isNull() | (F.col("series") == after.series) & (F.col("idx") <= after.idx))
     found = settle(found)
     if oldest is not None:
@@ -172,27 +195,82 @@ def mark_instant(tables: Mapping[str, DataFrame], position: Callable[[], LogPoin
             raise Refused(f"files {gap['first']} to {gap['last']} were purged before the archive got them")
     if found.filter(F.col("idx") == after.idx).isEmpty():
         raise Refused(f"the archive does not hold {after.file}")
-    name = f"{S.snapshot_name(db, now)}_{flavour}mark.json"
+    folder, name = pending.rsplit(f"/{PENDING}/", 1)
     path = f"{folder}/{name}"
     if files.exists(spark, path):
         raise Refused(f"{path} exists")
+    kept = {f: row[f] for f in ("kind", "database", "created_at", "fingerprint", "quiesced", "mark_name", "wal_segment_bytes", "gtid_mode",
+                                "gtid_executed", "mark_pos", MARK_FILE[flavour]) if row[f] is not None}
+    kept[ENCRYPTED[flavour]] = "yes" if form["form"] == "encrypted" else "no"
+    manifest = read_manifests(spark, pending)
+    objects = manifest_entries(manifest, "objects").select(F.col("entry").alias("class"), F.col("value").alias("digest")) if row["objects"] else None
     try:
         found.select("name", "bytes", "sha256").write.mode("error").parquet(inventory_path(path))
-        meta = {"kind": MARK_KIND[flavour], "database": db, "created_at": S._iso(now), "fingerprint": f"{algo}/sum",
-                "quiesced": "yes" if before == after else "no", MARK_FILE[flavour]: after.file,
-                ENCRYPTED[flavour]: "yes" if form["form"] == "encrypted" else "no"}
-        if flavour == "wal":
-            meta |= {"mark_name": mark_name, "wal_segment_bytes": after.segment_bytes}
-        else:
-            meta |= {"gtid_mode": gtid_mode, "gtid_executed": gtid_executed, "mark_pos": after.pos}
-        write_manifest(prints, objects, meta, path)
+        write_manifest(settle(recorded_tables(manifest, row["database"])), objects, kept, path)
     except BaseException:
         if not files.exists(spark, path):
             files.remove(spark, inventory_path(path))
         raise
+    files.remove_last(spark, pending)
     return path
 
 
+def mark_instant(tables: Mapping[str, DataFrame], position: Callable[[], LogPoint], archive: str, folder: str, db: str,
+                 now: int, oldest: LogPoint | None = None, gtid_mode: str = "no", gtid_executed: str | None = None,
+                 objects: DataFrame | None = None, algo: str = "xxhash64", limit: float = 90.0, pause: float = 1.0,
+                 mark_name: str | None = None) -> str:
+    """Record an instant in one go: prepare it, look at the archive until the mark's own file is whole, finish it. A mark
+    that is refused leaves nothing behind. Where many marks wait, or long, see :func:`stream_marks`."""
+    pending = prepare_mark(tables, position, folder, db, now, gtid_mode, gtid_executed, objects, algo, mark_name)
+    spark = next(iter(tables.values())).sparkSession
+    try:
+        row = read_manifests(spark, pending).first()
+        await_whole(spark, archive, row[MARK_FILE[flavour_of(row["kind"])]], limit, pause)
+        return finish_mark(spark, pending, archive, oldest)
+    except BaseException:
+        files.remove_last(spark, pending)
+        raise
+
+
+def complete_marks(arrivals: DataFrame, folder: str, archive: str) -> DataFrame:
+    """``mark, file, status`` of the pending marks of a folder whose log file is told of: a WHOLE file finishes its marks
+    (MARKED, or REFUSED with the reason), one that TIMED_OUT refuses them. ``arrivals``: ``name, status``. Marks are a
+    handful, one a database and time; arrivals may be many and meet them in a join."""
+    spark = arrivals.sparkSession
+    outcome = "mark string, file string, status string"
+    if not files.exists(spark, f"{folder}/{PENDING}"):
+        return spark.createDataFrame([], outcome)
+    waiting = read_manifests(spark, f"{folder}/{PENDING}").select(
+        F.col("name").alias("mark"), F.coalesce(*[F.col(c) for c in MARK_FILE.values()]).alias("file"))
+    told = arrivals.select(N.bare_name(F.col("name")).alias("file"), "status").distinct()
+    rows = []
+    for r in waiting.join(told, "file").collect():
+        pending = f"{folder}/{PENDING}/{r['mark']}"
+        status = r["status"]
+        if status == "WHOLE":
+            try:
+                finish_mark(spark, pending, archive)
+                status = "MARKED"
+            except Refused as why:
+                status = f"REFUSED: {why}"
+        if status != "MARKED":
+            files.remove_last(spark, pending)
+        rows.append((r["mark"], r["file"], status))
+    return spark.createDataFrame(rows, outcome)
+
+
+def stream_marks(arrivals: DataFrame, folder: str, archive: str, out: str, checkpoint: str, available_now: bool = True):
+    """Finish pending marks as the stream of arrivals (``name, status``, see ``watch_arrival``) tells of their files; the
+    outcomes go to the Parquet table ``out``. Nobody looks at the archive meanwhile."""
+
+    def finish(batch: DataFrame, batch_id: int) -> None:
+        told = settle(batch)  # the stream's state is committed by running all of a batch, whoever is waiting
+        complete_marks(told, folder, archive).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = arrivals.writeStream.outputMode("append").foreachBatch(finish).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 # --- one pair ------------------------------------------------------------------------
 
 

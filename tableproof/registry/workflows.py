@@ -26,6 +26,7 @@ from tableproof.sources import files
 from tableproof.sources import manifests as M
 from tableproof.sources import snapshots as S
 from tableproof.streaming.catalogue import stream_manifests
+from tableproof.streaming.watch import watch_arrival
 
 DAY = 86400
 
@@ -330,6 +331,42 @@ def i2(spark, sf_dir):
     return out
 
 
+# --- I2: marks that wait for their file ------------------------------------------------------------
+
+
+@register(
+    "i2_mark_by_arrival",
+    STATE_N + "SELECT c.*, CASE WHEN c.status = 'MARKED' THEN rows_at_mark END AS rows_at_mark, CASE WHEN c.status = 'MARKED' THEN (top * 3) // 4 END AS inventory FROM n, e, "
+    "(SELECT unnest(['grows', 'never']) AS db, unnest(['MARKED', 'TIMED_OUT']) AS status) c",
+)
+def i2_by_arrival(spark, sf_dir):
+    """Two marks wait while the archive's files are told of look by look: the file of one grows and gets whole, that of the
+    other stays at its first size. Neither is looked for by a job of its own."""
+    d = drill(spark, sf_dir, "binlog")
+    never = I.LogPoint("binlog.999999", 4)
+    pending = {db: I.prepare_mark({"accounts": d.state}, lambda at=at: at, d.backups, db, X.NOW) for db, at in (("grows", d.at), ("never", never))}
+    listed = A.list_artefacts(spark, d.archive, "a").select("name", "bytes", N.file_index(F.col("name"), "binlog").alias("idx"))
+    # three looks at every file, a minute apart from file to file: half of it, all of it, and all of it again
+    looks = listed.select("name", F.explode(F.array(*[F.struct((F.col("bytes") / part).cast("bigint").alias("size"), F.lit(s).alias("s")) for part, s in ((2, 0), (1, 20), (1, 40))])).alias("l"), "idx")
+    stuck = listed.filter("idx = 1").select(F.lit(never.file).alias("name"), F.lit(100).cast("bigint").alias("size"), F.timestamp_seconds(F.lit(X.NOW)).alias("observed_at"))
+    seen = looks.select("name", "l.size", F.timestamp_seconds(F.lit(X.NOW) + F.col("idx") * 60 + F.col("l.s")).alias("observed_at")).unionByName(stuck)
+    root = folder(spark, "looks")
+    # three batches in the order of time, cut between the looks at the file that grows
+    first = F.unix_seconds("observed_at") - (X.NOW + 60 * d.at.idx)
+    for part in (first < 10, (first >= 10) & (first < 30), first >= 30):
+        seen.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    I.stream_marks(watch_arrival(stream, 0, True, 90, 3600), d.backups, d.archive, f"{root}/out", f"{root}/state").awaitTermination()
+    told = spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out").withColumn("db", F.substring_index("mark", "_", 1))
+    if any(files.exists(spark, p) for p in pending.values()):
+        raise RuntimeError("a mark is still pending")
+    made = M.read_manifests(spark, d.backups).filter("kind = 'binlog-mark'")
+    n = M.manifest_entries(made, "tables", "database").select(F.col("database").alias("db"), F.col("n").alias("rows_at_mark"))
+    mark = f"{d.backups}/{S.snapshot_name('grows', X.NOW)}_binlogmark.json"
+    held = I.read_inventory(spark, mark).agg(F.count(F.lit(1)).alias("inventory")).withColumn("db", F.lit("grows"))
+    return told.select("db", "status").join(n, "db", "left").join(held, "db", "left")
+
+
 # --- I4: what each gate is there to catch ---------------------------------------------------------
 
 
@@ -494,6 +531,84 @@ def i10_wal(spark, sf_dir):
     return travelled(spark, sf_dir, "wal")
 
 
+# --- A7, A9, I8 with retention, and what publication refuses -----------------------------------------------
+
+
+@register("a7_snapshot_keep", " UNION ALL ".join(
+    f"SELECT 'app_{N.stamp_text(X.NOW - d * DAY)}.json' AS name, (SELECT count(*) FROM {{customer}} WHERE c_custkey % 4 <> {d}) AS n" for d in (0, 1)))
+def a7_keep(spark, sf_dir):
+    """Four snapshots, a day apart, the last with ``keep=2``: what is left proves what it was taken of."""
+    root = folder(spark, "backups")
+    rows = X.load(spark, sf_dir, "customer")
+    for d in (3, 2, 1, 0):
+        S.snapshot_tables({"customer": rows.filter(F.col("c_custkey") % 4 != d)}, root, "app", X.NOW - d * DAY, floor=0, keep=0 if d else 2)
+    left = M.read_manifests(spark, root)
+    names = A.list_artefacts(spark, root, root).filter("name LIKE 'app%'").select("name")
+    on_disk = [S.Snapshot(root, r["artefact"], r["name"]) for r in left.select("artefact", "name").collect()]
+    for snap in on_disk:
+        S.check_pair(spark, snap, "kept")
+    return M.manifest_entries(left, "tables", "name").join(names, "name").select("name", "n")
+
+
+PUBLISHED = [("sound", "published"), ("published before", "refused: exists"), ("rotten here", "refused: drift"), ("other bytes of one size", "refused: drift")]
+
+
+@register("a9_publish_refusals", " UNION ALL ".join(
+    f"SELECT '{case}' AS case_, '{said}' AS outcome, {int(said == 'published')}::BIGINT AS manifests_at_site, (SELECT count(*) FROM {{customer}}) AS n" for case, said in PUBLISHED))
+def a9(spark, sf_dir):
+    """Publication of a sound snapshot, of the same again, and of two whose bytes are no longer the recorded ones."""
+    tables = {"customer": X.load(spark, sf_dir, "customer")}
+    rows, sites = [], {}
+    for i, (case, _) in enumerate(PUBLISHED):
+        if case == "published before":
+            snap, site = sites["sound"]
+        else:
+            snap, site = S.snapshot_tables(tables, folder(spark, "backups"), "app", X.NOW + i, floor=0), folder(spark, "site")
+            files.make_folder(spark, site)
+        part = files.walk_files(spark, f"{snap.artefact_path}/customer").filter(F.col("rel").endswith(".parquet")).agg(F.min("rel")).first()[0]
+        if case == "rotten here":
+            files.remove(spark, f"{snap.artefact_path}/customer/{part}")
+        if case == "other bytes of one size":
+            rewritten(spark, f"{snap.artefact_path}/customer", part)
+        before = M.read_manifests(spark, site).count() if case == "published before" else 0
+        try:
+            S.publish_verified(spark, snap.manifest_path, site)
+            said = "published"
+        except M.Refused as why:
+            said = "refused: exists" if "never overwritten" in str(why) else "refused: drift" if "drift" in str(why) else str(why)
+        sites[case] = (snap, site)
+        n = M.manifest_entries(M.read_manifests(spark, snap.manifest_path), "tables").first()["n"]
+        rows.append((case, said, A.list_artefacts(spark, site, site).filter("name LIKE '%.json'").count() - before, n))
+    return spark.createDataFrame(rows, "case_ string, outcome string, manifests_at_site bigint, n bigint")
+
+
+@register(
+    "i8_publish_keep",
+    STATE_N + "SELECT kind, files FROM (SELECT 'log' AS kind, (top * 3) // 4 - (top // 2) + 1 AS files FROM e UNION ALL SELECT 'base', 1 UNION ALL SELECT 'mark', 1 UNION ALL SELECT 'dump', 1) k",
+)
+def i8_keep(spark, sf_dir):
+    """Two instants published one after the other, the second with ``keep=1``: the first base, its mark and the log files that
+    only they need are gone, and what is left is sound."""
+    d = drill(spark, sf_dir, "binlog")
+    site = folder(spark, "site")
+    files.make_folder(spark, site)
+    middle = (d.log.agg(F.max("idx")).first()[0]) // 2
+    early = R.latest_state(d.log.filter(R.before((middle - 1, 4))), ["k"], ["v"])
+    first = I.mark_instant({"accounts": early}, lambda: point("binlog", middle - 1, 4), d.archive, d.backups, "app", X.NOW, pause=0.01)
+    I.publish_instant(spark, d.base, first, d.archive, site)
+    state = R.latest_state(d.log.filter(R.before((middle, 4))), ["k"], ["v"])
+    base = I.take_base({"accounts": state}, d.backups, "app", X.NOW + 60, point("binlog", middle, 4))
+    second = mark_of(spark, d, now=X.NOW + 120)
+    I.publish_instant(spark, base, second, d.archive, site, keep=1, now=X.NOW + 180)
+    problems = I.check_site(spark, site, X.NOW + 180, 7)
+    if not problems.isEmpty():
+        raise RuntimeError(str(problems.collect()))
+    listed = files.list_level(spark.createDataFrame([(files.qualified(spark, site), "")], "root string, rel string"))
+    kind = (F.when(F.col("rel").startswith("binlog."), "log").when(F.col("rel").endswith("_binlogbase.json"), "base")
+            .when(F.col("rel").endswith("_binlogmark.json"), "mark").when(F.col("is_dir") & F.col("rel").endswith(S.SUFFIX), "dump"))
+    return listed.select(kind.alias("kind")).filter("kind IS NOT NULL").groupBy("kind").agg(F.count(F.lit(1)).alias("files"))
+
+
 # --- I11 ---------------------------------------------------------------------------------------------
 
 

@@ -56,6 +56,14 @@ def remove(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def remove_last(spark: SparkSession, path: str) -> None:
+    """Remove a file, and its folder if that holds nothing else."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, False)
+    if fs.exists(p.getParent()) and len(fs.listStatus(p.getParent())) == 0:
+        fs.delete(p.getParent(), False)
+
+
 def rename(spark: SparkSession, source: str, target: str) -> None:
     """Move into place; never over something that is there."""
     fs, p = _fs(spark, source)

@@ -7,7 +7,10 @@ import time
 from pyspark.sql import functions as F
 
 from tableproof import fixtures as X
+from tableproof.operators import replay as R
 from tableproof.operators.fingerprint import fingerprint_sum
+from tableproof.streaming import fingerprints_at, stream_changes, stream_silence, watch_arrival
+from tableproof.streaming.catalogue import append_batch, bucket_of, read_buckets
 from tableproof.sources.manifests import write_manifest
 from tableproof.streaming import stream_arrival, stream_fingerprint, stream_manifests, stream_staleness
 
@@ -86,3 +89,60 @@ def test_manifests_are_catalogued_once(spark, tmp_path):
     rows = spark.read.parquet(catalogue)
     assert rows.count() == 2 and rows.select("name").distinct().count() == 2
     assert rows.first()["tables"] == {"t": "0123456789abcdef:3"}
+
+
+def test_a_batch_opens_only_the_buckets_of_its_names(spark, tmp_path):
+    catalogue = str(tmp_path / "catalogue")
+    names = spark.range(400).select(F.concat(F.lit("app_"), F.col("id").cast("string")).alias("name"), F.lit("app").alias("database"))
+    append_batch(names, "run", 0, catalogue, 16)
+    few = names.filter("name IN ('app_7', 'app_8')").unionByName(names.limit(1).withColumn("name", F.lit("new")))
+    touched = {r["b"] for r in few.select(bucket_of("name", 16).alias("b")).collect()}
+    opened = read_buckets(spark, catalogue, sorted(touched)).inputFiles()
+    assert opened and {int(f.split("bucket=")[1].split("/")[0]) for f in opened} <= touched
+    for _ in range(2):  # the second time it replaces itself
+        append_batch(few, "run", 1, catalogue, 16)
+    append_batch(names, "another-run", 0, catalogue, 16)
+    rows = spark.read.parquet(catalogue)
+    assert rows.count() == rows.select("name").distinct().count() == 401
+
+
+def test_silence_is_told_once_and_so_is_the_return(spark, tmp_path):
+    ddl = "name string"
+    feed(spark, tmp_path, [("app_20260901T000000Z.json",), ("web_20260901T000000Z.json",), ("web_20260801T000000Z.json",)], ddl)
+    query = run(stream_silence(spark.readStream.schema(ddl).json(str(tmp_path)), 7, late_days=60), "silent", "append")
+    for names in ([("app_20260908T000000Z.json",)], [("app_20260908T000001Z.json",), ("web_20260802T000000Z.json",)], [("app_20260915T000000Z.json",)],
+                  [("web_20260916T000000Z.json",)], [("app_20260917T000000Z.json",)]):
+        query.processAllAvailable()
+        feed(spark, tmp_path, names, ddl)
+    query.processAllAvailable(), query.stop()
+    # seven days are not too many, one second more is; a late name changes nothing
+    assert [(r["db"], r["stamp"], r["status"]) for r in spark.table("silent").collect()] == [("web", "20260901T000000Z", "SILENT"), ("web", "20260916T000000Z", "BACK")]
+
+
+def test_judged_files_leave_no_state(spark, tmp_path):
+    ddl = "name string, size bigint, observed_at timestamp"
+    looks = [(n, size, F"2026-09-10 00:00:{s:02d}") for n, size, s in (("a", 50, 0), ("a", 100, 5), ("b", 50, 1), ("c", 7, 30))]
+    feed(spark, tmp_path, looks, "name string, size bigint, observed_at string")
+    stream = watch_arrival(spark.readStream.schema(ddl).json(str(tmp_path)), 100, False, limit_s=20, forget_s=60)
+    query = run(stream, "watched", "append")
+    query.processAllAvailable()
+    feed(spark, tmp_path, [("d", 100, "2026-09-10 01:00:00")], "name string, size bigint, observed_at string")
+    query.processAllAvailable()
+    kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    query.stop()
+    rows = {(r["name"], r["status"], r["size"]) for r in spark.table("watched").collect()}
+    assert rows == {("a", "WHOLE", 100), ("b", "TIMED_OUT", 50), ("c", "TIMED_OUT", 7), ("d", "WHOLE", 100)}
+    assert kept <= 3  # the last file and its timer; the others are forgotten
+
+
+def test_the_ledger_equals_the_replayed_state(spark, tmp_path):
+    log = X.view(spark, "/root/testdata/sf0.001", X.CHANGE_LOG).select("idx", "pos", "k", "op", "v")
+    base = R.latest_state(log.filter(R.before((3, 0))), ["k"], ["v"])
+    for part in (log.filter("idx BETWEEN 3 AND 5"), log.filter("idx BETWEEN 5 AND 7")):  # file 5 comes twice
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    query = run(stream_changes(stream, ["k"], ["v"], base), "ledger", "append")
+    query.processAllAvailable(), query.stop()
+    got = {r["idx"]: r["fingerprint"] for r in fingerprints_at(spark.table("ledger"), base).collect()}
+    want = {i: fingerprint_sum(R.latest_state(log.filter(R.before((i + 1, 0))), ["k"], ["v"]).select("k", "v")).first()["fingerprint"] for i in range(3, 8)}
+    assert got == want
