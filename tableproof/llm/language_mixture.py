@@ -117,7 +117,8 @@ def detect_languages(docs: DataFrame, model: Mixture, text: str = "text") -> Dat
     """``docs`` plus ``lang_pred``, ``score`` (its proportion) and ``languages`` (the selected set with proportions).
 
     Null texts and texts without a letter are ``und`` with score 0; ties go to the first language by name;
-    repeated rows are judged each; columns of those names are replaced. No shuffle."""
+    repeated rows are judged each; very long texts are counted whole, in a vector of fixed size; an empty table has no
+    rows; columns of those names are replaced. No shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def per_text(lists: Iterator[list[str | None]]) -> Iterator[list]:

@@ -305,7 +305,8 @@ def repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str
 
     A null text has no bytes. Rows with equal texts are occurrences of each other, repeated rows too, so such
     texts of at least ``length`` bytes are covered whole. Overlaps count: a string may repeat one byte further on.
-    An empty table gives no rows; further columns are not read. ``gram`` is at most ``length``."""
+    An empty table gives no rows; further columns are not read. A very long text is held by one task at a time.
+    ``gram`` is at most ``length``."""
     gram = min(gram, length)
     whole = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8").alias("data"))
     hashed = whole.withColumn("sha", F.sha2("data", 256)).withColumn("tid", F.substring(F.unhex("sha"), 1, 16))

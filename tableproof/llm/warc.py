@@ -230,7 +230,8 @@ def convert_arc(manifest: DataFrame, min_bytes: int = 0) -> DataFrame:
     one row a file.
 
     A record with an HTTP header becomes a ``response``, one without it a ``resource``, and one whose payload
-    is kept elsewhere a ``revisit``, which has the header block alone."""
+    is kept elsewhere a ``revisit``, which has the header block alone. Repeated records are records of their own; one record
+    is held at a time, however long; an empty manifest gives no files."""
     spark = manifest.sparkSession
     root = work_dir(spark, "warc")
     marks = revisit_marks(settled(parse_arc(manifest), "arc-records"), min_bytes)
