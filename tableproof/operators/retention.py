@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableproof.functions import names as N
+from tableproof.session import stored
 
 
 def retention_flags(pairs: DataFrame, keep: int, keep_days: int, now: int) -> DataFrame:
@@ -31,8 +32,10 @@ def retention_flags(pairs: DataFrame, keep: int, keep_days: int, now: int) -> Da
         .groupBy("db")
         .agg(F.min("name").alias("_kept_from"))
     )
-    # one row a database: adaptive execution measures it, broadcasts it while it is small, and
-    # otherwise shuffles. A large ``keep`` costs a sort of ``keep`` names a database in one task
+    # one row a database, written first: its size is known, so it is broadcast while it is small, and otherwise
+    # both sides are dealt anew and a database with most of the names can be split. A large ``keep`` costs a
+    # sort of ``keep`` names a database in one task
+    kept_from = stored(kept_from, "kept-from")
     old = F.lit(True) if keep_days <= 0 else F.col("stamp") < N.stamp_text(now - keep_days * N.DAY)
     return (
         stamped.join(kept_from, "db")
