@@ -169,7 +169,7 @@ def fit_rates(docs: DataFrame, model: Domains, targets: Mapping[str, float], pul
         if len(history) == fold:
             rated, history = settled(_apply(rated, history, step, pull), "rates"), []
     else:
-        missed = {n: round(float(r - g) / tokens, 6) for n, r, g in zip(names, reached, goal) if abs(r - g) > tolerance * tokens}
+        missed = {n: round(float((r - g) / tokens), 6) for n, r, g in zip(names, reached, goal) if abs(r - g) > tolerance * tokens}
         warnings.warn(f"targets not met after {rounds} rounds, by share of all tokens: {missed}", Unmet, stacklevel=2)
     return _apply(rated, history, step, pull)
 

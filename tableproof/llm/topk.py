@@ -125,7 +125,7 @@ def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield d, vec[pick], flat[begins[pick][:, None] + np.arange(d)].astype(np.int64).reshape(len(pick), d)
 
 
-def answers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def answers(batches: Iterator[pa.RecordBatch], k: int, query_block: int = QUERY_BLOCK) -> Iterator[pa.RecordBatch]:
     """Rows sorted by chunk, candidates before the queries that ask them, to ``query_id, vec_id, score``."""
     at, chunk = None, {}
     for batch in batches:
@@ -137,7 +137,7 @@ def answers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 continue
             if at != numbers[start]:
                 at, chunk = numbers[start], {}
-            step = QUERY_BLOCK if asks[start] else CANDIDATE_BLOCK
+            step = query_block if asks[start] else CANDIDATE_BLOCK
             for begin in range(start, end, step):
                 for d, vec, rows in by_length(batch.slice(begin, min(step, end - begin))):
                     if not asks[start]:
@@ -154,14 +154,14 @@ def answers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding",
-          scale: int = 1024, chunk_bytes: int = CHUNK_BYTES, least_chunk: int = LEAST_CHUNK) -> DataFrame:
+          scale: int = 1024, query_block: int = QUERY_BLOCK, chunk_bytes: int = CHUNK_BYTES, least_chunk: int = LEAST_CHUNK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best other rows of every row of ``is_query``.
 
     Ties go to the smaller id; a query has fewer rows when there are fewer candidates; vectors of other
     lengths than the query's are no candidates of it; a row never meets rows of its own id; repeated rows
     stand for themselves and may appear twice. Of several query rows with one id the one with the smallest vector asks,
     once. Null or non-finite vectors and rows without an id take no part. An empty table gives no rows. Further columns are not
-    read, so names may clash."""
+    read, so names may clash. ``query_block`` queries are taken past a chunk at a time, which bounds a task's memory."""
     spark = vectors.sparkSession
     rows = settled(scaled(vectors, vec_id, embedding, scale), "scaled")
     n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
@@ -170,7 +170,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
     asked = scaled(vectors.filter(is_query), vec_id, embedding, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
     every = settled(asked, "queries").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     met = dealt.withColumn("asks", F.lit(False)).unionByName(every.withColumn("asks", F.lit(True)))
-    found = settled(met.repartition("chunk").sortWithinPartitions("chunk", "asks").mapInArrow(lambda batches: answers(batches, k), FOUND), "found")
+    found = settled(met.repartition("chunk").sortWithinPartitions("chunk", "asks").mapInArrow(lambda batches: answers(batches, k, query_block), FOUND), "found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
