@@ -4,11 +4,13 @@ tables into the session's shared folder, and what the operators say about them."
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from uuid import uuid4
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -402,32 +404,50 @@ def without_entry(spark, inventory: str, name: str) -> None:
     files.rename(spark, f"{inventory}.part", inventory)
 
 
+def side_by_side(steps: dict, at_once: int = 4) -> dict:
+    """The results of independent steps, a few running at a time: their jobs are short and share the cluster."""
+    with ThreadPoolExecutor(at_once) as pool:
+        running = {name: pool.submit(inheritable_thread_target(step)) for name, step in steps.items()}
+        return {name: step.result() for name, step in running.items()}
+
+
 def verdicts(spark, sf_dir, flavour: str):
     """One proof for every gate that can refute an instant, each over files that only that gate can tell from the
     sound ones: what was concluded, where it stopped, and how many subjects failed in which way."""
     d, mark = marked(spark, sf_dir, flavour)
     inside = point(flavour, d.at.idx - 1, 0).file  # a file between base and mark
-    cases = {"as it is": verified(spark, d, mark), "late": verified(spark, d, mark, now=X.NOW + 30 * DAY)}
-    nothing = folder(spark, "empty")
-    files.make_folder(spark, nothing)
-    cases["archive gone"] = verified(spark, d, mark, nothing)
-    cases["hole"] = verified(spark, d, mark, copied(spark, d.archive, without=inside))
-    rotten = copied(spark, d.archive)
-    rewritten(spark, rotten, inside)
-    cases["rot"] = verified(spark, d, mark, rotten)
-    unvouched = mark_of(spark, d, now=X.NOW + 1)
-    without_entry(spark, I.inventory_path(unvouched), inside)
-    cases["unvouched"] = verified(spark, d, unvouched)
-    # the last change before the mark says something else, and the inventory was taken of that: content alone tells
-    last = (F.col("idx") == d.at.idx) & (F.col("pos") == 2404) & (F.col("op") != "M")
-    changed = d.log.withColumn("op", F.when(last & (F.col("op") == "D"), "U").when(last, "D").otherwise(F.col("op")))
-    other = folder(spark, "archive")
-    write_log(changed.withColumn("file", log_name(flavour, F.col("idx"))), other)
-    cases["other content"] = verified(spark, d, mark_of(spark, d, other, X.NOW + 2), other)
+
+    def gone():
+        nothing = folder(spark, "empty")
+        files.make_folder(spark, nothing)
+        return verified(spark, d, mark, nothing)
+
+    def rot():
+        rotten = copied(spark, d.archive)
+        rewritten(spark, rotten, inside)
+        return verified(spark, d, mark, rotten)
+
+    def unvouched():
+        told = mark_of(spark, d, now=X.NOW + 1)
+        without_entry(spark, I.inventory_path(told), inside)
+        return verified(spark, d, told)
+
+    def other_content():
+        # the last change before the mark says something else, and the inventory was taken of that: content alone tells
+        last = (F.col("idx") == d.at.idx) & (F.col("pos") == 2404) & (F.col("op") != "M")
+        changed = d.log.withColumn("op", F.when(last & (F.col("op") == "D"), "U").when(last, "D").otherwise(F.col("op")))
+        other = folder(spark, "archive")
+        write_log(changed.withColumn("file", log_name(flavour, F.col("idx"))), other)
+        return verified(spark, d, mark_of(spark, d, other, X.NOW + 2), other)
+
+    cases = {
+        "as it is": lambda: verified(spark, d, mark), "late": lambda: verified(spark, d, mark, now=X.NOW + 30 * DAY), "archive gone": gone,
+        "hole": lambda: verified(spark, d, mark, copied(spark, d.archive, without=inside)), "rot": rot, "unvouched": unvouched, "other content": other_content}
     if flavour == "wal":
-        cases["no such mark"] = verified(spark, d, mark_of(spark, d, now=X.NOW + 3, mark_name="never"))
+        cases["no such mark"] = lambda: verified(spark, d, mark_of(spark, d, now=X.NOW + 3, mark_name="never"))
     else:
-        cases["transaction lost"] = verified(spark, d, mark_of(spark, d, now=X.NOW + 3, transactions=d.before_mark + 1))
+        cases["transaction lost"] = lambda: verified(spark, d, mark_of(spark, d, now=X.NOW + 3, transactions=d.before_mark + 1))
+    cases = side_by_side(cases)
     rows = []
     for case, p in cases.items():
         failed = p.checks.filter("severity <> 'ok' AND severity <> 'warning'").groupBy("gate", "status").agg(F.count(F.lit(1)).alias("n"))
@@ -484,11 +504,13 @@ def i7_check_site(spark, sf_dir):
     quarter = log.agg(F.max("idx")).first()[0] // 4
     write_log(log.withColumn("file", log_name("binlog", F.col("idx"))), site)
     states = {n: R.latest_state(log.filter(R.before((n * quarter, 404))), ["k"], ["v"]) for n in (1, 2)}
-    marks = {}
-    for db, (begin, end, ago) in SITE.items():
+
+    def instant(db, begin, end, ago):
         I.take_base({"accounts": states[begin]}, site, db, X.NOW - ago - 60, point("binlog", begin * quarter + (begin > 1), 404))
         at = point("binlog", end * quarter, 2504)
-        marks[db] = I.mark_instant({"accounts": states[begin]}, lambda at=at: at, site, site, db, X.NOW - ago, pause=0.01)
+        return I.mark_instant({"accounts": states[begin]}, lambda: at, site, site, db, X.NOW - ago, pause=0.01)
+
+    marks = side_by_side({db: partial(instant, db, *where) for db, where in SITE.items()})
     write_files(spark.createDataFrame([(f"late_{N.stamp_text(X.NOW)}.dump.part", "half")], "rel string, body string"), site)
     rewritten(spark, site, point("binlog", quarter, 0).file)
     files.remove(spark, f"{site}/{point('binlog', quarter + 1, 0).file}")
