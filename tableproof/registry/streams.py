@@ -146,7 +146,7 @@ def s2_state(spark, sf_dir):
     """What the stream still remembers when all is read, out of the names it has seen."""
     orders = table_stream(spark, sf_dir, "orders")
     _, state = drained(spark, watch_arrival(spark.sql(WATCHED, orders=orders), 4096, False, 60, 120), "append")
-    held = spark.read.format("statestore").option("path", state).option("stateVarName", "look").load()
+    held = spark.read.format("statestore").option("path", state).load().select(F.explode("value.groupState.name"))
     names = X.load(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("names"))
     return names.crossJoin(held.agg(F.count(F.lit(1)).alias("remembered")))
 

@@ -10,6 +10,7 @@ from tableproof import fixtures as X
 from tableproof.operators import replay as R
 from tableproof.operators.fingerprint import fingerprint_sum
 from tableproof.streaming import fingerprints_at, stream_changes, stream_silence, watch_arrival
+from tableproof.streaming.arrival import BUCKETS
 from tableproof.streaming.catalogue import append_batch, bucket_of, read_buckets
 from tableproof.sources.manifests import write_manifest
 from tableproof.streaming import stream_arrival, stream_fingerprint, stream_manifests, stream_staleness
@@ -78,6 +79,37 @@ def test_a_file_that_never_gets_whole_times_out(spark, tmp_path):
     assert [(r["name"], r["status"]) for r in spark.table("stuck_files").collect()] == [("b", "TIMED_OUT")]
 
 
+def test_names_share_rows_of_state(spark, tmp_path):
+    # a call of Python and a row of state per name took a stream of nine million names past every limit
+    names, rows = 4000, "'f' || id AS name, CASE WHEN step = 1 THEN 50 WHEN id % 7 = 0 THEN 60 ELSE 100 END AS size"
+    looks = spark.range(names).select("id", F.explode(F.array(F.lit(2), F.lit(1), F.lit(3))).alias("step")).cache()
+    looks.selectExpr(*rows.split(", "), "CAST(step AS BIGINT) AS observed_at").write.parquet(str(tmp_path / "a"))
+    looks.selectExpr(*rows.split(", "), "timestamp_seconds(1789000000 + step) AS observed_at").write.parquet(str(tmp_path / "w"))
+    looks.unpersist()
+    sources = {k: spark.readStream.schema(f"name string, size int, observed_at {t}").parquet(str(tmp_path / k)) for k, t in (("a", "bigint"), ("w", "timestamp"))}
+    streams = {"a": stream_arrival(sources["a"], 100, False), "w": watch_arrival(sources["w"], 100, False, limit_s=60, forget_s=60)}
+    for kind, stream in streams.items():
+        query = run(stream, f"shared_{kind}", "append")
+        query.processAllAvailable()
+        held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        query.stop()
+        told = spark.table(f"shared_{kind}").filter("status = 'WHOLE' AND size = 100")
+        assert told.count() == told.select("name").distinct().count() == sum(1 for i in range(names) if i % 7)
+        assert 0 < held <= BUCKETS < names
+
+
+def test_a_bucket_tells_of_each_name_in_its_own_time(spark, tmp_path):
+    ddl = "name string, size bigint, observed_at string"
+    stream = watch_arrival(spark.readStream.schema("name string, size bigint, observed_at timestamp").json(str(tmp_path)), 100, False, 20, 60, buckets=1)
+    query = run(stream, "one_bucket", "append")
+    for looks in ([("a", 5, "00:00:00"), ("b", 5, "00:00:10"), ("c", 100, "00:00:10")], [("d", 5, "00:00:20")], [("b", 100, "00:00:30"), ("c", 100, "00:00:31")]):
+        feed(spark, tmp_path, [(n, size, f"2026-09-10 {at}") for n, size, at in looks], ddl)
+        query.processAllAvailable()
+    query.stop()
+    # a is due at 20 s exactly, b is whole at its own limit, c is told of once, d still has time
+    assert sorted((r["name"], r["status"]) for r in spark.table("one_bucket").collect()) == [("a", "TIMED_OUT"), ("b", "WHOLE"), ("c", "WHOLE")]
+
+
 def test_manifests_are_catalogued_once(spark, tmp_path):
     prints = spark.createDataFrame([("t", "0123456789abcdef:3")], "table string, fingerprint string")
     folder, catalogue = tmp_path / "in", str(tmp_path / "catalogue")
