@@ -51,7 +51,9 @@ def write_files(rows, root: str) -> int:
                     out.write((row["body"] or "").encode())
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["rel"])
 
-    return rows.select("rel", "body").mapInArrow(work, "rel string").count()
+    # a table of few and small files is otherwise written by as few tasks
+    dealt = rows.select("rel", "body").repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(work, "rel string").count()
 
 
 def beside(left, right):

@@ -7,6 +7,9 @@ in pieces instead of being held as one value."""
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -118,21 +121,36 @@ def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if itself.type == fs.FileType.File:  # a root may be a file: it has no name below itself
                     yield _batch([(row["root"], "", False, int(itself.size or 0), int(itself.mtime.timestamp()) if itself.mtime else None)], _LISTED)
                     continue
-            found = system.get_file_info(fs.FileSelector(f"{base}/{rel}" if rel else base, allow_not_found=True))
-            for at in range(0, len(found), SLICE_NAMES):
-                yield _batch(
-                    [
-                        (
-                            row["root"],
-                            f"{rel}/{i.base_name}" if rel else i.base_name,
-                            i.type == fs.FileType.Directory,
-                            int(i.size or 0),
-                            int(i.mtime.timestamp()) if i.mtime else None,
-                        )
-                        for i in found[at:at + SLICE_NAMES]
-                    ],
-                    _LISTED,
-                )
+            for some in _entries(system, f"{base}/{rel}" if rel else base):
+                yield _batch([(row["root"], f"{rel}/{name}" if rel else name, is_dir, size, mtime) for name, is_dir, size, mtime in some], _LISTED)
+
+
+def _entries(system, folder: str) -> Iterator[list[tuple]]:
+    """``name, is_dir, bytes, mtime`` of what lies in a folder, ``SLICE_NAMES`` at a time; nothing where there is no folder.
+    A disk's folder is read entry by entry, so a task holds one slice; other stores give their listing at once."""
+    from pyarrow import fs
+
+    if isinstance(system, fs.LocalFileSystem):
+        try:
+            with os.scandir(folder) as found:
+                while some := list(itertools.islice(found, SLICE_NAMES)):
+                    yield [_entry(i) for i in some]
+        except FileNotFoundError:
+            return
+    else:
+        found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        for at in range(0, len(found), SLICE_NAMES):
+            yield [(i.base_name, i.type == fs.FileType.Directory, int(i.size or 0), int(i.mtime.timestamp()) if i.mtime else None)
+                   for i in found[at:at + SLICE_NAMES]]
+
+
+def _entry(entry: os.DirEntry) -> tuple:
+    try:
+        seen = entry.stat()
+    except FileNotFoundError:  # gone meanwhile, or a link to nothing
+        return entry.name, False, 0, None
+    is_dir = entry.is_dir()
+    return entry.name, is_dir, 0 if is_dir else seen.st_size, int(seen.st_mtime)
 
 
 def list_level(directories: DataFrame) -> DataFrame:
@@ -197,6 +215,30 @@ def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch([(row["root"], row["rel"], size, digest.hexdigest())], _HASHED)
 
 
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, held = [], 0
+        for row in batch.to_pylist():
+            system, base = _arrow_fs(row["root"])
+            with system.open_input_stream(f"{base}/{row['rel']}") as stream:
+                raw = stream.read()
+            rows.append((row["root"], row["rel"], raw.decode(json.detect_encoding(raw), "replace")))
+            held += len(raw)
+            if held >= CHUNK:
+                yield _batch(rows, _READ)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows, _READ)
+
+
+_READ = "root string, rel string, text string"
+
+
+def read_texts(files: DataFrame) -> DataFrame:
+    """``root, rel, text`` of small JSON files ``root, rel``, many to a task; the encoding is told from the first bytes."""
+    return spread(files).select("root", "rel").mapInArrow(_read_files, _READ)
+
+
 def hash_files(files: DataFrame) -> DataFrame:
     """``root, rel, bytes, sha256`` of ``root, rel`` rows, hashed by the task that reads them."""
     return spread(files).select("root", "rel").mapInArrow(_hash_files, _HASHED)

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableproof import schema as S
 from tableproof.functions import digests as D
@@ -25,13 +26,33 @@ def file_name() -> Column:
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Every ``*.json`` under ``path`` in the fixed schema, plus its ``name``. Absent keys are null."""
+    """Every ``*.json`` under ``path`` in the fixed schema, plus its ``name``. Absent keys are null.
+
+    The files of a folder are read by tasks that take many each; a parser made anew and a thirtieth of a task per
+    file would cost more than the files. Its listing is taken once, when this is called."""
+    if files.is_folder(spark, path):
+        return parsed_manifests(files.list_files(spark, path).filter(IS_MANIFEST))
     return (
         spark.read.schema(S.MANIFEST_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
         .select("*", file_name().alias("name"))
     )
 
 
+#: As Spark's own file source: names that begin with a dot or an underscore are hidden.
+IS_MANIFEST = "rel LIKE '%.json' AND NOT startswith(rel, '.') AND NOT startswith(rel, '_')"
+
+
+def parsed_manifests(listed: DataFrame) -> DataFrame:
+    """The manifests in files ``root, rel``, in the fixed schema, plus ``name``, as the JSON source reads them: an array is a row
+    an element, a broken file is a row of nulls, an empty one none."""
+    texts = files.read_texts(listed).filter(F.rlike("text", F.lit(r"\S")))
+    # a root that is an array is read as one; the other stays whole where a single key has the wrong type
+    rows = F.when(F.rlike("text", F.lit(r"^\s*\[")), F.from_json("text", T.ArrayType(S.MANIFEST_SCHEMA))).otherwise(F.array(F.from_json("text", S.MANIFEST_SCHEMA)))
+    empty = F.rlike("text", F.lit(r"^\s*\[\s*\]"))
+    parsed = texts.filter(~empty).select(F.element_at(F.split("rel", "/"), -1).alias("name"), F.explode_outer(rows).alias("_m"))
+    return parsed.select("_m.*", "name")
+
+
 def with_defaults(manifests: DataFrame) -> DataFrame:
     """What absent keys mean."""
     return manifests.withColumns({k: F.coalesce(F.nullif(F.col(k), F.lit("")), F.lit(v)) for k, v in S.DEFAULTS.items()})

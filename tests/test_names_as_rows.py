@@ -10,11 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableproof import schema as S
 from tableproof.operators import compare as C
 from tableproof.operators import fingerprint as P
 from tableproof.operators import intervals as V
 from tableproof.operators.ordered import running_sums
 from tableproof.sources import files
+from tableproof.sources import manifests as M
 from tableproof.sources.scan import scan_parquet, schema_of
 
 
@@ -126,3 +128,33 @@ def test_sums_run_over_blocks(spark):
         rows = running_sums(df, keys, ["id"], ["x"]).collect()
         assert len(rows) == 1000
         assert all(r["x"] == 2 * ((r["id"] + 1) if not keys else r["id"] // 3 + 1) for r in rows)
+
+
+def test_manifests_of_a_folder_are_read_many_to_a_task(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"app+{i}%20.json").write_text(f'{{"database": "app", "bytes": {i}}}')
+    odd = {"two.json": '[{"database": "a"}, {"database": "b"}]', "broken.json": '{"database": ', "empty.json": " \n", "none.json": "[]",
+           "typed.json": '{"database": "c", "bytes": "many"}', "_hidden.json": "{}", ".dot.json": "{}", "notes.txt": "{}", "bom.json": "﻿{\"database\": \"d\"}"}
+    for name, text in odd.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "below.json").mkdir()
+    (tmp_path / "below.json" / "deep.json").write_text("{}")
+    as_source = (spark.read.schema(S.MANIFEST_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json").json(str(tmp_path))
+                 .select("database", "bytes", M.file_name().alias("name")))
+    got = M.read_manifests(spark, str(tmp_path))
+    assert sorted(map(str, got.select("database", "bytes", "name").collect())) == sorted(map(str, as_source.collect()))
+    assert got.columns[-1] == "name" and got.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert M.read_manifests(spark, str(tmp_path / "two.json")).count() == 2
+
+
+def test_a_folder_is_listed_slice_by_slice(spark, tmp_path, monkeypatch):
+    for i in range(50):
+        (tmp_path / f"f{i}").write_text("x" * i)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "lost").symlink_to(tmp_path / "nowhere")
+    monkeypatch.setattr(files, "SLICE_NAMES", 8)
+    system, base = files._arrow_fs(files.qualified(spark, str(tmp_path)))
+    slices = list(files._entries(system, base))
+    assert max(map(len, slices)) == 8 and sum(map(len, slices)) == 52
+    assert {e[0]: e[1:3] for some in slices for e in some} == {**{f"f{i}": (False, i) for i in range(50)}, "sub": (True, 0), "lost": (False, 0)}
+    assert list(files._entries(system, f"{base}/nothing")) == []
