@@ -9,21 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tableproof import schema as S
 from tableproof.session import settle
 from tableproof.sources.files import exists
-from tableproof.sources.manifests import file_name
+from tableproof.sources.manifests import parsed_manifests
 
 #: Folders that names are dealt to by their hash; a batch looks into those its own names fall into.
 BUCKETS = 256
 
 
-def read_manifest_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """New ``*.json`` files of a folder in the fixed schema, with their names."""
-    return (
-        spark.readStream.schema(S.MANIFEST_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-        .select("*", file_name().alias("name"))
-    )
+def name_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """New ``*.json`` files of a folder as ``root, rel``; none is opened."""
+    layout = "path string, modificationTime timestamp, length bigint, content binary"
+    found = spark.readStream.format("binaryFile").schema(layout).option("pathGlobFilter", "*.json").load(folder)
+    return found.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("root"), F.substring_index("path", "/", -1).alias("rel"))
 
 
 def bucket_of(name: str, buckets: int = BUCKETS):
@@ -54,14 +52,15 @@ def stream_manifests(spark: SparkSession, folder: str, catalogue: str, checkpoin
                      buckets: int = BUCKETS) -> StreamingQuery:
     """Append new manifests to the Parquet table ``catalogue``, each name once.
 
-    The table lies in folders by the hash of the name, and in them by batch. A batch reads the names of the buckets it
+    The stream is one of names; their files are read as in :func:`~tableproof.sources.manifests.read_manifests`, many to a
+    task. The table lies in folders by the hash of the name, and in them by batch. A batch reads the names of the buckets it
     touches and no others, so its cost follows the batch and not the age of the catalogue. A batch that is run
     again after a failure replaces its own folders; a stream begun anew over the same folder adds nothing. The
     number of buckets of a catalogue is fixed by its first batch."""
     run = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        append_batch(batch, run, batch_id, catalogue, buckets)
+        append_batch(parsed_manifests(batch), run, batch_id, catalogue, buckets)
 
-    writer = read_manifest_stream(spark, folder).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    writer = name_stream(spark, folder).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

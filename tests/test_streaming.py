@@ -11,7 +11,7 @@ from tableproof.operators import replay as R
 from tableproof.operators.fingerprint import fingerprint_sum
 from tableproof.streaming import fingerprints_at, stream_changes, stream_silence, watch_arrival
 from tableproof.streaming.arrival import BUCKETS
-from tableproof.streaming.catalogue import append_batch, bucket_of, read_buckets
+from tableproof.streaming.catalogue import append_batch, bucket_of, name_stream, read_buckets
 from tableproof.sources.manifests import write_manifest
 from tableproof.streaming import stream_arrival, stream_fingerprint, stream_manifests, stream_staleness
 
@@ -178,3 +178,17 @@ def test_the_ledger_equals_the_replayed_state(spark, tmp_path):
     got = {r["idx"]: r["fingerprint"] for r in fingerprints_at(spark.table("ledger"), base).collect()}
     want = {i: fingerprint_sum(R.latest_state(log.filter(R.before((i + 1, 0))), ["k"], ["v"]).select("k", "v")).first()["fingerprint"] for i in range(3, 8)}
     assert got == want
+
+
+def test_a_batch_of_manifests_is_read_by_few_tasks(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(300):
+        (folder / f"app+{i}.json").write_text(f'{{"database": "app", "bytes": {i}}}')
+    (folder / "broken.json").write_text("{")
+    stream = name_stream(spark, str(folder))
+    assert stream.columns == ["root", "rel"]
+    query = stream_manifests(spark, str(folder), str(tmp_path / "catalogue"), str(tmp_path / "state"))
+    query.awaitTermination()
+    rows = {r["name"]: (r["database"], r["bytes"]) for r in spark.read.parquet(str(tmp_path / "catalogue")).collect()}
+    assert rows == {**{f"app+{i}.json": ("app", i) for i in range(300)}, "broken.json": (None, None)}
