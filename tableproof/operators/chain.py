@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tableproof import schema as S
 from tableproof.functions import names as N
 from tableproof.operators.ordered import as_of
+from tableproof.session import stored
 
 GAP_BITS = 16
 GAP_BLOCK = 1 << GAP_BITS  # indices per block; distinct indices bound every group
@@ -270,8 +271,11 @@ def check_archive(listing: DataFrame, flavour: str, segment_bytes: int | None =
     """Problem rows ``archive, subject, problem, detail`` over ``archive, name, bytes`` rows.
 
     The form (plain, encrypted) is read per archive; a mixed one is refused. Series are checked one
-    by one for WAL; for binlogs a second series is a refusal. An archive without a log is a failure."""
-    form = archive_form(listing, flavour).select("archive", "form")
+    by one for WAL; for binlogs a second series is a refusal. An archive without a log is a failure.
+
+    What is folded per archive is written before it meets the files again: small, it needs no shuffle of theirs, and an
+    archive of any size is never sorted in one task."""
+    form = stored(archive_form(listing, flavour).select("archive", "form"), "archive-forms")
     formed = listing.join(form, "archive")
     enc = F.col("form") == "encrypted"
     log_kind = LOG_KIND[flavour]
@@ -292,9 +296,9 @@ def check_archive(listing: DataFrame, flavour: str, segment_bytes: int | None =
     logs = sound.filter(F.col("kind") == log_kind)
     if flavour == "wal":
         if segment_bytes is None:
-            seg = logs.groupBy("archive", "form").agg(F.max("bytes").alias("_max")).select(
+            seg = stored(logs.groupBy("archive", "form").agg(F.max("bytes").alias("_max")).select(
                 "archive", N.infer_segment_bytes(F.col("_max"), enc).alias("_seg")
-            )
+            ), "archive-segments")
             logs = logs.join(seg, "archive")
         else:
             logs = logs.withColumn("_seg", F.lit(segment_bytes).cast("bigint"))
@@ -317,7 +321,7 @@ def check_archive(listing: DataFrame, flavour: str, segment_bytes: int | None =
     found = mixed.unionByName(strays).unionByName(empty).unionByName(gaps)
     if flavour == "wal":
         # a whole segment's ciphertext has one size too: the largest present stands for it
-        largest = placed.groupBy("archive").agg(F.max("bytes").alias("_largest"))
+        largest = stored(placed.groupBy("archive").agg(F.max("bytes").alias("_largest")), "archive-sizes")
         plain = F.lit(segment_bytes).cast("bigint") if segment_bytes is not None else F.col("_largest")
         sizes = placed.join(largest, "archive").withColumn(
             "expected_bytes", F.when(F.col("_enc"), F.col("_largest")).otherwise(plain)

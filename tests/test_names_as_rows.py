@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableproof import schema as S
+from tableproof.operators import chain as L
 from tableproof.operators import compare as C
 from tableproof.operators import fingerprint as P
 from tableproof.operators import intervals as V
@@ -158,3 +160,14 @@ def test_a_folder_is_listed_slice_by_slice(spark, tmp_path, monkeypatch):
     assert max(map(len, slices)) == 8 and sum(map(len, slices)) == 52
     assert {e[0]: e[1:3] for some in slices for e in some} == {**{f"f{i}": (False, i) for i in range(50)}, "sub": (True, 0), "lost": (False, 0)}
     assert list(files._entries(system, f"{base}/nothing")) == []
+
+
+def test_an_archive_is_not_sorted_in_one_task(spark):
+    listing = spark.range(1000).filter("id % 10 <> 3").select(
+        F.lit("vault").alias("archive"), F.concat(F.lit("00000001"), F.lpad(F.hex(F.floor(F.col("id") / 256)), 8, "0"), F.lpad(F.hex(F.col("id") % 256), 8, "0")).alias("name"),
+        F.when(F.col("id") == 7, 1 << 23).otherwise(1 << 24).cast("bigint").alias("bytes"))
+    # rows without a known size, as of a table too large to be broadcast
+    found = L.check_archive(spark.createDataFrame(listing.collect(), listing.schema), "wal")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"SortMergeJoin \[archive#\d+\]", plan) is None
+    assert {r["problem"]: r["count"] for r in found.groupBy("problem").count().collect()} == {"MISSING": 100, "WRONG_SIZE": 1}
