@@ -7,8 +7,9 @@ Three methods with one contract (every column of every row, multiplicity counts,
            against faults, not against an adversary who crafts rows.
 ``tree``   collision resistant. Distinct row hashes with their counts are sorted and hashed inside
            leaves cut by hash prefix, leaf digests are folded upwards. Equal rows are counted before
-           the shuffle, so a row repeated a billion times is one entry. Two shuffles of 40 bytes per
-           distinct row; leaves are uniform because they are cut from a hash.
+           the shuffle, so a row repeated a billion times is one entry. Two shuffles of the hash's bytes
+           and a few more per distinct row, which also serve the nodes above the leaves; leaves are
+           uniform because they are cut from a hash.
 Either method can carry a witness beside the digest: the bytes of the values it was taken of, summed up in the
 same pass. A copy with as many rows and fewer bytes was cut, which a digest alone cannot say.
 The method, its algorithm and the leaf prefix are in the ``algo`` label; fingerprints of unequal labels are
@@ -153,11 +154,28 @@ def fingerprint_sum(df: DataFrame, mode: str = "strict", algo: str = "md5",
 # --- tree ------------------------------------------------------------------------
 
 
+def _prefix(h: Column, digits: int) -> Column:
+    """The first hex digits of a binary hash."""
+    return F.lower(F.substring(F.hex(F.substring(h, 1, (digits + 1) // 2)), 1, digits))
+
+
+def _home_digits(depth: int) -> int:
+    """Digits that rows are dealt by: those of the node above their leaf where there are enough such nodes."""
+    return depth - FOLD_DIGITS if depth >= 2 * FOLD_DIGITS else depth
+
+
 def _leaf_digests(hashes: DataFrame, keys: Sequence[str], depth: int, algo: str) -> DataFrame:
-    seen = [F.sum("octets").alias("octets")] if "octets" in hashes.columns else []
-    counted = hashes.groupBy(*keys, "h").agg(F.count("*").alias("c"), *seen)
-    entry = F.concat_ws(":", F.col("h"), F.col("c").cast("string"))
-    return counted.groupBy(*keys, F.substring("h", 1, depth).alias("prefix")).agg(
+    """``keys, home, prefix, n, d`` of the leaves. Hashes travel as bytes, and leaves lie where their ``home``, the node
+    above, lies, so that it is folded without another shuffle. Homes are cut from the hash, so tables of any sizes lie
+    evenly; where a shallow tree has too few, leaves are dealt by their own prefix."""
+    octets = ["octets"] if "octets" in hashes.columns else []
+    seen = [F.sum(c).alias(c) for c in octets]
+    counted = hashes.select(*keys, F.unhex("h").alias("h"), *octets).groupBy(*keys, "h").agg(F.count("*").alias("c"), *seen)
+    home = _prefix(F.col("h"), _home_digits(depth))
+    dealt = counted.repartition(home) if _home_digits(depth) < depth else counted
+    dealt = dealt.select(*keys, home.alias("home"), "h", "c", *octets)
+    entry = F.concat_ws(":", F.lower(F.hex("h")), F.col("c").cast("string"))
+    return dealt.groupBy(*keys, "home", _prefix(F.col("h"), depth).alias("prefix")).agg(
         F.sum("c").alias("n"), *seen,
         D.digest(F.array_join(F.sort_array(F.collect_list(entry)), "\n"), algo).alias("d"),
     )
@@ -166,7 +184,8 @@ def _leaf_digests(hashes: DataFrame, keys: Sequence[str], depth: int, algo: str)
 def _folded(level: DataFrame, keys: Sequence[str], depth: int, algo: str) -> DataFrame:
     seen = [F.sum("octets").alias("octets")] if "octets" in level.columns else []
     child = F.concat_ws(":", F.col("prefix"), F.col("d"))
-    return level.groupBy(*keys, F.substring("prefix", 1, depth).alias("prefix")).agg(
+    node = F.col("home") if "home" in level.columns else F.substring("prefix", 1, depth)
+    return level.groupBy(*keys, node.alias("prefix")).agg(
         F.sum("n").alias("n"), *seen,
         D.digest(F.array_join(F.sort_array(F.collect_list(child)), "\n"), algo).alias("d"),
     )
@@ -175,6 +194,8 @@ def _folded(level: DataFrame, keys: Sequence[str], depth: int, algo: str) -> Dat
 def tree_digests(hashes: DataFrame, keys: Sequence[str], depth: int, algo: str) -> DataFrame:
     """``keys, n, digest`` of the multiset of hex strings in column ``h``, and the sum of ``octets`` where there is one."""
     level = _leaf_digests(hashes, keys, depth, algo)
+    if _home_digits(depth) == depth:
+        level = level.drop("home")
     while depth > 0:
         depth = max(0, depth - FOLD_DIGITS)
         level = _folded(level, keys, depth, algo)
@@ -186,7 +207,7 @@ def tree_levels(df: DataFrame, mode: str = "strict", algo: str = "sha256", keys:
     """``keys, depth, prefix, n, digest`` of every node of the tree, from the leaves to the root. Kept beside a
     manifest, in folders by ``depth``, it lets two copies be compared from the root down; the root's digest is the
     one of :func:`fingerprint_tree`."""
-    leaves = settle(_leaf_digests(row_hashes(df, mode, algo, keys).drop("octets"), keys, depth, algo))
+    leaves = settle(_leaf_digests(row_hashes(df, mode, algo, keys).drop("octets"), keys, depth, algo).drop("home"))
     level, out = leaves, [leaves.select(*keys, F.lit(depth).alias("depth"), "prefix", "n", F.col("d").alias("digest"))]
     while depth > 0:
         depth = max(0, depth - FOLD_DIGITS)
