@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tableproof import fixtures as X
@@ -180,6 +181,27 @@ def test_the_ledger_equals_the_replayed_state(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_keys_share_rows_of_state_in_the_ledger(spark, tmp_path, buckets):
+    """A null key, a key of two columns, more rows a bucket than an Arrow batch holds, and a base in the same buckets."""
+    log = spark.range(24_000).selectExpr(
+        "1 + id div 1000 AS idx", "id % 1000 AS pos", "IF(id % 11 = 0, NULL, id % 701) AS k", "concat('a', id % 3) AS s",
+        "CASE WHEN id % 5 = 0 THEN 'D' ELSE 'U' END AS op", "id * 7 AS v")
+    ids, held = ["k", "s"], ["k", "s", "v"]
+    base = R.latest_state(log.filter("idx < 3"), ids, ["v"])
+    for part in (log.filter("idx BETWEEN 3 AND 20"), log.filter("idx BETWEEN 20 AND 24")):  # file 20 comes twice
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    told, state = f"ledger_{buckets}", str(tmp_path / "state")
+    query = (stream_changes(stream, ids, ["v"], base, buckets=buckets).writeStream.outputMode("append").format("memory")
+             .queryName(told).option("checkpointLocation", state).trigger(availableNow=True).start())
+    query.awaitTermination()
+    got = {r["idx"]: r["fingerprint"] for r in fingerprints_at(spark.table(told), base).filter("idx IN (3, 20, 24)").collect()}
+    want = {i: fingerprint_sum(R.latest_state(log.filter(R.before((i + 1, 0))), ids, ["v"]).select(*held)).first()["fingerprint"] for i in (3, 20, 24)}
+    assert got == want
+    assert spark.read.format("statestore").option("path", state).option("stateVarName", "rows").load().count() <= buckets
+
+
 def test_a_batch_of_manifests_is_read_by_few_tasks(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
