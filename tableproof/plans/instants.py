@@ -362,15 +362,17 @@ def verify_instant(spark: SparkSession, base_path: str, mark_path: str, archive:
         return None if at is None else (pair["mark_idx"], at)
 
     def log() -> DataFrame:
-        """The changes between base and mark. Where several tables read them they are written once, by table."""
+        """The changes between base and mark. Where several tables read them, or the transactions too, they are written
+        once, by table."""
         if not window:
             low, high = (anchor[0], 0), mark_at[0]
             rows = chain_log(low, high).filter(R.at_or_after(low) & R.before(high))
-            window.append(stored(rows, "changes", ("tbl",)) if len(key) > 1 else rows)
+            window.append(stored(rows, "changes", ("tbl",)) if len(key) > 1 or told else rows)
         return window[0]
 
     mark_at: list[R.Position] = []
     window: list[DataFrame] = []
+    told = flavour == "binlog" and mark_row["gtid_executed"]
 
     def target_gate() -> DataFrame:
         found = target()
@@ -404,7 +406,7 @@ def verify_instant(spark: SparkSession, base_path: str, mark_path: str, archive:
         return counter_checks(mark_name, counters, maxima, inclusive)
 
     def txn_gate() -> DataFrame:
-        if flavour == "wal" or not mark_row["gtid_executed"]:
+        if not told:
             return one_check(spark, mark_name, "transactions", "-", "NOT_RECORDED", "warning")
         marked = N.parse_txn_set(read_manifests(spark, mark_path), "gtid_executed")
         replayed = log().filter(R.at_or_after(anchor)).select(F.col("gtid_uuid").alias("uuid"), F.col("gtid_no").alias("lo"), F.col("gtid_no").alias("hi"))

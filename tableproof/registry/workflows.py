@@ -243,7 +243,7 @@ def write_log(log, root: str) -> int:
         if writer is not None:
             writer.close()
 
-    dealt = log.repartition(8, "file").sortWithinPartitions("file", "pos")
+    dealt = log.repartition(2 * log.sparkSession.sparkContext.defaultParallelism, "file").sortWithinPartitions("file", "pos")
     return dealt.mapInArrow(work, "file string").count()
 
 

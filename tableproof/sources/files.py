@@ -205,6 +205,7 @@ _HASHED = "root string, rel string, bytes bigint, sha256 string"
 
 def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        rows = []
         for row in batch.to_pylist():
             system, base = _arrow_fs(row["root"])
             digest, size = hashlib.sha256(), 0
@@ -212,7 +213,9 @@ def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while piece := stream.read(CHUNK):
                     digest.update(piece)
                     size += len(piece)
-            yield _batch([(row["root"], row["rel"], size, digest.hexdigest())], _HASHED)
+            rows.append((row["root"], row["rel"], size, digest.hexdigest()))
+        # a batch a file costs more than to hash a small one
+        yield _batch(rows, _HASHED)
 
 
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +260,7 @@ def _copy_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with source_fs.open_input_stream(f"{source}/{row['rel']}") as src, target_fs.open_output_stream(landing) as dst:
                 while piece := src.read(CHUNK):
                     dst.write(piece)
-            yield _batch([(row["root"], row["rel"], row["target"])], _COPIED)
+        yield batch
 
 
 def copy_files(files: DataFrame, target: str) -> int:
@@ -278,7 +281,7 @@ def _move_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # a task that runs again finds its file moved already
             if system.get_file_info(begin).type != fs.FileType.NotFound or system.get_file_info(end).type == fs.FileType.NotFound:
                 system.move(begin, end)
-            yield _batch([(row["root"], row["rel"], row["target"])], _COPIED)
+        yield batch
 
 
 def move_files(files: DataFrame, target: str) -> int:
@@ -301,7 +304,7 @@ def _delete_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 system.delete_dir(path)
             elif kind == fs.FileType.File:
                 system.delete_file(path)
-            yield _batch([(row["root"], row["rel"], "")], _COPIED)
+        yield batch.append_column("target", pa.nulls(batch.num_rows, pa.string()))
 
 
 def delete_files(files: DataFrame) -> int:

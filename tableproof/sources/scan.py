@@ -56,7 +56,7 @@ def scan_parquet(files: DataFrame, schema: T.StructType, low: Position | None =
     out = T.StructType([*schema.fields, *kept])
     wanted, target = schema.names, out
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
         kinds = to_arrow_schema(target)
@@ -70,7 +70,7 @@ def scan_parquet(files: DataFrame, schema: T.StructType, low: Position | None =
                     held = [c for c in wanted if c in file.schema_arrow.names]
                     if not groups:
                         continue
-                    for part in file.iter_batches(BATCH_ROWS, groups, held):
+                    for part in file.iter_batches(BATCH_ROWS, groups, held, use_threads=False):
                         columns = []
                         for field in kinds:
                             if field.name in held:
@@ -83,4 +83,16 @@ def scan_parquet(files: DataFrame, schema: T.StructType, low: Position | None =
                                 columns.append(pa.array([row[field.name]] * part.num_rows, field.type))
                         yield pa.RecordBatch.from_arrays(columns, [f.name for f in kinds])
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Small files share a batch: one each costs more than its rows."""
+        held, rows = [], 0
+        for part in parts(batches):
+            held.append(part)
+            rows += part.num_rows
+            if rows >= BATCH_ROWS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
     return spread(files).select("root", "rel", *[F.col(c) for c in keep]).mapInArrow(read, out)
