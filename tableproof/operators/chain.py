@@ -193,43 +193,67 @@ def pick_latest_pair(marks: DataFrame, bases: DataFrame, flavour: str, db: str |
     )
 
 
+def _spread(pairs: DataFrame, *keep: Column | str) -> DataFrame:
+    """``keep, idx``: a row for every index from base to mark."""
+    pick = pairs.filter(F.col("base_idx").isNotNull() & (F.col("base_idx") <= F.col("mark_idx")))
+    return pick.select(*keep, F.explode(F.sequence("base_idx", "mark_idx")).alias("idx"))
+
+
+def _named(spread: DataFrame, flavour: str, *keep: str) -> DataFrame:
+    suffix = F.when(F.col("encrypted"), F.lit(N.ENC_SUFFIX)).otherwise(F.lit(""))
+    return spread.select(*keep, F.concat(N.file_name(F.col("series"), F.col("idx"), flavour, F.col("_segment")), suffix).alias("name"))
+
+
 def required_chain(pairs: DataFrame, flavour: str, inventory: DataFrame | None = None,
                    segment_bytes: Column | int = N.DEFAULT_SEGMENT_BYTES) -> DataFrame:
     """``mark, series, idx, name`` of every file from base to mark.
 
     ``pairs``: ``mark, series, base_idx, mark_idx, encrypted``. History entries of the inventory
     (``mark, name``) join as a set, without an index."""
-    pick = pairs.filter(F.col("base_idx").isNotNull() & (F.col("base_idx") <= F.col("mark_idx")))
-    spread = pick.select(
-        "mark", "series", "encrypted", N.col_of(segment_bytes).alias("_segment"), F.explode(F.sequence("base_idx", "mark_idx")).alias("idx"))
-    suffix = F.when(F.col("encrypted"), F.lit(N.ENC_SUFFIX)).otherwise(F.lit(""))
-    files = spread.select(
-        "mark", "series", "idx",
-        F.concat(N.file_name(F.col("series"), F.col("idx"), flavour, F.col("_segment")), suffix).alias("name"),
-    )
+    files = _named(_spread(pairs, "mark", "series", "encrypted", N.col_of(segment_bytes).alias("_segment")), flavour, "mark", "series", "idx")
     if inventory is None:
         return files
     history = inventory.filter(N.bare_name(F.col("name")).rlike(r"\.history$")).select("mark", "name").distinct()
     return files.unionByName(history, allowMissingColumns=True)
 
 
+def chain_files(pairs: DataFrame, flavour: str, segment_bytes: Column | int = N.DEFAULT_SEGMENT_BYTES) -> DataFrame:
+    """``series, idx, name`` of every file that some chain needs, once.
+
+    The longest chain from a base holds its shorter ones, so it alone is spread, and files meet by index before they are named."""
+    keys = ["series", "encrypted", "_segment"]
+    longest = pairs.withColumn("_segment", N.col_of(segment_bytes)).groupBy(*keys, "base_idx").agg(F.max("mark_idx").alias("mark_idx"))
+    return _named(_spread(longest, *keys).distinct(), flavour, "series", "idx")
+
+
+def _judged(required: DataFrame, inventory: DataFrame, files: DataFrame, word: Column, unnamed: str, out: str) -> DataFrame:
+    """``mark, name, out``: every required file once, with the ``word`` on each of its inventory rows, or ``unnamed``.
+
+    ``word`` reads ``_inv``, the inventory's hash, and ``_there`` and ``_held`` of the file that has the name. The inventory
+    meets the files first: hashes pass one shuffle, and only words meet the required files."""
+    held = files.select("name", F.col("sha256").alias("_there"), F.lit(True).alias("_held"))
+    judged = (
+        inventory.select("mark", "name", F.col("sha256").alias("_inv")).join(held, "name", "left")
+        .select("mark", "name", word.alias(out))
+    )
+    return (
+        required.select("mark", "name").distinct()
+        .join(judged, ["mark", "name"], "left")
+        .select("mark", "name", F.coalesce(out, F.lit(unnamed)).alias(out))
+    )
+
+
 def audit_chain(required: DataFrame, inventory: DataFrame, listing: DataFrame) -> DataFrame:
     """``mark, name, status``: what the inventory never stood on, what the site lacks, what differs.
 
     ``inventory``: ``mark, name, sha256``; ``listing``: ``name, sha256`` of the site."""
-    inv = inventory.select("mark", "name", F.col("sha256").alias("_inv"))
-    held = listing.select("name", F.col("sha256").alias("_site"), F.lit(True).alias("_held"))
     status = (
         F.when(F.coalesce("_inv", F.lit("")) == "", "NOT_IN_INVENTORY")
         .when(F.col("_held").isNull(), "ABSENT")
-        .when(~F.col("_inv").eqNullSafe(F.col("_site")), "DIFFERS")
+        .when(~F.col("_inv").eqNullSafe(F.col("_there")), "DIFFERS")
         .otherwise("OK")
     )
-    return (
-        required.select("mark", "name").distinct()
-        .join(inv, ["mark", "name"], "left").join(held, "name", "left")
-        .select("mark", "name", status.alias("status"))
-    )
+    return _judged(required, inventory, listing, status, "NOT_IN_INVENTORY", "status")
 
 
 def required_or_inventory(required: DataFrame, inventory: DataFrame, pairs: DataFrame) -> DataFrame:

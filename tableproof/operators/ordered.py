@@ -10,6 +10,7 @@ executor must not draw them anew.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +34,10 @@ def carried_max(blocks: DataFrame, keys: Sequence[str], value: Column, out: str)
 
 
 def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
-                inclusive: bool = True) -> DataFrame:
-    """``df`` plus the running maximum of ``value`` in ``order``; ``order`` must be unique per key."""
-    blocks = ordered_blocks(df, keys, order)
+                inclusive: bool = True, spread: Sequence[str] = ()) -> DataFrame:
+    """``df`` plus the running maximum of ``value`` in ``order``; ``order`` must be unique per key, unless it does not
+    matter which of equal rows comes first. By ``spread`` equal rows may lie in several blocks."""
+    blocks = ordered_blocks(df, keys, [*order, *spread])
     carry = carried_max(blocks, keys, value, "_carry")
     frame = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
@@ -71,16 +73,16 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 
 def as_of(points: DataFrame, events: DataFrame, keys: Sequence[str], order: Sequence[str],
           value: Column, out: str) -> DataFrame:
-    """For every point the maximum of ``value`` over events of its keys at or before it.
+    """``points`` plus, for each, the maximum of ``value`` over events of its keys at or before it; null where a key or
+    position is.
 
-    Both sides are reduced to one row per position first, so neither pairs within a key nor
-    repeated positions multiply anything."""
+    Points pass as they are, behind the events of their position: nothing is joined back, so neither pairs within a key
+    nor repeated positions multiply anything, and a position of very many rows lies in several blocks."""
     on = [*keys, *order]
-    best = events.groupBy(*on).agg(F.max(value).alias("_value"))
-    where = points.select(*on).distinct()
-    tagged = best.withColumn("_rank", F.lit(0)).unionByName(
-        where.withColumn("_rank", F.lit(1)), allowMissingColumns=True
-    )
-    scanned = running_max(tagged, keys, [*order, "_rank"], F.col("_value"), out)
-    found = scanned.filter(F.col("_rank") == 1).select(*on, out)
-    return points.join(found, on, "left")
+    placed = reduce(Column.__and__, [F.col(c).isNotNull() for c in on])
+    given = events.filter(placed).select(*on, value.alias("_value"), F.lit(0).alias("_rank"))
+    tagged = points.withColumn("_rank", F.lit(1)).unionByName(given, allowMissingColumns=True)
+    salt = F.xxhash64("_value", *[c for c, kind in points.dtypes if "map<" not in kind])
+    scanned = running_max(tagged.withColumn("_salt", salt), keys, [*order, "_rank"], F.col("_value"), "_found", spread=["_salt"])
+    own = [F.col(c).cast(points.schema[c].dataType).alias(c) for c in points.columns]
+    return scanned.filter(F.col("_rank") == 1).select(*own, F.when(placed, F.col("_found")).alias(out))

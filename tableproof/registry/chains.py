@@ -10,6 +10,7 @@ from tableproof.operators import chain as L
 from tableproof.operators import intervals as T
 from tableproof.registry import register
 from tableproof.registry.names import series_name_sql, wal_index_sql, wal_name_sql
+from tableproof.session import stored
 
 # --- WAL archive of FX3: one archive, several timelines ----------------------------
 
@@ -299,15 +300,16 @@ CHAIN = (
 
 
 def chain(spark, sf_dir):
-    """Pairs, required files, inventories and the site's listing, all from the recovery points."""
+    """Pairs, required files, inventories and the site's listing, all from the recovery points. The pairs are written
+    once, dealt evenly: each of the others begins with them and makes many rows of each."""
     marks, bases = points(spark, sf_dir)
-    pairs = L.reachable_base(marks, bases, "binlog").select(
+    pairs = stored(L.reachable_base(marks, bases, "binlog").select(
         F.col("name").alias("mark"), F.concat(F.lit("bin"), F.col("series").cast("string")).alias("series"),
         "base_idx", F.col("idx").alias("mark_idx"), F.lit(False).alias("encrypted"),
-    )
+    ).repartition("mark"), "chain-pairs")
     required = L.required_chain(pairs, "binlog")
     inventory = required.filter("idx % 53 <> 7").select("mark", "name", F.md5("name").alias("sha256"))
-    files = required.select("name", "idx").distinct()
+    files = L.chain_files(pairs, "binlog").select("name", "idx")
     rotten = F.when(F.col("idx") % 47 == 0, F.md5(F.concat("name", F.lit("rot")))).otherwise(F.md5("name"))
     site = files.filter("idx % 31 <> 0").select("name", rotten.alias("sha256"))
     return pairs, required, inventory, site
