@@ -276,19 +276,13 @@ def ship_plan(required: DataFrame, inventory: DataFrame, site: DataFrame) -> Dat
 
 def fetch_plan(required: DataFrame, inventory: DataFrame, local: DataFrame) -> DataFrame:
     """``mark, name, action``: REFUSE_UNVOUCHED, HAVE, REFUSE_OVERWRITE or FETCH."""
-    inv = inventory.select("mark", "name", F.col("sha256").alias("_inv"))
-    held = local.select("name", F.col("sha256").alias("_local"), F.lit(True).alias("_held"))
     action = (
         F.when(F.coalesce("_inv", F.lit("")) == "", "REFUSE_UNVOUCHED")
         .when(F.col("_held").isNull(), "FETCH")
-        .when(F.col("_inv").eqNullSafe(F.col("_local")), "HAVE")
+        .when(F.col("_inv").eqNullSafe(F.col("_there")), "HAVE")
         .otherwise("REFUSE_OVERWRITE")
     )
-    return (
-        required.select("mark", "name").distinct()
-        .join(inv, ["mark", "name"], "left").join(held, "name", "left")
-        .select("mark", "name", action.alias("action"))
-    )
+    return _judged(required, inventory, local, action, "REFUSE_UNVOUCHED", "action")
 
 
 def check_archive(listing: DataFrame, flavour: str, segment_bytes: int | None = None) -> DataFrame:

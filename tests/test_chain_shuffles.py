@@ -42,6 +42,13 @@ def test_audit_of_odd_rows(spark):
                    (("n", "-"), gone), (("n", "1"), "DIFFERS"), (("n", "7"), gone)]
 
 
+def test_plan_of_odd_rows(spark):
+    got = sorted(((r["mark"], r["name"] or "-"), r["action"]) for r in L.fetch_plan(*odd_rows(spark)).collect())
+    no = "REFUSE_UNVOUCHED"
+    assert got == [(("m", "1"), "HAVE"), (("m", "2"), "REFUSE_OVERWRITE"), (("m", "3"), "FETCH"), (("m", "4"), no), (("m", "5"), no), (("m", "6"), no),
+                   (("n", "-"), no), (("n", "1"), "REFUSE_OVERWRITE"), (("n", "7"), no)]
+
+
 def outer_join(capsys, df):
     """The last join of a plan: the first that its text names."""
     df.explain()
@@ -52,6 +59,10 @@ def test_hashes_of_an_audit_stay_out_of_the_last_join(spark, capsys):
     assert "mark" in outer_join(capsys, L.audit_chain(*odd_rows(spark)))
 
 
+def test_hashes_of_a_plan_stay_out_of_the_last_join(spark, capsys):
+    assert "mark" in outer_join(capsys, L.fetch_plan(*odd_rows(spark)))
+
+
 @pytest.mark.parametrize("name", ["d10_audit_chain", "d12_fetch_plan"])
 def test_pairs_are_found_once(spark, sf_dir, capsys, name):
     registry.QUERIES[name](spark, sf_dir).explain()
