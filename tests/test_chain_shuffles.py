@@ -63,6 +63,24 @@ def test_hashes_of_a_plan_stay_out_of_the_last_join(spark, capsys):
     assert "mark" in outer_join(capsys, L.fetch_plan(*odd_rows(spark)))
 
 
+def test_shipping_of_odd_rows(spark):
+    got = sorted((r["name"], (r["sha256"], r["action"])) for r in L.ship_plan(*odd_rows(spark)).collect())
+    assert got == [("1", ("y", "RESHIP")), ("2", ("x", "RESHIP")), ("3", ("x", "SHIP")), ("4", ("", "RESHIP")), ("5", (None, "SKIP"))]
+
+
+def test_no_chain_of_a_shipping_passes_the_driver(spark, tmp_path, capsys):
+    """A few pairs of very long chains: by their estimate the links would be broadcast."""
+    spark.range(3).selectExpr("concat('m', id) AS mark", "'bin' AS series", "0L AS base_idx", "id * 20000 AS mark_idx", "false AS encrypted").write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    required = L.required_chain(pairs, "binlog")
+    site = L.chain_files(pairs, "binlog").filter("idx % 2 = 0").select("name", F.md5("name").alias("sha256"))
+    plan = L.ship_plan(required, required.select("mark", "name", F.md5("name").alias("sha256")), site)
+    told = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
+    assert told == {"SKIP": 20_001, "SHIP": 20_000}
+    plan.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 @pytest.mark.parametrize("name", ["d10_audit_chain", "d12_fetch_plan"])
 def test_pairs_are_found_once(spark, sf_dir, capsys, name):
     registry.QUERIES[name](spark, sf_dir).explain()
