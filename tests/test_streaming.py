@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import time
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tableproof import fixtures as X
@@ -214,3 +216,47 @@ def test_a_batch_of_manifests_is_read_by_few_tasks(spark, tmp_path):
     query.awaitTermination()
     rows = {r["name"]: (r["database"], r["bytes"]) for r in spark.read.parquet(str(tmp_path / "catalogue")).collect()}
     assert rows == {**{f"app+{i}.json": ("app", i) for i in range(300)}, "broken.json": (None, None)}
+
+
+def test_names_of_manifests_stay_out_of_the_driver(spark, tmp_path):
+    """A look is one row to the driver; of what lies in the folder only new manifests reach a batch, however old their time."""
+    folder, catalogue, state = tmp_path / "in", str(tmp_path / "catalogue"), tmp_path / "state"
+    with pytest.raises(AnalysisException):
+        stream_manifests(spark, str(folder), catalogue, str(state))
+    folder.mkdir()
+
+    def catalogued():
+        query = stream_manifests(spark, str(folder), catalogue, str(state))
+        query.awaitTermination()
+        assert sum(p["numInputRows"] for p in query.recentProgress) <= 1
+        return spark.read.parquet(catalogue) if (tmp_path / "catalogue").exists() else None
+
+    assert catalogued() is None
+    for i in range(40):
+        (folder / f"app-{i}.json").write_text(f'{{"bytes": {i}}}')
+    assert catalogued().count() == 40
+    for name in ("late.json", "_hidden.json", ".hidden.json", "other.txt"):
+        (folder / name).write_text('{"bytes": 40}')
+    (folder / "app-0.json").write_text('{"bytes": 99}')
+    (folder / "empty.json").write_text("")
+    (folder / "nested.json").mkdir()
+    (folder / "gone.json").symlink_to(folder / "nothing")
+    month_ago = time.time() - 30 * 86400
+    os.utime(folder / "late.json", (month_ago, month_ago))
+    for _ in range(2):
+        rows = {r["name"]: r["bytes"] for r in catalogued().collect()}
+        assert rows == {f"app-{i}.json": i for i in range(40)} | {"late.json": 40}
+    logs = [p for part in ("offsets", "commits", "sources") for p in (state / part).rglob("*") if p.is_file()]
+    assert logs and not any(b".json" in p.read_bytes() for p in logs)
+
+
+def test_a_stream_of_manifests_that_stays(spark, tmp_path):
+    folder, catalogue = tmp_path / "in", tmp_path / "catalogue"
+    folder.mkdir()
+    query = stream_manifests(spark, str(folder), str(catalogue), str(tmp_path / "state"), available_now=False, every="1 second")
+    try:
+        for n in (1, 2):
+            (folder / f"app-{n}.json").write_text("{}")
+            wait_for(lambda: query.exception() is None and any(catalogue.glob("bucket=*/batch=*/*.parquet")) and spark.read.parquet(str(catalogue)).count() == n, 60)
+    finally:
+        query.stop()
